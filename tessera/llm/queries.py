@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read_table, scratch_path, written
 
 
+def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.tokenfile import read_tokens, write_tokens
 
@@ -16,6 +22,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix_sources, word_count
 
@@ -24,6 +36,6 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op8_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_pack_sequences, op4_token_files, op5_simhash_components, op8_mix_sources)}
 
 SQL: dict[str, str] = {}
