@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read_table, scratch_path, written
 
 
+def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.minhash import fingerprint_edits
+
+    return fingerprint_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
@@ -36,6 +42,6 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_sequences, op4_token_files, op5_simhash_components, op8_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_minhash_fingerprints, op2_pack_sequences, op4_token_files, op5_simhash_components, op8_mix_sources)}
 
 SQL: dict[str, str] = {}
