@@ -20,6 +20,18 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.langid import fold_of
+    from tessera.llm.quality import score_quality, train_quality
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 5) != 0)
+    scored = score_quality(docs, train_quality(docs, labels))
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    score = F.col("quality_score")
+    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), F.when(score >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.tokenfile import read_tokens, write_tokens
 
@@ -42,6 +54,15 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_fingerprints, op2_pack_sequences, op4_token_files, op5_simhash_components, op8_mix_sources)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.langid import fold_of, identify, train_languages
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train_languages(docs.where(fold_of(F.col("doc_id"), 4) != 2))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_fingerprints, op2_pack_sequences, op3_quality_scores, op4_token_files, op5_simhash_components, op8_mix_sources, op10_language)}
 
 SQL: dict[str, str] = {}
