@@ -46,6 +46,13 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.topk import top_k, whole_vectors
+
+    vectors = whole_vectors(read_table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix_sources, word_count
 
@@ -63,6 +70,60 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_fingerprints, op2_pack_sequences, op3_quality_scores, op4_token_files, op5_simhash_components, op8_mix_sources, op10_language)}
-
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_minhash_fingerprints, op2_pack_sequences, op3_quality_scores, op4_token_files, op5_simhash_components, op7_top_k, op8_mix_sources, op10_language)}
+
+SQL: dict[str, str] = {
+    "op7_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS whole
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.whole, c.whole), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op8_mix_sources": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY source_size / weight, source ASC NULLS LAST) AS place FROM w
+), l AS (
+  SELECT *, greatest(sum(source_size) OVER ()::DOUBLE - 3.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE, 0::DOUBLE)
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM o
+), c AS (
+  SELECT *, level * weight >= 3.0::DOUBLE * source_size AS capped FROM l
+), t AS (
+  SELECT source, source_size, CASE WHEN capped THEN 3.0::DOUBLE * source_size
+    ELSE max(level) FILTER (NOT capped) OVER () * weight END AS target FROM c
+), r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
+), x AS (
+  SELECT *, target - whole * source_size AS rest FROM r
+), u AS (
+  SELECT d.doc_id, d.source, d.size, x.source_size, x.target, x.whole, x.rest, x.rest / x.source_size AS p,
+    (CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':42'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source
+), q AS (
+  SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS k FROM u
+), g AS (
+  SELECT *, CASE WHEN k IS NOT NULL THEN sum(size) OVER (PARTITION BY source, k IS NULL ORDER BY k, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS through FROM q
+), f AS (
+  SELECT *, k IS NOT NULL AND through <= rest AS inside FROM g
+), h AS (
+  SELECT *, rest - coalesce(max(through) FILTER (inside) OVER (PARTITION BY source), 0) AS gap FROM f
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN k IS NOT NULL AND NOT inside AND size > 0 AND abs(size - gap) < gap THEN abs(size - gap) END NULLS LAST, k, doc_id) = 1
+    AND k IS NOT NULL AND NOT inside AND size > 0 AND abs(size - gap) < gap AS closes FROM h
+)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN inside OR closes THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM z
+""".replace("\\\\", "\\"),
+}
