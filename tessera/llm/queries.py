@@ -46,6 +46,16 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat import format_conversations, read_conversations
+
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    windows = written(format_conversations(turns.unionByName(added)), "windows")
+    return read_conversations(windows)
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.topk import top_k, whole_vectors
 
@@ -70,7 +80,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_fingerprints, op2_pack_sequences, op3_quality_scores, op4_token_files, op5_simhash_components, op7_top_k, op8_mix_sources, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_minhash_fingerprints, op2_pack_sequences, op3_quality_scores, op4_token_files, op5_simhash_components, op6_chat_windows, op7_top_k, op8_mix_sources, op10_language)}
 
 SQL: dict[str, str] = {
     "op7_top_k": """

@@ -35,20 +35,17 @@ BLOCKS = (
 
 
 def train_dictionary(docs: DataFrame, path: str, *, size: int = 65_536, sample: int = 1024, longest_chars: int = 4096) -> bytes:
-    """A zstandard dictionary from the id arrays of at most ``sample`` whole documents of up to ``longest_chars``.
+    """A zstandard dictionary from the id arrays of about ``sample`` whole documents of up to ``longest_chars``.
 
-    The sample is a documented bound: the documents of the lowest hashed ids.  The dictionary only affects how well
+    The sample is a documented bound: about ``sample`` documents whose hashed ids are lowest.  The dictionary only affects how well
     short documents compress, never what is read back.  Too little text for training gives no dictionary (empty).
     """
     import zstandard
 
-    rows = (
-        docs.where(F.length("text").between(1, longest_chars))
-        .select("text", F.xxhash64("doc_id").alias("_h"))
-        .orderBy("_h", "text")
-        .limit(sample)
-        .collect()
-    )
+    eligible = docs.where(F.length("text").between(1, longest_chars))
+    share = min(1.0, sample / max(1, eligible.count()))
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))  # ids of a low hash: about ``sample`` of them, and no others are sent
+    rows = eligible.where(lot < int(share * (1 << 32)) + 1).select("text").orderBy("text").limit(2 * sample).collect()
     arrays = encoder(path).encode_many([r["text"] for r in rows])
     try:
         return zstandard.train_dictionary(size, [a for a in arrays if len(a) >= 8]).as_bytes()
