@@ -71,6 +71,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.extract import extract_main_text
+
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.langid import fold_of, identify, train_languages
 
@@ -80,7 +86,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_fingerprints, op2_pack_sequences, op3_quality_scores, op4_token_files, op5_simhash_components, op6_chat_windows, op7_top_k, op8_mix_sources, op10_language)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_fingerprints,
+        op2_pack_sequences,
+        op3_quality_scores,
+        op4_token_files,
+        op5_simhash_components,
+        op6_chat_windows,
+        op7_top_k,
+        op8_mix_sources,
+        op9_main_text,
+        op10_language,
+    )
+}
 
 SQL: dict[str, str] = {
     "op7_top_k": """
