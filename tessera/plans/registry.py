@@ -1,4 +1,543 @@
-"""Named queries over the given tables and their SQL."""
+"""Named queries over the given tables, each with SQL that gives the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import hashing, text
+from tessera.operators import aliases, annotation, documents, intervals, quality, search
+from tessera.plans.fixtures import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str, *views: str):
+    """Registers a function of the named views under its name, with its SQL."""
+
+    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, v) for v in views])
+        ORACLE[f.__name__] = with_views(list(views), sql)
+        return f
+
+    return register
+
+
+IDENT = "('" + "','".join(aliases.IDENTIFIERS) + "')"
+CLASS = "('" + "','".join(aliases.CLASSIFIERS) + "')"
+WIN = "win AS (SELECT uid, assembly, chrom, greatest(start0 - 1000, 0) AS w0, end0 + 1000 AS w1 FROM fx_coord WHERE assembly = 'hg38')"
+NRM = "regexp_replace(upper({}), '[^A-Z0-9]', '', 'g')"
+NRMC = "regexp_replace(regexp_replace(upper({}), '[^A-Z0-9]', '', 'g'), '^(HERV|ERV)', '')"
+TYPE_ORDER = "list_position(['" + "','".join(aliases.IDENTIFIERS) + "'], alias_type)"
+POSTINGS = f"""tok AS (
+  SELECT alias_type, uid, is_current, unnest(list_distinct(list_concat([alias], list_transform(string_split(alias, ','), lambda t: trim(t))))) AS str
+  FROM fx_alias WHERE alias IS NOT NULL AND alias_type IN {IDENT}
+), post AS (
+  SELECT {NRM.format('str')} AS key, {NRMC.format('str')} AS ckey, alias_type, str, uid, max(is_current) AS is_current
+  FROM tok WHERE str <> '' AND {NRM.format('str')} <> '' GROUP BY ALL
+)"""
+
+
+def hg38_windows(coords: DataFrame) -> DataFrame:
+    return intervals.windows(coords.where("assembly = 'hg38'")).select("uid", "assembly", "chrom", "w0", "w1")
+
+
+# ---- names
+
+
+@query(f"SELECT alias_type, alias, string_agg(DISTINCT uid, ',' ORDER BY uid) AS uids, count(DISTINCT uid) AS n_uids, max(is_current) AS is_current FROM fx_alias WHERE alias IS NOT NULL AND alias_type IN {IDENT} GROUP BY ALL", "fx_alias")
+def alias_resolution(a):
+    return aliases.resolve(a).select("alias_type", "alias", F.array_join("uids", ",").alias("uids"), F.size("uids").cast("long").alias("n_uids"), "is_current")
+
+
+@query(f"SELECT alias_type, count(*) AS n_strings, count(*) FILTER (WHERE n > 1) AS n_ambiguous FROM (SELECT alias_type, alias, count(DISTINCT uid) AS n FROM fx_alias WHERE alias_type IN {IDENT} GROUP BY ALL) GROUP BY ALL", "fx_alias")
+def alias_ambiguity(a):
+    return aliases.ambiguity(a)
+
+
+@query(f"SELECT alias_type, alias AS value, string_agg(DISTINCT uid, ',' ORDER BY uid) AS uids FROM fx_alias WHERE alias_type IN {CLASS} GROUP BY ALL", "fx_alias")
+def classifier_lists(a):
+    return aliases.classify(a).withColumn("uids", F.array_join("uids", ","))
+
+
+@query("SELECT 'lang' AS alias_type, lang AS value, count(DISTINCT doc_id) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL UNION ALL SELECT 'source', source, count(DISTINCT doc_id) FROM documents WHERE source IS NOT NULL GROUP BY ALL", "documents")
+def document_classifiers(d):
+    rows = d.select(F.col("doc_id").alias("uid"), F.lit(1).alias("is_current"), F.explode(F.array(F.struct(F.lit("lang").alias("alias_type"), F.col("lang").alias("alias")), F.struct(F.lit("source").alias("alias_type"), F.col("source").alias("alias")))).alias("a"))
+    return rows.select("a.*", "uid").where("alias IS NOT NULL").groupBy("alias_type", F.col("alias").alias("value")).agg(F.countDistinct("uid").alias("n"))
+
+
+@query(f"SELECT alias_type, count(*) AS n_values, CAST(floor(quantile_cont(n, 0.5)) AS BIGINT) AS median_size FROM (SELECT alias_type, alias, count(DISTINCT uid) AS n FROM fx_alias WHERE alias_type IN {CLASS} GROUP BY ALL) GROUP BY ALL", "fx_alias")
+def classifier_median(a):
+    return aliases.classifier_sizes(a)
+
+
+@query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alias_type ORDER BY length(value), value) AS place FROM (SELECT alias_type, alias AS value, count(DISTINCT uid) AS n_uids FROM fx_alias WHERE alias_type IN {CLASS} AND contains(upper(alias), 'B') GROUP BY ALL)) WHERE place <= 60", "fx_alias")
+def classifier_menu(a):
+    return aliases.classifier_menu(a, "b").withColumn("n_uids", F.col("n_uids").cast("long")).withColumn("place", F.col("place").cast("long"))
+
+
+@query("SELECT uid, alias_type, string_agg(alias || '/' || assignment || '/' || CAST(is_current AS VARCHAR), ';' ORDER BY alias, assignment) AS names, count(*) AS n FROM (SELECT uid, alias_type, alias, assignment, max(is_current) AS is_current FROM fx_alias GROUP BY ALL) GROUP BY ALL", "fx_alias")
+def alias_panel(a):
+    names = F.transform("names", lambda n: F.concat_ws("/", n["alias"], n["assignment"], n["is_current"].cast("string")))
+    return aliases.alias_panel(a).select("uid", "alias_type", F.array_join(names, ";").alias("names"), F.size("names").cast("long").alias("n"))
+
+
+@query("SELECT alias, regexp_matches(alias, '^[0-9]+$') AS \"numeric\" FROM (SELECT alias FROM fx_alias WHERE alias_type = 'hervd_id' INTERSECT SELECT alias FROM fx_alias WHERE alias_type = 'ervmap_id')", "fx_alias")
+def keyspace_collisions(a):
+    return aliases.keyspace_collisions(a, "hervd_id", "ervmap_id")
+
+
+@query("SELECT a.alias, a.uid, b.uid AS right_uid, a.assignment FROM fx_alias a JOIN fx_alias b ON a.alias = b.alias AND a.alias_type = 'combined_id' AND b.alias_type = 'combined_id' AND b.assignment = 'r2' AND a.uid <> b.uid", "fx_alias")
+def naive_join_misroutes(a):
+    return aliases.misrouted(a)
+
+
+@query("SELECT grp, count(*) AS n, count(*) FILTER (WHERE regexp_extract(uid, '^[A-Z]+') <> grp) AS n_mismatch FROM fx_entity GROUP BY ALL", "fx_entity")
+def prefix_group_mismatch(e):
+    return aliases.prefix_mismatch(e)
+
+
+# ---- search
+
+
+@query(f"WITH {POSTINGS} SELECT key, ckey, alias_type, str, uid, is_current FROM post", "fx_alias")
+def fuzzy_postings(a):
+    return search.postings(a)
+
+
+@query(f"WITH {POSTINGS} SELECT DISTINCT ckey, key FROM post", "fx_alias")
+def collapsed_map(a):
+    return search.collapsed_map(search.postings(a))
+
+
+@query(f"WITH {POSTINGS} SELECT count(DISTINCT key) AS n_keys, count(*) AS n_postings, (SELECT count(*) FROM (SELECT key FROM post GROUP BY key HAVING count(DISTINCT uid) > 1)) AS n_multi, count(DISTINCT ckey) AS n_collapsed FROM post", "fx_alias")
+def index_stats(a):
+    return search.index_stats(search.postings(a))
+
+
+@query(f"WITH {POSTINGS}, s AS (SELECT ckey, key, string_agg(DISTINCT uid, ',' ORDER BY uid) AS uids FROM post GROUP BY ALL) SELECT ckey, count(*) AS n_keys, count(DISTINCT uids) AS n_sets FROM s GROUP BY ckey HAVING count(*) > 1 AND count(DISTINCT uids) > 1", "fx_alias")
+def collapse_merge_audit(a):
+    return aliases.collapse_merges(search.postings(a))
+
+
+@query(f"WITH {POSTINGS} SELECT p.ckey, p.key FROM (SELECT DISTINCT ckey, key FROM post) p WHERE p.key NOT IN (SELECT {NRM.format('alias')} FROM fx_alias WHERE alias IS NOT NULL)", "fx_alias")
+def collapsed_dangling(a):
+    known = a.where("alias IS NOT NULL").select(text.normalize_key(F.col("alias")).alias("key"))
+    return quality.dangling(search.collapsed_map(search.postings(a)), known, ["key"]).select("ckey", "key")
+
+
+#: A batch of queries: every telescope id as it is spelled, every group, and names with the other prefix.
+BATCH = "asked AS (SELECT DISTINCT q FROM (SELECT alias AS q FROM fx_alias WHERE alias_type IN ('telescope_id', 'dfam_int_model') UNION ALL SELECT 'HERV' || string_split(alias, ',')[1] FROM fx_alias WHERE alias_type = 'ervmap_alt_name'))"
+HITS = f"""{POSTINGS}, {BATCH}, qn AS (
+  SELECT q, {NRM.format('q')} AS n, {NRMC.format('q')} AS c FROM asked WHERE {NRM.format('q')} <> ''
+), keys AS (SELECT DISTINCT key, ckey FROM post), cand AS (
+  SELECT q, key, CASE WHEN key = n THEN CASE WHEN n = upper(q) THEN 0 ELSE 1 END ELSE 2 END AS tier, '' AS unit_ckey FROM qn JOIN keys ON starts_with(key, n)
+  UNION ALL SELECT q, key, CASE WHEN ckey = c THEN 3 ELSE 4 END, ckey FROM qn JOIN keys ON c <> '' AND starts_with(ckey, c)
+), ded AS (
+  SELECT q, tier, CASE WHEN tier <= 2 THEN cand.key ELSE unit_ckey END AS unit, str, alias_type, uid, is_current,
+    row_number() OVER (PARTITION BY q, uid, str ORDER BY tier, unit_ckey, cand.key, {TYPE_ORDER}) AS rn
+  FROM cand JOIN post ON post.key = cand.key
+), unit AS (SELECT q, tier, unit, count(*) AS hits FROM ded WHERE rn = 1 GROUP BY ALL), run AS (
+  SELECT *, coalesce(sum(hits) OVER (PARTITION BY q ORDER BY tier, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM unit
+), early AS (SELECT * FROM run WHERE tier <= 1 OR (tier = 2 AND before < 200)), kept AS (
+  SELECT q, tier, unit FROM early
+  UNION ALL SELECT r.q, r.tier, r.unit FROM run r LEFT JOIN (SELECT q, sum(hits) AS h FROM early GROUP BY q) e ON e.q = r.q
+  WHERE r.tier >= 3 AND coalesce(e.h, 0) < 200 AND (r.tier = 3 OR r.before < 200)
+), hits AS (SELECT d.q, d.tier, d.str, d.alias_type, d.uid, d.is_current FROM ded d JOIN kept k ON k.q = d.q AND k.tier = d.tier AND k.unit = d.unit WHERE d.rn = 1)"""
+
+
+def _asked(a: DataFrame) -> DataFrame:
+    spelled = a.where(F.col("alias_type").isin("telescope_id", "dfam_int_model")).select(F.col("alias").alias("q"))
+    other = a.where("alias_type = 'ervmap_alt_name'").select(F.concat(F.lit("HERV"), F.split("alias", ",")[0]).alias("q"))
+    return spelled.union(other)
+
+
+@query(f"WITH {HITS} SELECT q, tier, str, alias_type, uid, is_current FROM hits", "fx_alias")
+def search_batch_hits(a):
+    return search.search(_asked(a), search.postings(a))
+
+
+@query(
+    f"""WITH {HITS}, strs AS (
+  SELECT q, str, alias_type, string_agg(DISTINCT uid, ',' ORDER BY uid) AS uids, min(uid) AS first_uid, count(DISTINCT uid) AS n_loci, min(tier) AS tier, min(is_current) AS is_current FROM hits GROUP BY q, str, alias_type
+), rws AS (
+  SELECT q, uids, min(first_uid) AS first_uid, max(n_loci) AS n_loci, min(is_current) = 0 AS retired, list({{'tier': tier, 'n': length(str), 'str': str, 't': {TYPE_ORDER}}} ORDER BY tier, length(str), str, {TYPE_ORDER}) AS members FROM strs GROUP BY q, uids
+), pl AS (
+  SELECT q, uids, n_loci, retired, members[1].tier AS tier, members[1].str AS headline,
+    row_number() OVER (PARTITION BY q ORDER BY members[1].tier, length(members[1].str), members[1].str, first_uid) AS place FROM rws
+) SELECT q, place, tier, headline, uids, n_loci, retired, CASE WHEN tier = 2 THEN 'prefix' WHEN tier >= 3 THEN 'prefix-collapsed' ELSE '' END AS badge FROM pl WHERE place <= 60""",
+    "fx_alias",
+)
+def search_batch_grouped(a):
+    rows = search.grouped(search.search(_asked(a), search.postings(a)))
+    return rows.select("q", F.col("place").cast("long").alias("place"), "tier", "headline", F.array_join("uids", ",").alias("uids"), F.col("n_loci").cast("long").alias("n_loci"), "retired", "badge")
+
+
+@query(f"WITH {HITS} SELECT q, count(*) AS n_hits, count(DISTINCT uid) AS n_loci, count(*) FILTER (WHERE tier >= 3) AS n_collapsed, count(DISTINCT str) AS n_strings FROM hits GROUP BY q", "fx_alias")
+def search_hit_summary(a):
+    return search.hit_summary(search.search(_asked(a), search.postings(a)))
+
+
+@query("SELECT uid, combined_id FROM fx_entity WHERE contains(upper(combined_id), upper('an'))", "fx_entity")
+def substring_filter(e):
+    return search.contains_text(e, "combined_id", "an").select("uid", "combined_id")
+
+
+@query("SELECT uid, grp FROM fx_entity WHERE starts_with(uid, upper('hervl00001'))", "fx_entity")
+def key_prefix_filter(e):
+    return search.key_prefix(e, "hervl00001").select("uid", "grp")
+
+
+# ---- hashes and documents
+
+
+@query("SELECT url, h AS hash, CAST(h % 400 AS INTEGER) AS bucket FROM (SELECT url, list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(url, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 33 + c) & 4294967295) AS h FROM pages)", "pages")
+def djb2_bucket(p):
+    return p.select("url", hashing.djb2(F.col("url")).alias("hash"), hashing.bucket(F.col("url"), 400).alias("bucket"))
+
+
+DJB2_UID = "CAST(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(uid, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 33 + c) & 4294967295) % 400 AS INTEGER)"
+
+
+@query(f"SELECT {DJB2_UID} AS bucket, count(*) AS n_documents, CAST(sum(strlen(versioned_id)) AS BIGINT) AS n_bytes FROM fx_entity GROUP BY 1", "fx_entity")
+def bucket_stats(e):
+    return documents.bucket_sizes(e, 400, F.col("versioned_id"))
+
+
+@query(
+    """SELECT e.uid, e.grp, a.n_aliases, a.aliases, c.coords, g.genes FROM fx_entity e
+LEFT JOIN (SELECT uid, count(*) AS n_aliases, string_agg(alias_type || '=' || alias || '/' || assignment, ';' ORDER BY alias_type, alias, assignment) AS aliases FROM fx_alias GROUP BY uid) a USING (uid)
+LEFT JOIN (SELECT uid, string_agg(assembly || ':' || chrom || ':' || CAST(start0 AS VARCHAR) || '-' || CAST(end0 AS VARCHAR), ';' ORDER BY assembly) AS coords FROM fx_coord GROUP BY uid) c USING (uid)
+LEFT JOIN (SELECT uid, string_agg(genome || '=' || coalesce(ref_gene_name, ''), ';' ORDER BY genome) AS genes FROM fx_hit_gene GROUP BY uid) g USING (uid)""",
+    "fx_entity", "fx_alias", "fx_coord", "fx_hit_gene",
+)
+def locus_document(e, a, c, g):
+    children = {
+        "aliases": documents.nested(a, "aliases", ["alias_type", "alias", "assignment", "is_current"]),
+        "coords": documents.nested(c, "coords", ["assembly", "chrom", "start0", "end0"]),
+        "genes": documents.nested(g, "genes", ["genome", "source", "ref_gene_name"]),
+    }
+    made = documents.assemble(e.select("uid", "grp"), children)
+    flat = lambda name, f: F.array_join(F.transform(name, f), ";").alias(name)
+    return made.select(
+        "uid",
+        "grp",
+        F.size("aliases").cast("long").alias("n_aliases"),
+        flat("aliases", lambda x: F.concat(x["alias_type"], F.lit("="), x["alias"], F.lit("/"), x["assignment"])),
+        flat("coords", lambda x: F.concat(x["assembly"], F.lit(":"), x["chrom"], F.lit(":"), x["start0"].cast("string"), F.lit("-"), x["end0"].cast("string"))),
+        flat("genes", lambda x: F.concat(x["genome"], F.lit("="), F.coalesce(x["ref_gene_name"], F.lit("")))),
+    )
+
+
+@query("SELECT c.c_custkey, n.n_name, r.r_name, coalesce(o.n_orders, 0) AS n_orders FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN region r ON r.r_regionkey = n.n_regionkey LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) o ON o.o_custkey = c.c_custkey", "customer", "nation", "region", "orders")
+def lookup_chain(c, n, r, o):
+    counts = {"orders": o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))}
+    keyed = c.withColumn("n_nationkey", F.col("c_nationkey"))
+    made = documents.assemble(keyed, counts, ((n, "n_nationkey"), (r.withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")), key="c_custkey")
+    return made.select("c_custkey", "n_name", "r_name", F.coalesce("n_orders", F.lit(0)).alias("n_orders"))
+
+
+@query("SELECT uid, assembly, chrom, start0, end0 FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY CASE assembly WHEN 'hg38' THEN 1 ELSE 2 END, chrom, start0, end0) AS rn FROM fx_coord) WHERE rn = 1", "fx_coord")
+def preferred_coordinate(c):
+    return documents.preferred_coordinate(c)
+
+
+LISTED = "rows_ AS (SELECT e.uid, e.combined_id, e.grp, c.chrom, c.start0, c.end0, c.chrom || ':' || CAST(greatest(c.start0 + 1, 1) AS VARCHAR) || '-' || CAST(c.end0 AS VARCHAR) AS position FROM fx_entity e LEFT JOIN (SELECT * FROM fx_coord WHERE assembly = 'hg38') c ON c.uid = e.uid)"
+
+
+@query(
+    f"WITH {LISTED} SELECT uid, grp, position, CAST((rn - 1) // 100 AS BIGINT) AS page, CAST(greatest(ceil(n / 100.0), 1) AS BIGINT) AS n_pages, CAST((rn - 1) // 100 * 100 + 1 AS VARCHAR) || '-' || CAST(least(((rn - 1) // 100 + 1) * 100, n) AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY combined_id, uid) AS rn, count(*) OVER (PARTITION BY grp) AS n FROM rows_)",
+    "fx_entity", "fx_coord",
+)
+def list_page(e, c):
+    return documents.pages(documents.list_rows(e, c), "grp", ["combined_id", "uid"]).select("uid", "grp", "position", "page", "n_pages", "shown")
+
+
+@query(f"WITH {LISTED} SELECT a.alias_type, a.alias AS value, r.uid, r.position FROM fx_alias a JOIN rows_ r ON r.uid = a.uid WHERE a.alias_type IN {CLASS}", "fx_alias", "fx_entity", "fx_coord")
+def classifier_rows(a, e, c):
+    return aliases.classify(a).select("alias_type", "value", F.explode("uids").alias("uid")).join(documents.list_rows(e, c), "uid").select("alias_type", "value", "uid", "position")
+
+
+@query("SELECT uid, chrom || ':' || CAST(start0 + 1 AS VARCHAR) || '-' || CAST(end0 AS VARCHAR) AS position, chrom || ':' || CAST(greatest(start0 - 999, 1) AS VARCHAR) || '-' || CAST(end0 + 1000 AS VARCHAR) AS padded FROM fx_coord WHERE assembly = 'hg38'", "fx_coord")
+def display_position(c):
+    at = lambda pad: text.position_1based(F.col("chrom"), F.col("start0"), F.col("end0"), pad)
+    return c.where("assembly = 'hg38'").select("uid", at(0).alias("position"), at(1000).alias("padded"))
+
+
+# ---- intervals
+
+
+@query(f"WITH {WIN} SELECT w.uid, r.chrom, r.start0, r.end0, r.strand, r.rep_name, least(r.end0, w.w1) - greatest(r.start0, w.w0) AS overlap_bp FROM fx_repeat r JOIN win w ON w.chrom = r.chrom AND r.start0 < w.w1 AND r.end0 > w.w0", "fx_repeat", "fx_coord")
+def interval_overlap(r, c):
+    return annotation.repeats_in_windows(r, hg38_windows(c)).select("uid", "chrom", "start0", "end0", "strand", "rep_name", "overlap_bp")
+
+
+@query("WITH s AS (SELECT *, CASE WHEN start0 > max(end0) OVER (PARTITION BY chrom ORDER BY start0, end0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT FALSE THEN 1 ELSE 0 END AS o FROM fx_repeat), i AS (SELECT *, sum(o) OVER (PARTITION BY chrom ORDER BY start0, end0 ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT chrom, min(start0) AS start0, max(end0) AS end0, count(*) AS n FROM i GROUP BY chrom, g", "fx_repeat")
+def interval_union(r):
+    return intervals.merge_dense_intervals(r)
+
+
+@query("SELECT uid, chrom, w0, w1, max(w1) OVER (PARTITION BY chrom ORDER BY w0, w1 ROWS UNBOUNDED PRECEDING) AS reach FROM (SELECT uid, chrom, greatest(start0 - 1000, 0) AS w0, end0 + 1000 AS w1 FROM fx_coord WHERE assembly = 'hg38')", "fx_coord")
+def interval_running_end(c):
+    return intervals.running_end(hg38_windows(c), ["chrom"]).select("uid", "chrom", "w0", "w1", "reach")
+
+
+@query(f"WITH {WIN}, p AS (SELECT w.uid, r.* FROM fx_repeat r JOIN win w ON w.chrom = r.chrom AND r.start0 < w.w1 AND r.end0 > w.w0) SELECT chrom, start0, end0, rep_name, count(DISTINCT uid) AS n_loci FROM p GROUP BY ALL", "fx_repeat", "fx_coord")
+def repeat_multiplicity(r, c):
+    return intervals.multiplicity(annotation.repeats_in_windows(r, hg38_windows(c)), ["chrom", "start0", "end0", "rep_name"])
+
+
+@query("SELECT chrom, count(DISTINCT (start0, end0)) AS n_distinct, count(*) AS n_rows FROM fx_repeat GROUP BY chrom", "fx_repeat")
+def distinct_repeats(r):
+    return r.groupBy("chrom").agg(F.countDistinct("start0", "end0").alias("n_distinct"), F.count("*").alias("n_rows"))
+
+
+@query("SELECT DISTINCT chrom, unnest(range(w0 // 2000000, w1 // 2000000 + 1)) AS tile FROM (SELECT chrom, greatest(start0 - 1000, 0) AS w0, end0 + 1000 AS w1 FROM fx_coord WHERE assembly = 'hg38')", "fx_coord")
+def tile_cover(c):
+    return intervals.tile_cover(hg38_windows(c))
+
+
+@query("SELECT a.event_id AS event_id, b.event_id AS other_id FROM (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS s FROM events) a JOIN (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS s FROM events) b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND a.s < b.s + 3600 AND a.s + 60 > b.s", "events")
+def event_overlap(e):
+    s = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    left = e.select("event_id", "user_id", s.alias("start0"), (s + 60).alias("end0"))
+    right = e.select(F.col("event_id").alias("other_id"), "user_id", s.alias("w0"), (s + 3600).alias("w1"))
+    return intervals.interval_join(left, right, width=3600, key="user_id").where("event_id <> other_id").select("event_id", "other_id")
+
+
+@query(f"WITH {WIN} SELECT r.uid, 'repeat' AS lane, r.rep_name AS label, least(greatest(r.start0, w0), w1) AS clip_start, least(greatest(r.end0, w0), w1) AS clip_end, (least(greatest(r.start0, w0), w1) - w0) / CAST(w1 - w0 AS DOUBLE) AS x0, (least(greatest(r.end0, w0), w1) - w0) / CAST(w1 - w0 AS DOUBLE) AS x1 FROM (SELECT w.uid, w.w0, w.w1, r.* FROM fx_repeat r JOIN win w ON w.chrom = r.chrom AND r.start0 < w.w1 AND r.end0 > w.w0 WHERE r.rep_class_family IN ('LTR/ERV1', 'LINE/L1')) r UNION ALL SELECT w.uid, 'locus', 'hg38', c.start0, c.end0, (c.start0 - w0) / CAST(w1 - w0 AS DOUBLE), (c.end0 - w0) / CAST(w1 - w0 AS DOUBLE) FROM fx_coord c JOIN win w ON w.uid = c.uid AND c.assembly = 'hg38'", "fx_repeat", "fx_coord")
+def track_features(r, c):
+    wins = hg38_windows(c)
+    interspersed = r.where(F.col("rep_class_family").isin("LTR/ERV1", "LINE/L1"))
+    lane = intervals.interval_join(interspersed, wins).withColumn("label", F.col("rep_name"))
+    locus = c.where("assembly = 'hg38'").select("uid", "start0", "end0", F.lit("hg38").alias("label")).join(wins.drop("chrom"), "uid")
+    return documents.tracks({"repeat": lane, "locus": locus})
+
+
+# ---- annotation
+
+GTF = """g AS (SELECT line, string_split(line, chr(9)) AS f FROM fx_gtf_line), x AS (
+  SELECT line, f[1] AS chrom, TRY_CAST(f[4] AS BIGINT) - 1 AS start0, TRY_CAST(f[5] AS BIGINT) AS end0, f[7] AS strand,
+    nullif(regexp_extract(f[9], '(?:^|[; ])transcript_id "([^"]*)"', 1), '') AS name,
+    coalesce(nullif(regexp_extract(f[9], '(?:^|[; ])gene_name "([^"]*)"', 1), ''), nullif(regexp_extract(f[9], '(?:^|[; ])gene_id "([^"]*)"', 1), ''), nullif(regexp_extract(f[9], '(?:^|[; ])transcript_id "([^"]*)"', 1), '')) AS name2
+  FROM g WHERE len(f) >= 9 AND f[3] = 'exon'
+), e AS (SELECT * FROM x WHERE start0 IS NOT NULL AND end0 IS NOT NULL AND name IS NOT NULL), tx AS (
+  SELECT name, chrom, arg_min(name2, (start0, end0, name2)) AS name2, min(start0) AS txStart, max(end0) AS txEnd, arg_min(strand, (start0, end0, name2)) AS strand,
+    list(start0 ORDER BY start0, end0) AS exonStarts, list(end0 ORDER BY start0, end0) AS exonEnds FROM e GROUP BY name, chrom
+)"""
+TXW = "txw AS (SELECT t.*, w.uid, w.w0, w.w1 FROM tx t JOIN win w ON w.chrom = t.chrom AND t.txStart <= w.w1 AND t.txEnd > w.w0)"
+
+
+@query(f"WITH {GTF} SELECT name, name2, chrom, txStart AS tx_start, txEnd AS tx_end, strand, array_to_string(exonStarts, ',') AS starts, array_to_string(exonEnds, ',') AS ends FROM tx", "fx_gtf_line")
+def gtf_transcripts(g):
+    tx = annotation.with_exons(annotation.transcripts(annotation.exons(g)))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return tx.select("name", "name2", "chrom", F.col("txStart").alias("tx_start"), F.col("txEnd").alias("tx_end"), "strand", joined("exonStarts").alias("starts"), joined("exonEnds").alias("ends"))
+
+
+@query(f"WITH {GTF} SELECT line, CASE WHEN start0 IS NULL OR end0 IS NULL THEN 'coordinates' ELSE 'transcript_id' END AS fault FROM x WHERE start0 IS NULL OR end0 IS NULL OR name IS NULL", "fx_gtf_line")
+def gtf_rejects(g):
+    return annotation.exon_rejects(g)
+
+
+@query(f"WITH {GTF} SELECT name, count(DISTINCT chrom) AS n_chroms FROM e GROUP BY name HAVING count(DISTINCT chrom) > 1", "fx_gtf_line")
+def split_transcripts(g):
+    return annotation.split_transcripts(annotation.exons(g))
+
+
+@query(f"WITH {GTF}, {WIN}, {TXW} SELECT uid, name, name2, chrom, txStart AS tx_start, txEnd AS tx_end FROM txw", "fx_gtf_line", "fx_coord")
+def interval_overlap_right_inclusive(g, c):
+    placed = annotation.transcripts_in_windows(annotation.transcripts(annotation.exons(g)), hg38_windows(c))
+    return placed.select("uid", "name", "name2", "chrom", F.col("txStart").alias("tx_start"), F.col("txEnd").alias("tx_end"))
+
+
+@query(f"WITH {GTF}, {WIN}, {TXW}, s AS (SELECT *, len(list_filter(list_zip(exonStarts, exonEnds), lambda p: p[2] > w0 AND p[1] < w1)) AS n_in FROM txw WHERE txStart < w1) SELECT uid, coalesce(name2, name) AS gene, count(*) AS n_isoforms, min(txStart) AS start0, max(txEnd) AS end0, arg_min(strand, (txStart, txEnd, name, strand)) AS strand, CAST(sum(n_in) AS BIGINT) AS n_exons, sum(n_in) = 0 AS intron_only FROM s GROUP BY uid, coalesce(name2, name)", "fx_gtf_line", "fx_coord")
+def gene_collapse(g, c):
+    return annotation.gene_models(annotation.transcripts_in_windows(annotation.transcripts(annotation.exons(g)), hg38_windows(c)))
+
+
+@query(f"WITH {GTF}, {WIN}, {TXW} SELECT t.uid, t.name FROM txw t WHERE t.txStart < t.w1 AND t.uid IN (SELECT uid FROM fx_hit_gene)", "fx_gtf_line", "fx_coord", "fx_hit_gene")
+def transcript_lookup(g, c, h):
+    wins = hg38_windows(c).join(h.select("uid").distinct(), "uid", "left_semi")
+    placed = annotation.transcripts_in_windows(annotation.transcripts(annotation.exons(g)), wins)
+    again = hg38_windows(c).select("uid", F.col("w1").alias("edge"))
+    return placed.join(again, "uid").where("txStart < edge").select("uid", "name")
+
+
+@query(f"WITH {WIN} SELECT assembly, count(*) AS n_windows, CAST(sum(w1 - w0) AS BIGINT) AS window_bp FROM win WHERE uid IN (SELECT uid FROM fx_hit_gene) GROUP BY assembly", "fx_coord", "fx_hit_gene")
+def gene_windows(c, h):
+    wins = hg38_windows(c).join(h.select("uid").distinct(), "uid", "left_semi")
+    return wins.groupBy("assembly").agg(F.count("*").alias("n_windows"), F.sum(F.col("w1") - F.col("w0")).alias("window_bp"))
+
+
+@query(f"WITH {GTF} SELECT count(DISTINCT name) AS n_transcripts, count(DISTINCT chrom) AS n_chroms, CAST(sum(len(exonStarts)) AS BIGINT) AS n_exons FROM tx", "fx_gtf_line")
+def transcript_totals(g):
+    tx = annotation.transcripts(annotation.exons(g))
+    return tx.agg(F.countDistinct("name").alias("n_transcripts"), F.countDistinct("chrom").alias("n_chroms"), F.sum(F.size("exonStarts")).alias("n_exons"))
+
+
+@query(f"WITH {GTF}, {WIN}, {TXW} SELECT 'hg38' AS assembly, count(DISTINCT uid) AS n_loci, count(DISTINCT uid) / CAST((SELECT count(*) FROM win) AS DOUBLE) AS share FROM txw", "fx_gtf_line", "fx_coord")
+def transcript_coverage(g, c):
+    wins = hg38_windows(c)
+    placed = annotation.transcripts_in_windows(annotation.transcripts(annotation.exons(g)), wins).agg(F.countDistinct("uid").alias("n_loci"))
+    return placed.join(wins.agg(F.count("*").alias("n"))).select(F.lit("hg38").alias("assembly"), "n_loci", (F.col("n_loci") / F.col("n")).alias("share"))
+
+
+RMSK = """ln AS (SELECT line, regexp_split_to_array(trim(line), '\\s+') AS f FROM fx_rmsk_line), rp AS (
+  SELECT f[5] AS chrom, CAST(f[6] AS BIGINT) - 1 AS start0, CAST(f[7] AS BIGINT) AS end0, CASE WHEN f[9] = 'C' THEN '-' ELSE '+' END AS strand, f[10] AS rep_name,
+    string_split(f[11], '/')[1] AS rep_class, coalesce(string_split(f[11], '/')[2], string_split(f[11], '/')[1]) AS rep_family, CAST(f[1] AS BIGINT) AS sw_score, CAST(f[2] AS DOUBLE) AS pct_div
+  FROM ln WHERE len(f) = 15
+)"""
+
+
+@query(f"WITH {RMSK} SELECT * FROM rp", "fx_rmsk_line")
+def rmsk_parse(m):
+    return annotation.repeats(m)
+
+
+@query(f"WITH {RMSK} SELECT line FROM ln WHERE len(f) <> 15 AND regexp_matches(f[1], '^[0-9]+$')", "fx_rmsk_line")
+def rmsk_malformed(m):
+    return annotation.malformed_repeats(m)
+
+
+@query(
+    f"WITH {RMSK}, {WIN}, n AS (SELECT *, row_number() OVER () AS id FROM rp), p AS (SELECT id FROM n JOIN win w ON w.chrom = n.chrom AND n.start0 < w.w1 AND n.end0 > w.w0) SELECT (SELECT count(*) FROM rp) AS data_lines, (SELECT count(*) FROM ln WHERE len(f) <> 15 AND regexp_matches(f[1], '^[0-9]+$')) AS malformed, (SELECT count(DISTINCT chrom) FROM rp WHERE chrom NOT IN (SELECT chrom FROM win)) AS unplaced_chroms, (SELECT count(*) FROM rp WHERE chrom NOT IN (SELECT chrom FROM win)) AS unplaced_lines, (SELECT count(DISTINCT id) FROM p) AS repeats_in_window, (SELECT count(*) FROM p) AS locus_repeat_pairs",
+    "fx_rmsk_line", "fx_coord",
+)
+def rmsk_stats(m, c):
+    return annotation.ingest_stats(m, hg38_windows(c))
+
+
+@query(f"WITH {RMSK} SELECT rep_class, count(*) AS n FROM rp GROUP BY rep_class ORDER BY n DESC, rep_class LIMIT 12", "fx_rmsk_line")
+def class_top12(m):
+    return annotation.class_frequencies(annotation.repeats(m))
+
+
+@query(f"WITH {WIN}, p AS (SELECT w.uid, w.assembly, r.* FROM fx_repeat r JOIN win w ON w.chrom = r.chrom AND r.start0 < w.w1 AND r.end0 > w.w0) SELECT uid, count(*) AS n, string_agg(CAST(start0 AS VARCHAR) || ':' || rep_name, ',' ORDER BY start0, end0, rep_name) AS repeats FROM p GROUP BY uid", "fx_repeat", "fx_coord")
+def locus_repeats(r, c):
+    pairs = annotation.repeats_in_windows(r, hg38_windows(c))
+    listed = documents.nested(pairs, "repeats", ["start0", "end0", "rep_name"])
+    return listed.select("uid", F.size("repeats").cast("long").alias("n"), F.array_join(F.transform("repeats", lambda x: F.concat(x["start0"].cast("string"), F.lit(":"), x["rep_name"])), ",").alias("repeats"))
+
+
+# ---- checks
+
+
+@query("SELECT alias_type, count(*) AS n_misses, array_to_string(list_slice(list(DISTINCT uid ORDER BY uid), 1, 3), ',') AS examples FROM fx_alias WHERE uid NOT IN (SELECT uid FROM fx_coord) GROUP BY alias_type", "fx_alias", "fx_coord")
+def resolution_misses(a, c):
+    refs = a.withColumn("bucket", hashing.bucket(F.col("uid"), 400))
+    there = c.select("uid").distinct().withColumn("bucket", hashing.bucket(F.col("uid"), 400))
+    return quality.examples(quality.dangling(refs, there, ["uid", "bucket"]), "alias_type", "uid")
+
+
+AGREE = f"WITH {GTF}, {WIN}, {TXW}, want AS (SELECT uid, source, list(DISTINCT ref_gene_name) FILTER (ref_gene_name IS NOT NULL) AS want FROM fx_hit_gene GROUP BY ALL), have AS (SELECT uid, list(DISTINCT name2) AS have FROM txw GROUP BY uid), b AS (SELECT w.*, coalesce(len(want), 0) AS n, len(list_intersect(coalesce(want, []), coalesce(have, []))) AS found FROM want w LEFT JOIN have USING (uid))"
+
+
+def _built(g: DataFrame, c: DataFrame) -> DataFrame:
+    placed = annotation.transcripts_in_windows(annotation.transcripts(annotation.exons(g)), hg38_windows(c))
+    return placed.select("uid", F.col("name2").alias("name"))
+
+
+@query(f"{AGREE} SELECT source, count(*) FILTER (n > 0) AS n_entities, count(*) FILTER (n = 0) AS n_unnamed, count(*) FILTER (n > 0 AND found = n) AS n_all, count(*) FILTER (found > 0 AND found < n) AS n_some, count(*) FILTER (n > 0 AND found = 0) AS n_none, 100.0::DOUBLE * count(*) FILTER (n > 0 AND found = n) / nullif(count(*) FILTER (n > 0), 0) AS all_pct, coalesce(100.0::DOUBLE * count(*) FILTER (n > 0 AND found = n) / nullif(count(*) FILTER (n > 0), 0) >= 90, false) AS ok FROM b GROUP BY source", "fx_gtf_line", "fx_coord", "fx_hit_gene")
+def agreement_rates(g, c, h):
+    return quality.agreement(h.select("uid", "source", F.col("ref_gene_name").alias("name")), _built(g, c), by=("source",))
+
+
+@query(f"WITH {GTF}, {WIN}, {TXW} SELECT DISTINCT uid, ref_gene_name AS name FROM fx_hit_gene WHERE ref_gene_name IS NOT NULL AND (uid, ref_gene_name) NOT IN (SELECT uid, name2 FROM txw)", "fx_gtf_line", "fx_coord", "fx_hit_gene")
+def symbol_drift(g, c, h):
+    return quality.drifted(h.select("uid", F.col("ref_gene_name").alias("name")), _built(g, c))
+
+
+@query(f"WITH {GTF}, {WIN}, {TXW} SELECT DISTINCT uid FROM fx_hit_gene WHERE uid NOT IN (SELECT uid FROM txw)", "fx_gtf_line", "fx_coord", "fx_hit_gene")
+def unexplained_overlaps(g, c, h):
+    return quality.dangling(h.select("uid").distinct(), _built(g, c), ["uid"])
+
+
+@query(f"WITH {GTF}, {WIN}, {TXW}, lost AS (SELECT uid FROM win WHERE uid IN (SELECT uid FROM fx_hit_gene) AND uid NOT IN (SELECT uid FROM fx_hit_gene WHERE genome = 'hg38')) SELECT count(*) AS n_lost, count(*) FILTER (uid IN (SELECT uid FROM txw)) AS n_lost_with_transcript FROM lost", "fx_gtf_line", "fx_coord", "fx_hit_gene")
+def window_filter_loss(g, c, h):
+    wins = hg38_windows(c).select("uid")
+    loose = wins.join(h.select("uid").distinct(), "uid", "left_semi")
+    lost = loose.subtract(wins.join(h.where("genome = 'hg38'").select("uid").distinct(), "uid", "left_semi"))
+    built = _built(g, c).select("uid").distinct().withColumn("has", F.lit(1))
+    return lost.join(built, "uid", "left").agg(F.count("*").alias("n_lost"), F.count("has").alias("n_lost_with_transcript"))
+
+
+@query("SELECT (SELECT count(*) FROM fx_entity) AS n_entities, (SELECT count(DISTINCT uid) FROM fx_coord WHERE assembly = 'hg38') AS n_first, (SELECT count(*) FROM (SELECT uid FROM fx_coord WHERE assembly = 't2t' EXCEPT SELECT uid FROM fx_coord WHERE assembly = 'hg38')) AS n_second_only, (SELECT count(*) FROM fx_entity WHERE uid NOT IN (SELECT uid FROM fx_coord)) AS n_neither", "fx_entity", "fx_coord")
+def coverage_by_assembly(e, c):
+    return quality.coverage_by_assembly(e, c)
+
+
+@query("SELECT event_id, props FROM events WHERE props IS NULL OR NOT json_valid(props)", "events")
+def strict_json_violations(e):
+    return quality.not_strict_json(e, "props").select("event_id", "props")
+
+
+@query("SELECT l_orderkey, l_linenumber, '{\"share\":' || CASE WHEN l_discount = 0 THEN 'null' ELSE 'true' END || ',\"flag\":\"' || l_returnflag || '\"}' AS doc FROM lineitem", "lineitem")
+def strict_json_text(li):
+    share = (F.lit(1.0) / F.when(F.col("l_discount") == 0, F.lit(float("inf"))).otherwise(F.lit(1.0))).alias("share")
+    zero = F.when(F.col("l_discount") == 0, F.lit(float("nan"))).otherwise(share)
+    made = li.select("l_orderkey", "l_linenumber", text.finite(zero).isNotNull().alias("known"), "l_returnflag")
+    doc = F.struct(F.when(F.col("known"), F.lit(True)).alias("share"), F.col("l_returnflag").alias("flag"))
+    with_doc = made.withColumn("d", doc)
+    return with_doc.select("l_orderkey", "l_linenumber", text.strict_json(F.col("d"), with_doc.schema["d"].dataType).alias("doc"))
+
+
+@query(f"WITH {WIN} SELECT (SELECT count(*) FROM fx_repeat) AS n_rows, count(*) FILTER (EXISTS (SELECT 1 FROM fx_repeat r WHERE r.chrom = c.chrom AND r.start0 = c.start0 AND r.end0 = c.end0)) AS n_exact FROM fx_coord c WHERE assembly = 'hg38'", "fx_repeat", "fx_coord")
+def coordinate_crosscheck(r, c):
+    exact = c.where("assembly = 'hg38'").join(r.select("chrom", "start0", "end0").distinct(), ["chrom", "start0", "end0"], "left_semi")
+    return r.agg(F.count("*").alias("n_rows")).join(exact.agg(F.count("*").alias("n_exact")))
+
+
+SEGMENTS = "seg AS (SELECT chrom, start0, end0, rep_name, row_number() OVER (ORDER BY chrom, start0, end0, rep_name) AS row_id FROM (SELECT DISTINCT chrom, start0, end0, rep_name FROM fx_repeat WHERE strand = '+')), oth AS (SELECT DISTINCT chrom, start0, end0, rep_name FROM fx_repeat WHERE strand = '-')"
+
+
+@query(f"WITH {SEGMENTS}, pr AS (SELECT s.row_id, abs(s.start0 - o.start0) AS shift FROM seg s JOIN oth o ON s.chrom = o.chrom AND s.rep_name = o.rep_name AND s.start0 < o.end0 AND s.end0 > o.start0), ex AS (SELECT row_id FROM seg SEMI JOIN oth USING (chrom, start0, end0, rep_name)), rest AS (SELECT row_id, min(shift) AS shift FROM pr WHERE row_id NOT IN (SELECT row_id FROM ex) GROUP BY row_id) SELECT (SELECT count(*) FROM seg) AS n_rows, (SELECT count(*) FROM ex) AS n_exact, (SELECT count(DISTINCT row_id) FROM pr) AS n_near, (SELECT count(*) FROM rest) AS n_shifted, (SELECT quantile_cont(shift, 0.5) FROM rest) AS median_shift", "fx_repeat")
+def segment_crosscheck(r):
+    key = ["chrom", "start0", "end0", "rep_name"]
+    rows = r.where("strand = '+'").select(*key).distinct().withColumn("row_id", F.xxhash64(*key))
+    others = r.where("strand = '-'").select(*key).distinct()
+    named = lambda df: df.withColumn("place", F.concat_ws("|", "chrom", "rep_name"))
+    right = named(others).select("place", F.col("start0").alias("w0"), F.col("end0").alias("w1"))
+    pairs = intervals.interval_join(named(rows), right, key="place").select("row_id", F.abs(F.col("start0") - F.col("w0")).alias("shift"))
+    return quality.crosscheck(rows, others, pairs, key)
+
+
+@query("SELECT 'alias' AS child, count(*) AS n_rows, count(DISTINCT uid) AS n_entities, count(DISTINCT uid) / (SELECT CAST(count(*) AS DOUBLE) FROM fx_entity) AS share FROM fx_alias UNION ALL SELECT 'coord', count(*), count(DISTINCT uid), count(DISTINCT uid) / (SELECT CAST(count(*) AS DOUBLE) FROM fx_entity) FROM fx_coord UNION ALL SELECT 'gene', count(*), count(DISTINCT uid), count(DISTINCT uid) / (SELECT CAST(count(*) AS DOUBLE) FROM fx_entity) FROM fx_hit_gene", "fx_entity", "fx_alias", "fx_coord", "fx_hit_gene")
+def child_coverage(e, a, c, h):
+    return quality.child_coverage(e, {"alias": a, "coord": c, "gene": h})
+
+
+@query("WITH only_t2t AS (SELECT DISTINCT uid FROM fx_coord WHERE assembly = 't2t' AND uid NOT IN (SELECT uid FROM fx_coord WHERE assembly = 'hg38')) SELECT e.origin, count(*) AS n_entities, count(*) FILTER (e.uid IN (SELECT uid FROM fx_hit_gene)) AS n_with_gene FROM fx_entity e JOIN only_t2t USING (uid) GROUP BY e.origin", "fx_entity", "fx_coord", "fx_hit_gene")
+def subset_coverage(e, c, h):
+    only = c.where("assembly = 't2t'").select("uid").distinct().join(c.where("assembly = 'hg38'"), "uid", "left_anti")
+    has = h.select("uid").distinct().withColumn("has", F.lit(1))
+    return e.join(only, "uid", "left_semi").join(has, "uid", "left").groupBy("origin").agg(F.count("*").alias("n_entities"), F.count("has").alias("n_with_gene"))
+
+
+@query("SELECT genome, source, count(*) AS n FROM fx_hit_gene GROUP BY ALL", "fx_hit_gene")
+def genome_source_counts(h):
+    return h.groupBy("genome", "source").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {WIN}, p AS (SELECT DISTINCT w.uid, 'hg38' AS assembly FROM fx_repeat r JOIN win w ON w.chrom = r.chrom AND r.start0 < w.w1 AND r.end0 > w.w0) SELECT p.uid, p.assembly FROM p WHERE (p.uid, p.assembly) NOT IN (SELECT uid, assembly FROM fx_coord WHERE assembly = 't2t')", "fx_repeat", "fx_coord")
+def repeats_without_coordinate(r, c):
+    pairs = annotation.repeats_in_windows(r, hg38_windows(c)).select("uid", F.lit("hg38").alias("assembly")).distinct()
+    return quality.dangling(pairs, c.where("assembly = 't2t'"), ["uid", "assembly"]).select("uid", "assembly")
+
+
+@query(f"WITH {GTF} SELECT name, chrom FROM tx WHERE len(exonStarts) <> len(exonEnds) OR len(exonStarts) < 1", "fx_gtf_line")
+def exon_length_mismatch(g):
+    return quality.uneven_exons(annotation.transcripts(annotation.exons(g))).select("name", "chrom")
+
+
+@query("SELECT (SELECT count(*) FROM fx_entity) AS n_one, (SELECT count(DISTINCT uid) FROM fx_alias) AS n_other, (SELECT count(*) FROM fx_entity) = (SELECT count(DISTINCT uid) FROM fx_alias) AS ok", "fx_entity", "fx_alias")
+def locus_count_check(e, a):
+    return quality.count_check(e, a.select("uid").distinct())
+
+
+@query("SELECT DISTINCT assembly FROM fx_coord WHERE assembly NOT IN ('hg38')", "fx_coord")
+def unexpected_assemblies(c):
+    return quality.outside(c, ["hg38"], "assembly")
