@@ -20,9 +20,10 @@ class Forest:
         """Log-odds of yes for each row."""
         total, rows = np.full(len(x), self.base), np.arange(len(x))
         inner = self.feature.shape[1]
+        depth = inner.bit_length()
         for feature, limit, value in zip(self.feature, self.limit, self.value):
             at = np.zeros(len(x), np.int64)
-            while inner and at[0] < inner:  # all rows are at one depth
+            for _ in range(depth):
                 at = 2 * at + 1 + (x[rows, feature[at]] > limit[at])
             total += value[at - inner]
         return total

@@ -87,7 +87,7 @@ def mix_sources(
     ).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
 
     def ranked(df: DataFrame) -> DataFrame:
-        u, p = random_unit(F.col("doc_id"), seed), F.col("rest") / F.col("source_size")
+        u, p = random_unit(F.col("doc_id"), seed), F.col("rest") / F.nullif(F.col("source_size"), F.lit(0))
         joined = df.join(shares, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
         rank = F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p)))
         return joined.withColumn("_rank", rank).withColumn("_bucket", F.floor(F.col("_rank") / (F.col("_rank") + 1) * buckets))

@@ -127,7 +127,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     if doc_ids is not None:
         wanted = F.lit(False)
         for d in doc_ids:
-            wanted = wanted | ((F.col("first_doc") <= d) & (F.col("last_doc") >= d))
+            wanted = wanted | ((F.col("first_doc").isNull() | (F.col("first_doc") <= d)) & (F.col("last_doc") >= d))
         blocks = blocks.where(wanted)
     only = None if doc_ids is None else frozenset(doc_ids)
     located = blocks.join(F.broadcast(spark.read.schema("part int, base long").parquet(f"{path}/parts")), "part")
