@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 
+#: Into how many parts a source's rows are dealt where they meet what is known of their source.
+SALTS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,6 +58,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap
     return staged.select("source", "source_size", target.alias("target"))
 
 
+def _of_source(rows: DataFrame, known: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the one row that ``known`` has of their source.  A hot source is spread over ``SALTS`` keys."""
+    each = known.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+    return dealt.join(each, F.col("source").eqNullSafe(F.col(column)) & (F.col("_salt") == F.col("_of")), how).drop(column, "_salt", "_of")
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -88,7 +97,7 @@ def mix_sources(
 
     def ranked(df: DataFrame) -> DataFrame:
         u, p = random_unit(F.col("doc_id"), seed), F.col("rest") / F.nullif(F.col("source_size"), F.lit(0))
-        joined = df.join(shares, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
+        joined = _of_source(df, shares, "s_source")
         rank = F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p)))
         return joined.withColumn("_rank", rank).withColumn("_bucket", F.floor(F.col("_rank") / (F.col("_rank") + 1) * buckets))
 
@@ -123,14 +132,14 @@ def mix_sources(
 
     # one more document of each source closes the gap that whole documents leave
     closing = (
-        open_rows.join(cuts, F.col("source").eqNullSafe(F.col("t_source")))
+        _of_source(open_rows, cuts, "t_source")
         .where(~selected() & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
         .groupBy("source")
         .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "_rank", "doc_id")).alias("c"))
         .select(F.col("source").alias("x_source"), F.col("c._rank").alias("x_rank"), F.col("c.doc_id").alias("x_doc"))
     )
     decisions = cuts.join(closing, F.col("t_source").eqNullSafe(F.col("x_source")), "left").drop("x_source")
-    decided = ranked(sized).join(decisions, F.col("source").eqNullSafe(F.col("t_source")), "left")
+    decided = _of_source(ranked(sized), decisions, "t_source", "left")
     closes = F.coalesce((F.col("_rank") == F.col("x_rank")) & F.col("doc_id").eqNullSafe(F.col("x_doc")), F.lit(False))
     copies = F.col("whole") + F.when(selected() | closes, 1).otherwise(0)
     return decided.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select(
