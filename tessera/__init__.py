@@ -1,0 +1 @@
+"""Names, intervals, annotation and documents of catalogued entities on Spark."""

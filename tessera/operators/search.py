@@ -56,6 +56,13 @@ def search(queries: DataFrame, index: DataFrame, *, cap: int = 200, block: int =
     plain = plain.select("q", "key", F.when(F.col("key") == F.col("n"), exact).otherwise(2).alias("tier"), F.lit("").alias("unit_ckey"))
     folded = _prefix_join(asked, keys, "c", "ckey", block)
     folded = folded.select("q", "key", F.when(F.col("ckey") == F.col("c"), 3).otherwise(4).alias("tier"), F.col("ckey").alias("unit_ckey"))
+    # A short query may start a large part of all keys.  A string has one key, so each key of tier 2 has a hit of its
+    # own and the first ``cap`` are enough; of the collapsed keys at most ``cap`` can be all seen before, so twice as
+    # many are.  Spark applies both limits before it shuffles.
+    by_key = F.row_number().over(Window.partitionBy("q").orderBy("tier", "key"))
+    plain = plain.withColumn("_place", by_key).where(F.col("_place") <= cap + 1).drop("_place")
+    by_ckey = F.dense_rank().over(Window.partitionBy("q").orderBy("tier", "unit_ckey"))
+    folded = folded.withColumn("_place", by_ckey).where(F.col("_place") <= 2 * cap + 1).drop("_place")
     found = plain.unionByName(folded).join(index.drop("ckey"), "key")
     first = F.row_number().over(Window.partitionBy("q", "uid", "str").orderBy("tier", "unit_ckey", "key", type_order()))
     once = found.withColumn("_first", first).where("_first = 1").drop("_first")

@@ -1,0 +1 @@
+"""No operator here has a streaming form: nothing in the blueprint carries time, state or late data."""
