@@ -101,6 +101,17 @@ def repeats_in_windows(rows: DataFrame, wins: DataFrame, *, width: int = 4096) -
     return joined.withColumn("overlap_bp", overlap).drop("w0", "w1")
 
 
+def of_classes(rows: DataFrame, classes: tuple[str, ...] | None = ("LTR", "LINE", "SINE", "DNA", "Retroposon")) -> DataFrame:
+    """Interspersed repeats, or all of them without ``classes``."""
+    return rows if classes is None else rows.where(F.col("rep_class").isin(*classes))
+
+
+def tagged(rows: DataFrame, assembly: str, source: str | None = None) -> DataFrame:
+    """Rows with the assembly they belong to, and where they came from."""
+    rows = rows.withColumn("assembly", F.lit(assembly))
+    return rows if source is None else rows.withColumn("source", F.lit(source))
+
+
 def ingest_stats(lines: DataFrame, wins: DataFrame) -> DataFrame:
     """One row: data lines, malformed lines, lines and chromosomes without windows, repeats in windows, pairs."""
     rows = repeats(lines).withColumn("_id", F.monotonically_increasing_id())

@@ -39,6 +39,17 @@ def assemble(entities: DataFrame, children: dict[str, DataFrame], lookups: tuple
     return made
 
 
+def best_hits(hits: DataFrame, flag: str = "is_best_by_sw_score") -> DataFrame:
+    """Hits that are marked the best of their entity."""
+    return hits.where(F.col(flag) == 1)
+
+
+def mark_best(hits: DataFrame, score: str, ties: list[str], flag: str = "is_best_by_sw_score") -> DataFrame:
+    """Marks the hit of the highest score of each entity, the first by ``ties`` among equals."""
+    place = F.row_number().over(Window.partitionBy("uid").orderBy(F.col(score).desc(), *ties))
+    return hits.withColumn(flag, F.when(place == 1, 1).otherwise(0))
+
+
 def only_child(rows: Column) -> Column:
     """The first of a list of 0 or 1 rows, or null."""
     return F.get(rows, F.lit(0))
@@ -81,6 +92,11 @@ def bucket_sizes(documents: DataFrame, buckets: int, payload: Column) -> DataFra
     return placed.groupBy("bucket").agg(F.count("*").alias("n_documents"), F.sum("_bytes").alias("n_bytes"))
 
 
+def bundle_totals(sizes: DataFrame) -> DataFrame:
+    """Buckets, documents, and mean and largest bytes of a bucket."""
+    return sizes.agg(F.count("*").alias("n_buckets"), F.sum("n_documents").alias("n_documents"), F.sum("n_bytes").alias("n_bytes"), F.avg("n_bytes").alias("mean_bytes"), F.max("n_bytes").alias("max_bytes"))
+
+
 def tracks(lanes: dict[str, DataFrame]) -> DataFrame:
     """Lanes of features ``uid, label, start0, end0, w0, w1`` as one table, clipped and placed in the window, 0 to 1."""
     made = None

@@ -49,6 +49,11 @@ def agreement(expected: DataFrame, built: DataFrame, by: tuple[str, ...] = (), f
     return counts.withColumn("all_pct", share).withColumn("ok", F.coalesce(F.col("all_pct") >= floor, F.lit(False)))
 
 
+def recorded(hits: DataFrame, genome: str, source: str) -> DataFrame:
+    """Recorded gene names of one genome and source as ``uid, name``."""
+    return hits.where((F.col("genome") == genome) & (F.col("source") == source)).select("uid", F.col("ref_gene_name").alias("name"))
+
+
 def drifted(expected: DataFrame, built: DataFrame) -> DataFrame:
     """Expected (uid, name) pairs that no built row has."""
     return expected.where(F.col("name").isNotNull()).select("uid", "name").distinct().join(built.select("uid", "name").distinct(), ["uid", "name"], "left_anti")

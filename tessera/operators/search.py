@@ -105,6 +105,20 @@ def grouped(hits: DataFrame, most: int = 60, spellings: int = 4) -> DataFrame:
     return made.withColumn("place", place).where(F.col("place") <= most)
 
 
+def ordered_hits(hits: DataFrame) -> DataFrame:
+    """Hits as they are shown: by tier, length and the order of the language, not of the code points."""
+    return hits.orderBy("q", "tier", F.length("str"), F.collate("str", "UNICODE"))
+
+
+def labelled(rows: DataFrame, entities: DataFrame, columns: tuple[str, ...] = ("combined_id", "grp")) -> DataFrame:
+    """Rows of ``uid`` with how the entity is called; unknown entities have nulls."""
+    return rows.join(entities.select("uid", *columns), "uid", "left")
+
+
+def strings_per_type(index: DataFrame) -> DataFrame:
+    return index.groupBy("alias_type").agg(F.countDistinct("str").alias("n_strings"))
+
+
 def hit_summary(hits: DataFrame) -> DataFrame:
     """For each query: hits, distinct entities, hits found by collapsing, distinct strings."""
     return hits.groupBy("q").agg(F.count("*").alias("n_hits"), F.countDistinct("uid").alias("n_loci"), F.count_if(F.col("tier") >= 3).alias("n_collapsed"), F.countDistinct("str").alias("n_strings"))

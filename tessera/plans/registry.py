@@ -176,6 +176,17 @@ def search_batch_grouped(a):
     return rows.select("q", F.col("place").cast("long").alias("place"), "tier", "headline", F.array_join("uids", ",").alias("uids"), F.col("n_loci").cast("long").alias("n_loci"), "retired", "badge")
 
 
+@query(f"WITH {HITS} SELECT h.q, h.tier, h.str, h.uid, e.combined_id, e.grp FROM hits h LEFT JOIN fx_entity e USING (uid)", "fx_alias", "fx_entity")
+def search_labelled(a, e):
+    found = search.labelled(search.search(_asked(a), search.postings(a)), e)
+    return search.ordered_hits(found).select("q", "tier", "str", "uid", "combined_id", "grp")
+
+
+@query(f"WITH {POSTINGS} SELECT alias_type, count(DISTINCT str) AS n_strings FROM post GROUP BY alias_type", "fx_alias")
+def strings_per_type(a):
+    return search.strings_per_type(search.postings(a))
+
+
 @query(f"WITH {HITS} SELECT q, count(*) AS n_hits, count(DISTINCT uid) AS n_loci, count(*) FILTER (WHERE tier >= 3) AS n_collapsed, count(DISTINCT str) AS n_strings FROM hits GROUP BY q", "fx_alias")
 def search_hit_summary(a):
     return search.hit_summary(search.search(_asked(a), search.postings(a)))
@@ -207,6 +218,11 @@ def bucket_stats(e):
     return documents.bucket_sizes(e, 400, F.col("versioned_id"))
 
 
+@query(f"SELECT count(*) AS n_buckets, CAST(sum(n) AS BIGINT) AS n_documents, CAST(sum(b) AS BIGINT) AS n_bytes, avg(b) AS mean_bytes, max(b) AS max_bytes FROM (SELECT {DJB2_UID} AS bucket, count(*) AS n, CAST(sum(strlen(versioned_id)) AS BIGINT) AS b FROM fx_entity GROUP BY 1)", "fx_entity")
+def bundle_totals(e):
+    return documents.bundle_totals(documents.bucket_sizes(e, 400, F.col("versioned_id")))
+
+
 @query(
     """SELECT e.uid, e.grp, a.n_aliases, a.aliases, c.coords, g.genes FROM fx_entity e
 LEFT JOIN (SELECT uid, count(*) AS n_aliases, string_agg(alias_type || '=' || alias || '/' || assignment, ';' ORDER BY alias_type, alias, assignment) AS aliases FROM fx_alias GROUP BY uid) a USING (uid)
@@ -423,6 +439,18 @@ def locus_repeats(r, c):
     return listed.select("uid", F.size("repeats").cast("long").alias("n"), F.array_join(F.transform("repeats", lambda x: F.concat(x["start0"].cast("string"), F.lit(":"), x["rep_name"])), ",").alias("repeats"))
 
 
+@query(f"WITH {WIN}, p AS (SELECT w.uid, r.*, row_number() OVER (PARTITION BY w.uid ORDER BY sw_score DESC, r.start0, r.end0, rep_name, strand) AS rn FROM fx_repeat r JOIN win w ON w.chrom = r.chrom AND r.start0 < w.w1 AND r.end0 > w.w0) SELECT uid, rep_name, sw_score FROM p WHERE rn = 1", "fx_repeat", "fx_coord")
+def best_repeat_hits(r, c):
+    pairs = annotation.repeats_in_windows(r, hg38_windows(c))
+    return documents.best_hits(documents.mark_best(pairs, "sw_score", ["start0", "end0", "rep_name", "strand"])).select("uid", "rep_name", "sw_score")
+
+
+@query(f"WITH {RMSK} SELECT 'hg38' AS assembly, rep_family, count(*) AS n FROM rp WHERE rep_class IN ('LTR', 'LINE') GROUP BY rep_family", "fx_rmsk_line")
+def interspersed_families(m):
+    rows = annotation.tagged(annotation.of_classes(annotation.repeats(m)), "hg38")
+    return rows.groupBy("assembly", "rep_family").agg(F.count("*").alias("n"))
+
+
 # ---- checks
 
 
@@ -441,6 +469,11 @@ def _built(g: DataFrame, c: DataFrame) -> DataFrame:
     return placed.select("uid", F.col("name2").alias("name"))
 
 
+@query(f"{AGREE} SELECT count(*) FILTER (n > 0) AS n_entities, count(*) FILTER (n > 0 AND found = n) AS n_all FROM b WHERE source = 'gencode'", "fx_gtf_line", "fx_coord", "fx_hit_gene")
+def agreement_of_one_source(g, c, h):
+    return quality.agreement(quality.recorded(h, "hg38", "gencode"), _built(g, c)).select("n_entities", "n_all")
+
+
 @query(f"{AGREE} SELECT source, count(*) FILTER (n > 0) AS n_entities, count(*) FILTER (n = 0) AS n_unnamed, count(*) FILTER (n > 0 AND found = n) AS n_all, count(*) FILTER (found > 0 AND found < n) AS n_some, count(*) FILTER (n > 0 AND found = 0) AS n_none, 100.0::DOUBLE * count(*) FILTER (n > 0 AND found = n) / nullif(count(*) FILTER (n > 0), 0) AS all_pct, coalesce(100.0::DOUBLE * count(*) FILTER (n > 0 AND found = n) / nullif(count(*) FILTER (n > 0), 0) >= 90, false) AS ok FROM b GROUP BY source", "fx_gtf_line", "fx_coord", "fx_hit_gene")
 def agreement_rates(g, c, h):
     return quality.agreement(h.select("uid", "source", F.col("ref_gene_name").alias("name")), _built(g, c), by=("source",))
