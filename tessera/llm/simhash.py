@@ -4,6 +4,8 @@ Documents of equal fingerprints are one node.  Two fingerprints that differ in a
 bit in one of the first two of three segments, or agree in the third.  So each fingerprint is filed under its three
 segments and looked up under each segment as it is and, in the first two, with one bit cleared (of two segments that
 differ in one bit, the one that has the bit finds the other).  What a lookup fetches is verified over all 64 bits.
+Three segments of 21 bits suit up to about a billion different fingerprints; with more, two segments of 32 bits, which
+are looked up within two bits and one bit, keep what a lookup fetches short.  Both find the same links.
 
 A segment value that very many fingerprints share would make all their pairs.  Fingerprints that are filed under or
 looked up in such a value go another way, which is exact as well and makes a fixed number of rows for each: fingerprints
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 from tessera.llm.tokens import text_groups
 
-#: First bit and width of each segment; the first two are looked up with one bit changed.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: By the number of segments, the first bit, the width and the radius of lookups of each: of four differing bits, one
+#: segment has no more than its radius.
+SEGMENTS = {3: ((0, 21, 1), (21, 21, 1), (42, 22, 0)), 2: ((0, 32, 2), (32, 32, 1))}
 DISTANCE = 4
 
 
@@ -64,30 +67,37 @@ def fingerprints(docs: DataFrame, *, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _segment(fp: Column, k: int) -> Column:
-    first, width = SEGMENTS[k]
-    return F.shiftrightunsigned(fp, first).bitwiseAND((1 << width) - 1)
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
 
 
-def _key(k: int, value: Column) -> Column:
-    return F.lit(k << 24).cast("long") + value
+def _filed(fp: Column, segments: int) -> Column:
+    """The values of all segments, told apart by a number above them."""
+    parts = [F.shiftrightunsigned(fp, first).bitwiseAND(_long((1 << width) - 1)) for first, width, _ in SEGMENTS[segments]]
+    return F.array(*[_long(k << 40) + part for k, part in enumerate(parts)])
 
 
-def near_pairs(nodes: DataFrame, *, most: int = 256) -> DataFrame:
+def _looked(fp: Column, segments: int) -> Column:
+    """The values to look up: each segment's ball of its radius."""
+    filed, found = _filed(fp, segments), []
+    for k, (_, width, radius) in enumerate(SEGMENTS[segments]):
+        value = filed[k]
+        if radius == 2:
+            masks = [1 << i for i in range(width)] + [(1 << i) | (1 << j) for i in range(width) for j in range(i)]
+            found.append(F.transform(F.array(*map(_long, masks)), value.bitwiseXOR))
+        elif radius == 1:
+            found.append(F.array(*[F.when(value.bitwiseAND(_long(1 << i)) != 0, value.bitwiseXOR(_long(1 << i))) for i in range(width)]))
+    return F.array_compact(F.concat(filed, *found))
+
+
+def near_pairs(nodes: DataFrame, *, most: int = 256, segments: int = 3) -> DataFrame:
     """``a, b``: links between ``node``s whose ``fp`` differ in at most four bits.
 
     ``nodes`` has distinct ``fp`` and a ``node`` id each.  Pairs of segment values that over ``most`` fingerprints
     share come as chains through common midpoints, so not every close pair is listed but all are connected.
     """
-    filed = nodes.select("node", "fp", F.explode(F.array(*[_key(k, _segment(F.col("fp"), k)) for k in range(3)])).alias("key"))
-
-    def cleared(k: int) -> Column:
-        value = _segment(F.col("fp"), k)
-        flips = [F.when(value.bitwiseAND(1 << i) != 0, _key(k, value.bitwiseXOR(F.lit(1 << i).cast("long")))) for i in range(SEGMENTS[k][1])]
-        return F.array(*flips)
-
-    keys = F.concat(F.array(*[_key(k, _segment(F.col("fp"), k)) for k in range(3)]), cleared(0), cleared(1))
-    looked = nodes.select(F.col("node").alias("l_node"), F.col("fp").alias("l_fp"), F.explode(F.array_compact(keys)).alias("key"))
+    filed = nodes.select("node", "fp", F.explode(_filed(F.col("fp"), segments)).alias("key"))
+    looked = nodes.select(F.col("node").alias("l_node"), F.col("fp").alias("l_fp"), F.explode(_looked(F.col("fp"), segments)).alias("key"))
     crowded = filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key")
     crowded = written(crowded, "crowded")
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("l_fp"))) <= DISTANCE
@@ -133,7 +143,7 @@ def components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 4, most: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 4, most: int = 256, segments: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id``: the smallest doc_id that links of at most four bits reach.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  Null text counts as empty; texts without words
@@ -144,7 +154,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, most: int = 256) -> Data
     marked = written(fingerprints(docs, words=words), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     keyed = written(nodes.select("fp", "least", F.col("fp").alias("node")), "nodes")
-    found = components(near_pairs(keyed, most=most))
+    found = components(near_pairs(keyed, most=most, segments=segments))
     labelled = keyed.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = labelled.join(least, "component").select("fp", "component_id")

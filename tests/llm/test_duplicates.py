@@ -60,12 +60,12 @@ def crowd(seed, groups=12, each=40, flips=7):
     return sorted(made)
 
 
-@pytest.mark.parametrize("most", [256, 3])
-def test_components_lose_no_link(spark, most):
+@pytest.mark.parametrize(("most", "segments"), [(256, 3), (3, 3), (256, 2), (3, 2)])
+def test_components_lose_no_link(spark, most, segments):
     fps = crowd(most)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     nodes = spark.createDataFrame(list(enumerate(signed)), "node long, fp long")
-    found = {r.node: r.component for r in components(near_pairs(nodes, most=most)).collect()}
+    found = {r.node: r.component for r in components(near_pairs(nodes, most=most, segments=segments)).collect()}
     assert [found.get(i, i) for i in range(len(fps))] == plain_components(fps)
 
 
