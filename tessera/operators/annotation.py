@@ -121,7 +121,8 @@ def ingest_stats(lines: DataFrame, wins: DataFrame) -> DataFrame:
     )
     lost = rows.join(wins.select("chrom").distinct(), "chrom", "left_anti").agg(F.countDistinct("chrom").alias("unplaced_chroms"), F.count("*").alias("unplaced_lines"))
     met = repeats_in_windows(rows, wins).groupBy("_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("repeats_in_window"), F.coalesce(F.sum("n"), F.lit(0)).alias("locus_repeat_pairs"))
-    return counts.join(lost).join(met)  # three single rows
+    beside = counts.select("*", lost.select(F.struct("*")).scalar().alias("l"), met.select(F.struct("*")).scalar().alias("m"))
+    return beside.select("data_lines", "malformed", "l.*", "m.*")
 
 
 def class_frequencies(rows: DataFrame, most: int = 12) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_strict_json
@@ -72,8 +72,8 @@ def child_coverage(entities: DataFrame, children: dict[str, DataFrame]) -> DataF
     for name, child in children.items():
         one = child.groupBy("uid").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_entities")).select(F.lit(name).alias("child"), "n_rows", "n_entities")
         counts = one if counts is None else counts.unionByName(one)
-    total = entities.agg(F.count("*").alias("_all"))
-    return counts.join(F.broadcast(total)).select("child", "n_rows", "n_entities", (F.col("n_entities") / F.col("_all")).alias("share"))  # one row
+    total = entities.agg(F.count("*")).scalar()
+    return counts.select("child", "n_rows", "n_entities", (F.col("n_entities") / total).alias("share"))
 
 
 def outside(rows: DataFrame, allowed: list[str], column: str) -> DataFrame:
@@ -88,7 +88,8 @@ def uneven_exons(tx: DataFrame) -> DataFrame:
 
 def count_check(one: DataFrame, other: DataFrame) -> DataFrame:
     """Row counts of two tables and whether they are equal."""
-    return one.agg(F.count("*").alias("n_one")).join(other.agg(F.count("*").alias("n_other"))).withColumn("ok", F.col("n_one") == F.col("n_other"))
+    counts = one.agg(F.count("*").alias("n_one")).select("n_one", other.agg(F.count("*")).scalar().alias("n_other"))
+    return counts.withColumn("ok", F.col("n_one") == F.col("n_other"))
 
 
 def crosscheck(rows: DataFrame, others: DataFrame, pairs: DataFrame, key: list[str]) -> DataFrame:
@@ -99,9 +100,6 @@ def crosscheck(rows: DataFrame, others: DataFrame, pairs: DataFrame, key: list[s
     exact = rows.join(others.select(*key).distinct(), key, "left_semi")
     rest = pairs.join(exact.select("row_id"), "row_id", "left_anti").groupBy("row_id").agg(F.min("shift").alias("shift"))
     near = pairs.select("row_id").distinct()
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    return one(rows, "n_rows").join(one(exact, "n_exact")).join(one(near, "n_near")).join(rest.agg(F.count("*").alias("n_shifted"), F.expr("percentile(shift, 0.5)").alias("median_shift")))
-
-
-def ratio(a: Column, b: Column) -> Column:
-    return a / F.nullif(b, F.lit(0))
+    n = lambda df: df.agg(F.count("*")).scalar()
+    shifts = rest.agg(F.count("*").alias("n_shifted"), F.expr("percentile(shift, 0.5)").alias("median_shift"))
+    return shifts.select(n(rows).alias("n_rows"), n(exact).alias("n_exact"), n(near).alias("n_near"), "n_shifted", "median_shift")

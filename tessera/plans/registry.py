@@ -399,7 +399,7 @@ def transcript_totals(g):
 def transcript_coverage(g, c):
     wins = hg38_windows(c)
     placed = annotation.transcripts_in_windows(annotation.transcripts(annotation.exons(g)), wins).agg(F.countDistinct("uid").alias("n_loci"))
-    return placed.join(wins.agg(F.count("*").alias("n"))).select(F.lit("hg38").alias("assembly"), "n_loci", (F.col("n_loci") / F.col("n")).alias("share"))
+    return placed.select(F.lit("hg38").alias("assembly"), "n_loci", (F.col("n_loci") / wins.agg(F.count("*")).scalar()).alias("share"))
 
 
 RMSK = """ln AS (SELECT line, regexp_split_to_array(trim(line), '\\s+') AS f FROM fx_rmsk_line), rp AS (
@@ -521,7 +521,7 @@ def strict_json_text(li):
 @query(f"WITH {WIN} SELECT (SELECT count(*) FROM fx_repeat) AS n_rows, count(*) FILTER (EXISTS (SELECT 1 FROM fx_repeat r WHERE r.chrom = c.chrom AND r.start0 = c.start0 AND r.end0 = c.end0)) AS n_exact FROM fx_coord c WHERE assembly = 'hg38'", "fx_repeat", "fx_coord")
 def coordinate_crosscheck(r, c):
     exact = c.where("assembly = 'hg38'").join(r.select("chrom", "start0", "end0").distinct(), ["chrom", "start0", "end0"], "left_semi")
-    return r.agg(F.count("*").alias("n_rows")).join(exact.agg(F.count("*").alias("n_exact")))
+    return r.agg(F.count("*").alias("n_rows")).select("n_rows", exact.agg(F.count("*")).scalar().alias("n_exact"))
 
 
 SEGMENTS = "seg AS (SELECT chrom, start0, end0, rep_name, row_number() OVER (ORDER BY chrom, start0, end0, rep_name) AS row_id FROM (SELECT DISTINCT chrom, start0, end0, rep_name FROM fx_repeat WHERE strand = '+')), oth AS (SELECT DISTINCT chrom, start0, end0, rep_name FROM fx_repeat WHERE strand = '-')"

@@ -37,3 +37,9 @@ def test_query_equals_its_sql(spark, sf_dir, oracle, name):
 def test_entry(spark, sf_dir):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_plans_have_no_nested_loops_and_no_python(spark, sf_dir, name):
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("CartesianProduct", "NestedLoop", "Python", "Arrow", "Pandas") if x in plan]
