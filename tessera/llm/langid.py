@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.ngrams import counted
+from tessera.llm.ngrams import SparseRows, counted
 from tessera.llm.tokens import text_groups
 
 ORDERS = (1, 2, 3)
@@ -116,7 +116,7 @@ def labelled_sample(rows: DataFrame, label: str, most: int, key: str = "doc_id")
     return sorted(rows.where(chosen).select(label, "text").limit(4 * most).collect(), key=lambda r: (r["text"], r[label])), counts
 
 
-def train_languages(rows: DataFrame, *, sample: int = 6000, bits: int = 15, epochs: int = 2, seed: int = 7, **ftrl) -> LanguageModel:
+def train_languages(rows: DataFrame, *, sample: int = 4000, bits: int = 15, epochs: int = 2, seed: int = 7, **ftrl) -> LanguageModel:
     """A model from ``doc_id, text, lang`` rows; null texts and languages are left out.
 
     ``sample`` bounds the rows that weights and temperature are fitted on, shared equally by the languages; document
@@ -131,16 +131,20 @@ def train_languages(rows: DataFrame, *, sample: int = 6000, bits: int = 15, epoc
     if not held:
         return model
     order = np.random.default_rng(seed).permutation(len(held))
-    examples = [(*model.features(held[i]["text"]), languages.index(held[i]["lang"])) for i in order]
-    fit, kept = examples[len(examples) // 6 :], examples[: len(examples) // 6] or examples
+    labels = np.array([languages.index(held[i]["lang"]) for i in order])
+    examples = SparseRows(model.features(held[i]["text"]) for i in order)
+    del held
+    part = len(labels) // 6
+    fit, kept = range(part, len(labels)), range(part or len(labels))
     leader, last = FollowTheLeader(len(languages), (1 << bits) + 1, **ftrl), np.array([1 << bits])
     for _ in range(epochs):
-        for at, x, label in fit:
-            leader.learn(np.concatenate((at, last)), np.append(x, 0.1), label)
+        for i in fit:
+            at, x = examples[i]
+            leader.learn(np.concatenate((at, last)), np.append(x, 0.1), int(labels[i]))
     weights = leader.weights()
     model.weights, model.bias = np.ascontiguousarray(weights[:, :-1]), 0.1 * weights[:, -1]
-    scores = np.array([model.weights[:, at] @ x + model.bias for at, x, _ in kept])
-    truth = np.array([label for *_, label in kept])
+    scores = np.array([model.weights[:, at] @ x + model.bias for at, x in map(examples.__getitem__, kept)])
+    truth = labels[kept.start : kept.stop]
     loss = lambda t: -np.log(np.maximum(softmax(scores / t)[np.arange(len(truth)), truth], 1e-12)).mean()
     grid = np.geomspace(0.02, 5, 120)
     model.temperature = float(grid[int(np.argmin([loss(t) for t in grid]))])

@@ -7,7 +7,8 @@ straddle a chunk's end are cut there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 
@@ -17,6 +18,27 @@ CHUNK = 500_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+class SparseRows:
+    """Rows of slots, and of values if there are any, in a few long arrays; a row is a view of them."""
+
+    def __init__(self, rows: Iterable[tuple[np.ndarray, np.ndarray | None]]):
+        parts: list[tuple] = []
+        for some in batched(rows, 256):
+            slots = np.concatenate([s for s, _ in some]).astype(np.int32)
+            values = None if some[0][1] is None else np.concatenate([v for _, v in some]).astype(np.float32)
+            parts.append((slots, values, [len(s) for s, _ in some]))
+        self.at = np.concatenate([[0], np.cumsum([n for *_, sizes in parts for n in sizes])]).astype(np.int64)
+        self.slots = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32)
+        self.values = np.concatenate([p[1] for p in parts]) if parts and parts[0][1] is not None else None
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray | None]:
+        where = slice(self.at[i], self.at[i + 1])
+        return self.slots[where], None if self.values is None else self.values[where]
+
+
 def code_points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 

@@ -6,7 +6,7 @@ fitted on a bounded sample of labelled rows; every document is then scored by it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.ngrams import present
+from tessera.llm.ngrams import SparseRows, present
 from tessera.llm.tokens import text_groups
 
 ORDERS = (1, 2, 3)
 
 
-def log_count_ratios(examples: list[np.ndarray], labels: np.ndarray, bits: int, smooth: float = 1.0) -> np.ndarray:
+def log_count_ratios(examples: Iterable[np.ndarray], labels: np.ndarray, bits: int, smooth: float = 1.0) -> np.ndarray:
     counts = np.full((2, 1 << bits), smooth)
     for at, y in zip(examples, labels):
         counts[int(y > 0), at] += 1
@@ -28,17 +28,17 @@ def log_count_ratios(examples: list[np.ndarray], labels: np.ndarray, bits: int,
     return np.log(share[1] / share[0])
 
 
-def dual_coordinate_descent(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, features: int, *, c: float = 1.0, epochs: int = 20, seed: int = 7) -> np.ndarray:
-    """Weights of the L2-regularised hinge-loss problem; labels are 1 and -1."""
-    w, dual = np.zeros(features), np.zeros(len(examples))
-    square = np.array([x @ x for _, x in examples])
+def dual_coordinate_descent(example: Callable[[int], tuple[np.ndarray, np.ndarray]], labels: np.ndarray, features: int, *, c: float = 1.0, epochs: int = 20, seed: int = 7) -> np.ndarray:
+    """Weights of the L2-regularised hinge-loss problem; ``example`` gives slots and values by number, labels are 1 and -1."""
+    w, dual = np.zeros(features), np.zeros(len(labels))
+    square = np.array([x @ x for _, x in map(example, range(len(labels)))])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         largest = 0.0
-        for i in rng.permutation(len(examples)):
+        for i in rng.permutation(len(labels)):
             if not square[i]:
                 continue
-            at, x = examples[i]
+            at, x = example(i)
             gradient = labels[i] * (w[at] @ x) - 1
             new = min(max(dual[i] - gradient / square[i], 0.0), c)
             if new != dual[i]:
@@ -85,7 +85,7 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(text) + self.offset, -35, 35))))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, bits: int = 16, c: float = 1.0, seed: int = 7) -> QualityModel:
+def train_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 5000, bits: int = 16, c: float = 1.0, seed: int = 7) -> QualityModel:
     """A model from ``doc_id, text`` and ``doc_id, quality``; null labels and ids are left out, a null text is empty.
 
     ``sample`` bounds the labelled rows that are fitted on, shared equally by the two labels; the sigmoid weighs them
@@ -108,18 +108,21 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, bit
     if len(set(truth)) < 2:
         p = (truth.sum() + 1) / (len(truth) + 2)
         return QualityModel(none, none, 0.0, 1.0, float(np.log(p / (1 - p))), bits)
-    found = [present(r["text"], ORDERS, bits) for r in rows]
-    fit, kept = slice(len(rows) // 4, None), slice(0, len(rows) // 4)
-    ratios = log_count_ratios(found[fit], truth[fit], bits)
-
-    def scaled(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = SparseRows((present(r["text"], ORDERS, bits), None) for r in rows)
+    del rows
+    part = len(truth) // 4
+    kept, fit = slice(0, part), slice(part, None)
+    ratios = log_count_ratios((found[i][0] for i in range(part, len(truth))), truth[fit], bits)
+
+    def scaled(i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = found[i][0]
         x = ratios[at]
         norm = np.sqrt(x @ x)
         return np.append(at, 1 << bits), np.append(x / norm if norm else x, 1.0)
 
-    w = dual_coordinate_descent([scaled(at) for at in found[fit]], 2 * truth[fit] - 1, (1 << bits) + 1, c=c, seed=seed)
+    w = dual_coordinate_descent(lambda i: scaled(part + i), 2 * truth[fit] - 1, (1 << bits) + 1, c=c, seed=seed)
     model = QualityModel(w[:-1] * ratios, ratios, float(w[-1]), 1.0, 0.0, bits)
-    margins = np.array([w[s[0]] @ s[1] for s in map(scaled, found[kept])])
+    margins = np.array([w[s[0]] @ s[1] for s in map(scaled, range(part))])
     share = {y: sum(n for q, n in counts.items() if (q == 1) == bool(y)) for y in (0, 1)}
     weight = np.array([share[int(y)] / max(1, (truth[kept] == y).sum()) for y in truth[kept]])
     model.slope, model.offset = fit_sigmoid(margins, truth[kept], weight / weight.mean())

@@ -24,7 +24,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class RunEncoder:
     """Text to ids as little-endian unsigned 32-bit bytes; equal to encoding the whole text at once."""
 
-    def __init__(self, path: str, limit: int = 900_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 600_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

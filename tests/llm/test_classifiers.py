@@ -45,7 +45,7 @@ def test_descent_solves_the_hinge_problem():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 4))
     y = np.sign(x @ [1.0, -2.0, 0.5, 0.0] + 0.3 * rng.normal(size=60))
-    w = dual_coordinate_descent([(np.arange(4), r) for r in x], y, 4, c=0.5, epochs=500)
+    w = dual_coordinate_descent(lambda i: (np.arange(4), x[i]), y, 4, c=0.5, epochs=500)
     loss = lambda v: 0.5 * v @ v + 0.5 * np.maximum(0, 1 - y * (x @ v)).sum()
     assert all(loss(w) <= loss(w + d) + 1e-3 for d in 0.05 * rng.normal(size=(200, 4)))
 
