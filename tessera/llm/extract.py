@@ -48,7 +48,8 @@ class PageWriter:
 
     def links(self, low: int, high: int) -> str:
         n = int(self.random.integers(low, high + 1))
-        items = [f'<a href="/{i}">{self.words(1, 3)}</a>' for i in range(n)]
+        icon = lambda i: "<svg class=icon />" * (i % 4 == 3)
+        items = [f'<a href="/{i}">{icon(i)}{self.words(1, 3)}</a>' for i in range(n)]
         return "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>" if self.chance(0.7) else " ".join(items)
 
     def boxed(self, semantic: str, names: tuple[str, ...], inner: str) -> str:

@@ -1,7 +1,8 @@
 """Web pages as trees of block elements and text runs, with features for each node.
 
 Inline elements are transparent: a run is the text between two block boundaries, references decoded and white space
-turned into single spaces.  Scripts, styles and other elements without prose leave no node.
+turned into single spaces.  Scripts, styles and other elements without prose leave no node; without an end tag, those whose content
+HTML takes as text reach to the end of the page, and of the others only the start tag goes.
 """
 
 from __future__ import annotations
@@ -44,7 +45,9 @@ TOKENS: dict[str, str] = {
     "t_comment": "comment comments commentlist reply replies respond discussion disqus feedback responses",
     "t_content": "article content post entry story main body text maincontent articlebody prose blog",
 }
-_WITHOUT_PROSE = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|title"
+_WITHOUT_PROSE = "script|style|noscript|template|svg|iframe|object|canvas|audio|video|textarea|select|title"
+#: Those whose content HTML takes as text up to the end tag, or to the end of the page without one.
+_TEXT_ONLY = frozenset("script style textarea title iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _KIND_OF = {tag: i for i, (kind, tags) in enumerate(KINDS.items()) for tag in tags.split()}
 _RUN = len(KINDS)
@@ -61,13 +64,14 @@ _ENDS = {
 }
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|$)"
-    rf"|<(?P<raw>{_WITHOUT_PROSE})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|$)"
+    rf"|<(?P<raw>{_WITHOUT_PROSE})(?=[\s/>])(?:(?P<raw_attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^>]*+(?:>|$))"
     r"|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|$)"
     r"|<(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|$)"
     r"|<[!?/][^>]*+(?:>|$)",
     re.DOTALL | re.IGNORECASE,
 )
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.IGNORECASE) for name in _WITHOUT_PROSE.split("|")}
 _NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _known_attributes: dict[str, int] = {}
@@ -147,13 +151,27 @@ def parse(source: str | None) -> Page:
         block = next(node for _, node in reversed(stack) if node >= 0)
 
     source, last = source or "", 0
-    for m in _MARKUP.finditer(source):
+    unended: set[str] = set()  # elements without prose that have no end tag from here on
+    while m := _MARKUP.search(source, last):
         if m.start() > last:
             piece = source[last : m.start()]
             buffer.append(piece)
             if links:
                 linked += len(piece)
         last = m.end()
+        name = m["raw"]
+        if name:
+            name = name.lower()
+            if name == "svg" and (m["raw_attrs"] or "").endswith("/"):
+                continue
+            ended = None if name in unended else _RAW_END[name].search(source, last)
+            if ended:
+                last = ended.end()
+            else:
+                unended.add(name)
+                if name in _TEXT_ONLY:
+                    last = len(source)
+            continue
         name = m["end"]
         if name:
             name = name.lower()
