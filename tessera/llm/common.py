@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: A table of up to so many rows of a few numbers is sent to all executors; larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +19,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of this machine is set only if the session names none, as in tests.
+    Only a session that runs in this one process may leave it unset, as tests do; it then gets a folder of this machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -41,21 +47,50 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+class Scratch:
+    """Tables of one operator in the shared folder, by name; those that nothing reads any more can be deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.rows = spark, scratch_path(spark, name), {}
+        self.tables: dict[str, list[str]] = {}
+
+    def write(self, df: DataFrame, name: str, *sums: Column) -> DataFrame:
+        """``df`` written and read back; ``rows[name]`` is what ``sums`` came to, the number of rows first."""
+        seen, made = Observation(), self.tables.setdefault(name, [])
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        made.append(path)
+        df.observe(seen, F.count(F.lit(1)).alias("n"), *sums).write.parquet(path)
+        self.rows[name] = tuple(seen.get.values())
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def count(self, name: str) -> int:
+        return self.rows[name][0]
+
+    def drop(self, *names: str) -> None:
+        """Deletes the tables of these names."""
+        for name in names:
+            for path in self.tables.pop(name, []):
+                delete(self.spark, path)
 
+    def drop_older(self, name: str) -> None:
+        for path in self.tables[name][:-1]:
+            delete(self.spark, path)
+        del self.tables[name][:-1]
 
-class BoundedCache(dict):
-    """A memo of a pure function; it is emptied when it holds ``limit`` keys, and long keys are not kept."""
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but those of these names."""
+        self.drop(*(n for n in list(self.tables) if n not in names))
 
-    def __init__(self, function: Callable, limit: int = 200_000, longest: int = 64):
-        super().__init__()
-        self.function, self.limit, self.longest = function, limit, longest
 
-    def __missing__(self, key):
-        value = self.function(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[key] = value
-        return value
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be sent to all executors if its counted ``rows`` are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,19 +1,21 @@
 """Language identification: multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies come from all training rows; the weights are fitted with follow-the-regularised-leader and an
-elastic-net penalty, which leaves most of them zero, on a bounded sample; a temperature fitted on rows that were kept
-out of that makes the probabilities honest.
+elastic-net penalty, which leaves most of them zero, on a bounded sample, in one task; a temperature fitted on rows that
+were kept out of that makes the probabilities honest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from tessera.llm.ngrams import SparseRows, counted
 from tessera.llm.tokens import text_groups
@@ -103,60 +105,92 @@ def document_frequencies(texts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     return df, rows
 
 
-def labelled_sample(rows: DataFrame, label: str, most: int, key: str = "doc_id") -> tuple[list, dict]:
-    """About ``most`` rows in all, as many of each label as can be, those whose hashed ids are lowest; and counts by label."""
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return [], {}
-    each = max(1, most // len(counts))
-    lot = F.pmod(F.xxhash64(key), F.lit(1 << 32))
-    chosen = F.lit(False)
+def chosen_rows(counts: dict, label: Column, key: Column, most: int) -> Column:
+    """Which rows are of a sample of about ``most``, as many of each label as can be: those whose hashed keys are lowest."""
+    each = max(1, most // max(1, len(counts)))
+    lot, chosen = F.pmod(F.xxhash64(key), F.lit(1 << 32)), F.lit(False)
     for value, n in counts.items():
-        chosen = chosen | ((F.col(label) == F.lit(value)) & (lot < int(min(1.0, each / n) * (1 << 32)) + 1))
-    return sorted(rows.where(chosen).select(label, "text").limit(4 * most).collect(), key=lambda r: (r["text"], r[label])), counts
+        chosen = chosen | ((label == F.lit(value)) & (lot < int(min(1.0, each / n) * (1 << 32)) + 1))
+    return chosen
+
+
+def fit_in_a_task(rows: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]], fit: Callable[[list, SparseRows], object], most: int):
+    """What ``fit`` makes of the labels and features of the rows of ``label, text``, of ``most`` at most.
+
+    Features are taken where the rows are.  Slots alone, of which a row has a bounded number however long its text, go
+    to one task, in an order that does not depend on where they came from; the model alone goes to the driver.
+    """
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [features(t) for t in batch.column(1).to_pylist()]
+            lists = [pa.array([np.asarray(m[k], kind) for m in made], pa.list_(pa.from_numpy_dtype(kind))) for k, kind in ((0, np.int32), (1, np.float32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["label", "slots", "amounts"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, found, keys = [], [], []
+        for batch in batches:
+            labels += batch.column(0).to_pylist()
+            for k in range(batch.num_rows):
+                found.append((batch.column(1)[k].values.to_numpy(), batch.column(2)[k].values.to_numpy()))
+                keys.append(found[-1][0].tobytes() + found[-1][1].tobytes())
+        order = sorted(range(len(labels)), key=lambda i: (keys[i], str(labels[i])))
+        del keys
+        model = fit([labels[i] for i in order], SparseRows(found[i] for i in order))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    label = rows.schema["label"].dataType.simpleString()
+    gathered = rows.select("label", "text").mapInArrow(slots, f"label {label}, slots array<int>, amounts array<float>").limit(most)
+    made = gathered.repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([], SparseRows([]))
+
+
+def fit_languages(labels: list, examples: SparseRows, model: LanguageModel, *, epochs: int, seed: int, **ftrl) -> LanguageModel:
+    """``model`` with weights, bias and temperature from examples of TF-IDF values; every sixth, at random, is for the last."""
+    if not labels:
+        return model
+    order = np.random.default_rng(seed).permutation(len(labels))
+    truth = np.array([model.languages.index(labels[i]) for i in order])
+    part = len(truth) // 6
+    leader, last = FollowTheLeader(len(model.languages), (1 << model.bits) + 1, **ftrl), np.array([1 << model.bits])
+    for _ in range(epochs):
+        for i in range(part, len(truth)):
+            at, x = examples[order[i]]
+            leader.learn(np.concatenate((at, last)), np.append(x, 0.1), int(truth[i]))
+    weights = leader.weights()
+    model.weights, model.bias = np.ascontiguousarray(weights[:, :-1]), 0.1 * weights[:, -1]
+    kept = range(part or len(truth))
+    scores = np.array([model.weights[:, at] @ x + model.bias for at, x in (examples[order[i]] for i in kept)])
+    loss = lambda t: -np.log(np.maximum(softmax(scores / t)[np.arange(len(kept)), truth[: len(kept)]], 1e-12)).mean()
+    grid = np.geomspace(0.02, 5, 120)
+    model.temperature = float(grid[int(np.argmin([loss(t) for t in grid]))])
+    return model
 
 
-def train_languages(rows: DataFrame, *, sample: int = 4000, bits: int = 15, epochs: int = 2, seed: int = 7, **ftrl) -> LanguageModel:
+def train_languages(rows: DataFrame, *, sample: int = 6000, bits: int = 15, epochs: int = 2, seed: int = 7, **ftrl) -> LanguageModel:
     """A model from ``doc_id, text, lang`` rows; null texts and languages are left out.
 
     ``sample`` bounds the rows that weights and temperature are fitted on, shared equally by the languages; document
-    frequencies are of all rows.
+    frequencies are of all rows.  The languages should be few: each has a row of weights.
     """
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     df, n = document_frequencies(rows, bits)
     idf = np.log((1 + n) / (1 + df)) + 1
-    held, counts = labelled_sample(rows, "lang", sample)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     model = LanguageModel(languages, idf, np.zeros((len(languages), 1 << bits)), np.zeros(len(languages)), 1.0, bits)
-    if not held:
+    if not counts:
         return model
-    order = np.random.default_rng(seed).permutation(len(held))
-    labels = np.array([languages.index(held[i]["lang"]) for i in order])
-    examples = SparseRows(model.features(held[i]["text"]) for i in order)
-    del held
-    part = len(labels) // 6
-    fit, kept = range(part, len(labels)), range(part or len(labels))
-    leader, last = FollowTheLeader(len(languages), (1 << bits) + 1, **ftrl), np.array([1 << bits])
-    for _ in range(epochs):
-        for i in fit:
-            at, x = examples[i]
-            leader.learn(np.concatenate((at, last)), np.append(x, 0.1), int(labels[i]))
-    weights = leader.weights()
-    model.weights, model.bias = np.ascontiguousarray(weights[:, :-1]), 0.1 * weights[:, -1]
-    scores = np.array([model.weights[:, at] @ x + model.bias for at, x in map(examples.__getitem__, kept)])
-    truth = labels[kept.start : kept.stop]
-    loss = lambda t: -np.log(np.maximum(softmax(scores / t)[np.arange(len(truth)), truth], 1e-12)).mean()
-    grid = np.geomspace(0.02, 5, 120)
-    model.temperature = float(grid[int(np.argmin([loss(t) for t in grid]))])
-    return model
+    few = rows.where(chosen_rows(counts, F.col("lang"), F.col("doc_id"), sample)).select(F.col("lang").alias("label"), "text")
+    return fit_in_a_task(few, model.features, lambda labels, examples: fit_languages(labels, examples, model, epochs=epochs, seed=seed, **ftrl), 4 * sample)
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred`` and ``score``; columns of these names are replaced.
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` and, under the two ``names``, language and score; columns of these names are replaced.
 
     Null text, and text without a letter, is ``und`` with score 0; so is all if nothing was there to learn from.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: languages times 2 ** bits
     at = docs.columns.index("text")
 
@@ -167,9 +201,6 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             for a, b in text_groups(texts):
                 made = [model.predict(t) for t in texts[a:b]]
                 columns = [c.slice(a, b - a) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
-
-    from pyspark.sql.types import DoubleType, StringType, StructType
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=[*batch.schema.names, *names])
 
-    schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(names[0], StringType()).add(names[1], DoubleType()))

@@ -89,11 +89,8 @@ class OnePermutation:
             self._tries.append((mix64(cell * _MULTIPLIER + np.uint64(1)) >> np.uint64(64 - int(math.log2(self.bins)))).astype(np.int64))
         return self._tries[block]
 
-    def values(self, text: str | None) -> np.ndarray | None:
-        """The value of each bin; None for a text without words."""
-        hashes = np.sort(self.hashes(text))
-        if not len(hashes):
-            return None
+    def minima(self, hashes: np.ndarray) -> np.ndarray:
+        """The smallest of the sorted ``hashes`` in each bin; empty bins copy another's.  There must be one hash."""
         place = (hashes >> np.uint64(64 - int(math.log2(self.bins)))).astype(np.int64)
         first = np.concatenate(([True], place[1:] != place[:-1]))
         place = place[first]
@@ -111,7 +108,14 @@ class OnePermutation:
             source = tries[hit.argmax(axis=0), np.arange(len(empty))]
             found[empty[done]] = found[source[done]]
             empty, block = empty[~done], block + 1
-        return (mix64(found + self.offsets) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
+        return found
+
+    def values(self, text: str | None) -> np.ndarray | None:
+        """The value of each bin; None for a text without words."""
+        hashes = np.sort(self.hashes(text))
+        if not len(hashes):
+            return None
+        return (mix64(self.minima(hashes) + self.offsets) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
 
     def packed(self, values: np.ndarray | None) -> str:
         """Hexadecimal digits of the bins' bits; empty for a text without words."""

@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import BROADCAST_ROWS, Scratch
 
-#: Into how many parts a source's rows are dealt where they meet what is known of their source.
+#: Into how many parts a source's rows are dealt where they meet what is known of their source, if sources are very many.
 SALTS = 32
+#: Columns of the result beside those of the documents.
+ADDED = ("size", "source_size", "target", "copies", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,13 +60,6 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap
     return staged.select("source", "source_size", target.alias("target"))
 
 
-def _of_source(rows: DataFrame, known: DataFrame, column: str, how: str = "inner") -> DataFrame:
-    """``rows`` with the one row that ``known`` has of their source.  A hot source is spread over ``SALTS`` keys."""
-    each = known.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
-    return dealt.join(each, F.col("source").eqNullSafe(F.col(column)) & (F.col("_salt") == F.col("_of")), how).drop(column, "_salt", "_of")
-
-
 def mix_sources(
     docs: DataFrame,
     *,
@@ -73,75 +68,86 @@ def mix_sources(
     seed: int = 42,
     buckets: int = 4096,
     size_col: str | None = None,
+    nested: str | None = None,
 ) -> DataFrame:
     """All rows and columns of ``docs`` and ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
 
     ``docs`` needs ``doc_id``, ``source`` and ``text``, or in place of the text a column ``size_col`` of ready counts;
-    columns of the new names are replaced, others pass through.  Sizes and shares are written to the shared folder
+    columns of the new names are replaced, all others pass through whatever they are called.  With ``nested`` the columns
+    of ``docs`` come as they are in a struct of that name instead.  Sizes and shares are written to the shared folder
     once, as each of the passes below needs them and none needs the text.
     ``taken`` is ``copies * size``.  Null or empty texts have size 0; a source of size 0 has target 0 and no copies.
     Rows with the same doc_id in one source share their random number and are taken together or not at all.
     An empty table gives an empty result.
+
+    The target is the source's, so all documents of a source have the same inclusion odds, and dividing by them changes
+    no order within it: there the Pareto ranks are a random order with a cut.  Odds differ between sources alone.
     """
     made = F.coalesce(F.col(size_col), F.lit(0)).cast("long") if size_col else word_count(F.col("text"))
-    sized = docs.withColumn("_size", made).drop("size", "source_size", "target", "copies", "taken").withColumnRenamed("_size", "size")
-    kept = [c for c in sized.columns if c != "size"]
-    narrow = written(sized.select("doc_id", "source", "size"), "sizes")
-    targets = written(source_targets(narrow, weights, cap), "targets")
-    shares = targets.select(
-        F.col("source").alias("s_source"),
-        "source_size",
-        "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("whole"),
-    ).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    sized = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), made.alias("size"))
+    scratch = Scratch(docs.sparkSession, "mix")
+    narrow = scratch.write(sized.select("doc_id", "source", "size"), "sizes")
+    targets = scratch.write(source_targets(narrow, weights, cap), "targets")
+    few = scratch.count("targets") <= BROADCAST_ROWS
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    shares = targets.select(F.col("source").alias("s_source"), "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("rest"))
+
+    def of_source(rows: DataFrame, known: DataFrame, column: str, how: str = "inner") -> DataFrame:
+        """``rows`` with the one row that ``known`` has of their source; a hot source is spread over ``SALTS`` keys if sources are many."""
+        same = F.col("source").eqNullSafe(F.col(column))
+        if few:
+            return rows.join(F.broadcast(known), same, how).drop(column)
+        each = known.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+        return dealt.join(each, same & (F.col("salt") == F.col("of")), how).drop(column, "salt", "of")
 
     def ranked(df: DataFrame) -> DataFrame:
         u, p = random_unit(F.col("doc_id"), seed), F.col("rest") / F.nullif(F.col("source_size"), F.lit(0))
-        joined = _of_source(df, shares, "s_source")
         rank = F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p)))
-        return joined.withColumn("_rank", rank).withColumn("_bucket", F.floor(F.col("_rank") / (F.col("_rank") + 1) * buckets))
+        return of_source(df, shares, "s_source").withColumn("rank", rank).withColumn("bucket", F.floor(F.col("rank") / (F.col("rank") + 1) * buckets))
 
     # where each source is cut: first by buckets of the rank, then inside one bucket
-    open_rows = ranked(narrow).where(F.col("_rank").isNotNull() & (F.col("size") > 0))
-    by_bucket = open_rows.groupBy("source", "_bucket").agg(F.sum("size").alias("bucket_size"), F.first("rest").alias("rest"))
-    running = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("_bucket"))
+    open_rows = ranked(narrow).where(F.col("rank").isNotNull() & (F.col("size") > 0))
+    by_bucket = open_rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("rest").alias("rest"))
+    running = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket"))
     cut_bucket = (
         by_bucket.withColumn("upto", running)
         .where(F.col("upto") > F.col("rest"))
         .groupBy("source")
-        .agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("bucket_size")).alias("before"))).alias("cut"))
-        .select(F.col("source").alias("c_source"), "cut._bucket", "cut.before")
-        .withColumnRenamed("_bucket", "c_bucket")
+        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("bucket_size")).alias("before"))).alias("cut"))
+        .select(F.col("source").alias("c_source"), F.col("cut.bucket").alias("c_bucket"), "cut.before")
     )
-    in_cut = open_rows.join(cut_bucket, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("_bucket") == F.col("c_bucket")))
-    through = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("_rank", "doc_id"))
+    met = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket"))
+    in_cut = open_rows.join(F.broadcast(cut_bucket) if few else cut_bucket, met)
+    through = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id"))
     cuts = (
         in_cut.withColumn("through", through)
         .groupBy("source")
         .agg(
             F.first("c_bucket").alias("c_bucket"),
-            F.max(F.when(F.col("through") <= F.col("rest"), F.struct("_rank", "doc_id"))).alias("last"),
+            F.max(F.when(F.col("through") <= F.col("rest"), F.struct("rank", "doc_id"))).alias("last"),
             (F.first("rest") - F.coalesce(F.max(F.when(F.col("through") <= F.col("rest"), F.col("through"))), F.first("before"))).alias("gap"),
         )
         .withColumnRenamed("source", "t_source")
     )
+    cuts = scratch.write(cuts, "cuts")
 
     def selected() -> Column:
-        inside = (F.col("_bucket") == F.col("c_bucket")) & (F.struct("_rank", "doc_id") <= F.col("last"))
-        return F.col("_rank").isNotNull() & (F.col("c_bucket").isNull() | (F.col("_bucket") < F.col("c_bucket")) | F.coalesce(inside, F.lit(False)))
+        inside = (F.col("bucket") == F.col("c_bucket")) & (F.struct("rank", "doc_id") <= F.col("last"))
+        return F.col("rank").isNotNull() & (F.col("c_bucket").isNull() | (F.col("bucket") < F.col("c_bucket")) | F.coalesce(inside, F.lit(False)))
 
     # one more document of each source closes the gap that whole documents leave
     closing = (
-        _of_source(open_rows, cuts, "t_source")
+        of_source(open_rows, cuts, "t_source")
         .where(~selected() & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
         .groupBy("source")
-        .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "_rank", "doc_id")).alias("c"))
-        .select(F.col("source").alias("x_source"), F.col("c._rank").alias("x_rank"), F.col("c.doc_id").alias("x_doc"))
-    )
-    decisions = cuts.join(closing, F.col("t_source").eqNullSafe(F.col("x_source")), "left").drop("x_source")
-    decided = _of_source(ranked(sized), decisions, "t_source", "left")
-    closes = F.coalesce((F.col("_rank") == F.col("x_rank")) & F.col("doc_id").eqNullSafe(F.col("x_doc")), F.lit(False))
-    copies = F.col("whole") + F.when(selected() | closes, 1).otherwise(0)
-    return decided.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select(
-        *kept, "size", "source_size", "target", "copies", "taken"
+        .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "doc_id")).alias("c"))
+        .select(F.col("source").alias("x_source"), F.col("c.rank").alias("x_rank"), F.col("c.doc_id").alias("x_doc"))
     )
+    decisions = scratch.write(cuts.join(closing, F.col("t_source").eqNullSafe(F.col("x_source")), "left").drop("x_source"), "decisions")
+    scratch.keep("targets", "decisions")
+    decided = of_source(ranked(sized), decisions, "t_source", "left")
+    closes = F.coalesce((F.col("rank") == F.col("x_rank")) & F.col("doc_id").eqNullSafe(F.col("x_doc")), F.lit(False))
+    copies = (F.col("whole") + F.when(selected() | closes, 1).otherwise(0)).cast("long")
+    own = [F.col("row").alias(nested)] if nested else [F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED]
+    return decided.select(*own, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -1,8 +1,8 @@
 """Hashed n-gram features of whole texts, computed on arrays of code points.
 
 Every feature is a number below ``2 ** bits``; streams (characters of each order, words, word shapes) are told apart by
-a salt in the hash.  Long texts are taken in overlapping chunks, so memory is bounded and no gram is lost; words that
-straddle a chunk's end are cut there.
+a salt in the hash.  Long texts are taken in overlapping chunks, so memory is bounded and no gram is lost; a chunk of
+words ends with a word, and the next one begins two words before that.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ class SparseRows:
         parts: list[tuple] = []
         for some in batched(rows, 256):
             slots = np.concatenate([s for s, _ in some]).astype(np.int32)
-            values = None if some[0][1] is None else np.concatenate([v for _, v in some]).astype(np.float32)
+            values = None if some[0][1] is None or len(some[0][1]) != len(some[0][0]) else np.concatenate([v for _, v in some]).astype(np.float32)
             parts.append((slots, values, [len(s) for s, _ in some]))
         self.at = np.concatenate([[0], np.cumsum([n for *_, sizes in parts for n in sizes])]).astype(np.int64)
         self.slots = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32)
@@ -51,6 +51,27 @@ def chunks(points: np.ndarray, overlap: int) -> Iterator[np.ndarray]:
         yield points[at : at + CHUNK + overlap]
 
 
+def word_chunks(points: np.ndarray, overlap: int = 2) -> Iterator[np.ndarray]:
+    """Chunks that end with a word, each but the first beginning ``overlap`` words before the end of the last."""
+    if len(points) <= CHUNK:
+        yield points
+        return
+    white = np.flatnonzero(is_white(points))
+    at = 0
+    while at < len(points):
+        place = int(np.searchsorted(white, at + CHUNK))
+        if place == len(white):
+            yield points[at:]
+            return
+        end = int(white[place])
+        yield points[at:end]
+        # back over ``overlap`` words: a word starts after a white point that none follows at once
+        starts = white[max(0, place - 64 * overlap) : place]
+        starts = starts[~is_white(points[starts + 1])] + 1
+        back = int(starts[-overlap]) if len(starts) >= overlap else end
+        at = back if back > at else end
+
+
 def _slot(values: np.ndarray, salt: int, bits: int) -> np.ndarray:
     salted = (values + np.uint64(salt)) * _PRIME
     return ((salted ^ (salted >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
@@ -120,5 +141,6 @@ def present(text: str | None, orders: tuple[int, ...], bits: int) -> np.ndarray:
     seen = np.zeros(1 << bits, bool)
     for part in chunks(code_points(text), max(orders) - 1):
         seen[character_grams(part, orders, bits)] = True
+    for part in word_chunks(code_points(text)):
         seen[word_grams(part, bits)] = True
     return np.flatnonzero(seen)

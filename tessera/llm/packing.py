@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
-from tessera.llm.tokens import encoder, text_groups, tokenizer_path
+from tessera.llm.tokens import array_groups, encoder, tokenizer_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 RANK_BITS = 44
@@ -174,10 +174,10 @@ def cut_pieces(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None =
         tokens, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end, step = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_groups(texts):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in array_groups(texts):
                 rows = []
-                for doc, raw in zip(ids[a:b], tokens.encode_many(texts[a:b])):
+                for doc, raw in zip(ids[a:b], tokens.encode_many(texts.slice(a, b - a))):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), step)):
                         piece = raw[at : at + step]

@@ -1,7 +1,7 @@
 """Quality classifier: a support vector machine on n-gram indicators scaled by naive Bayes log-count ratios.
 
 The ratios, the hinge-loss model (dual coordinate descent) and the sigmoid that turns margins into probabilities are
-fitted on a bounded sample of labelled rows; every document is then scored by its whole text alone.
+fitted on a bounded sample of labelled rows, in one task; every document is then scored by its whole text alone.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
+from tessera.llm.langid import chosen_rows, fit_in_a_task
 from tessera.llm.ngrams import SparseRows, present
 from tessera.llm.tokens import text_groups
 
@@ -85,53 +87,60 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(text) + self.offset, -35, 35))))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 5000, bits: int = 16, c: float = 1.0, seed: int = 7) -> QualityModel:
-    """A model from ``doc_id, text`` and ``doc_id, quality``; null labels and ids are left out, a null text is empty.
+def fit_quality(labels: list, examples: SparseRows, bits: int, share: dict[int, int], *, c: float = 1.0, seed: int = 7) -> QualityModel:
+    """A model from rows of labels and slots; every fourth row, at random, is for the sigmoid alone.
 
-    ``sample`` bounds the labelled rows that are fitted on, shared equally by the two labels; the sigmoid weighs them
-    by how frequent each label is.  Of several labels for one doc_id the lowest counts.  With one label alone, or
-    none, every document gets the same score: the share of label 1, or 0.5.
+    Of fewer than four rows the sigmoid is fitted on those that the weights are.  ``share`` says how frequent label 0 and
+    label 1 are, which the sigmoid takes into account.
     """
-    labelled = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    counts = {r["quality"]: r["n"] for r in labelled.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    each = max(1, sample // 2)
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
-    chosen = F.lit(False)
-    for value, n in counts.items():
-        chosen = chosen | ((F.col("quality") == value) & (lot < int(min(1.0, each / n) * (1 << 32)) + 1))
-    few = labelled.where(chosen).limit(2 * sample)  # a bounded number of ids, so the text is not shuffled for them
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").select("text", "quality").collect()
-    rows.sort(key=lambda r: (r["text"], r["quality"]))
-    rows = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
-    truth = np.array([float(r["quality"] == 1) for r in rows])
+    order = np.random.default_rng(seed).permutation(len(labels))
+    truth = np.array([float(labels[i] == 1) for i in order])
     none = np.zeros(1 << bits)
     if len(set(truth)) < 2:
         p = (truth.sum() + 1) / (len(truth) + 2)
         return QualityModel(none, none, 0.0, 1.0, float(np.log(p / (1 - p))), bits)
-    found = SparseRows((present(r["text"], ORDERS, bits), None) for r in rows)
-    del rows
     part = len(truth) // 4
-    kept, fit = slice(0, part), slice(part, None)
-    ratios = log_count_ratios((found[i][0] for i in range(part, len(truth))), truth[fit], bits)
+    if len(set(truth[part:])) < 2:  # the one label of all others is in the part kept for the sigmoid
+        part = 0
+    ratios = log_count_ratios((examples[order[i]][0] for i in range(part, len(truth))), truth[part:], bits)
 
     def scaled(i: int) -> tuple[np.ndarray, np.ndarray]:
-        at = found[i][0]
+        at = examples[order[i]][0]
         x = ratios[at]
         norm = np.sqrt(x @ x)
         return np.append(at, 1 << bits), np.append(x / norm if norm else x, 1.0)
 
-    w = dual_coordinate_descent(lambda i: scaled(part + i), 2 * truth[fit] - 1, (1 << bits) + 1, c=c, seed=seed)
+    w = dual_coordinate_descent(lambda i: scaled(part + i), 2 * truth[part:] - 1, (1 << bits) + 1, c=c, seed=seed)
     model = QualityModel(w[:-1] * ratios, ratios, float(w[-1]), 1.0, 0.0, bits)
-    margins = np.array([w[s[0]] @ s[1] for s in map(scaled, range(part))])
-    share = {y: sum(n for q, n in counts.items() if (q == 1) == bool(y)) for y in (0, 1)}
-    weight = np.array([share[int(y)] / max(1, (truth[kept] == y).sum()) for y in truth[kept]])
-    model.slope, model.offset = fit_sigmoid(margins, truth[kept], weight / weight.mean())
+    kept = truth[: part or len(truth)]
+    margins = np.array([w[s[0]] @ s[1] for s in map(scaled, range(len(kept)))])
+    weight = np.array([share[int(y)] / max(1, (kept == y).sum()) for y in kept])
+    model.slope, model.offset = fit_sigmoid(margins, kept, weight / weight.mean())
     return model
 
 
-def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score``, 0 to 1; a column of that name is replaced; null text is empty."""
-    docs = docs.drop("quality_score")
+def train_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, bits: int = 16, c: float = 1.0, seed: int = 7) -> QualityModel:
+    """A model from ``doc_id, text`` and ``doc_id, quality``; null labels and ids are left out, a null text is empty.
+
+    ``sample`` bounds the labelled rows that are fitted on, shared equally by the two labels; the sigmoid weighs them
+    by how frequent each label is.  Of several labels for one doc_id the lowest counts.  With one label alone, or
+    none, every document gets the same score: the share of label 1, or 0.5.
+    """
+    labelled = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = {y: sum(n for q, n in counts.items() if (q == 1) == bool(y)) for y in (0, 1)}
+    few = labelled.where(chosen_rows(counts, F.col("label"), F.col("doc_id"), sample)).limit(2 * sample)  # a bounded number of ids, so the text is not shuffled for them
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").select("label", "text")
+
+    def slots(text: str) -> tuple[np.ndarray, np.ndarray]:
+        return present(text, ORDERS, bits), np.zeros(0)
+
+    return fit_in_a_task(rows, slots, lambda found, examples: fit_quality(found, examples, bits, share, c=c, seed=seed), 4 * sample)
+
+
+def score_quality(docs: DataFrame, model: QualityModel, name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and ``name``, 0 to 1; a column of that name is replaced; null text is empty."""
+    docs = docs.drop(name)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 2 ** bits
     at = docs.columns.index("text")
 
@@ -141,8 +150,6 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
             texts = batch.column(at).to_pylist()
             for a, b in text_groups(texts):
                 made = pa.array([model.score(t) for t in texts[a:b]], pa.float64())
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), made], names=[*batch.schema.names, "quality_score"])
-
-    from pyspark.sql.types import DoubleType, StructType
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), made], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("quality_score", DoubleType()))
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(name, DoubleType()))

@@ -4,8 +4,9 @@ Documents of equal fingerprints are one node.  Two fingerprints that differ in a
 bit in one of the first two of three segments, or agree in the third.  So each fingerprint is filed under its three
 segments and looked up under each segment as it is and, in the first two, with one bit cleared (of two segments that
 differ in one bit, the one that has the bit finds the other).  What a lookup fetches is verified over all 64 bits.
-Three segments of 21 bits suit up to about a billion different fingerprints; with more, two segments of 32 bits, which
-are looked up within two bits and one bit, keep what a lookup fetches short.  Both find the same links.
+Three segments of 21 bits suit up to some hundred million different fingerprints; with more, two segments of 32 bits,
+which are looked up within two bits and one bit, keep what a lookup fetches short.  Both find the same links, and the
+number of fingerprints decides.
 
 A segment value that very many fingerprints share would make all their pairs.  Fingerprints that are filed under or
 looked up in such a value go another way, which is exact as well and makes a fixed number of rows for each: fingerprints
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import Scratch, small, written
 from tessera.llm.tokens import text_groups
 
 #: By the number of segments, the first bit, the width and the radius of lookups of each: of four differing bits, one
 #: segment has no more than its radius.
 SEGMENTS = {3: ((0, 21, 1), (21, 21, 1), (42, 22, 0)), 2: ((0, 32, 2), (32, 32, 1))}
 DISTANCE = 4
+#: Up to so many different fingerprints a segment of 21 bits is shared by 128 of them on average.
+THREE_SEGMENTS = 1 << 28
 
 
 def simhash(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -117,46 +120,61 @@ def near_pairs(nodes: DataFrame, *, most: int = 256, segments: int = 3) -> DataF
     return pairs.union(chained).distinct()
 
 
-def components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, *, rounds: int = 60, per_file: int = 500_000) -> DataFrame:
     """``node, component``: the smallest node that each linked node of ``a, b`` can reach.
 
-    Large-star and small-star rounds; each round's links are written to the shared folder, and it ends when a round
-    changes nothing, so that every link goes from a node to the smallest of its component.
+    Large-star and small-star rounds; each round's links are written to the shared folder and the round before them is
+    deleted.  It ends when a round changes nothing, so that every link goes from a node to the smallest of its
+    component.  A round's count and checksum are taken while it is written, and no round has more links than the first.
     """
-    links = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    state = mark(links)
+    scratch = Scratch(links.sparkSession, "components")
+    check = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+    first = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    links = scratch.write(first, "links", check)
+    found = lambda: links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
-        if not state["n"]:
-            break
+        state = scratch.rows["links"]
+        if not state[0]:
+            return found()
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(smallest.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = written(small.union(smallest.select("u", F.col("m").alias("v"))).distinct(), "links")
-        before, state = state, mark(links)
-        if before == state:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    if state["n"]:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        small_star = large.join(smallest.hint("merge"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        made = small_star.union(smallest.select("u", F.col("m").alias("v"))).distinct().coalesce(1 + state[0] // per_file)
+        links = scratch.write(made, "links", check)
+        scratch.drop_older("links")
+        if scratch.rows["links"] == state:
+            return found()
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 4, most: int = 256, segments: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 4, most: int = 256, segments: int | None = None, hot: int = 100_000) -> DataFrame:
     """``doc_id, fingerprint, component_id``: the smallest doc_id that links of at most four bits reach.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  Null text counts as empty; texts without words
     have fingerprint zero and are linked like any other.  Rows that share a doc_id each have their fingerprint and
     are linked by it alone.  Rows of null doc_id link others; a component of null ids only has a null component_id.
     An empty table gives an empty result.
+
+    ``segments`` is three up to ``THREE_SEGMENTS`` different fingerprints, two beyond, if it is not given.  The rows of
+    fingerprints that over ``hot`` rows share stay where they are: what such a fingerprint needs to know is one row,
+    and there are at most as many as rows divided by ``hot``.
     """
-    marked = written(fingerprints(docs, words=words), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    keyed = written(nodes.select("fp", "least", F.col("fp").alias("node")), "nodes")
-    found = components(near_pairs(keyed, most=most, segments=segments))
-    labelled = keyed.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
+    scratch = Scratch(docs.sparkSession, "simhash")
+    marked = scratch.write(fingerprints(docs, words=words), "marked")
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    keyed = scratch.write(nodes.select("fp", "least", "n", F.col("fp").alias("node")), "nodes", F.count_if(F.col("n") > hot).alias("hot"))
+    if segments is None:
+        segments = 3 if scratch.count("nodes") <= THREE_SEGMENTS else 2
+    found = components(near_pairs(keyed.select("node", "fp"), most=most, segments=segments))
+    labelled = keyed.join(found, "node", "left").select("fp", "least", "n", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(least, "component").select("fp", "component_id")
-    joined = marked.join(by_fp, "fp")
+    by_fp = labelled.join(least, "component").select("fp", "n", "component_id")
+    if scratch.rows["nodes"][1]:
+        by_fp = scratch.write(by_fp, "by_fp")
+        often = small(by_fp.where(F.col("n") > hot).select("fp", "component_id"), scratch.rows["nodes"][1])
+        joined = marked.join(often, "fp").unionByName(marked.join(often, "fp", "left_anti").join(by_fp.drop("n"), "fp"))
+    else:
+        joined = marked.join(by_fp.drop("n"), "fp")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

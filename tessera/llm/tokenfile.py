@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shuffle_partitions
-from tessera.llm.tokens import encoder, text_groups, tokenizer_path
+from tessera.llm.tokens import array_groups, encoder, tokenizer_path
 
 BLOCKS = (
     "part int, block int, dict_hash string, first_doc long, last_doc long, n_docs int, doc_ids array<long>, "
@@ -35,22 +35,27 @@ BLOCKS = (
 
 
 def train_dictionary(docs: DataFrame, path: str, *, size: int = 65_536, sample: int = 1024, longest_chars: int = 4096) -> bytes:
-    """A zstandard dictionary from the id arrays of about ``sample`` whole documents of up to ``longest_chars``.
+    """A zstandard dictionary from the id arrays of ``sample`` whole documents of up to ``longest_chars``.
 
-    The sample is a documented bound: about ``sample`` documents whose hashed ids are lowest.  The dictionary only affects how well
-    short documents compress, never what is read back.  Too little text for training gives no dictionary (empty).
+    The sample is a documented bound: the documents whose hashed ids are lowest.  It is taken in one pass and encoded in
+    one task.  The dictionary only affects how well short documents compress, never what is read back.  Too little text
+    for training gives no dictionary (empty).
     """
-    import zstandard
 
-    eligible = docs.where(F.length("text").between(1, longest_chars))
-    share = min(1.0, sample / max(1, eligible.count()))
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))  # ids of a low hash: about ``sample`` of them, and no others are sent
-    rows = eligible.where(lot < int(share * (1 << 32)) + 1).select("text").orderBy("text").limit(2 * sample).collect()
-    arrays = encoder(path).encode_many([r["text"] for r in rows])
-    try:
-        return zstandard.train_dictionary(size, [a for a in arrays if len(a) >= 8]).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b""
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        arrays = [a for batch in batches for a in encoder(path).encode_many(batch.column(0))]
+        try:
+            made = zstandard.train_dictionary(size, [a for a in arrays if len(a) >= 8]).as_bytes()
+        except (zstandard.ZstdError, ValueError):
+            made = b""
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["content"])
+
+    lot = F.xxhash64("doc_id").alias("lot")
+    few = docs.where(F.length("text").between(1, longest_chars)).select("text", lot).orderBy("lot", "text").limit(sample)
+    found = few.select("text").mapInArrow(train, "content binary").collect()
+    return max((bytes(r["content"]) for r in found), key=len, default=b"")
 
 
 def dictionary_hash(content: bytes) -> str:
@@ -90,9 +95,9 @@ def write_tokens(
         many = pa.list_(pa.int64())
         types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), many, many, many, many, pa.binary()]
         for batch in batches:
-            docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_groups(texts):
-                for doc, raw in zip(docs_[a:b], tokens.encode_many(texts[a:b])):
+            docs_, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in array_groups(texts):
+                for doc, raw in zip(docs_[a:b], tokens.encode_many(texts.slice(a, b - a))):
                     frame = compress(raw + end)
                     ids.append(doc), starts.append(start), counts.append(len(raw) // 4 + 1), frames.append(frame)
                     start += len(raw) // 4 + 1

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from tessera.llm.common import written
-from test_duplicates import plain_components, plain_simhash
+from test_nearcopies import plain_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,10 +40,10 @@ def test_filters_keep_clean_documents(spark, stages):
 
 
 def test_one_of_each_group_stays(stages):
+    """Groups are those of the contract for stages: five-word shingles, Jaccard 0.8 (and not the query's four bits)."""
     before, after = stages["deduplicate"]
     docs = before.orderBy("doc_id").collect()
-    roots = plain_components([plain_simhash(r.text) for r in docs])
-    assert sorted(r.doc_id for r in after.collect()) == sorted({docs[r].doc_id for r in roots})
+    assert sorted(r.doc_id for r in after.collect()) == sorted({docs[r].doc_id for r in plain_groups([d.text for d in docs])})
 
 
 def test_mix_repeats_whole_rows(stages):
@@ -74,6 +74,36 @@ def test_stages_take_odd_rows(spark, sf_dir):
     assert sorted(r.doc_id for r in pipeline.deduplicate(spark, docs, sf_dir).collect()) == [1, 3]
 
 
+CLASHING = "lang_pred score quality_score size source_size target copies taken rest whole gap last x_rank c_bucket s_source _rank rank bucket row doc file at node key _language _quality_score col".split()
+
+
+@pytest.mark.parametrize("stage", ["language", "quality", "deduplicate", "mix"])
+def test_columns_of_any_name_come_through(spark, sf_dir, stage):
+    """Every working name and more, each holding what says which row it belongs to."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wide = docs.selectExpr("*", *(f"concat('{c}', doc_id) AS `{c}`" for c in CLASHING))
+    take = dict(pipeline.STAGES)[stage]
+    made = take(spark, wide, sf_dir)
+    assert made.columns == wide.columns
+    rows = made.collect()
+    assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHING)
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in take(spark, docs, sf_dir).collect())
+
+
+def test_null_and_repeated_ids_at_every_stage(spark, sf_dir):
+    """No stage tells rows apart by doc_id: what stays is what stays of the same texts under ids of their own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60)
+    odd = docs.selectExpr("CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 7 ELSE doc_id END AS doc_id", "text", "lang", "source", "n_chars")
+    texts = lambda df: Counter(r.text for r in df.select("text").collect())
+    kept = pipeline.deduplicate(spark, odd, sf_dir)
+    assert texts(kept).keys() <= texts(docs).keys() and len(texts(kept)) == len(texts(pipeline.deduplicate(spark, docs, sf_dir)))
+    for stage in (pipeline.language, pipeline.quality):
+        assert all(n % 2 == 0 for n in texts(stage(spark, docs.union(docs), sf_dir)).values())
+    nulls = docs.selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "lang", "source", "n_chars")
+    assert pipeline.mix(spark, nulls, sf_dir).where("doc_id IS NOT NULL").count() == 0
+    assert Counter(r.doc_id for r in pipeline.sequences(spark, odd, sf_dir).where("piece = 0").collect()) == Counter(r.doc_id for r in odd.collect())
+
+
 def test_run(spark, sf_dir):
     assert entry.queries()["pipeline"](spark, sf_dir).count() > 0 and len([n for n in entry.queries() if n.startswith("op")]) == 10
 

@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tessera.llm import queries
 from tessera.llm.tokenfile import read_tokens, write_tokens
@@ -28,6 +30,17 @@ def test_runs_give_the_ids_of_whole_texts(tool):
             assert mine.encode_many(ODD) == [direct(tool, t, 0)[:-1].tobytes() for t in ODD]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=30), st.text("aZéÉßİıŉſÀ'stred1²½.,!-~×ª\xa0\xad\x85\x1c \t\x0b\u0301", max_size=30)), max_size=5))
+def test_any_texts(tool, texts):
+    assert RunEncoder(tokenizer_path()).encode_many(texts) == [direct(tool, t, 0)[:-1].tobytes() for t in texts]
+
+
+def test_every_plain_character(tool):
+    texts = [f"a{chr(c)}B{chr(c)}{chr(c)}1{chr(c)} {chr(c)}x" for c in range(1, 0x600)]
+    assert RunEncoder(tokenizer_path()).encode_many(texts) == [direct(tool, t, 0)[:-1].tobytes() for t in texts]
+
+
 def test_groups_cover_all_texts():
     assert list(text_groups(["aa", None, "b" * 9, "c"], chars=3)) == [(0, 3), (3, 4)]
     assert list(text_groups([])) == []
