@@ -59,7 +59,8 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.topk import top_k, whole_vectors
 
-    vectors = whole_vectors(read_table(spark, sf_dir, "embeddings"))
+    vectors = whole_vectors(read_table(spark, sf_dir, "embeddings")).withColumn("row", F.monotonically_increasing_id())
+    vectors = written(vectors, "vectors")  # numbered once
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 

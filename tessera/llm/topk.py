@@ -1,23 +1,23 @@
 """Exact top-k search by inner product: term-at-a-time accumulation over blocks.
 
-Vectors are turned into whole numbers; a component that is zero is no term.  Candidates are cut into blocks, each with
-postings (row, weight) for each term; queries into blocks of sparse rows.  A block of queries meets each block of
-candidates once, by an equal join on both block numbers: every term of a query scatters its weighted postings into a
-dense array of scores, one place for each candidate of the block; a partition selection keeps the best of the block,
-and the blocks' winners are merged.  No block depends on how many rows there are, so a task's memory does not either.
+Vectors are turned into whole numbers; a component that is zero is no term.  Queries, as sparse rows, are sent to all
+tasks, as many at a time as a bounded number of bytes holds; candidates stay where they are read.  Each batch of
+candidates becomes postings (row, weight) for each term: every term of a query scatters its weighted postings into a
+dense array of scores, one place for each candidate of the batch; a partition selection keeps the best, the batches'
+winners are merged in the task and the tasks' by a shuffle.  No array depends on how many candidates there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LIMIT = float(1 << 31)  # whole components up to this size keep sums of 64-bit products exact
-
+from tessera.llm.common import Scratch
 
 def whole_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """``vec_id, whole``: floor(scale * x) of each component; rows with a null or non-finite part or id are left out."""
@@ -27,87 +27,105 @@ def whole_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     return vectors.where(F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), floor.alias("whole"))
 
 
-def _blocks(rows: DataFrame, name: str, size: int, count: int) -> DataFrame:
-    """One row for each block of about ``size`` vectors: ``name``, and the ids and vectors of its rows as bytes."""
+class QueryBlock:
+    """Sparse rows of some queries by term, and the best candidates that each has met so far."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]], k: int, kind: type):
+        self.row, self.query = (np.array([r[j] for r in rows], np.int64) for j in (0, 1))
+        self.k, self.kind = k, kind
+        sizes = [len(r[2]) for r in rows]
+        q, weight = np.repeat(np.arange(len(rows)), sizes), np.concatenate([r[2] for r in rows])
+        term = np.concatenate([np.arange(n) for n in sizes])
+        kept = np.flatnonzero(weight)
+        order = kept[np.argsort(term[kept], kind="stable")]
+        self.q, self.weight, term = q[order], weight[order].astype(kind), term[order]
+        self.terms, first = np.unique(term, return_index=True)
+        self.ends = np.append(first, len(term))
+        self.scores: list[np.ndarray] = [np.zeros(0, np.int64) for _ in rows]
+        self.ids: list[np.ndarray] = [np.zeros(0, np.int64) for _ in rows]
+
+    def meet(self, rows: np.ndarray, ids: np.ndarray, postings: dict[int, tuple[np.ndarray | None, np.ndarray]]) -> None:
+        """Scatters each term's weighted postings into one dense array of scores for each query, and keeps the best."""
+        scores = np.zeros((len(self.query), len(ids)), self.kind)
+        for term, a, b in zip(self.terms.tolist(), self.ends, self.ends[1:]):
+            if term in postings:
+                at, weight = postings[term]
+                found = self.weight[a:b, None] * weight
+                if at is None and b - a == len(scores):
+                    scores += found
+                elif at is None:
+                    scores[self.q[a:b]] += found
+                else:
+                    scores[np.ix_(self.q[a:b], at)] += found
+        for q, (row, mine) in enumerate(zip(self.row.tolist(), scores)):
+            taking = np.flatnonzero((rows != row) if len(self.ids[q]) < self.k else (mine >= self.scores[q][-1]) & (rows != row))
+            if len(taking) > 4 * self.k:
+                least = np.partition(mine[taking], len(taking) - self.k)[len(taking) - self.k]
+                taking = taking[mine[taking] >= least]
+            if len(taking):
+                s, i = np.append(self.scores[q], mine[taking]), np.append(self.ids[q], ids[taking])
+                best = np.lexsort((i, -s))[: self.k]
+                self.scores[q], self.ids[q] = s[best], i[best]
+
+
+def postings_of(whole: pa.ListArray, kind: type) -> dict[int, tuple[np.ndarray | None, np.ndarray]]:
+    """For each term, the rows that have it (None for all of them) and its weights."""
+    ends = whole.offsets.to_numpy().astype(np.int64)
+    values = whole.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+    sizes, ends = np.diff(ends), ends - ends[0]
+    term = np.arange(len(values)) - np.repeat(ends[:-1], sizes)
+    kept = np.flatnonzero(values)
+    order = kept[np.argsort(term[kept], kind="stable")]
+    row, weight = np.repeat(np.arange(len(sizes)), sizes)[order], values[order].astype(kind)
+    terms, first = np.unique(term[order], return_index=True)
+    cuts = np.append(first, len(order))
+    return {t: (None if b - a == len(sizes) else row[a:b], weight[a:b]) for t, a, b in zip(terms.tolist(), cuts, cuts[1:])}
 
-    def pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, offsets, values = [], [np.zeros(1, np.int64)], []
-        for batch in batches:
-            whole = batch.column("whole")
-            ids.append(batch.column("vec_id").to_numpy().astype(np.int64))
-            at = whole.offsets.to_numpy().astype(np.int64)
-            values.append(whole.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].astype(np.int64))
-            offsets.append(at[1:] - at[0] + offsets[-1][-1])
-        parts = [np.concatenate(x).tobytes() for x in (ids, offsets, values)]
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], names=[name, "ids", "offsets", "values"])
 
-    lot = F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
-    return rows.select(lot.alias(name), "vec_id", "whole").groupBy(name).applyInArrow(pack, f"{name} int, ids binary, offsets binary, values binary")
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, query_block: int = 256, together: int = 1 << 26) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` candidates of the highest inner product with each row of ``queries``.
 
+    Both tables have ``vec_id`` and ``whole`` (arrays of whole numbers, missing components count as zero) and may have
+    ``row``, which tells rows apart; a candidate of the query's own ``row`` is left out, or of its own vec_id where there
+    is no ``row``.  Rank is from 1, ties go to the smaller vec_id; fewer candidates than ``k`` give all.  Every row of
+    ``queries`` is a query, also those that share an id, and candidates that share one count each.  Other columns are
+    ignored; either table empty gives an empty result.  Sums are exact below 2 ** 63.
 
-def _unpacked(ids: bytes, offsets: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, and row, term and weight of each component that is not zero."""
-    ids, offsets, values = (np.frombuffer(x, np.int64) for x in (ids, offsets, values))
-    row = np.repeat(np.arange(len(ids)), np.diff(offsets))
-    term = np.arange(len(values)) - np.repeat(offsets[:-1], np.diff(offsets))
-    kept = np.flatnonzero(values)
-    return ids, row[kept], term[kept], values[kept]
-
-
-def best_of_block(queries: tuple, candidates: tuple, k: int) -> list[tuple[int, int, int]]:
-    """(query id, candidate id, score) of the ``k`` best of one block for each query of another, ties to smaller ids."""
-    q_ids, q_row, q_term, q_weight = _unpacked(*queries)
-    c_ids, c_row, c_term, c_weight = _unpacked(*candidates)
-    order = np.lexsort((c_row, c_term))
-    c_row, c_weight, c_term = c_row[order], c_weight[order], c_term[order]
-    terms = np.arange(int(max(c_term.max(initial=-1), q_term.max(initial=-1))) + 2)
-    begin = np.searchsorted(c_term, terms)
-    whole = begin[1:] - begin[:-1] == len(c_ids)  # postings of all rows need no places
-    at = np.searchsorted(q_row, np.arange(len(q_ids) + 1))
-    found = []
-    for q, query in enumerate(q_ids.tolist()):
-        scores = np.zeros(len(c_ids), np.int64)
-        for term, weight in zip(q_term[at[q] : at[q + 1]].tolist(), q_weight[at[q] : at[q + 1]].tolist()):
-            a, b = begin[term], begin[term + 1]
-            if whole[term]:
-                scores += weight * c_weight[a:b]
-            else:
-                scores[c_row[a:b]] += weight * c_weight[a:b]
-        taking = np.flatnonzero(c_ids != query)
-        if len(taking) > k:
-            mine = scores[taking]
-            least = np.partition(mine, len(mine) - k)[len(mine) - k]
-            taking = taking[mine >= least]
-        best = taking[np.lexsort((c_ids[taking], -scores[taking]))[:k]]
-        found += [(query, int(c_ids[c]), int(scores[c])) for c in best]
-    return found
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block: int = 4096, query_block: int = 1024) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` candidates of the highest inner product with each query.
-
-    Both tables have ``vec_id`` and ``whole`` (arrays of whole numbers, missing components count as zero).  Rank is
-    from 1, ties go to the smaller vec_id; fewer candidates than ``k`` give all; a vector is no candidate of the query
-    of its own id.  Rows of ``queries`` that share an id are one query (the first by vector); candidates that share an
-    id count each.  Either table empty gives an empty result.  Sums are exact below 2 ** 63.
+    Candidates are read once, where they are, for each ``together`` bytes of queries, and are never shuffled; what is
+    shuffled are ``k`` winners for each query and task.
     """
-    queries = queries.groupBy("vec_id").agg(F.min("whole").alias("whole"))
-    n, n_queries = vectors.count(), queries.count()
-    blocks, query_blocks = -(-n // block) or 1, -(-n_queries // query_block) or 1
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = _blocks(vectors, "c", block, blocks).withColumn("q", every(query_blocks))
-    names = ("ids", "offsets", "values")
-    right = _blocks(queries, "q", query_block, query_blocks).select("q", *(F.col(x).alias(f"q_{x}") for x in names)).withColumn("c", every(blocks))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                parts = [batch.column(j)[i].as_py() for j in range(6)]
-                found = best_of_block(tuple(parts[3:]), tuple(parts[:3]), k)
-                columns = list(zip(*found)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    met = left.join(right, ["c", "q"]).select(*names, *(f"q_{x}" for x in names)).repartition(min(blocks * query_blocks, 4096))
-    winners = met.mapInArrow(search, "query_id long, vec_id long, score long")
-    place: Column = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return winners.select("query_id", place.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "topk")
+    own = "row" if "row" in vectors.columns and "row" in queries.columns else "vec_id"
+    columns = F.col(own).cast("long").alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("whole").cast("array<long>").alias("whole")
+    amounts = F.transform("whole", F.abs)
+    largest = vectors.agg(F.max(F.array_max(F.transform(F.col("whole").cast("array<long>"), F.abs)))).first()[0] or 0
+    sums = F.sum(F.size("whole")).alias("components"), F.max(F.aggregate(amounts, F.lit(0.0), lambda a, x: a + x)).alias("w")
+    asked = scratch.write(queries.select(F.monotonically_increasing_id().alias("q"), *columns), "queries", *sums)
+    count, components, heaviest = scratch.rows["queries"]
+    kind = np.int32 if (heaviest or 0) * largest < 1 << 31 else np.int64
+    parts = max(1, -(-8 * ((components or 0) + 2 * count) // together))
+    winners = []
+    for part in range(parts):
+        some = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part)
+        held = spark.sparkContext.broadcast(some.toArrow())  # of ``together`` bytes, by the sums above
+
+        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            table = held.value
+            columns = [table.column(j).to_pylist() for j in range(3)] + [[np.array(v or [], np.int64) for v in table.column(3).to_pylist()]]
+            rows = list(zip(columns[1], range(table.num_rows), columns[3]))
+            blocks = [QueryBlock(rows[i : i + query_block], k, kind) for i in range(0, len(rows), query_block)]
+            for batch in batches:
+                postings = postings_of(batch.column(2), kind)
+                for block in blocks:
+                    block.meet(batch.column(0).to_numpy(), batch.column(1).to_numpy(), postings)
+            for block in blocks:
+                at = np.repeat(block.query, [len(x) for x in block.ids])
+                out = [pa.array([columns[j][i] for i in at.tolist()], pa.int64()) for j in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate(block.ids)), pa.array(np.concatenate(block.scores).astype(np.int64))], names=["q", "query_id", "vec_id", "score"])
+
+        found = vectors.select(*columns).mapInArrow(search, "q long, query_id long, vec_id long, score long")
+        winners.append(found if parts == 1 else scratch.write(found, "winners"))
+    place: Column = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))
+    ranked = reduce(DataFrame.union, winners).select("query_id", place.cast("int").alias("rank"), "vec_id", "score")
+    return ranked.where(F.col("rank") <= k)
