@@ -1,6 +1,7 @@
 """Chat formatting in budgeted windows that are aligned with turns.
 
-The template writes a turn as ``<s>[ROLE] role [TEXT] text </s>`` with one space on each side of role and text.  A
+The template writes a turn as ``<s>[ROLE] role [TEXT] text </s>`` and a line feed, with one space on each side of role and
+text; tokens end at white space, so a window has the tokens of its turns.  A
 control string inside a role or text gets a backslash before it, or before the backslashes that stand before it, and
 loses it on reading; so what is read back is what went in, and only the template's own control strings are bare.
 
@@ -14,13 +15,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.tokens import encoder, text_groups, tokenizer_path
+
+CLOSE = " </s>\n"
 CONTROLS = ("<s>", "</s>", "[ROLE]", "[TEXT]", "[INST]", "[/INST]")
 _ANY = "|".join(map(re.escape, CONTROLS))
 _ESCAPE = re.compile(rf"(\\*(?:{_ANY}))")
@@ -54,53 +60,68 @@ def read_turns(formatted: str) -> list[tuple[str, str, int, int]]:
     return turns
 
 
+class Turn(NamedTuple):
+    role: str
+    lead: str  # marks and role as they are written
+    body: str  # the text as it is written
+    tokens: int  # of all that is written for it
+
+
+def written_turn(role: str, text: str) -> tuple[str, str]:
+    return f"<s>[ROLE] {escape(role)} [TEXT] ", escape(text)
+
+
 class WindowBuilder:
     """Windows of one conversation; turns are added in order, and full windows come out."""
 
-    def __init__(self, conv_id: int | None, budget: int, history: int, count):
-        self.conv_id, self.budget, self.history, self.count = conv_id, budget, history, count
-        self.system: tuple | None = None
-        self.before: list[tuple] = []  # turns of past windows, the last ``history`` of them
-        self.waiting: list[tuple] = []  # new turns: role, text, tokens
-        self.tokens, self.window, self.turn = 0, 0, 0
-
-    def add(self, role: str, text: str) -> Iterator[tuple]:
-        new = (role, text, self.count(text) + self.count(role))
-        if not self.window and not self.waiting and role == "system":
-            self.system = new
-        fixed = self.system[2] if self.system and self.window else 0
-        if self.waiting and fixed + self.tokens + new[2] > self.budget:
-            yield self.close()
-        self.waiting.append(new)
-        self.tokens += new[2]
-
-    def close(self) -> tuple:
-        fresh = self.waiting
+    def __init__(self, conv_id: int | None, budget: int, history: int):
+        self.conv_id, self.budget, self.history = conv_id, budget, history
+        self.system: Turn | None = None
+        self.before: list[Turn] = []  # turns of past windows, the last ``history`` of them
+        self.waiting: list[Turn] = []  # new turns
+        self.sums = [0]  # prefix sums of their tokens
+        self.window, self.turn = 0, 0
+
+    def fixed(self) -> int:
+        return self.system.tokens if self.system and self.window else 0
+
+    def add(self, turn: Turn) -> Iterator[tuple]:
+        if not self.window and not self.waiting and turn.role == "system":
+            self.system = turn
+        self.waiting.append(turn)
+        self.sums.append(self.sums[-1] + turn.tokens)
+        while self.waiting and self.fixed() + self.sums[-1] > self.budget:
+            yield self.close(max(1, bisect_right(self.sums, self.budget - self.fixed()) - 1))
+
+    def close(self, n: int) -> tuple:
+        """A window of the first ``n`` waiting turns."""
+        fresh, self.waiting = self.waiting[:n], self.waiting[n:]
+        tokens = self.sums[n]
+        self.sums = [s - tokens for s in self.sums[n:]]
         head = [self.system] if self.system and self.window else []
-        room = self.budget - sum(t[2] for t in head) - self.tokens
+        room = self.budget - self.fixed() - tokens
         # of the turns before, the longest run up to here that fits what is left
-        sums = np.cumsum([t[2] for t in reversed(self.before)]) if self.before else np.zeros(0)
+        sums = np.cumsum([t.tokens for t in reversed(self.before)]) if self.before else np.zeros(0)
         repeats = int(np.searchsorted(sums, max(room, 0), side="right"))
         shown = head + self.before[len(self.before) - repeats :] + fresh
         parts, at, starts, ends = [], 0, [], []
-        for i, (role, text, _) in enumerate(shown):
-            lead, body = f"<s>[ROLE] {escape(role)} [TEXT] ", escape(text)
-            if role == "assistant" and i >= len(shown) - len(fresh):
-                starts.append(at + len(lead))
-                ends.append(at + len(lead) + len(body))
-            parts += [lead, body, " </s>"]
-            at += len(lead) + len(body) + 5
-        total = sum(t[2] for t in shown)
+        for i, t in enumerate(shown):
+            if t.role == "assistant" and i >= len(shown) - len(fresh):
+                starts.append(at + len(t.lead))
+                ends.append(at + len(t.lead) + len(t.body))
+            parts += [t.lead, t.body, CLOSE]
+            at += len(t.lead) + len(t.body) + len(CLOSE)
+        total = sum(t.tokens for t in shown)
         row = (self.conv_id, self.window, self.turn, "".join(parts), total, total > self.budget, len(shown) - len(fresh), starts, ends)
         past = [t for t in self.before + fresh if t is not self.system]
         self.before = past[len(past) - self.history :] if self.history else []
         self.turn += len(fresh)
-        self.window, self.waiting, self.tokens = self.window + 1, [], 0
+        self.window += 1
         return row
 
 
-def word_tokens(text: str) -> int:
-    return len(text.split()) + 1
+def token_counts(texts: list[str], tokenizer: str) -> list[int]:
+    return [len(ids) // 4 for ids in encoder(tokenizer).encode_many(texts)]
 
 
 def _ordered(df: DataFrame, *columns: str | Column) -> DataFrame:
@@ -108,14 +129,16 @@ def _ordered(df: DataFrame, *columns: str | Column) -> DataFrame:
     return df.repartition("conv_id").sortWithinPartitions("conv_id", *columns)
 
 
-def format_conversations(turns: DataFrame, *, budget: int = 512, history: int = 2, count=word_tokens) -> DataFrame:
+def format_conversations(turns: DataFrame, *, budget: int = 512, history: int = 2, tokenizer: str | None = None) -> DataFrame:
     """Windows of ``conv_id, turn, role, text`` rows: see ``WINDOWS`` for the columns.
 
     Rows go by turn, null first, then by role and text where turns are tied; repeated rows are turns of their own.
     Null role or text is empty; rows of null conv_id are one conversation.  ``repeated`` turns come first in a window
     and ``loss_start`` and ``loss_end`` are code point positions in ``formatted`` of the assistant texts that are new.
-    ``count`` gives the tokens of a text.  Memory holds one window and the turns repeated.  An empty table gives none.
+    ``n_tokens`` are the tokenizer's for all of ``formatted``, marks and escapes included.  Memory holds one window and
+    the turns repeated.  An empty table gives none.
     """
+    tokenizer = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         builder, rows = None, []
@@ -124,17 +147,21 @@ def format_conversations(turns: DataFrame, *, budget: int = 512, history: int =
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=names)
 
         for batch in batches:
-            for conv, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                if builder is None or builder.conv_id != conv:
-                    if builder:
-                        rows.append(builder.close())
-                    builder = WindowBuilder(conv, budget, history, count)
-                rows += builder.add(role or "", text or "")
-                if len(rows) >= 512:
-                    yield batch_of(rows)
-                    rows = []
-        if builder:
-            rows.append(builder.close())
+            convs, roles, texts = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            for a, b in text_groups(texts):
+                made = [written_turn(r or "", t or "") for r, t in zip(roles[a:b], texts[a:b])]
+                counts = token_counts([lead + body + CLOSE for lead, body in made], tokenizer)
+                for conv, role, (lead, body), n in zip(convs[a:b], roles[a:b], made, counts):
+                    if builder is None or builder.conv_id != conv:
+                        if builder and builder.waiting:
+                            rows.append(builder.close(len(builder.waiting)))
+                        builder = WindowBuilder(conv, budget, history)
+                    rows += builder.add(Turn(role or "", lead, body, n))
+                    if len(rows) >= 512:
+                        yield batch_of(rows)
+                        rows = []
+        if builder and builder.waiting:
+            rows.append(builder.close(len(builder.waiting)))
         if rows:
             yield batch_of(rows)
 

@@ -5,12 +5,16 @@ greatest total under one rule: a node is kept only if the node above it is.  So
 kept, and a wrapper is kept only for what it holds.
 
 The trees are fitted here, on pages that ``training_pages`` writes with known articles: their number is a parameter,
-and neither fitting nor decoding looks at the pages to be extracted beyond the one at hand.
+and neither fitting nor decoding looks at the pages to be extracted beyond the one at hand.  What words in class and id
+say is learnt from these pages too, as odds that trees weigh against the rest; names there are telling for the most part,
+and made up or misleading else, so that a word the pages never had, or one that misleads, does not decide alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.boost import Forest, fit_forest
-from tessera.llm.htmltree import Page, features, parse
-
+from tessera.llm.htmltree import Page, features, parse, word_odds
+
+#: Parts of articles are dropped at odds of less than two in three.
+LEAN = 0.4
+#: Words that names of any part of a page are made with, so that one word alone decides little.
+OTHER_WORDS = (
+    "body main text content entry post item list block box message tags teaser meta info header footer side menu top page story head inner comment wrapper "
+    "section title note summary links social"
+).split()
 _MARK = "\u0001"  # stands before each word of an article in training pages
 
 
@@ -42,8 +53,23 @@ class PageWriter:
         made[0] = made[0].capitalize()
         return " ".join(_MARK * mark + w for w in made)
 
-    def element(self, tag: str, inner: str, names: tuple[str, ...] = (), named: float = 0.8) -> str:
-        attr = f' {self.pick("class", "id")}="{self.pick(*names)}"' if names and self.chance(named) else ""
+    def name(self, names: tuple[str, ...], misleading: float = 0.07) -> str:
+        """One of the names for the most part; else a name that says nothing, or one that misleads."""
+        said, r = self.pick(*names), self.random.random()
+        if r < 0.77 - misleading:
+            return said
+        if r < 0.92 - misleading:
+            return self.made_up()
+        if r < 1 - misleading:
+            return f"{self.made_up()}-{said}" if self.chance(0.5) else f"{said} {self.made_up()}"
+        return f"{said.split('-')[0]}-{self.pick(*OTHER_WORDS)}" if self.chance(0.5) else f"{self.pick(*OTHER_WORDS)}-{said.split('-')[-1]}"
+
+    def made_up(self) -> str:
+        """Letters; any such word is rare, so nothing is learnt of it."""
+        return "".join(map(chr, self.random.integers(97, 123, size=int(self.random.integers(2, 9))).tolist()))
+
+    def element(self, tag: str, inner: str, names: tuple[str, ...] = (), named: float = 0.8, misleading: float = 0.07) -> str:
+        attr = f' {self.pick("class", "id")}="{self.name(names, misleading)}"' if names and self.chance(named) else ""
         return f"<{tag}{attr}>{inner}</{tag}>"
 
     def links(self, low: int, high: int) -> str:
@@ -100,7 +126,7 @@ class PageWriter:
 
     def article(self) -> str:
         def block() -> str:
-            text = self.words(*self.pick((2, 12), (15, 60), (40, 160), (60, 250)), mark=True)
+            text = self.words(*self.pick((1, 3), (2, 12), (15, 60), (40, 160), (60, 250)), mark=True)
             if self.chance(0.15):
                 text = f'{text} <a href="#">{self.words(1, 4, True)}</a> {self.words(2, 20, True)}'
             if self.chance(0.15):
@@ -122,12 +148,13 @@ class PageWriter:
         after = "".join(f() for f in (self.share, self.related, self.comments) if self.chance(0.12))
         inner = "".join(parts) + after
         names = ("article", "content", "post", "entry-content", "story-body", "main-content", "article-body")
-        return self.pick(*[self.element("article", inner, names, 0.3)] * 5, self.element("main", inner, names, 0.3), self.element("div", inner, names, 0.9), self.element("section", inner, names, 0.9), self.element("main", self.element("article", inner), names, 0.3))
+        plain = self.element(self.pick("div", "div", "section"), inner, names if self.chance(0.7) else (self.made_up(),), 0.9, 0.35)
+        return self.pick(*[self.element("article", inner, names, 0.3)] * 4, self.element("main", inner, names, 0.3), *[plain] * 4, self.element("main", self.element("article", inner), names, 0.3))
 
     def page(self) -> str:
         before = [f() for f, p in ((self.notice, 0.2), (self.header, 0.4), (self.menu, 0.7), (self.search, 0.15), (self.advert, 0.5), (self.sidebar, 0.15)) if self.chance(p)]
         after = [f() for f, p in ((self.advert, 0.25), (self.share, 0.2), (self.related, 0.25), (self.comments, 0.35), (self.sidebar, 0.35), (self.form, 0.2), (self.footer, 0.85), (self.notice, 0.2)) if self.chance(p)]
-        body = "".join(before) + self.article() + "".join(after)
+        body = "".join(before) + (self.article() if self.chance(0.97) else "") + "".join(after)
         if self.chance(0.35):
             body = self.element("div", body, ("page", "wrapper", "container", "site", "layout"))
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title></head><body>{body}" + ("</body></html>" if self.chance(0.9) else "")
@@ -146,14 +173,28 @@ def training_pages(n: int, seed: int) -> tuple[list[Page], list[np.ndarray]]:
     return pages, labels
 
 
-def train_extractor(*, pages: int = 700, trees: int = 40, depth: int = 5, seed: int = 11) -> Forest:
+@dataclass(frozen=True)
+class Extractor:
+    """Trees, and what was learnt of attribute words."""
+
+    forest: Forest
+    odds: dict[str, float]
+
+
+@lru_cache(maxsize=4)
+def train_extractor(*, pages: int = 1200, trees: int = 40, depth: int = 5, seed: int = 11) -> Extractor:
+    """Fitted once for each process and set of parameters."""
     made, labels = training_pages(pages, seed)
-    return fit_forest(features(made), np.concatenate(labels).astype(float), trees=trees, depth=depth)
+    odds = word_odds(made, labels)
+    return Extractor(fit_forest(features(made, odds), np.concatenate(labels).astype(float), trees=trees, depth=depth), odds)
+
 
+def decode(page: Page, margins: list[float], lean: float = 0.0) -> list[bool]:
+    """Which nodes are kept: the set of the greatest sum of margins in which nothing is kept below what is dropped.
 
-def decode(page: Page, margins: list[float]) -> list[bool]:
-    """Which nodes are kept: the set of the greatest sum of margins in which nothing is kept below what is dropped."""
-    gain = list(margins)
+    ``lean`` is added to each margin: how much worse it is to drop a part of the article than to keep a part of the rest.
+    """
+    gain = [m + lean for m in margins]
     for i in range(len(gain) - 1, 0, -1):
         if gain[i] > 0:
             gain[page.parent[i]] += gain[i]
@@ -163,29 +204,29 @@ def decode(page: Page, margins: list[float]) -> list[bool]:
     return kept
 
 
-def main_texts(sources: list[str | None], forest: Forest) -> list[str]:
+def main_texts(sources: list[str | None], model: Extractor) -> list[str]:
     """The kept runs of each page, joined by one space in page order."""
     pages = [parse(s) for s in sources]
     if not pages:
         return []
-    margins, out, at = forest.margins(features(pages)).tolist(), [], 0
+    margins, out, at = model.forest.margins(features(pages, model.odds)).tolist(), [], 0
     for page in pages:
-        kept = decode(page, margins[at : at + len(page.parent)])
+        kept = decode(page, margins[at : at + len(page.parent)], LEAN)
         at += len(page.parent)
         out.append(" ".join(t for t, k in zip(page.text, kept) if k and t))
     return out
 
 
-def extract_main_text(pages: DataFrame, forest: Forest | None = None, *, together: int = 256, chars: int = 2_000_000) -> DataFrame:
+def extract_main_text(pages: DataFrame, model: Extractor | None = None, *, together: int = 256, chars: int = 2_000_000) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``page_id, url, html``; other columns are ignored.
 
     Null or empty html, and html without an article, give an empty text.  Rows that share a page_id are each extracted.
     Whole pages are parsed, whatever their length.  An empty table gives an empty result.
     """
-    broadcast = pages.sparkSession.sparkContext.broadcast(forest or train_extractor())  # of a fixed size: trees and depth
+    broadcast = pages.sparkSession.sparkContext.broadcast(model or train_extractor())  # of a fixed size: trees, depth and words of training pages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = broadcast.value
+        model = broadcast.value
         for batch in batches:
             sources = batch.column(2).to_pylist()
             a = 0
@@ -194,7 +235,7 @@ def extract_main_text(pages: DataFrame, forest: Forest | None = None, *, togethe
                 while b < len(sources) and b - a < together and (b == a or held < chars):
                     held += len(sources[b] or "")
                     b += 1
-                texts = main_texts(sources[a:b], forest)
+                texts = main_texts(sources[a:b], model)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
                 a = b
 

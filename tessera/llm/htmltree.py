@@ -32,27 +32,14 @@ KINDS: dict[str, str] = {
     "quote": "blockquote pre",
     "control": "button option",
 }
-#: Words in class, id, role and itemprop by what such elements hold.
-TOKENS: dict[str, str] = {
-    "t_nav": "nav navbar menu navigation breadcrumb breadcrumbs pagination pager tabs toolbar menubar topnav",
-    "t_head": "header masthead topbar banner logo brand hero",
-    "t_foot": "footer copyright legal colophon contentinfo imprint",
-    "t_side": "sidebar aside widget widgets rail secondary complementary side",
-    "t_ad": "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion promoted",
-    "t_notice": "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup paywall disclaimer message toast",
-    "t_share": "share sharing social follow related recommended recommendations teaser teasers trending tags tagcloud",
-    "t_form": "form search searchbox login register contact signin poll survey",
-    "t_comment": "comment comments commentlist reply replies respond discussion disqus feedback responses",
-    "t_content": "article content post entry story main body text maincontent articlebody prose blog",
-}
-_WITHOUT_PROSE = "script|style|noscript|template|svg|iframe|object|canvas|audio|video|textarea|select|title"
+#: What the contract leaves out wherever it stands: scripts, styles, parts of forms, and what is no page content.
+_WITHOUT_PROSE = "script|style|noscript|template|iframe|textarea|select|title"
 #: Those whose content HTML takes as text up to the end tag, or to the end of the page without one.
 _TEXT_ONLY = frozenset("script style textarea title iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _KIND_OF = {tag: i for i, (kind, tags) in enumerate(KINDS.items()) for tag in tags.split()}
 _RUN = len(KINDS)
-_TOKEN_OF = {word: _RUN + 1 + i for i, (kind, words) in enumerate(TOKENS.items()) for word in words.split()}
-MASK_BITS = _RUN + 1 + len(TOKENS)
+MASK_BITS = _RUN + 1
 #: For each element, which open elements a start tag ends, and which bound the search for them.
 _ENDS = {
     **dict.fromkeys(("li",), (("li",), ("ul", "ol", "menu"))),
@@ -74,18 +61,14 @@ _MARKUP = re.compile(
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.IGNORECASE) for name in _WITHOUT_PROSE.split("|")}
 _NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_known_attributes: dict[str, int] = {}
+_known_attributes: dict[str, tuple[str, ...]] = {}
 
 
-def attribute_mask(attrs: str) -> int:
+def attribute_words(attrs: str) -> tuple[str, ...]:
+    """Words of class, id, role and itemprop, in small letters."""
     found = _known_attributes.get(attrs)
     if found is None:
-        found = 0
-        for value in _NAMES.findall(attrs):
-            for word in _WORDS.findall(value):
-                bit = _TOKEN_OF.get(word.lower())
-                if bit is not None:
-                    found |= 1 << bit
+        found = tuple(dict.fromkeys(w.lower() for value in _NAMES.findall(attrs) for w in _WORDS.findall(value))) if attrs else ()
         if len(_known_attributes) > 20_000:
             _known_attributes.clear()
         if len(attrs) < 500:
@@ -105,9 +88,10 @@ class Page:
     place: list[int] = field(default_factory=list)
     kids: list[int] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
+    words: list[tuple[str, ...]] = field(default_factory=list)
     text: list[str | None] = field(default_factory=list)
 
-    def add(self, parent: int, mask: int, text: str | None = None, linked: int = 0) -> int:
+    def add(self, parent: int, mask: int, text: str | None = None, linked: int = 0, words: tuple[str, ...] = ()) -> int:
         i = len(self.parent)
         top = parent < 0
         self.parent.append(parent)
@@ -120,6 +104,7 @@ class Page:
             self.kids[parent] += 1
         self.kids.append(0)
         self.linked.append(linked)
+        self.words.append(words)
         self.text.append(text)
         return i
 
@@ -162,8 +147,6 @@ def parse(source: str | None) -> Page:
         name = m["raw"]
         if name:
             name = name.lower()
-            if name == "svg" and (m["raw_attrs"] or "").endswith("/"):
-                continue
             ended = None if name in unended else _RAW_END[name].search(source, last)
             if ended:
                 last = ended.end()
@@ -211,8 +194,7 @@ def parse(source: str | None) -> Page:
                 break
             if node >= 0 and (tag in bounds or not bounds):
                 break
-        own = (1 << (kind if kind is not None else _KIND_OF["div"])) | attribute_mask(attrs)
-        block = page.add(block, own)
+        block = page.add(block, 1 << (kind if kind is not None else _KIND_OF["div"]), words=attribute_words(attrs))
         stack.append((name, block))
     if last < len(source):
         buffer.append(source[last:])
@@ -222,7 +204,36 @@ def parse(source: str | None) -> Page:
     return page
 
 
-def features(pages: list[Page]) -> np.ndarray:
+def word_odds(pages: list[Page], labels: list[np.ndarray], *, least: int = 8, prior: float = 4.0) -> dict[str, float]:
+    """For each attribute word of ``least`` nodes or more, its log-odds of standing on a node that holds article text,
+    against those of all nodes with such words; ``prior`` nodes of average odds draw rare words toward zero."""
+    counts: dict[str, list[int]] = {}
+    total = [0, 0]
+    for page, own in zip(pages, labels):
+        for words, yes in zip(page.words, own.tolist()):
+            for w in words:
+                counts.setdefault(w, [0, 0])[yes] += 1
+                total[yes] += 1
+    share = total[1] / max(1, sum(total))
+    base = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
+    return {w: float(np.log((y + prior * share) / (n + prior * (1 - share))) - base) for w, (n, y) in counts.items() if n + y >= least}
+
+
+def _named(page: Page, odds: dict[str, float]) -> list[tuple[float, float, float, float]]:
+    """For each node the least and greatest odds of its own words, and of those of all nodes above; 0 for unknown words."""
+    made: list[tuple[float, float, float, float]] = []
+    for words, parent in zip(page.words, page.parent):
+        known = [odds.get(w, 0.0) for w in words]
+        low, high = (min(known), max(known)) if known else (0.0, 0.0)
+        if parent < 0:
+            made.append((low, high, 0.0, 0.0))
+        else:
+            above = made[parent]
+            made.append((low, high, min(above[0], above[2]), max(above[1], above[3])))
+    return made
+
+
+def features(pages: list[Page], odds: dict[str, float]) -> np.ndarray:
     """One row for each node of all pages, in order."""
     sizes = np.array([len(p.parent) for p in pages])
     first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -250,7 +261,10 @@ def features(pages: list[Page]) -> np.ndarray:
     ratio = lambda a, b: a / np.maximum(b, 1)
     bits = np.arange(MASK_BITS)
     seen = [below((mask >> _KIND_OF[t]) & 1) > 0 for t in ("article", "main", "nav", "form")]
+    named = np.array([x for p in pages for x in _named(p, odds)], np.float32)
     parts = [
+        named,
+        named[parent, :2],
         (mask[:, None] >> bits) & 1,
         (above[:, None] >> bits) & 1,
         (mask[parent][:, None] >> bits) & 1,
@@ -260,6 +274,7 @@ def features(pages: list[Page]) -> np.ndarray:
             np.log1p(all_chars), np.log1p(all_words), ratio(all_links, all_chars), ratio(all_marks, all_words), ratio(all_chars, nodes), ratio(all_chars, runs),
             depth, place, kids[parent], ratio(place, kids[parent]), np.log1p(nodes), paragraphs, headings, all_chars / whole, started / whole, np.log1p(all_chars[parent]),
             ratio(all_links[parent], all_chars[parent]), ratio(all_chars, all_chars[parent]), ratio(paragraphs, nodes),
+            *(x for at in (parent, parent[parent]) for x in (all_chars[at] / whole, paragraphs[at], headings[at], ratio(all_marks[at], all_words[at]))), ratio(all_links[parent[parent]], all_chars[parent[parent]]),
         ], axis=1),
     ]
     return np.concatenate([p.astype(np.float32) for p in parts], axis=1)

@@ -2,8 +2,8 @@
 
 Lengths go from 1 to the capacity, so the histogram is of a fixed size however many documents there are, and the whole
 plan is made from it: patterns of up to four length classes that fill a sequence are enumerated, their repeat counts are
-fitted to the class histogram by non-negative least squares, the counts are rounded, each pattern is filled with exact
-lengths (the last document being the best fit for the room left), and what remains is packed by decreasing best fit.
+fitted to the class histogram by non-negative least squares, the counts are rounded, each pattern is filled with lengths
+of its classes that come to the capacity exactly, and what remains is packed by decreasing best fit.
 A plan says, for a length and a rank among the pieces of that length, which sequence and place it goes to.
 
 Ranks come from running counts inside each written part plus the counts of the parts before it, so no length, however
@@ -96,6 +96,39 @@ class Lengths:
                 self.sorted.remove(length)
         return repeats
 
+    def of_pattern(self, pattern: tuple[int, ...], width: int, capacity: int, tries: int = 4000) -> list[int] | None:
+        """Lengths that fill the capacity exactly, one of each class of the pattern but for the last, which is any that fits.
+
+        Longer ones are tried first, and no more than ``tries`` choices.  Very short ones are not the last: they are left for
+        the residuals, which they fill.
+        """
+        chosen: list[int] = []
+        used: Counter = Counter()
+
+        def choose(k: int, room: int) -> bool:
+            nonlocal tries
+            if k == len(pattern) - 1:
+                if room < capacity // 16 or self.left.get(room, 0) <= used[room]:
+                    return False
+                chosen.append(room)
+                return True
+            at = bisect_right(self.sorted, min(pattern[k] * width, room - 1)) - 1
+            while at >= 0 and self.sorted[at] > (pattern[k] - 1) * width and tries > 0:
+                length = self.sorted[at]
+                at -= 1
+                tries -= 1
+                if used[length] >= self.left[length]:
+                    continue
+                chosen.append(length)
+                used[length] += 1
+                if choose(k + 1, room - length):
+                    return True
+                chosen.pop()
+                used[length] -= 1
+            return False
+
+        return chosen if choose(0, capacity) else None
+
     def fill(self, head: list[int], capacity: int) -> list[int]:
         """``head`` and then, again and again, the best fit for the room left."""
         content, used, room = list(head), Counter(head), capacity - sum(head)
@@ -124,23 +157,10 @@ def plan_sequences(histogram: dict[int, int], capacity: int, *, classes: int = 6
     # patterns of large documents first, as small ones fit anywhere
     for j in sorted(np.flatnonzero(np.rint(fitted) > 0), key=lambda j: patterns[j], reverse=True):
         repeats = int(np.rint(fitted[j]))
-        while repeats > 0:
-            head, used, room = [], Counter(), capacity
-            for c in patterns[j][:-1]:
-                length = lengths.largest(min(c * width, room), used)
-                if length is None or length <= (c - 1) * width:
-                    break
-                head.append(length)
-                used[length] += 1
-                room -= length
-            else:
-                content = lengths.fill(head, capacity)
-                # a pattern is repeated while exact lengths fill it; short of that, its documents do better as residuals
-                if sum(content) == capacity and (n := lengths.take(content, repeats)):
-                    plan.append((content, n))
-                    repeats -= n
-                    continue
-            break
+        while repeats > 0 and (content := lengths.of_pattern(patterns[j], width, capacity)):
+            n = lengths.take(content, repeats)
+            plan.append((content, n))
+            repeats -= n
     while lengths.sorted:  # residuals: the largest that is left, then best fits
         content = lengths.fill([lengths.sorted[-1]], capacity)
         plan.append((content, lengths.take(content, 1 << 62)))

@@ -38,27 +38,28 @@ class QueryBlock:
         term = np.concatenate([np.arange(n) for n in sizes])
         kept = np.flatnonzero(weight)
         order = kept[np.argsort(term[kept], kind="stable")]
-        self.q, self.weight, term = q[order], weight[order].astype(kind), term[order]
-        self.terms, first = np.unique(term, return_index=True)
-        self.ends = np.append(first, len(term))
+        self.terms = postings(term[order], q[order], weight[order].astype(kind), len(rows))
         self.scores: list[np.ndarray] = [np.zeros(0, np.int64) for _ in rows]
         self.ids: list[np.ndarray] = [np.zeros(0, np.int64) for _ in rows]
+        self.least = np.full(len(rows), np.iinfo(np.int64).min)  # what a candidate needs to be among the best
 
-    def meet(self, rows: np.ndarray, ids: np.ndarray, postings: dict[int, tuple[np.ndarray | None, np.ndarray]]) -> None:
+    def meet(self, rows: np.ndarray, ids: np.ndarray, found: dict[int, tuple[np.ndarray | None, np.ndarray]]) -> None:
         """Scatters each term's weighted postings into one dense array of scores for each query, and keeps the best."""
         scores = np.zeros((len(self.query), len(ids)), self.kind)
-        for term, a, b in zip(self.terms.tolist(), self.ends, self.ends[1:]):
-            if term in postings:
-                at, weight = postings[term]
-                found = self.weight[a:b, None] * weight
-                if at is None and b - a == len(scores):
-                    scores += found
+        room = np.empty_like(scores)
+        for term, (q, own) in self.terms.items():
+            if term in found:
+                at, weight = found[term]
+                some = np.multiply(own[:, None], weight, out=room[: len(own), : len(weight)])
+                if q is None and at is None:
+                    scores += some
                 elif at is None:
-                    scores[self.q[a:b]] += found
+                    scores[q] += some
                 else:
-                    scores[np.ix_(self.q[a:b], at)] += found
-        for q, (row, mine) in enumerate(zip(self.row.tolist(), scores)):
-            taking = np.flatnonzero((rows != row) if len(self.ids[q]) < self.k else (mine >= self.scores[q][-1]) & (rows != row))
+                    scores[np.ix_(np.arange(len(scores)) if q is None else q, at)] += some
+        for q in np.flatnonzero(scores.max(axis=1) >= self.least).tolist():
+            mine = scores[q]
+            taking = np.flatnonzero((mine >= self.least[q]) & (rows != self.row[q]))
             if len(taking) > 4 * self.k:
                 least = np.partition(mine[taking], len(taking) - self.k)[len(taking) - self.k]
                 taking = taking[mine[taking] >= least]
@@ -66,23 +67,39 @@ class QueryBlock:
                 s, i = np.append(self.scores[q], mine[taking]), np.append(self.ids[q], ids[taking])
                 best = np.lexsort((i, -s))[: self.k]
                 self.scores[q], self.ids[q] = s[best], i[best]
+                if len(best) == self.k:
+                    self.least[q] = s[best[-1]]
+
+
+def postings(term: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int) -> dict[int, tuple[np.ndarray | None, np.ndarray]]:
+    """For each term, in whose order the arrays are, the rows that have it and its weights.
+
+    A term that a quarter of the ``n`` rows have gets a weight for all of them, zeros too, and None for the rows: adding
+    in place is faster than scattering.
+    """
+    terms, first = np.unique(term, return_index=True)
+    cuts, made = np.append(first, len(term)), {}
+    for t, a, b in zip(terms.tolist(), cuts, cuts[1:]):
+        if 4 * (b - a) < n:
+            made[t] = row[a:b], weight[a:b]
+        else:
+            every = np.zeros(n, weight.dtype)
+            every[row[a:b]] = weight[a:b]
+            made[t] = None, every
+    return made
 
 
 def postings_of(whole: pa.ListArray, kind: type) -> dict[int, tuple[np.ndarray | None, np.ndarray]]:
-    """For each term, the rows that have it (None for all of them) and its weights."""
     ends = whole.offsets.to_numpy().astype(np.int64)
     values = whole.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
     sizes, ends = np.diff(ends), ends - ends[0]
     term = np.arange(len(values)) - np.repeat(ends[:-1], sizes)
     kept = np.flatnonzero(values)
     order = kept[np.argsort(term[kept], kind="stable")]
-    row, weight = np.repeat(np.arange(len(sizes)), sizes)[order], values[order].astype(kind)
-    terms, first = np.unique(term[order], return_index=True)
-    cuts = np.append(first, len(order))
-    return {t: (None if b - a == len(sizes) else row[a:b], weight[a:b]) for t, a, b in zip(terms.tolist(), cuts, cuts[1:])}
+    return postings(term[order], np.repeat(np.arange(len(sizes)), sizes)[order], values[order].astype(kind), len(sizes))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, query_block: int = 256, together: int = 1 << 26) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, query_block: int = 32, block: int = 4096, together: int = 1 << 26) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` candidates of the highest inner product with each row of ``queries``.
 
     Both tables have ``vec_id`` and ``whole`` (arrays of whole numbers, missing components count as zero) and may have
@@ -116,13 +133,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, query_block: in
             rows = list(zip(columns[1], range(table.num_rows), columns[3]))
             blocks = [QueryBlock(rows[i : i + query_block], k, kind) for i in range(0, len(rows), query_block)]
             for batch in batches:
-                postings = postings_of(batch.column(2), kind)
-                for block in blocks:
-                    block.meet(batch.column(0).to_numpy(), batch.column(1).to_numpy(), postings)
-            for block in blocks:
-                at = np.repeat(block.query, [len(x) for x in block.ids])
+                for at in range(0, batch.num_rows, block):  # small enough for a block of scores to stay in a core's cache
+                    row, vec_id, whole = (c.slice(at, block) for c in batch.columns)
+                    found = postings_of(whole, kind)
+                    for some in blocks:
+                        some.meet(row.to_numpy(), vec_id.to_numpy(), found)
+            for some in blocks:
+                at = np.repeat(some.query, [len(x) for x in some.ids])
                 out = [pa.array([columns[j][i] for i in at.tolist()], pa.int64()) for j in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate(block.ids)), pa.array(np.concatenate(block.scores).astype(np.int64))], names=["q", "query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate(some.ids)), pa.array(np.concatenate(some.scores).astype(np.int64))], names=["q", "query_id", "vec_id", "score"])
 
         found = vectors.select(*columns).mapInArrow(search, "q long, query_id long, vec_id long, score long")
         winners.append(found if parts == 1 else scratch.write(found, "winners"))

@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import queries
-from tessera.llm.chat import CONTROLS, escape, format_conversations, read_conversations, read_turns, unescape
+from tessera.llm.chat import CONTROLS, escape, format_conversations, read_conversations, read_turns, token_counts, unescape, written_turn
+from tessera.llm.tokens import tokenizer_path
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 PIECES = st.lists(st.sampled_from([*CONTROLS, "\\", "<", "s>", "[", "TEXT]", " ", "\n", "x", "é😀"]), max_size=12).map("".join)
@@ -37,12 +38,16 @@ def conversations():
 
 @pytest.mark.parametrize(("budget", "history"), [(50, 2), (50, 0), (10_000, 3), (1, 1)])
 def test_windows(spark, budget, history):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(tokenizer_path())
     rows = conversations()
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS window").repartition(3)
     windows = format_conversations(df, budget=budget, history=history)
     for w in windows.collect():
         turns = read_turns(w.formatted)
         new = turns[w.repeated :]
+        assert w.n_tokens == len(tool.encode(w.formatted, add_special_tokens=False).ids)
         assert new and (w.n_tokens <= budget or len(new) == 1 or w.over_budget)
         assert w.repeated <= history + 1
         if w.conv_id == 1:
@@ -66,6 +71,20 @@ def test_budget_is_kept_by_turns_that_fit(spark):
     assert format_conversations(df.limit(0)).collect() == [] and read_conversations(format_conversations(df.limit(0))).collect() == []
 
 
+def test_spans_are_the_longest_that_fit(spark):
+    """Each window but the last ends where one more turn would be over the budget, the repeated system turn counted."""
+    rows = [(1, 0, "system", "be kind")] + [(1, i, ("user", "assistant")[i % 2], "word " * (i * 5 % 17)) for i in range(1, 40)]
+    windows = sorted(format_conversations(spark.createDataFrame(rows, SCHEMA), budget=100, history=0).collect(), key=lambda w: w.window)
+    tokens = token_counts(["".join(written_turn(r, t)) + " </s>\n" for _, _, r, t in rows], tokenizer_path())
+    at = 0
+    for w in windows:
+        n = len(w.loss_start) + sum(r != "assistant" for r, *_ in read_turns(w.formatted)[w.repeated :])
+        room = 100 - (tokens[0] if w.window else 0)
+        assert w.first_turn == at and sum(tokens[at : at + n]) <= room < sum(tokens[at : at + n + 1]) + room * (at + n == len(rows))
+        at += n
+    assert at == len(rows) and len(windows) > 3
+
+
 def test_query(spark, sf_dir):
     by = {-1: [(r, "</s>[INST] ok [/INST]") for r in ("user", "assistant")]}
     for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").orderBy("conv_id", "turn").collect():

@@ -2,18 +2,18 @@ import time
 
 import pytest
 
-from tessera.llm.extract import main_texts, train_extractor
-from tessera.llm.htmltree import parse
+from tessera.llm.extract import LEAN, decode, main_texts, train_extractor, training_pages
+from tessera.llm.htmltree import features, parse
 
 
 @pytest.mark.parametrize(
     ("source", "want"),
     [
         ("<article><p>One <svg class=i/> two.</p><p>three</p></article>", ["One two.", "three"]),
-        ("<p>a<svg viewBox='0 > 1' />b</p><svg><text>c</text></svg>d", ["ab", "d"]),
+        ("<p>a<svg viewBox='0 > 1' />b</p><svg><title>t</title><text>c</text></svg>d", ["ab", "cd"]),
         ("<svg>never ended<p>x</p>", ["never ended", "x"]),
         ("<video-player></video-player><p>x</p>", ["x"]),
-        ("<style-guide>a</style-guide><p>x</p><video src=v>b</video >y", ["a", "x", "y"]),
+        ("<style-guide>a</style-guide><p>x</p><video src=v>b</video >y", ["a", "x", "by"]),
         ("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["where x=2 holds"]),
         ("<select><option>a</select>b<textarea>c</textarea>d<TITLE>e</title\n>f", ["bdf"]),
         ("a<iframe>b<p>c", ["a"]),
@@ -24,6 +24,32 @@ def test_elements_without_prose(source, want):
     assert [t for t in parse(source).text if t] == want
 
 
+TEXT = "Some words of an article, which go on for a while and say what there is to be said about it, and then they end."
+
+
+@pytest.mark.parametrize("name", ["message-body", "post-tags", "zqx", "qwerty uiop"])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_articles_of_telling_misleading_and_unseen_names(name, tag):
+    page = f"<nav><ul><li><a href=/>Home</a></li><li><a href=/b>About us</a></li></ul></nav><{tag} class='{name}'><h1>Title of it</h1><p>{TEXT}</p><p>{TEXT} Once more.</p><p>{TEXT}</p></{tag}><div class='zzq'><a href=/1>One</a> <a href=/2>Two</a></div><footer>&copy; someone</footer>"
+    assert main_texts([page], train_extractor()) == [f"Title of it {TEXT} {TEXT} Once more. {TEXT}"]
+
+
+@pytest.mark.parametrize("inner", ["<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "<object>x=2</object>", "<svg><text>x=2</text></svg>", "<audio>x=2</audio>"])
+def test_what_else_an_article_holds_stays(inner):
+    page = f"<nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{TEXT}</p><p>It holds that {inner} here, as was said before.</p><p>{TEXT}</p></article>"
+    assert main_texts([page], train_extractor()) == [f"Title {TEXT} It holds that x=2 here, as was said before. {TEXT}"]
+
+
+def test_unseen_pages_and_names():
+    """Pages of another seed, whose made-up names no training page had: four in five come out exactly, though some names mislead."""
+    pages, labels = training_pages(120, 77)
+    model, right = train_extractor(), 0
+    for page, own in zip(pages, labels):
+        kept = decode(page, model.forest.margins(features([page], model.odds)).tolist(), LEAN)
+        right += all(k == o for t, k, o in zip(page.text, kept, own) if t)
+    assert right >= 96
+
+
 def test_many_elements_without_end_take_linear_time():
     before = time.monotonic()
     parse("<svg>x<video>y<object>z" * 50_000)
