@@ -12,7 +12,8 @@ REPEAT_FIELDS = 15
 
 
 def _gtf_fields(lines: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    fields = lines.where(F.col("line").isNotNull() & ~F.startswith(F.col("line"), F.lit("#"))).select("line", F.split("line", "\t").alias("f"))
+    once = lines.select(F.explode(F.array(F.struct("line", F.split("line", "\t").alias("f")))).alias("x"))  # so that a line is split once
+    fields = once.select("x.line", "x.f").where(F.col("line").isNotNull() & ~F.startswith(F.col("line"), F.lit("#")))
     wanted = fields.where((F.size("f") >= 9) & F.get("f", F.lit(2)).isin(*features))
     at = lambda i: F.get("f", F.lit(i))
     return wanted.select(
@@ -69,7 +70,8 @@ def first_transcripts(tx: DataFrame) -> DataFrame:
 
 
 def _repeat_fields(lines: DataFrame) -> DataFrame:
-    return lines.where(F.col("line").isNotNull()).select("line", F.split(F.trim("line"), r"\s+").alias("f"))
+    once = lines.select(F.explode(F.array(F.struct("line", F.split(F.trim("line"), r"\s+").alias("f")))).alias("x"))  # so that a line is split once
+    return once.select("x.line", "x.f").where(F.col("line").isNotNull())
 
 
 def repeats(lines: DataFrame) -> DataFrame:
@@ -130,20 +132,37 @@ def class_frequencies(rows: DataFrame, most: int = 12) -> DataFrame:
 
 
 def transcripts_in_windows(tx: DataFrame, wins: DataFrame, *, width: int = 4096) -> DataFrame:
-    """One row for each transcript and window of the same chromosome; one that starts at the window's end still counts."""
-    joined = interval_join(tx, wins.select("uid", "chrom", "w0", "w1"), width=width, start="txStart", end="txEnd", right_inclusive=True)
-    return joined.dropDuplicates(["uid", "name", "chrom", "txStart"])
+    """One row for each transcript and window of the same chromosome; one that starts at the window's end still counts.
+
+    Bounds alone go through the interval join; exons are attached to what it leaves.
+    """
+    key = ["name", "chrom", "txStart"]
+    once = wins.select("uid", "chrom", "w0", "w1").dropDuplicates(["uid", "chrom", "w0", "w1"])
+    bounds = interval_join(tx.select(*key, "txEnd").distinct(), once, width=width, start="txStart", end="txEnd", right_inclusive=True)
+    placed = bounds.dropDuplicates(["uid", *key]).select("uid", *key, "w0", "w1")
+    return placed.join(first_transcripts(tx), key).select("uid", *tx.columns, "w0", "w1")
 
 
 def gene_models(placed: DataFrame) -> DataFrame:
     """Isoforms of one gene label and entity as one row; only exons inside the window count, strictly.
 
-    ``uid, gene, n_isoforms, start0, end0, strand, n_exons`` and ``intron_only`` if no exon lies in the window.
+    ``uid, gene, n_isoforms, start0, end0, strand, exons`` (the union of the isoforms' exons in the window, touching ones
+    merged, by start), ``n_exons`` of it, and ``intron_only`` if no exon lies in the window.
     """
     inside = F.filter(F.arrays_zip("exonStarts", "exonEnds"), lambda x: (x["exonEnds"] > F.col("w0")) & (x["exonStarts"] < F.col("w1")))
-    shown = placed.where((F.col("txStart") < F.col("w1")) & (F.col("txEnd") > F.col("w0"))).withColumn("n_in", F.size(inside))
+    shown = placed.where((F.col("txStart") < F.col("w1")) & (F.col("txEnd") > F.col("w0"))).withColumn("inside", inside)
     head = F.min(F.struct("txStart", "txEnd", "name", "strand"))
     made = shown.groupBy("uid", F.coalesce("name2", "name").alias("gene")).agg(
-        F.count("*").alias("n_isoforms"), F.min("txStart").alias("start0"), F.max("txEnd").alias("end0"), head["strand"].alias("strand"), F.sum("n_in").alias("n_exons")
+        F.count("*").alias("n_isoforms"), F.min("txStart").alias("start0"), F.max("txEnd").alias("end0"), head["strand"].alias("strand"), F.array_sort(F.flatten(F.collect_set("inside"))).alias("all")
+    )
+    # exons in order of their starts: each either reaches into the last of the union or is its next
+    joined = F.aggregate(
+        "all",
+        F.array().cast("array<struct<start0: bigint, end0: bigint>>"),
+        lambda done, x: F.when(
+            (F.size(done) > 0) & (x["exonStarts"] <= F.element_at(done, -1)["end0"]),
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start0"].alias("start0"), F.greatest(F.element_at(done, -1)["end0"], x["exonEnds"]).alias("end0")))),
+        ).otherwise(F.concat(done, F.array(F.struct(x["exonStarts"].alias("start0"), x["exonEnds"].alias("end0"))))),
     )
-    return made.withColumn("intron_only", F.col("n_exons") == 0)
+    models = made.withColumn("exons", joined).drop("all").withColumn("n_exons", F.size("exons").cast("long"))
+    return models.withColumn("intron_only", F.col("n_exons") == 0)

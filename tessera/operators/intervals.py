@@ -33,16 +33,6 @@ def _floor(x: Column, width: int) -> Column:
     return F.floor(x / F.lit(width)).cast("long")
 
 
-def _binned(left: DataFrame, right: DataFrame, key: str, width: int, names: tuple[str, str, str, str], right_inclusive: bool) -> DataFrame:
-    start, end, w0, w1 = (F.col(n) for n in names)
-    last = F.greatest(end - 1, start)
-    reach = w1 if right_inclusive else F.greatest(w1 - 1, w0)
-    a = left.withColumn("_bin", F.explode(F.sequence(_floor(start, width), _floor(last, width))))
-    b = right.withColumn("_bin", F.explode(F.sequence(_floor(w0, width), _floor(F.greatest(reach, w0), width))))
-    met = a.join(b, [key, "_bin"]).where(overlaps(start, end, w0, w1, right_inclusive))
-    return met.where(_floor(F.greatest(start, w0), width) == F.col("_bin")).drop("_bin")  # a pair counts in the first bin they share
-
-
 def interval_join(
     features: DataFrame,
     wins: DataFrame,
@@ -57,22 +47,29 @@ def interval_join(
 ) -> DataFrame:
     """Each overlapping pair of a feature and a window once.
 
-    Both sides are cut into bins of ``width`` and joined on (key, bin), so one crowded key is spread over its bins.
-    Intervals of over ``LONG`` bins would be repeated too often; they are joined on wider bins, if there are any.
+    Both sides are cut into bins of ``width`` and joined on (key, grid, bin), so one crowded key is spread over its bins.
+    Intervals of over ``LONG`` bins would be repeated too often: pairs in which one is so long meet on grids of bins
+    ``COARSE`` times as wide, one grid for long windows beside short features and one for long features.  Which grids a
+    row is on is decided row by row, so one join serves all and nothing is counted while the plan is built.
     Apart from ``key`` the two sides may not share column names.
     """
-    names = (start, end, w0, w1)
-    run = lambda a, b, size: _binned(a, b, key, size, names, right_inclusive)
-    limit = LONG * width
-    a_length, b_length = F.col(end) - F.col(start), F.col(w1) - F.col(w0)
-    a_long = (features.agg(F.max(a_length)).first()[0] or 0) > limit
-    b_long = (wins.agg(F.max(b_length)).first()[0] or 0) > limit
-    if not (a_long or b_long):
-        return run(features, wins, width)
-    a_short, b_short = features.where(a_length <= limit), wins.where(b_length <= limit)
-    joined = run(a_short, b_short, width)
-    joined = joined.unionByName(run(features.where(a_length > limit), wins, width * COARSE))
-    return joined.unionByName(run(a_short, wins.where(b_length > limit), width * COARSE))
+    limit, wide = LONG * width, COARSE * width
+    last = F.greatest(F.col(end) - 1, F.col(start))
+    reach = F.greatest(F.col(w1) if right_inclusive else F.col(w1) - 1, F.col(w0))
+    long_feature, long_window = F.col(end) - F.col(start) > limit, F.col(w1) - F.col(w0) > limit
+
+    def bins(grid: int, low: Column, high: Column, size: int) -> Column:
+        return F.transform(F.sequence(_floor(low, size), _floor(high, size)), lambda b: F.struct(F.lit(grid).alias("grid"), b.alias("bin")))
+
+    of_feature = F.when(long_feature, bins(2, F.col(start), last, wide)).otherwise(F.concat(bins(0, F.col(start), last, width), bins(1, F.col(start), last, wide)))
+    of_window = F.concat(F.when(long_window, bins(1, F.col(w0), reach, wide)).otherwise(bins(0, F.col(w0), reach, width)), bins(2, F.col(w0), reach, wide))
+    whole = F.col(start).isNotNull() & F.col(end).isNotNull()
+    a = features.where(whole).withColumn("_at", F.explode(of_feature)).withColumns({"_grid": F.col("_at.grid"), "_bin": F.col("_at.bin")}).drop("_at")
+    b = wins.withColumn("_at", F.explode(of_window)).withColumns({"_grid": F.col("_at.grid"), "_bin": F.col("_at.bin")}).drop("_at")
+    size = F.when(F.col("_grid") == 0, width).otherwise(wide)
+    met = a.join(b, [key, "_grid", "_bin"]).where(overlaps(F.col(start), F.col(end), F.col(w0), F.col(w1), right_inclusive))
+    first = F.floor(F.greatest(F.col(start), F.col(w0)) / size).cast("long") == F.col("_bin")
+    return met.where(first).drop("_grid", "_bin")  # a pair counts in the first bin it shares
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str = "start0", end: str = "end0") -> DataFrame:
@@ -97,9 +94,31 @@ def merge_dense_intervals(df: DataFrame, key: str = "chrom", *, width: int = 1 <
     return islands.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("_n").alias("n")).drop("_island")
 
 
-def running_end(df: DataFrame, keys: list[str], w0: str = "w0", w1: str = "w1") -> DataFrame:
-    """Adds ``reach``: the largest end up to here, by start."""
-    return df.withColumn("reach", F.max(w1).over(Window.partitionBy(*keys).orderBy(w0, w1).rowsBetween(Window.unboundedPreceding, 0)))
+def running_end(df: DataFrame, key: str, w0: str = "w0", w1: str = "w1", *, width: int = 1 << 20) -> DataFrame:
+    """Adds ``reach``: the largest end up to here, by start.
+
+    The maximum runs inside bins of ``width`` of the start; what the bins before reach is a running maximum over bins, of
+    which there is one row each, so a crowded key is never sorted in one task.
+    """
+    binned = df.withColumn("_bin", _floor(F.col(w0), width))
+    most = binned.groupBy(key, "_bin").agg(F.max(w1).alias("_most"))
+    before = F.max("_most").over(Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    carried = most.select(key, "_bin", before.alias("_before"))
+    inside = F.max(w1).over(Window.partitionBy(key, "_bin").orderBy(w0, w1).rowsBetween(Window.unboundedPreceding, 0))
+    return binned.withColumn("_inside", inside).join(carried, [key, "_bin"]).withColumn("reach", F.greatest("_inside", "_before")).drop("_bin", "_inside", "_before")
+
+
+def covered(features: DataFrame, wins: DataFrame, by: tuple[str, ...] = (), *, start: str = "start0", end: str = "end0", right_inclusive: bool = False) -> DataFrame:
+    """The distinct ``uid`` (and ``by``) of windows that any feature (of the same ``by``) overlaps, without making the pairs.
+
+    Features are merged into islands first, which meet the same windows: a window that meets an island meets the
+    feature that holds the first position of it inside the window.
+    """
+    grouped = features.select(*(F.col(c).alias(f"_{c}") for c in by), "chrom", F.col(start).alias("start0"), F.col(end).alias("end0"))
+    named = grouped.withColumn("_place", F.struct("chrom", *(f"_{c}" for c in by)))
+    islands = merge_dense_intervals(named.select("_place", "start0", "end0"), "_place").select("_place.*", "start0", "end0")
+    met = interval_join(islands, wins.select("uid", "chrom", "w0", "w1"), right_inclusive=right_inclusive)
+    return met.select("uid", *(F.col(f"_{c}").alias(c) for c in by)).distinct()
 
 
 def tile_cover(wins: DataFrame, tile: int = 2_000_000) -> DataFrame:

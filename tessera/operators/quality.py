@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_strict_json
@@ -19,14 +19,12 @@ def dangling(refs: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
 
 
 def examples(misses: DataFrame, by: str, value: str, most: int = 3) -> DataFrame:
-    """How many misses each kind has, and its first few values."""
-    return misses.groupBy(by).agg(F.count("*").alias("n_misses"), F.array_join(F.slice(F.sort_array(F.collect_set(value)), 1, most), ",").alias("examples"))
-
-
-def names_by_entity(rows: DataFrame, column: str, alias: str) -> DataFrame:
-    """Distinct names of each entity; null where it has rows but no name."""
-    names = F.array_sort(F.collect_set(column))
-    return rows.groupBy("uid").agg(names.alias(alias))
+    """How many misses each kind has, and its first few values; no more than those are ever gathered for a kind."""
+    counts = misses.groupBy(by).agg(F.count("*").alias("n_misses"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(value))
+    few = misses.select(by, value).distinct().withColumn("_place", place).where(F.col("_place") <= most)
+    listed = few.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(value)), ",").alias("examples"))
+    return counts.join(listed, by, "left").select(by, "n_misses", F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def agreement(expected: DataFrame, built: DataFrame, by: tuple[str, ...] = (), floor: float = 90.0) -> DataFrame:
@@ -95,11 +93,13 @@ def count_check(one: DataFrame, other: DataFrame) -> DataFrame:
 def crosscheck(rows: DataFrame, others: DataFrame, pairs: DataFrame, key: list[str]) -> DataFrame:
     """Of ``rows``: how many ``others`` has exactly (``key``), how many overlap one of the same name, and median shifts of the rest.
 
-    ``pairs`` are overlapping rows of the same name with ``shift``, the difference of their starts.
+    ``pairs`` are overlapping rows of the same name with ``shift``, the difference of their starts.  Each row gets a mark
+    for the one and the smallest shift for the other, and one pass over the marks counts all.
     """
-    exact = rows.join(others.select(*key).distinct(), key, "left_semi")
-    rest = pairs.join(exact.select("row_id"), "row_id", "left_anti").groupBy("row_id").agg(F.min("shift").alias("shift"))
-    near = pairs.select("row_id").distinct()
-    n = lambda df: df.agg(F.count("*")).scalar()
-    shifts = rest.agg(F.count("*").alias("n_shifted"), F.expr("percentile(shift, 0.5)").alias("median_shift"))
-    return shifts.select(n(rows).alias("n_rows"), n(exact).alias("n_exact"), n(near).alias("n_near"), "n_shifted", "median_shift")
+    there = others.select(*key).distinct().withColumn("_exact", F.lit(True))
+    nearest = pairs.groupBy("row_id").agg(F.min("shift").alias("_shift"))
+    marked = rows.join(there, key, "left").join(nearest, "row_id", "left").select(F.coalesce("_exact", F.lit(False)).alias("exact"), F.col("_shift").alias("shift"))
+    moved = ~F.col("exact") & F.col("shift").isNotNull()
+    return marked.agg(
+        F.count("*").alias("n_rows"), F.count_if("exact").alias("n_exact"), F.count("shift").alias("n_near"), F.count_if(moved).alias("n_shifted"), F.percentile(F.when(moved, F.col("shift")), F.lit(0.5)).alias("median_shift")
+    )

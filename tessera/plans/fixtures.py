@@ -20,6 +20,8 @@ UNION ALL SELECT uid, concat('TS-', CAST(k AS STRING)), 'telescope_id', 'r2', 1
 UNION ALL SELECT uid, CAST(k AS STRING), 'hervd_id', 'r2', 1 FROM {fx_entity} WHERE k % 2 = 0
 UNION ALL SELECT uid, CAST(k % 500 AS STRING), 'ervmap_id', 'r2', 1 FROM {fx_entity} WHERE k % 7 = 0
 UNION ALL SELECT uid, concat('K', CAST(k AS STRING), 'R, ERVK-', CAST(k + 1 AS STRING)), 'ervmap_alt_name', 'r2', 1 FROM {fx_entity} WHERE k % 10 = 0
+UNION ALL SELECT uid, concat('HERV-Z', CAST(k AS STRING)), 'ervmap_alt_name', 'r2', 1 FROM {fx_entity} WHERE k % 41 = 0
+UNION ALL SELECT uid, concat('Z', CAST(k - 1 AS STRING)), 'ervmap_alt_name', 'r2', 1 FROM {fx_entity} WHERE k % 41 = 1
 UNION ALL SELECT uid, grp, 'dfam_int_model', 'r2', 1 FROM {fx_entity}
 UNION ALL SELECT uid, concat('DF', CAST(k % 252 AS STRING)), 'dfam_accession', 'r2', 1 FROM {fx_entity}
 UNION ALL SELECT uid, origin, 'repbase_name', 'r2', 1 FROM {fx_entity} WHERE origin IS NOT NULL""",
@@ -36,19 +38,35 @@ SELECT concat('chr', CAST(l_partkey % 5 AS STRING)) AS chrom,
        CAST(floor(l_extendedprice) AS BIGINT) AS sw_score, l_discount * 100 AS pct_div
 FROM {lineitem}""",
     "fx_gtf_line": """
-SELECT concat_ws(chr(9), concat('chr', CAST(l_orderkey % 5 AS STRING)), 'src',
+SELECT concat_ws(chr(9), CASE WHEN l_orderkey % 211 = 0 AND l_linenumber = 3 THEN 'chrX' ELSE concat('chr', CAST(l_orderkey % 5 AS STRING)) END, 'src',
        CASE WHEN l_linenumber = 7 THEN 'transcript' ELSE 'exon' END,
-       CAST(l_partkey * 10 + 1 AS STRING), CAST(l_partkey * 10 + CAST(floor(l_quantity) AS BIGINT) AS STRING), '.',
+       CAST(l_orderkey * 23 + l_linenumber * 150 + l_partkey % 100 + 1 AS STRING),
+       CAST(l_orderkey * 23 + l_linenumber * 150 + l_partkey % 100 + CAST(floor(l_quantity) AS BIGINT) AS STRING), '.',
        CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END, '.',
        concat('gene_id "G', CAST(l_orderkey % 1000 AS STRING), '";',
               CASE WHEN l_orderkey % 19 = 0 THEN '' ELSE concat(' transcript_id "T', CAST(l_orderkey AS STRING), '";') END,
               CASE WHEN l_orderkey % 17 = 0 THEN '' ELSE concat(' gene_name "GENE', CAST(l_orderkey % 1000 AS STRING), '";') END)) AS line
 FROM {lineitem}""",
+    "fx_json": """
+SELECT event_id, CASE WHEN event_id % 97 = 0 THEN '{"share": NaN}' WHEN event_id % 89 = 0 THEN 'no value' ELSE props END AS props
+FROM {events}""",
     "fx_rmsk_line": """
 SELECT concat_ws('  ', CAST(sw_score AS STRING), '10.5', '0.0', '0.0', chrom, CAST(start0 + 1 AS STRING), CAST(end0 AS STRING), '(0)',
        CASE WHEN strand = '-' THEN 'C' ELSE '+' END, rep_name, rep_class_family, '1', '100', '(0)', '7',
        CASE WHEN sw_score % 23 = 0 THEN '*' END) AS line
 FROM {fx_repeat}""",
+    "fx_segment": """
+SELECT uid, concat('seg', CAST(k % 40 AS STRING)) AS rep_name, k * 700 + j * 60 - 1500 AS a, k * 700 + j * 60 - 1500 + 50 AS b
+FROM (SELECT *, 0 AS j FROM {fx_entity} UNION ALL SELECT *, 30 FROM {fx_entity} UNION ALL SELECT *, 55 FROM {fx_entity}) WHERE k % 5 <> 0""",
+    "fx_orf": """
+SELECT uid, CASE WHEN k % 4 = 0 THEN NULL ELSE concat('class', CAST(k % 3 AS STRING)) END AS orf_class, k * 700 + 10 AS a, k * 700 + 400 AS b FROM {fx_entity} WHERE k % 6 = 0""",
+    "fx_domain": """
+SELECT uid, CASE WHEN k % 2 = 0 THEN 'pol' END AS gene, 'a domain' AS domain_desc, k * 700 - 900 AS a, k * 700 - 700 AS b FROM {fx_entity} WHERE k % 3 = 0""",
+    "fx_crossgenome": """
+SELECT uid, CAST(80 + k % 20 AS DOUBLE) AS pct_identity, concat('x', CAST(k % 4 AS STRING)) AS xg_class FROM {fx_entity} WHERE k % 3 <> 1""",
+    "fx_dfam": """
+SELECT uid, concat('DF', CAST(k % 7 AS STRING)) AS consensus_name, k % 100 + 1 AS sw_score FROM {fx_entity} WHERE k % 2 = 0
+UNION ALL SELECT uid, 'DFother', 50 + k % 31 * 3 FROM {fx_entity} WHERE k % 4 = 0 AND k % 100 + 1 <> 50 + k % 31 * 3""",
     "fx_hit_gene": """
 SELECT uid, CASE WHEN k % 3 = 0 THEN 'hg38' ELSE 't2t' END AS genome, CASE WHEN k % 3 = 0 THEN 'gencode' ELSE 'refseq' END AS source,
        CASE WHEN k % 29 = 0 THEN NULL ELSE concat('GENE', CAST(k % 1000 AS STRING)) END AS ref_gene_name
@@ -56,15 +74,26 @@ FROM {fx_entity} WHERE k % 2 = 0""",
 }
 
 
+#: Given tables that views are made of.
+TABLES = ("part", "lineitem", "events")
+
+
+def _plain(text: str) -> str:
+    for v in (*TABLES, *VIEWS):
+        text = text.replace("{" + v + "}", v)
+    return text
+
+
 def _uses(name: str) -> list[str]:
-    return [v for v in ("part", "lineitem", *VIEWS) if "{" + v + "}" in VIEWS[name]]
+    return [v for v in (*TABLES, *VIEWS) if "{" + v + "}" in VIEWS[name]]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the tables of ``sf_dir``; nothing is registered."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(VIEWS[name], **{u: view(spark, sf_dir, u) for u in _uses(name)})
+    text = VIEWS[name].replace('{"share": NaN}', '{{"share": NaN}}')  # braces that name no table
+    return spark.sql(text, **{u: view(spark, sf_dir, u) for u in _uses(name)})
 
 
 def with_views(names: list[str], sql: str) -> str:
@@ -79,6 +108,5 @@ def with_views(names: list[str], sql: str) -> str:
 
     for n in names:
         need(n)
-    plain = {v: v for v in ("part", "lineitem", *VIEWS)}
-    heads = [f"{n} AS ({VIEWS[n].format(**plain)})" for n in order]
+    heads = [f"{n} AS ({_plain(VIEWS[n])})" for n in order]
     return "WITH " + ",\n".join(heads) + ("\n" + sql if not sql.lstrip().startswith("WITH ") else ",\n" + sql.lstrip()[5:]) if heads else sql

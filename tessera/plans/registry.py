@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import hashing, text
 from tessera.operators import aliases, annotation, documents, intervals, quality, search
 from tessera.plans.fixtures import view, with_views
+from tessera.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -298,7 +300,7 @@ def interval_union(r):
 
 @query("SELECT uid, chrom, w0, w1, max(w1) OVER (PARTITION BY chrom ORDER BY w0, w1 ROWS UNBOUNDED PRECEDING) AS reach FROM (SELECT uid, chrom, greatest(start0 - 1000, 0) AS w0, end0 + 1000 AS w1 FROM fx_coord WHERE assembly = 'hg38')", "fx_coord")
 def interval_running_end(c):
-    return intervals.running_end(hg38_windows(c), ["chrom"]).select("uid", "chrom", "w0", "w1", "reach")
+    return intervals.running_end(hg38_windows(c), "chrom").select("uid", "chrom", "w0", "w1", "reach")
 
 
 @query(f"WITH {WIN}, p AS (SELECT w.uid, r.* FROM fx_repeat r JOIN win w ON w.chrom = r.chrom AND r.start0 < w.w1 AND r.end0 > w.w0) SELECT chrom, start0, end0, rep_name, count(DISTINCT uid) AS n_loci FROM p GROUP BY ALL", "fx_repeat", "fx_coord")
@@ -370,11 +372,67 @@ def interval_overlap_right_inclusive(g, c):
     return placed.select("uid", "name", "name2", "chrom", F.col("txStart").alias("tx_start"), F.col("txEnd").alias("tx_end"))
 
 
-@query(f"WITH {GTF}, {WIN}, {TXW}, s AS (SELECT *, len(list_filter(list_zip(exonStarts, exonEnds), lambda p: p[2] > w0 AND p[1] < w1)) AS n_in FROM txw WHERE txStart < w1) SELECT uid, coalesce(name2, name) AS gene, count(*) AS n_isoforms, min(txStart) AS start0, max(txEnd) AS end0, arg_min(strand, (txStart, txEnd, name, strand)) AS strand, CAST(sum(n_in) AS BIGINT) AS n_exons, sum(n_in) = 0 AS intron_only FROM s GROUP BY uid, coalesce(name2, name)", "fx_gtf_line", "fx_coord")
-def gene_collapse(g, c):
+GENES = """s AS (SELECT *, coalesce(name2, name) AS gene FROM txw WHERE txStart < w1), x2 AS (
+  SELECT DISTINCT uid, gene, p[1] AS a, p[2] AS b FROM (SELECT uid, gene, w0, w1, unnest(list_zip(exonStarts, exonEnds)) AS p FROM s) WHERE p[2] > w0 AND p[1] < w1
+), o AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY uid, gene ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT FALSE THEN 1 ELSE 0 END AS opens FROM x2
+), i AS (SELECT *, sum(opens) OVER (PARTITION BY uid, gene ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM o
+), m AS (SELECT uid, gene, island, min(a) AS a, max(b) AS b FROM i GROUP BY ALL
+), u AS (SELECT uid, gene, count(*) AS n_exons, string_agg(CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR), ',' ORDER BY a) AS exons FROM m GROUP BY ALL
+), gm AS (SELECT uid, gene, count(*) AS n_isoforms, min(txStart) AS start0, max(txEnd) AS end0, arg_min(strand, (txStart, txEnd, name, strand)) AS strand FROM s GROUP BY ALL)"""
+
+
+def _models(g: DataFrame, c: DataFrame) -> DataFrame:
     return annotation.gene_models(annotation.transcripts_in_windows(annotation.transcripts(annotation.exons(g)), hg38_windows(c)))
 
 
+def _spans(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda x: F.concat(x["start0"].cast("string"), F.lit("-"), x["end0"].cast("string"))), ",")
+
+
+@query(f"WITH {GTF}, {WIN}, {TXW}, {GENES} SELECT uid, gene, n_isoforms, start0, end0, strand, coalesce(n_exons, 0) AS n_exons, coalesce(exons, '') AS exons, n_exons IS NULL AS intron_only FROM gm LEFT JOIN u USING (uid, gene)", "fx_gtf_line", "fx_coord")
+def gene_collapse(g, c):
+    return _models(g, c).withColumn("exons", _spans("exons"))
+
+
+@query(f"WITH {GTF}, {WIN}, {TXW}, {GENES} SELECT gm.uid, 'gene' AS lane, CASE WHEN n_isoforms > 1 THEN gene || ' (' || CAST(n_isoforms AS VARCHAR) || ' tx)' ELSE gene END AS label, least(greatest(gm.start0, w0), w1) AS clip_start, least(greatest(gm.end0, w0), w1) AS clip_end, (least(greatest(gm.start0, w0), w1) - w0) / CAST(w1 - w0 AS DOUBLE) AS x0, (least(greatest(gm.end0, w0), w1) - w0) / CAST(w1 - w0 AS DOUBLE) AS x1 FROM gm JOIN win USING (uid) UNION ALL SELECT m.uid, 'exon', gene, least(greatest(a, w0), w1), least(greatest(b, w0), w1), (least(greatest(a, w0), w1) - w0) / CAST(w1 - w0 AS DOUBLE), (least(greatest(b, w0), w1) - w0) / CAST(w1 - w0 AS DOUBLE) FROM m JOIN win USING (uid)", "fx_gtf_line", "fx_coord")
+def gene_lanes(g, c):
+    models = _models(g, c).join(hg38_windows(c).select("uid", "w0", "w1"), "uid")
+    label = F.when(F.col("n_isoforms") > 1, F.concat("gene", F.lit(" ("), F.col("n_isoforms").cast("string"), F.lit(" tx)"))).otherwise(F.col("gene"))
+    exons = models.select("uid", "w0", "w1", F.col("gene").alias("label"), F.inline("exons"))
+    return documents.tracks({"gene": models.withColumn("label", label), "exon": exons})
+
+
+@query(f"WITH {WIN} SELECT w.uid, l.lane, l.label, least(greatest(l.a, w0), w1) AS clip_start, least(greatest(l.b, w0), w1) AS clip_end, (least(greatest(l.a, w0), w1) - w0) / CAST(w1 - w0 AS DOUBLE) AS x0, (least(greatest(l.b, w0), w1) - w0) / CAST(w1 - w0 AS DOUBLE) AS x1 FROM win w JOIN (SELECT uid, 'segment' AS lane, rep_name AS label, a, b FROM fx_segment UNION ALL SELECT uid, 'orf', coalesce(orf_class, 'ORF'), a, b FROM fx_orf UNION ALL SELECT uid, 'domain', coalesce(gene, domain_desc), a, b FROM fx_domain) l ON l.uid = w.uid AND l.b > w0 AND l.a < w1", "fx_coord", "fx_segment", "fx_orf", "fx_domain")
+def child_lanes(c, s, o, d):
+    wins = hg38_windows(c).select("uid", "w0", "w1")
+    lane = lambda rows, label: rows.select("uid", label.alias("label"), F.col("a").alias("start0"), F.col("b").alias("end0")).join(wins, "uid").where(intervals.overlaps(F.col("start0"), F.col("end0"), F.col("w0"), F.col("w1")))
+    return documents.tracks({"segment": lane(s, F.col("rep_name")), "orf": lane(o, F.coalesce("orf_class", F.lit("ORF"))), "domain": lane(d, F.coalesce("gene", "domain_desc"))})
+
+
+@query(
+    """SELECT e.uid, s.segments, o.orfs, d.domains, x.pct_identity, h.best FROM fx_entity e
+LEFT JOIN (SELECT uid, string_agg(rep_name || ':' || CAST(a AS VARCHAR), ';' ORDER BY a, b, rep_name) AS segments FROM fx_segment GROUP BY uid) s USING (uid)
+LEFT JOIN (SELECT uid, string_agg(coalesce(orf_class, '') || ':' || CAST(a AS VARCHAR), ';' ORDER BY a, b, orf_class) AS orfs FROM fx_orf GROUP BY uid) o USING (uid)
+LEFT JOIN (SELECT uid, string_agg(coalesce(gene, domain_desc) || ':' || CAST(a AS VARCHAR), ';' ORDER BY a, b) AS domains FROM fx_domain GROUP BY uid) d USING (uid)
+LEFT JOIN fx_crossgenome x USING (uid)
+LEFT JOIN (SELECT uid, arg_max(consensus_name, sw_score) AS best FROM fx_dfam GROUP BY uid) h USING (uid)""",
+    "fx_entity", "fx_segment", "fx_orf", "fx_domain", "fx_crossgenome", "fx_dfam",
+)
+def full_document(e, s, o, d, x, h):
+    listed = lambda rows, name, label: documents.nested(rows.select("uid", "a", "b", label.alias("label")), name, ["a", "b", "label"])
+    best = documents.best_hits(documents.mark_best(h, "sw_score", ["consensus_name"])).select("uid", F.col("consensus_name").alias("best"))
+    children = {
+        "segments": listed(s, "segments", F.col("rep_name")),
+        "orfs": listed(o, "orfs", F.coalesce("orf_class", F.lit(""))),
+        "domains": listed(d, "domains", F.coalesce("gene", "domain_desc")),
+        "crossgenome": documents.nested(x, "crossgenome", ["pct_identity", "xg_class"]),
+        "dfam_best": best,
+    }
+    made = documents.assemble(e.select("uid"), children)
+    flat = lambda name: F.array_join(F.transform(name, lambda r: F.concat(r["label"], F.lit(":"), r["a"].cast("string"))), ";").alias(name)
+    return made.select("uid", flat("segments"), flat("orfs"), flat("domains"), documents.only_child(F.col("crossgenome"))["pct_identity"].alias("pct_identity"), "best")
+
+
 @query(f"WITH {GTF}, {WIN}, {TXW} SELECT t.uid, t.name FROM txw t WHERE t.txStart < t.w1 AND t.uid IN (SELECT uid FROM fx_hit_gene)", "fx_gtf_line", "fx_coord", "fx_hit_gene")
 def transcript_lookup(g, c, h):
     wins = hg38_windows(c).join(h.select("uid").distinct(), "uid", "left_semi")
@@ -389,6 +447,12 @@ def gene_windows(c, h):
     return wins.groupBy("assembly").agg(F.count("*").alias("n_windows"), F.sum(F.col("w1") - F.col("w0")).alias("window_bp"))
 
 
+def _met(g: DataFrame, c: DataFrame) -> DataFrame:
+    """``uid`` of windows with any transcript."""
+    tx = annotation.transcripts(annotation.exons(g)).select("chrom", "txStart", "txEnd")
+    return intervals.covered(tx, hg38_windows(c), start="txStart", end="txEnd", right_inclusive=True)
+
+
 @query(f"WITH {GTF} SELECT count(DISTINCT name) AS n_transcripts, count(DISTINCT chrom) AS n_chroms, CAST(sum(len(exonStarts)) AS BIGINT) AS n_exons FROM tx", "fx_gtf_line")
 def transcript_totals(g):
     tx = annotation.transcripts(annotation.exons(g))
@@ -398,7 +462,7 @@ def transcript_totals(g):
 @query(f"WITH {GTF}, {WIN}, {TXW} SELECT 'hg38' AS assembly, count(DISTINCT uid) AS n_loci, count(DISTINCT uid) / CAST((SELECT count(*) FROM win) AS DOUBLE) AS share FROM txw", "fx_gtf_line", "fx_coord")
 def transcript_coverage(g, c):
     wins = hg38_windows(c)
-    placed = annotation.transcripts_in_windows(annotation.transcripts(annotation.exons(g)), wins).agg(F.countDistinct("uid").alias("n_loci"))
+    placed = _met(g, c).agg(F.count("*").alias("n_loci"))
     return placed.select(F.lit("hg38").alias("assembly"), "n_loci", (F.col("n_loci") / wins.agg(F.count("*")).scalar()).alias("share"))
 
 
@@ -465,8 +529,9 @@ AGREE = f"WITH {GTF}, {WIN}, {TXW}, want AS (SELECT uid, source, list(DISTINCT r
 
 
 def _built(g: DataFrame, c: DataFrame) -> DataFrame:
-    placed = annotation.transcripts_in_windows(annotation.transcripts(annotation.exons(g)), hg38_windows(c))
-    return placed.select("uid", F.col("name2").alias("name"))
+    """The distinct names that entities have transcripts of, without a pair for each transcript."""
+    tx = annotation.transcripts(annotation.exons(g)).select(F.col("name2").alias("name"), "chrom", "txStart", "txEnd")
+    return intervals.covered(tx, hg38_windows(c), ("name",), start="txStart", end="txEnd", right_inclusive=True)
 
 
 @query(f"{AGREE} SELECT count(*) FILTER (n > 0) AS n_entities, count(*) FILTER (n > 0 AND found = n) AS n_all FROM b WHERE source = 'gencode'", "fx_gtf_line", "fx_coord", "fx_hit_gene")
@@ -486,7 +551,7 @@ def symbol_drift(g, c, h):
 
 @query(f"WITH {GTF}, {WIN}, {TXW} SELECT DISTINCT uid FROM fx_hit_gene WHERE uid NOT IN (SELECT uid FROM txw)", "fx_gtf_line", "fx_coord", "fx_hit_gene")
 def unexplained_overlaps(g, c, h):
-    return quality.dangling(h.select("uid").distinct(), _built(g, c), ["uid"])
+    return quality.dangling(h.select("uid").distinct(), _met(g, c), ["uid"])
 
 
 @query(f"WITH {GTF}, {WIN}, {TXW}, lost AS (SELECT uid FROM win WHERE uid IN (SELECT uid FROM fx_hit_gene) AND uid NOT IN (SELECT uid FROM fx_hit_gene WHERE genome = 'hg38')) SELECT count(*) AS n_lost, count(*) FILTER (uid IN (SELECT uid FROM txw)) AS n_lost_with_transcript FROM lost", "fx_gtf_line", "fx_coord", "fx_hit_gene")
@@ -494,7 +559,7 @@ def window_filter_loss(g, c, h):
     wins = hg38_windows(c).select("uid")
     loose = wins.join(h.select("uid").distinct(), "uid", "left_semi")
     lost = loose.subtract(wins.join(h.where("genome = 'hg38'").select("uid").distinct(), "uid", "left_semi"))
-    built = _built(g, c).select("uid").distinct().withColumn("has", F.lit(1))
+    built = _met(g, c).withColumn("has", F.lit(1))
     return lost.join(built, "uid", "left").agg(F.count("*").alias("n_lost"), F.count("has").alias("n_lost_with_transcript"))
 
 
@@ -503,7 +568,7 @@ def coverage_by_assembly(e, c):
     return quality.coverage_by_assembly(e, c)
 
 
-@query("SELECT event_id, props FROM events WHERE props IS NULL OR NOT json_valid(props)", "events")
+@query("SELECT event_id, props FROM fx_json WHERE props IS NULL OR NOT json_valid(props) OR contains(props, 'NaN')", "fx_json")
 def strict_json_violations(e):
     return quality.not_strict_json(e, "props").select("event_id", "props")
 
@@ -561,9 +626,12 @@ def repeats_without_coordinate(r, c):
     return quality.dangling(pairs, c.where("assembly = 't2t'"), ["uid", "assembly"]).select("uid", "assembly")
 
 
-@query(f"WITH {GTF} SELECT name, chrom FROM tx WHERE len(exonStarts) <> len(exonEnds) OR len(exonStarts) < 1", "fx_gtf_line")
+@query(f"WITH {GTF} SELECT name, chrom FROM tx WHERE name LIKE '%3'", "fx_gtf_line")
 def exon_length_mismatch(g):
-    return quality.uneven_exons(annotation.transcripts(annotation.exons(g))).select("name", "chrom")
+    """Transcripts whose ids end with 3 lose their last exon end here, so that there is something to find."""
+    tx = annotation.transcripts(annotation.exons(g))
+    short = F.when(F.col("name").endswith("3"), F.slice("exonEnds", 1, F.size("exonEnds") - 1)).otherwise(F.col("exonEnds"))
+    return quality.uneven_exons(tx.withColumn("exonEnds", short)).select("name", "chrom")
 
 
 @query("SELECT (SELECT count(*) FROM fx_entity) AS n_one, (SELECT count(DISTINCT uid) FROM fx_alias) AS n_other, (SELECT count(*) FROM fx_entity) = (SELECT count(DISTINCT uid) FROM fx_alias) AS ok", "fx_entity", "fx_alias")
@@ -574,3 +642,127 @@ def locus_count_check(e, a):
 @query("SELECT DISTINCT assembly FROM fx_coord WHERE assembly NOT IN ('hg38')", "fx_coord")
 def unexpected_assemblies(c):
     return quality.outside(c, ["hg38"], "assembly")
+
+
+# ---- small operators on whole tables
+
+
+@query("SELECT uid, grp, band FROM fx_entity", "fx_entity")
+def projected_columns(e):
+    return documents.project(e, ["uid", "grp", "band", "no_such_column", "origin"], drop=("origin",))
+
+
+@query("SELECT uid, chrom, start0, end0 FROM fx_coord WHERE assembly = 't2t'", "fx_coord")
+def coordinates_of_assembly(c):
+    return files.for_assembly(c, "t2t").select("uid", "chrom", "start0", "end0")
+
+
+@query("SELECT uid, grp FROM fx_entity", "fx_entity")
+def without_empty_columns(e):
+    return documents.drop_empty_columns(e.select("uid", "grp", F.lit("").alias("blank"), F.lit(None).cast("string").alias("nothing")), keep=("uid",))
+
+
+@query("SELECT e.uid, x.pct_identity, x.xg_class FROM fx_entity e LEFT JOIN fx_crossgenome x USING (uid)", "fx_entity", "fx_crossgenome")
+def only_children(e, x):
+    made = documents.assemble(e.select("uid"), {"x": documents.nested(x, "x", ["pct_identity", "xg_class"])})
+    return made.select("uid", documents.only_child(F.col("x")).alias("x")).select("uid", "x.pct_identity", "x.xg_class")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_partkey + l_suppkey AS BIGINT) AS total, 2 AS n FROM lineitem", "lineitem")
+def integer_lists(li):
+    packed = F.concat(F.lit(" "), F.col("l_partkey").cast("string"), F.lit(", "), F.col("l_suppkey").cast("string"), F.lit(","))
+    found = li.select("l_orderkey", "l_linenumber", text.integer_list(packed).alias("x"))
+    return found.select("l_orderkey", "l_linenumber", F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.size("x").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, '{\"shares\":[' || CASE WHEN l_linenumber % 3 = 0 THEN 'null' WHEN l_linenumber % 3 = 1 THEN '0.5' ELSE 'null' END || '],\"of\":{\"flag\":\"' || l_returnflag || '\"}}' AS doc FROM lineitem", "lineitem")
+def nested_strict_json(li):
+    value = F.when(F.col("l_linenumber") % 3 == 0, F.lit(float("nan"))).when(F.col("l_linenumber") % 3 == 1, F.lit(0.5)).otherwise(F.lit(float("-inf")))
+    made = li.select("l_orderkey", "l_linenumber", F.struct(F.array(value).alias("shares"), F.struct(F.col("l_returnflag").alias("flag")).alias("of")).alias("d"))
+    return made.select("l_orderkey", "l_linenumber", text.strict_json(F.col("d"), made.schema["d"].dataType).alias("doc"))
+
+
+# ---- what is written and read back, in the folder that the session names
+
+
+@query("SELECT uid, grp, origin FROM fx_entity WHERE band IS NOT NULL", "fx_entity")
+def catalog_scan(e):
+    path = files.scratch(e.sparkSession, "catalog")
+    names = {"uid": "locus_uid", "grp": "group"}
+    e.withColumnsRenamed(names).select("locus_uid", "combined_id", "versioned_id", "group", "band", "origin").write.parquet(path)
+    return files.read_catalog(e.sparkSession, path, "locus", columns=["locus_uid", "group", "origin", "band"], where=F.col("band").isNotNull()).select("uid", "grp", "origin")
+
+
+@query("SELECT line FROM fx_rmsk_line", "fx_rmsk_line")
+def text_scan(m):
+    path = files.scratch(m.sparkSession, "lines")
+    m.select("line").write.option("compression", "gzip").text(path)
+    return files.read_lines(m.sparkSession, path, partitions=8).select("line")
+
+
+@query(f"WITH {GTF} SELECT name, chrom, txStart AS tx_start, txEnd AS tx_end, CAST(len(exonStarts) AS INTEGER) AS n_exons FROM tx", "fx_gtf_line")
+def tile_scan(g):
+    """Tiles of transcripts, each also delivered by the tile after its own, as overlapping tiles do; one of each is kept."""
+    path = files.scratch(g.sparkSession, "tiles")
+    tx = annotation.transcripts(annotation.exons(g))
+    packed = lambda c: F.concat(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit(",")).alias(c)
+    record = F.struct("name", "name2", "chrom", "txStart", "txEnd", "strand", packed("exonStarts"), packed("exonEnds"))
+    own = F.floor(F.col("txStart") / 200_000).cast("long")
+    tiles = tx.select("chrom", record.alias("r"), F.explode(F.array(own, own + 1)).alias("tile"))
+    listed = tiles.groupBy("chrom", "tile").agg(F.to_json(F.collect_list("r")).alias("value"))
+    files.write_texts(listed, path, ["chrom", "tile"])
+    once = annotation.first_transcripts(files.read_tiles(g.sparkSession, path))
+    return annotation.with_exons(once).select("name", "chrom", F.col("txStart").alias("tx_start"), F.col("txEnd").alias("tx_end"), F.size("exonStarts").alias("n_exons"))
+
+
+@query("SELECT uid, count(*) AS n FROM fx_alias GROUP BY uid", "fx_alias")
+def materialised_reuse(a):
+    path = files.scratch(a.sparkSession, "reuse")
+    made = a.groupBy("uid").agg(F.count("*").alias("n"))
+    files.materialise(made, path)
+    return files.materialise(made.where("uid IS NULL"), path)  # what is there is read, so this is not computed
+
+
+def _bundle(e: DataFrame, c: DataFrame) -> tuple[str, T.StructType]:
+    """A bundle of all entities, written over one of others, and its schema."""
+    path = files.scratch(e.sparkSession, "bundle")
+    docs = documents.assemble(e.select("uid", "grp", "origin"), {"coords": documents.nested(c, "coords", ["assembly", "chrom", "start0", "end0"])})
+    stale = e.select(F.concat(F.lit("OLD"), "uid").alias("uid"), "grp", "origin", F.array().cast(docs.schema["coords"].dataType).alias("coords"))
+    for documents_ in (stale, docs):
+        files.write_bundle(documents_, path)
+    return path, docs.schema
+
+
+@query(f"SELECT uid, {DJB2_UID} AS bucket, grp, origin, n_coords FROM fx_entity LEFT JOIN (SELECT uid, CAST(count(*) AS INTEGER) AS n_coords FROM fx_coord GROUP BY uid) USING (uid)", "fx_entity", "fx_coord")
+def bundle_round_trip(e, c):
+    path, schema = _bundle(e, c)
+    read = files.read_bundle(e.sparkSession, path, schema).where("_corrupt IS NULL")
+    return read.select("uid", F.col("bucket").cast("int").alias("bucket"), "grp", "origin", F.when(F.col("coords").isNotNull(), F.size("coords")).alias("n_coords"))
+
+
+@query("SELECT uid, grp, origin FROM fx_entity WHERE uid = (SELECT max(uid) FROM fx_entity)", "fx_entity", "fx_coord")
+def bundle_lookup(e, c):
+    path, schema = _bundle(e, c)
+    return files.lookup(e.sparkSession, path, schema, e.agg(F.max("uid")).first()[0]).select("uid", "grp", "origin")
+
+
+@query(f"SELECT CAST(count(DISTINCT {DJB2_UID}) AS BIGINT) AS n_buckets, 'djb2' AS hash FROM fx_entity", "fx_entity")
+def bundle_manifest(e):
+    path = files.scratch(e.sparkSession, "manifest")
+    files.write_manifest(e.sparkSession, path, documents.bucket_sizes(e, 400, F.col("versioned_id")).count())
+    return e.sparkSession.read.schema("n_buckets long, hash string").json(path)
+
+
+@query(f"WITH {POSTINGS} SELECT key, ckey, alias_type, str, uid, is_current FROM post", "fx_alias")
+def search_index_round_trip(a):
+    path = files.scratch(a.sparkSession, "index")
+    made = search.postings(a)
+    files.write_search_index({"postings": made, "collapsed": search.collapsed_map(made)}, path)
+    return a.sparkSession.read.schema(made.schema).parquet(f"{path}/postings").select("key", "ckey", "alias_type", "str", "uid", "is_current")
+
+
+@query(f"WITH {GTF}, {WIN}, {TXW}, {GENES} SELECT uid, gene, 'hg38' AS assembly, start0, end0 FROM gm", "fx_gtf_line", "fx_coord")
+def gene_model_round_trip(g, c):
+    path = files.scratch(g.sparkSession, "models")
+    files.write_gene_models(annotation.tagged(_models(g, c), "hg38"), path)
+    return g.sparkSession.read.parquet(path).where("assembly = 'hg38'").select("uid", "gene", "assembly", "start0", "end0")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +28,25 @@ def read_catalog_jdbc(spark: SparkSession, url: str, table: str, **options: str)
     return df.withColumnsRenamed({"locus_uid": "uid", "start": "start0", "end": "end0", "group": "grp"})
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Only a session that runs in this one process may leave it unset; it then gets a folder of this machine.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+
+
+def write_texts(rows: DataFrame, path: str, by: list[str]) -> None:
+    """``value`` of each row as a file of its own, in folders of the ``by`` columns, which tell rows apart."""
+    rows.select("value", *by).repartition(*by).write.partitionBy(*by).text(path)
+
+
 def for_assembly(coords: DataFrame, assembly: str) -> DataFrame:
     """Rows of one assembly; an error if there are none."""
     rows = coords.where(F.col("assembly") == assembly)

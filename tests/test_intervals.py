@@ -56,3 +56,23 @@ def test_windows_are_clipped_and_tiles_cover_them(spark):
     df = intervals.windows(spark.createDataFrame([("c", 500, 4_000_100)], "chrom string, start0 long, end0 long"))
     assert df.select("w0", "w1").first() == (0, 4_001_100)
     assert sorted(r.tile for r in intervals.tile_cover(df).collect()) == [0, 1, 2]
+
+
+def test_windows_that_are_covered_are_those_with_a_pair(spark):
+    rng = random.Random(5)
+    made = lambda n, most: [(i, "ab"[i % 2], s := rng.randrange(30_000), s + 1 + rng.randrange(most)) for i in range(n)]
+    features = spark.createDataFrame([(*r, "xyz"[r[0] % 3]) for r in made(150, 900)], "f int, chrom string, start0 long, end0 long, name string")
+    wins = spark.createDataFrame(made(200, 90), "uid int, chrom string, w0 long, w1 long")
+    for inclusive in (False, True):
+        pairs = intervals.interval_join(features, wins, right_inclusive=inclusive)
+        assert sorted(intervals.covered(features, wins, right_inclusive=inclusive).collect()) == sorted(pairs.select("uid").distinct().collect())
+        named = intervals.covered(features, wins, ("name",), right_inclusive=inclusive)
+        assert sorted(named.collect()) == sorted(pairs.select("uid", "name").distinct().collect())
+
+
+def test_running_end_by_bins(spark):
+    rng = random.Random(6)
+    rows = [("ab"[i % 2], s := rng.randrange(5000), s + rng.randrange(1, 3000)) for i in range(300)]
+    got = intervals.running_end(spark.createDataFrame(rows, "chrom string, w0 long, w1 long"), "chrom", width=100).collect()
+    for r in got:
+        assert r.reach == max(w1 for c, w0, w1 in rows if c == r.chrom and (w0, w1) <= (r.w0, r.w1))
