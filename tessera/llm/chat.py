@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
 from tessera.llm.tokens import encoder, text_groups, tokenizer_path
 
 CLOSE = " </s>\n"
@@ -169,7 +170,7 @@ def format_conversations(turns: DataFrame, *, budget: int = 512, history: int =
     ints = pa.list_(pa.int32())
     types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int32(), ints, ints]
     wanted = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return _ordered(wanted, "turn", "role", "text").mapInArrow(run, WINDOWS)
+    return _ordered(wanted, "turn", "role", "text").mapInArrow(tidy(run), WINDOWS)
 
 
 def read_conversations(windows: DataFrame) -> DataFrame:
@@ -210,4 +211,4 @@ def read_conversations(windows: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     wanted = windows.select("conv_id", "window", "formatted", "repeated", "loss_start", "loss_end")
-    return _ordered(wanted, "window").mapInArrow(run, schema)
+    return _ordered(wanted, "window").mapInArrow(tidy(run), schema)

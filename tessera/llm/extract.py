@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
 from tessera.llm.boost import Forest, fit_forest
 from tessera.llm.htmltree import Page, features, parse, word_odds
 
@@ -240,4 +241,4 @@ def extract_main_text(pages: DataFrame, model: Extractor | None = None, *, toget
                 a = b
 
     wanted = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return wanted.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return wanted.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

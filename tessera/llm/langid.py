@@ -7,6 +7,7 @@ were kept out of that makes the probabilities honest.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from tessera.llm.common import tidy
 from tessera.llm.ngrams import SparseRows, counted
 from tessera.llm.tokens import text_groups
 
@@ -95,7 +97,7 @@ def document_frequencies(texts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], rows))], names=["slot", "n"])
 
-    found = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # 2 ** bits rows at most
+    found = texts.select("text").mapInArrow(tidy(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # 2 ** bits rows at most
     df, rows = np.zeros(1 << bits), 0
     for r in found:
         if r["slot"] < 0:
@@ -133,15 +135,15 @@ def fit_in_a_task(rows: DataFrame, features: Callable[[str], tuple[np.ndarray, n
             labels += batch.column(0).to_pylist()
             for k in range(batch.num_rows):
                 found.append((batch.column(1)[k].values.to_numpy(), batch.column(2)[k].values.to_numpy()))
-                keys.append(found[-1][0].tobytes() + found[-1][1].tobytes())
+                keys.append(hashlib.blake2b(found[-1][0].tobytes() + found[-1][1].tobytes(), digest_size=16).digest())
         order = sorted(range(len(labels)), key=lambda i: (keys[i], str(labels[i])))
         del keys
         model = fit([labels[i] for i in order], SparseRows(found[i] for i in order))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     label = rows.schema["label"].dataType.simpleString()
-    gathered = rows.select("label", "text").mapInArrow(slots, f"label {label}, slots array<int>, amounts array<float>").limit(most)
-    made = gathered.repartition(1).mapInArrow(train, "model binary").collect()
+    gathered = rows.select("label", "text").mapInArrow(tidy(slots), f"label {label}, slots array<int>, amounts array<float>").limit(most)
+    made = gathered.repartition(1).mapInArrow(tidy(train), "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else fit([], SparseRows([]))
 
 
@@ -203,4 +205,4 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("l
                 columns = [c.slice(a, b - a) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(names[0], StringType()).add(names[1], DoubleType()))
+    return docs.mapInArrow(tidy(run), StructType(list(docs.schema.fields)).add(names[0], StringType()).add(names[1], DoubleType()))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_partitions
+from tessera.llm.common import shuffle_partitions, tidy
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2 ** 64
 
@@ -204,4 +204,4 @@ def fingerprint_edits(docs: DataFrame, *, bins: int = 512, bits: int = 4, words:
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_successors(docs).mapInArrow(run, schema)
+    return with_successors(docs).mapInArrow(tidy(run), schema)

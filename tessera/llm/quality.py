@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from tessera.llm.common import tidy
 from tessera.llm.langid import chosen_rows, fit_in_a_task
 from tessera.llm.ngrams import SparseRows, present
 from tessera.llm.tokens import text_groups
@@ -152,4 +153,4 @@ def score_quality(docs: DataFrame, model: QualityModel, name: str = "quality_sco
                 made = pa.array([model.score(t) for t in texts[a:b]], pa.float64())
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), made], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(name, DoubleType()))
+    return docs.mapInArrow(tidy(run), StructType(list(docs.schema.fields)).add(name, DoubleType()))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, small, written
+from tessera.llm.common import Scratch, small, tidy, written
 from tessera.llm.tokens import text_groups
 
 #: By the number of segments, the first bit, the width and the radius of lookups of each: of four differing bits, one
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, *, words: int = 4) -> DataFrame:
                 made = pa.array([simhash(t, words) for t in texts[a:b]], pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), made], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _long(value: int) -> Column:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_partitions
+from tessera.llm.common import shuffle_partitions, tidy
 from tessera.llm.tokens import array_groups, encoder, tokenizer_path
 
 BLOCKS = (
@@ -54,7 +54,7 @@ def train_dictionary(docs: DataFrame, path: str, *, size: int = 65_536, sample:
     share = min(1.0, sample / max(1, docs.select("doc_id").count()))
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))  # of ids of a low hash there are about ``sample``, and no others are sent
     few = docs.where((lot < int(share * (1 << 32)) + 1) & F.length("text").between(1, longest_chars)).select("text").limit(2 * sample)
-    found = few.repartition(1).sortWithinPartitions("text").mapInArrow(train, "content binary").collect()
+    found = few.repartition(1).sortWithinPartitions("text").mapInArrow(tidy(train), "content binary").collect()
     return max((bytes(r["content"]) for r in found), key=len, default=b"")
 
 
@@ -110,7 +110,7 @@ def write_tokens(
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, BLOCKS).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(tidy(encode), BLOCKS).write.parquet(f"{path}/blocks")
     # one row a part: what comes before each is a sum over the parts, of which there are as many as tasks
     parts = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     base, rows = 0, []
@@ -165,4 +165,4 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
                 yield pa.RecordBatch.from_arrays(fields, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * arrays)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * arrays
-    return located.select(*columns).mapInArrow(decode, schema)
+    return located.select(*columns).mapInArrow(tidy(decode), schema)

@@ -32,7 +32,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class RunEncoder:
     """Text to ids as little-endian unsigned 32-bit bytes; equal to encoding the whole text at once."""
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 200_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -139,7 +139,7 @@ def text_groups(texts: list[str | None], chars: int = 2_000_000):
         yield start, len(texts)
 
 
-def array_groups(texts: pa.Array, size: int = 4_000_000):
+def array_groups(texts: pa.Array, size: int = 2_000_000):
     """Index ranges of consecutive texts that hold about ``size`` bytes, one text at least."""
     held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0

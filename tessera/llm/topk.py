@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, tidy
 
 def whole_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """``vec_id, whole``: floor(scale * x) of each component; rows with a null or non-finite part or id are left out."""
@@ -143,7 +143,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, query_block: in
                 out = [pa.array([columns[j][i] for i in at.tolist()], pa.int64()) for j in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate(some.ids)), pa.array(np.concatenate(some.scores).astype(np.int64))], names=["q", "query_id", "vec_id", "score"])
 
-        found = vectors.select(*columns).mapInArrow(search, "q long, query_id long, vec_id long, score long")
+        found = vectors.select(*columns).mapInArrow(tidy(search), "q long, query_id long, vec_id long, score long")
         winners.append(found if parts == 1 else scratch.write(found, "winners"))
     place: Column = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))
     ranked = reduce(DataFrame.union, winners).select("query_id", place.cast("int").alias("rank"), "vec_id", "score")
