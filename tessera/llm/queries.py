@@ -87,6 +87,38 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.centroids import cluster_vectors, grid_vectors
+
+    return cluster_vectors(grid_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def _centroid_sql(k: int = 40, rounds: int = 5, size: int = 64, salt: str = "2:") -> str:
+    """The rounds one after another, each a table of assignments and one of centroids."""
+    near = """SELECT i, vec_id, whole, CAST(cluster AS INTEGER) AS cluster, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, cluster) AS place FROM (
+    SELECT v.i, v.vec_id, v.whole, c.cluster, CAST(list_sum(list_transform(list_zip(v.whole, c.centre), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance FROM v CROSS JOIN c{r} c
+  )) WHERE place = 1"""
+    steps = [f"""WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS whole FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(place - 1 AS INTEGER) AS cluster, whole AS centre FROM (SELECT whole, row_number() OVER (ORDER BY sha256('{salt}' || CAST(vec_id AS VARCHAR)), whole) AS place FROM v) WHERE place <= {k}
+)"""]
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(r=r)})")
+        steps.append(f"""m{r} AS MATERIALIZED (
+  SELECT cluster, list(total // n - CASE WHEN total % n < 0 THEN 1 ELSE 0 END ORDER BY j) AS centre FROM (
+    SELECT cluster, j, CAST(sum(whole[j]) AS BIGINT) AS total, count(*) AS n FROM a{r} CROSS JOIN (SELECT unnest(range(1, {size + 1})) AS j) GROUP BY cluster, j
+  ) GROUP BY cluster
+), c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.centre, c.centre) AS centre FROM c{r} c LEFT JOIN m{r} m ON m.cluster = c.cluster)""")
+    steps.append(f"a{rounds} AS MATERIALIZED ({near.format(r=rounds)})")
+    return ", ".join(steps) + f"""
+SELECT a.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.centre, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,10 +132,12 @@ QUERIES = {
         op8_mix_sources,
         op9_main_text,
         op10_language,
+        op11_cluster_vectors,
     )
 }
 
 SQL: dict[str, str] = {
+    "op11_cluster_vectors": _centroid_sql(),
     "op7_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS whole
