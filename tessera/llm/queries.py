@@ -119,6 +119,17 @@ SELECT a.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY
 FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.prefixtrie import prefix_trie, spliced, turn_codes
+
+    return prefix_trie(spliced(turn_codes(read_table(spark, sf_dir, "conversations"))))
+
+
+#: CRC-32 of a decimal number's characters, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -133,10 +144,33 @@ QUERIES = {
         op9_main_text,
         op10_language,
         op11_cluster_vectors,
+        op12_prefix_trie,
     )
 }
 
 SQL: dict[str, str] = {
+    "op12_prefix_trie": f"""
+WITH own AS MATERIALIZED (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), built AS MATERIALIZED (
+  SELECT o.conv_id, CASE WHEN d.turns IS NULL THEN list_slice(o.turns, h + 1, len(o.turns)) ELSE list_concat(list_slice(d.turns, 1, h), list_slice(o.turns, h + 1, len(o.turns))) END AS turns
+  FROM (SELECT *, CAST({_CRC} % 9 AS INTEGER) AS h FROM own) o LEFT JOIN own d ON d.conv_id = o.conv_id - o.conv_id % 5
+), named AS MATERIALIZED (
+  SELECT conv_id, turns, list_transform(range(0, len(turns) + 1), lambda d: sha256(CAST(list_transform(list_slice(turns, 1, d), lambda t: CAST(strlen(t.role) AS VARCHAR) || ':' || t.role || CAST(strlen(t.text) AS VARCHAR) || ':' || t.text) AS VARCHAR))) AS names FROM built
+), pre AS MATERIALIZED (
+  SELECT conv_id, d AS depth, names[d + 1] AS node, CASE WHEN d > 0 THEN names[d] END AS parent, d = len(turns) AS ends, CASE WHEN d > 0 THEN strlen(turns[d].text) ELSE 0 END AS bytes
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM named)
+), node AS MATERIALIZED (
+  SELECT node, depth, min(conv_id) AS conv_id, min(parent) AS parent, count(*) AS n_convs, min(bytes) AS bytes,
+    sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM pre GROUP BY node, depth
+), kids AS MATERIALIZED (SELECT parent AS node, count(*) AS n_children FROM node WHERE parent IS NOT NULL GROUP BY parent
+), above AS MATERIALIZED (
+  SELECT n.names[a + 1] AS top, (k.n_children IS NULL) AS leaf, (m.n_convs - 1) * m.bytes AS saved
+  FROM (SELECT node, depth, conv_id AS rep, n_convs, bytes, unnest(range(0, depth + 1)) AS a FROM node) m JOIN named n ON n.conv_id = m.rep LEFT JOIN kids k ON k.node = m.node
+), sums AS MATERIALIZED (SELECT top AS node, count(*) FILTER (leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY top)
+SELECT CAST(n.conv_id AS BIGINT) AS conv_id, CAST(n.depth AS BIGINT) AS depth, CAST(p.conv_id AS BIGINT) AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM node n LEFT JOIN node p ON p.node = n.parent LEFT JOIN kids k ON k.node = n.node JOIN sums s ON s.node = n.node
+""",
     "op11_cluster_vectors": _centroid_sql(),
     "op7_top_k": """
 WITH v AS (

@@ -22,7 +22,7 @@ def plain(rows, k, rounds, salt):
         for i in range(len(centres)):
             mine = [w for (_, w), a in zip(rows, at) if a == i]
             if mine:
-                centres[i] = [math.floor(sum(x) / len(mine)) if sum(x) % len(mine) else sum(x) // len(mine) for x in zip(*mine)]
+                centres[i] = [sum(x) // len(mine) for x in zip(*mine)]
     found = [(v, *reversed(near(w))) for v, w in rows]
     own = {i: sum(d for _, c, d in found if c == i) for i in range(len(centres))}
     digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centres]
