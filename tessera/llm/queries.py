@@ -130,6 +130,15 @@ _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_tran
   lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
 
 
+def op13_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import merge_captures, read_archives, write_archives
+
+    path = scratch_path(spark, "warc")
+    write_archives(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    captures = merge_captures(read_archives(spark, path))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -145,10 +154,20 @@ QUERIES = {
         op10_language,
         op11_cluster_vectors,
         op12_prefix_trie,
+        op13_warc_captures,
     )
 }
 
 SQL: dict[str, str] = {
+    "op13_warc_captures": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, strlen(html) AS bytes, h, array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, g * 5 + 1, 5) AS BIGINT) >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS digest FROM p
+), m AS (SELECT *, max(page_id) OVER (PARTITION BY h, bytes) AS kept FROM d)
+SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id < kept THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < kept THEN kept END AS refers_to FROM m
+""",
     "op12_prefix_trie": f"""
 WITH own AS MATERIALIZED (
   SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
