@@ -7,7 +7,7 @@ A round reads the vectors once, where they lie, and shuffles a row of sums for e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
@@ -81,7 +81,7 @@ def cluster_vectors(vectors: DataFrame, *, k: int = 40, rounds: int = 5, size: i
     assigned = scratch.write(found, "assigned")
     scratch.drop("vectors")
     sums = assigned.groupBy("cluster").agg(F.try_sum("distance").alias("cluster_inertia"))
-    total = sums.agg(F.try_sum("cluster_inertia").alias("inertia"))
     digests = F.transform(literal_arrays(centroids), lambda c: F.sha2(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), 256))
-    told = sums.join(F.broadcast(total), F.lit(True)).withColumn("centroid_sha256", F.get(digests, F.col("cluster")))  # at most k rows
+    total = F.try_sum("cluster_inertia").over(Window.partitionBy())  # over at most k rows
+    told = sums.withColumn("inertia", total).withColumn("centroid_sha256", F.get(digests, F.col("cluster")))
     return assigned.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
