@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.numbering import placed
+
 #: Keyspaces that identify an entity, in order of preference, and keyspaces that classify it.
 IDENTIFIERS = ("combined_id", "versioned_id", "telescope_id", "hervd_id", "ervmap_id", "ervmap_alt_name")
 CLASSIFIERS = ("dfam_int_model", "dfam_accession", "repbase_name")
@@ -27,9 +29,26 @@ def ambiguity(aliases: DataFrame, keyspaces: tuple[str, ...] = IDENTIFIERS) -> D
     return each.groupBy("alias_type").agg(F.count("*").alias("n_strings"), F.count_if("several").alias("n_ambiguous"))
 
 
-def classify(aliases: DataFrame, keyspaces: tuple[str, ...] = CLASSIFIERS) -> DataFrame:
-    """``alias_type, value, uids``: the entities of each class."""
-    return resolve(aliases, keyspaces).select("alias_type", F.col("alias").alias("value"), "uids")
+def class_members(aliases: DataFrame, keyspaces: tuple[str, ...] = CLASSIFIERS) -> DataFrame:
+    """``alias_type, value, uid``: each entity of each class once."""
+    named = aliases.where(F.col("alias_type").isin(*keyspaces) & F.col("alias").isNotNull())
+    return named.select("alias_type", F.col("alias").alias("value"), "uid").distinct()
+
+
+def class_blocks(aliases: DataFrame, keyspaces: tuple[str, ...] = CLASSIFIERS, most: int = 1000) -> DataFrame:
+    """``alias_type, value, block, first_uid, last_uid, n_uids, uids``: the entities of each class in order, in blocks.
+
+    A block has ``most`` uids, the last of a class may have fewer, so no row and no group grows with a class.
+    """
+    ready = placed(class_members(aliases, keyspaces), ["alias_type", "value"], ["uid"])
+    blocks = ready.groupBy("alias_type", "value", F.floor(F.col("_place") / most).cast("int").alias("block"))
+    listed = blocks.agg(F.min("uid").alias("first_uid"), F.max("uid").alias("last_uid"), F.count(F.lit(1)).alias("n_uids"), F.sort_array(F.collect_list("uid")).alias("uids"))
+    return listed.select("alias_type", "value", "block", "first_uid", "last_uid", "n_uids", "uids")
+
+
+def class_directory(aliases: DataFrame, keyspaces: tuple[str, ...] = CLASSIFIERS) -> DataFrame:
+    """``alias_type, value, n_uids``: how many entities each class has, without listing them."""
+    return class_members(aliases, keyspaces).groupBy("alias_type", "value").agg(F.count(F.lit(1)).alias("n_uids"))
 
 
 def classifier_sizes(aliases: DataFrame, keyspaces: tuple[str, ...] = CLASSIFIERS) -> DataFrame:
@@ -39,12 +58,11 @@ def classifier_sizes(aliases: DataFrame, keyspaces: tuple[str, ...] = CLASSIFIER
     return each.groupBy("alias_type").agg(F.count("*").alias("n_values"), F.floor(F.expr("percentile(n, 0.5)")).cast("long").alias("median_size"))
 
 
-def classifier_menu(aliases: DataFrame, query: str = "", most: int = 60, keyspaces: tuple[str, ...] = CLASSIFIERS) -> DataFrame:
-    """The first values of each keyspace that hold the query (all, if it is empty), by length, then by spelling."""
-    found = classify(aliases, keyspaces)
-    found = found.where(F.contains(F.upper("value"), F.upper(F.lit(query)))) if query else found
+def classifier_menu(directory: DataFrame, query: str = "", most: int = 60) -> DataFrame:
+    """The first values of each keyspace of a ``class_directory`` that hold the query (all, if it is empty), by length, then by spelling."""
+    found = directory.where(F.contains(F.upper("value"), F.upper(F.lit(query)))) if query else directory
     place = F.row_number().over(Window.partitionBy("alias_type").orderBy(F.length("value"), "value"))
-    return found.withColumn("place", place).where(F.col("place") <= most).select("alias_type", "value", F.size("uids").alias("n_uids"), "place")
+    return found.withColumn("place", place).where(F.col("place") <= most).select("alias_type", "value", "n_uids", "place")
 
 
 def alias_panel(aliases: DataFrame) -> DataFrame:

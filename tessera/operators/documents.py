@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import bucket
 from tessera.functions.text import position_1based
+from tessera.operators.numbering import placed
 
 
 def project(df: DataFrame, columns: list[str], drop: tuple[str, ...] = ()) -> DataFrame:
@@ -71,13 +72,15 @@ def list_rows(entities: DataFrame, coords: DataFrame, assembly: str = "hg38") ->
 
 
 def pages(rows: DataFrame, lists: str, order: list[str], size: int = 100) -> DataFrame:
-    """Adds ``page`` (from 0), ``n_pages`` and ``shown`` ("lo-hi of n") to the rows of each list."""
-    part = Window.partitionBy(lists)
-    numbered = rows.withColumn("_rn", F.row_number().over(part.orderBy(*order))).withColumn("_n", F.count("*").over(part))
-    page = F.floor((F.col("_rn") - 1) / size).cast("long")
-    low, high = page * size + 1, F.least((page + 1) * size, F.col("_n"))
-    shown = F.concat(low.cast("string"), F.lit("-"), high.cast("string"), F.lit(" of "), F.col("_n").cast("string"))
-    return numbered.select(*rows.columns, page.alias("page"), F.greatest(F.ceil(F.col("_n") / size), F.lit(1)).cast("long").alias("n_pages"), shown.alias("shown"))
+    """Adds ``page`` (from 0), ``n_pages`` and ``shown`` ("lo-hi of n") to the rows of each list.
+
+    Rows are numbered over all lists at once, so that a list of any length is spread over tasks.
+    """
+    ready = placed(rows, [lists], order)
+    page = F.floor(F.col("_place") / size).cast("long")
+    low, high = page * size + 1, F.least((page + 1) * size, F.col("_size"))
+    shown = F.concat(low.cast("string"), F.lit("-"), high.cast("string"), F.lit(" of "), F.col("_size").cast("string"))
+    return ready.select(*rows.columns, page.alias("page"), F.greatest(F.ceil(F.col("_size") / size), F.lit(1)).cast("long").alias("n_pages"), shown.alias("shown"))
 
 
 def page_of(rows: DataFrame, order: list[str], page: int, size: int = 100) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS: dict[str, str] = {
     "fx_entity": """
 SELECT concat('HERVL', lpad(CAST(p_partkey AS STRING), 7, '0')) AS uid, p_partkey AS k,
-       concat(p_name, '_', CAST(p_partkey % 97 AS STRING)) AS combined_id,
+       concat(p_name, CASE WHEN p_partkey % 83 = 0 THEN ', ' ELSE '_' END, CAST(p_partkey % 97 AS STRING)) AS combined_id,
        concat(p_name, '_', CAST(p_partkey AS STRING), '.v2') AS versioned_id,
        p_brand AS grp, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE concat(CAST(p_size AS STRING), 'q') END AS band,
        CASE WHEN p_partkey % 501 = 0 THEN NULL ELSE p_type END AS origin

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import hashing, text
-from tessera.operators import aliases, annotation, documents, intervals, quality, search
+from tessera.operators import aliases, annotation, documents, intervals, quality, search, stored_search
 from tessera.plans.fixtures import view, with_views
 from tessera.sources import files
 
@@ -35,7 +35,7 @@ NRM = "regexp_replace(upper({}), '[^A-Z0-9]', '', 'g')"
 NRMC = "regexp_replace(regexp_replace(upper({}), '[^A-Z0-9]', '', 'g'), '^(HERV|ERV)', '')"
 TYPE_ORDER = "list_position(['" + "','".join(aliases.IDENTIFIERS) + "'], alias_type)"
 POSTINGS = f"""tok AS (
-  SELECT alias_type, uid, is_current, unnest(list_distinct(list_concat([alias], list_transform(string_split(alias, ','), lambda t: trim(t))))) AS str
+  SELECT alias_type, uid, is_current, unnest(CASE WHEN alias_type = 'ervmap_alt_name' THEN list_distinct(list_concat([alias], list_transform(string_split(alias, ','), lambda t: trim(t)))) ELSE [alias] END) AS str
   FROM fx_alias WHERE alias IS NOT NULL AND alias_type IN {IDENT}
 ), post AS (
   SELECT {NRM.format('str')} AS key, {NRMC.format('str')} AS ckey, alias_type, str, uid, max(is_current) AS is_current
@@ -60,9 +60,13 @@ def alias_ambiguity(a):
     return aliases.ambiguity(a)
 
 
-@query(f"SELECT alias_type, alias AS value, string_agg(DISTINCT uid, ',' ORDER BY uid) AS uids FROM fx_alias WHERE alias_type IN {CLASS} GROUP BY ALL", "fx_alias")
+CLASS_ROWS = f"SELECT *, row_number() OVER (PARTITION BY alias_type, value ORDER BY uid) AS rn FROM (SELECT DISTINCT alias_type, alias AS value, uid FROM fx_alias WHERE alias IS NOT NULL AND alias_type IN {CLASS})"
+CLASS_BLOCKS = f"SELECT alias_type, value, CAST((rn - 1) // 1000 AS INTEGER) AS block, min(uid) AS first_uid, max(uid) AS last_uid, count(*) AS n_uids, string_agg(uid, ',' ORDER BY uid) AS uids FROM ({CLASS_ROWS}) GROUP BY alias_type, value, (rn - 1) // 1000"
+
+
+@query(CLASS_BLOCKS, "fx_alias")
 def classifier_lists(a):
-    return aliases.classify(a).withColumn("uids", F.array_join("uids", ","))
+    return aliases.class_blocks(a).withColumn("uids", F.array_join("uids", ","))
 
 
 @query("SELECT 'lang' AS alias_type, lang AS value, count(DISTINCT doc_id) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL UNION ALL SELECT 'source', source, count(DISTINCT doc_id) FROM documents WHERE source IS NOT NULL GROUP BY ALL", "documents")
@@ -78,7 +82,7 @@ def classifier_median(a):
 
 @query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alias_type ORDER BY length(value), value) AS place FROM (SELECT alias_type, alias AS value, count(DISTINCT uid) AS n_uids FROM fx_alias WHERE alias_type IN {CLASS} AND contains(upper(alias), 'B') GROUP BY ALL)) WHERE place <= 60", "fx_alias")
 def classifier_menu(a):
-    return aliases.classifier_menu(a, "b").withColumn("n_uids", F.col("n_uids").cast("long")).withColumn("place", F.col("place").cast("long"))
+    return aliases.classifier_menu(aliases.class_directory(a), "b").withColumn("place", F.col("place").cast("long"))
 
 
 @query("SELECT uid, alias_type, string_agg(alias || '/' || assignment || '/' || CAST(is_current AS VARCHAR), ';' ORDER BY alias, assignment) AS names, count(*) AS n FROM (SELECT uid, alias_type, alias, assignment, max(is_current) AS is_current FROM fx_alias GROUP BY ALL) GROUP BY ALL", "fx_alias")
@@ -157,30 +161,55 @@ def _asked(a: DataFrame) -> DataFrame:
     return spelled.union(other)
 
 
-@query(f"WITH {HITS} SELECT q, tier, str, alias_type, uid, is_current FROM hits", "fx_alias")
-def search_batch_hits(a):
-    return search.search(_asked(a), search.postings(a))
+def _index(a: DataFrame, e: DataFrame, c: DataFrame) -> str:
+    """The written index of these tables; one that this session has written already, for the same files, is used again."""
+    spark = a.sparkSession
+    at = (spark.sparkContext.applicationId, *sorted(a.inputFiles()))
+    if at not in _INDEXES or not files.exists(spark, f"{_INDEXES[at]}/meta/_SUCCESS"):
+        path = files.scratch(spark, "search")
+        stored_search.write_index(a, e, c, path)
+        _INDEXES[at] = path
+    return _INDEXES[at]
+
+
+_INDEXES: dict[tuple[str, ...], str] = {}
+
+
+@query(f"WITH {HITS} SELECT q, tier, str, alias_type, uid, is_current FROM hits", "fx_alias", "fx_entity", "fx_coord")
+def search_batch_hits(a, e, c):
+    return stored_search.stored_search(_asked(a), _index(a, e, c))
 
 
 @query(
     f"""WITH {HITS}, strs AS (
   SELECT q, str, alias_type, string_agg(DISTINCT uid, ',' ORDER BY uid) AS uids, min(uid) AS first_uid, count(DISTINCT uid) AS n_loci, min(tier) AS tier, min(is_current) AS is_current FROM hits GROUP BY q, str, alias_type
+), mem AS (
+  SELECT *, {TYPE_ORDER} AS t, row_number() OVER (PARTITION BY q, uids ORDER BY tier, length(str), str, {TYPE_ORDER}) AS pos FROM strs
+), alt AS (
+  SELECT q, uids, str, alias_type, row_number() OVER (PARTITION BY q, uids ORDER BY pos) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY q, uids, str ORDER BY pos) AS same FROM mem WHERE pos > 1) WHERE same = 1
+), also AS (SELECT q, uids, string_agg(str || '/' || alias_type, ';' ORDER BY nth) AS also FROM alt WHERE nth <= 4 GROUP BY q, uids
 ), rws AS (
   SELECT q, uids, min(first_uid) AS first_uid, max(n_loci) AS n_loci, min(is_current) = 0 AS retired, list({{'tier': tier, 'n': length(str), 'str': str, 't': {TYPE_ORDER}}} ORDER BY tier, length(str), str, {TYPE_ORDER}) AS members FROM strs GROUP BY q, uids
 ), pl AS (
   SELECT q, uids, n_loci, retired, members[1].tier AS tier, members[1].str AS headline,
     row_number() OVER (PARTITION BY q ORDER BY members[1].tier, length(members[1].str), members[1].str, first_uid) AS place FROM rws
-) SELECT q, place, tier, headline, uids, n_loci, retired, CASE WHEN tier = 2 THEN 'prefix' WHEN tier >= 3 THEN 'prefix-collapsed' ELSE '' END AS badge FROM pl WHERE place <= 60""",
-    "fx_alias",
-)
-def search_batch_grouped(a):
-    rows = search.grouped(search.search(_asked(a), search.postings(a)))
-    return rows.select("q", F.col("place").cast("long").alias("place"), "tier", "headline", F.array_join("uids", ",").alias("uids"), F.col("n_loci").cast("long").alias("n_loci"), "retired", "badge")
+) SELECT q, place, tier, headline, coalesce(also.also, '') AS also, uids, n_loci, retired, CASE WHEN tier = 2 THEN 'prefix' WHEN tier >= 3 THEN 'prefix-collapsed' ELSE '' END AS badge FROM pl LEFT JOIN also USING (q, uids) WHERE place <= 60""",
+    "fx_alias", "fx_entity", "fx_coord",
+)
+def search_batch_grouped(a, e, c):
+    rows = search.grouped(stored_search.stored_search(_asked(a), _index(a, e, c)))
+    also = F.array_join(F.transform("also", lambda x: F.concat_ws("/", x["str"], x["alias_type"])), ";").alias("also")
+    return rows.select("q", F.col("place").cast("long").alias("place"), "tier", "headline", also, F.array_join("uids", ",").alias("uids"), F.col("n_loci").cast("long").alias("n_loci"), "retired", "badge")
+
+
+@query(f"WITH {HITS.replace('FROM fx_alias WHERE alias IS NOT NULL AND alias_type IN ' + IDENT, 'FROM fx_alias WHERE alias_type = ' + chr(39) + 'ervmap_alt_name' + chr(39))} SELECT q, tier, str, alias_type, uid, is_current FROM hits", "fx_alias", "fx_entity", "fx_coord")
+def search_one_keyspace(a, e, c):
+    return stored_search.stored_search(_asked(a), _index(a, e, c), only_type="ervmap_alt_name")
 
 
-@query(f"WITH {HITS} SELECT h.q, h.tier, h.str, h.uid, e.combined_id, e.grp FROM hits h LEFT JOIN fx_entity e USING (uid)", "fx_alias", "fx_entity")
-def search_labelled(a, e):
-    found = search.labelled(search.search(_asked(a), search.postings(a)), e)
+@query(f"WITH {HITS} SELECT h.q, h.tier, h.str, h.uid, e.combined_id, e.grp FROM hits h LEFT JOIN fx_entity e USING (uid)", "fx_alias", "fx_entity", "fx_coord")
+def search_labelled(a, e, c):
+    found = search.labelled(stored_search.stored_search(_asked(a), _index(a, e, c)), e)
     return search.ordered_hits(found).select("q", "tier", "str", "uid", "combined_id", "grp")
 
 
@@ -189,9 +218,9 @@ def strings_per_type(a):
     return search.strings_per_type(search.postings(a))
 
 
-@query(f"WITH {HITS} SELECT q, count(*) AS n_hits, count(DISTINCT uid) AS n_loci, count(*) FILTER (WHERE tier >= 3) AS n_collapsed, count(DISTINCT str) AS n_strings FROM hits GROUP BY q", "fx_alias")
-def search_hit_summary(a):
-    return search.hit_summary(search.search(_asked(a), search.postings(a)))
+@query(f"WITH {HITS} SELECT q, count(*) AS n_hits, count(DISTINCT uid) AS n_loci, count(*) FILTER (WHERE tier >= 3) AS n_collapsed, count(DISTINCT str) AS n_strings FROM hits GROUP BY q", "fx_alias", "fx_entity", "fx_coord")
+def search_hit_summary(a, e, c):
+    return search.hit_summary(stored_search.stored_search(_asked(a), _index(a, e, c)))
 
 
 @query("SELECT uid, combined_id FROM fx_entity WHERE contains(upper(combined_id), upper('an'))", "fx_entity")
@@ -276,7 +305,7 @@ def list_page(e, c):
 
 @query(f"WITH {LISTED} SELECT a.alias_type, a.alias AS value, r.uid, r.position FROM fx_alias a JOIN rows_ r ON r.uid = a.uid WHERE a.alias_type IN {CLASS}", "fx_alias", "fx_entity", "fx_coord")
 def classifier_rows(a, e, c):
-    return aliases.classify(a).select("alias_type", "value", F.explode("uids").alias("uid")).join(documents.list_rows(e, c), "uid").select("alias_type", "value", "uid", "position")
+    return aliases.class_members(a).join(documents.list_rows(e, c), "uid").select("alias_type", "value", "uid", "position")
 
 
 @query("SELECT uid, chrom || ':' || CAST(start0 + 1 AS VARCHAR) || '-' || CAST(end0 AS VARCHAR) AS position, chrom || ':' || CAST(greatest(start0 - 999, 1) AS VARCHAR) || '-' || CAST(end0 + 1000 AS VARCHAR) AS padded FROM fx_coord WHERE assembly = 'hg38'", "fx_coord")
@@ -753,12 +782,29 @@ def bundle_manifest(e):
     return e.sparkSession.read.schema("n_buckets long, hash string").json(path)
 
 
-@query(f"WITH {POSTINGS} SELECT key, ckey, alias_type, str, uid, is_current FROM post", "fx_alias")
-def search_index_round_trip(a):
-    path = files.scratch(a.sparkSession, "index")
-    made = search.postings(a)
-    files.write_search_index({"postings": made, "collapsed": search.collapsed_map(made)}, path)
-    return a.sparkSession.read.schema(made.schema).parquet(f"{path}/postings").select("key", "ckey", "alias_type", "str", "uid", "is_current")
+@query(f"WITH {POSTINGS}, k AS (SELECT key, CAST(row_number() OVER (ORDER BY key) - 1 AS BIGINT) AS rank FROM (SELECT DISTINCT key FROM post)) SELECT key, rank, alias_type, str, uid, is_current FROM post JOIN k USING (key)", "fx_alias", "fx_entity", "fx_coord")
+def search_index_round_trip(a, e, c):
+    return stored_search.read_part(a.sparkSession, _index(a, e, c), "postings", stored_search.ALL)
+
+
+@query(f"WITH {POSTINGS}, k AS (SELECT key, ckey, CAST(row_number() OVER (ORDER BY key) - 1 AS BIGINT) AS rank, CAST(dense_rank() OVER (ORDER BY ckey) - 1 AS BIGINT) AS crank FROM (SELECT DISTINCT key, ckey FROM post)) SELECT 'ckey' AS of, crank AS at, ckey AS unit, rank FROM k UNION ALL SELECT 'key', rank, key, rank FROM k", "fx_alias", "fx_entity", "fx_coord")
+def search_index_collapsed(a, e, c):
+    return stored_search.read_part(a.sparkSession, _index(a, e, c), "collapsed", stored_search.ALL)
+
+
+@query(CLASS_BLOCKS, "fx_alias", "fx_entity", "fx_coord")
+def search_index_classifier(a, e, c):
+    return stored_search.read_part(a.sparkSession, _index(a, e, c), "classifier").withColumn("uids", F.array_join("uids", ","))
+
+
+@query(f"WITH {LISTED.replace('e.grp, c.chrom', 'e.grp, e.band, e.origin, c.chrom')} SELECT uid, combined_id, grp, band, origin, chrom, start0, end0, position FROM rows_", "fx_alias", "fx_entity", "fx_coord")
+def search_index_listmeta(a, e, c):
+    return stored_search.read_part(a.sparkSession, _index(a, e, c), "listmeta")
+
+
+@query(f"WITH {POSTINGS} SELECT (SELECT count(*) FROM fx_entity) AS n_loci, count(DISTINCT key) AS n_keys, count(DISTINCT ckey) AS n_collapsed, count(*) AS n_postings, '{','.join(aliases.IDENTIFIERS)}' AS ident_types, '{','.join(aliases.CLASSIFIERS)}' AS class_types FROM post", "fx_alias", "fx_entity", "fx_coord")
+def search_index_meta(a, e, c):
+    return stored_search.read_part(a.sparkSession, _index(a, e, c), "meta").withColumns({t: F.array_join(t, ",") for t in ("ident_types", "class_types")})
 
 
 @query(f"WITH {GTF}, {WIN}, {TXW}, {GENES} SELECT uid, gene, 'hg38' AS assembly, start0, end0 FROM gm", "fx_gtf_line", "fx_coord")

@@ -42,6 +42,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``scratch`` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def write_texts(rows: DataFrame, path: str, by: list[str]) -> None:
     """``value`` of each row as a file of its own, in folders of the ``by`` columns, which tell rows apart."""
     rows.select("value", *by).repartition(*by).write.partitionBy(*by).text(path)
@@ -81,8 +92,7 @@ def _fields(ddl: str) -> str:
 def materialise(df: DataFrame, path: str, *, reuse: bool = True) -> DataFrame:
     """Reads ``path`` if it holds a finished table, or writes ``df`` there and reads it."""
     spark = df.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not (reuse and place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)):
+    if not (reuse and exists(spark, f"{path}/_SUCCESS")):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -123,12 +133,6 @@ def lookup(spark: SparkSession, path: str, schema: T.StructType, uid: str, bucke
     return found
 
 
-def write_search_index(parts: dict[str, DataFrame], path: str) -> None:
-    """One Parquet table for each part: classifier, postings, collapsed, listmeta, meta."""
-    for name, part in parts.items():
-        part.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
 def write_gene_models(models: DataFrame, path: str) -> None:
     """Gene models in ``assembly=`` folders."""
     models.write.mode("overwrite").partitionBy("assembly").parquet(path)

@@ -99,5 +99,3 @@ def test_catalog_and_materialised_tables(spark, tmp_path):
     assert files.materialise(df.where("1 = 0"), str(tmp_path / "m")).count() == once.count() == 1
     files.write_gene_models(df, str(tmp_path / "g"))
     assert spark.read.parquet(str(tmp_path / "g")).where("assembly = 'hg38'").count() == 1
-    files.write_search_index({"meta": df, "postings": df}, str(tmp_path / "i"))
-    assert spark.read.parquet(str(tmp_path / "i/postings")).count() == 1
