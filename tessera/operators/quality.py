@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import bucket as hashed
 from tessera.functions.text import is_strict_json
 
 
@@ -57,11 +58,45 @@ def drifted(expected: DataFrame, built: DataFrame) -> DataFrame:
     return expected.where(F.col("name").isNotNull()).select("uid", "name").distinct().join(built.select("uid", "name").distinct(), ["uid", "name"], "left_anti")
 
 
-def coverage_by_assembly(entities: DataFrame, coords: DataFrame, first: str = "hg38", second: str = "t2t") -> DataFrame:
-    """Entities with the first assembly, with the second alone, and with neither."""
-    seen = coords.groupBy("uid").agg(F.bool_or(F.col("assembly") == first).alias("a"), F.bool_or(F.col("assembly") == second).alias("b"))
-    flags = entities.select("uid").join(seen, "uid", "left").select(F.coalesce("a", F.lit(False)).alias("a"), F.coalesce("b", F.lit(False)).alias("b"))
-    return flags.agg(F.count("*").alias("n_entities"), F.count_if("a").alias("n_first"), F.count_if(~F.col("a") & F.col("b")).alias("n_second_only"), F.count_if(~F.col("a") & ~F.col("b")).alias("n_neither"))
+def bundle_faults(bundle: DataFrame, refs: DataFrame, buckets: int) -> DataFrame:
+    """``reason, kind, uid, bucket, detail``: what is wrong with a written bundle, one row for each case.
+
+    ``bundle`` is read back, with the ``bucket`` of the folder a line lies in and ``_corrupt`` lines; ``refs`` are the
+    ``kind, uid`` that names resolve to.  Reasons: ``corrupt``, a line that is no document (``detail`` has it); ``placed``, a
+    document in another bucket than its uid hashes to; ``repeated``, one that is there more than once; ``missing``, a uid
+    that names of ``kind`` resolve to and that is not where a lookup would read it (``detail`` counts the names).
+    Every line and every reference is checked.  A line counts once, in one pass over the files.
+    """
+    lines = bundle.select("uid", "bucket", "_corrupt", hashed(F.col("uid"), buckets).alias("want"))
+    none = F.lit(None).cast("string")
+    broken = lines.where(F.col("_corrupt").isNotNull() | F.col("uid").isNull())
+    corrupt = broken.select(F.lit("corrupt").alias("reason"), none.alias("kind"), none.alias("uid"), "bucket", F.col("_corrupt").alias("detail"))
+    each = lines.where(F.col("_corrupt").isNull() & F.col("uid").isNotNull()).groupBy("uid", "want").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("bucket") != F.col("want"), F.col("bucket"))).alias("elsewhere"), F.bool_or(F.col("bucket") == F.col("want")).alias("home")
+    )
+    placed = each.where("elsewhere IS NOT NULL").select(F.lit("placed"), none, "uid", F.col("elsewhere"), F.concat(F.lit("belongs in "), F.col("want").cast("string")))
+    repeated = each.where("n > 1").select(F.lit("repeated"), none, "uid", F.col("want"), F.col("n").cast("string"))
+    names = refs.groupBy("kind", "uid").agg(F.count(F.lit(1)).alias("names"))
+    lost = names.join(each.where("home").select("uid"), "uid", "left_anti")
+    missing = lost.select(F.lit("missing"), "kind", "uid", hashed(F.col("uid"), buckets), F.concat(F.col("names").cast("string"), F.lit(" names")))
+    return corrupt.union(placed).union(repeated).union(missing)
+
+
+def coverage_by_assembly(entities: DataFrame, coords: DataFrame, repeats: DataFrame, first: str = "hg38", second: str = "t2t") -> DataFrame:
+    """Entities with the first assembly, with the second alone, with neither; with repeats, and with repeats on an assembly they have no coordinate on.
+
+    ``repeats`` has the ``uid, assembly`` of each repeat of an entity.
+    """
+    marks = coords.select("uid", "assembly", F.lit(False).alias("r")).unionByName(repeats.select("uid", "assembly", F.lit(True).alias("r")))
+    pairs = marks.groupBy("uid", "assembly").agg(F.bool_or("r").alias("r"), F.bool_or(~F.col("r")).alias("c"))
+    seen = pairs.groupBy("uid").agg(
+        F.bool_or(F.col("c") & (F.col("assembly") == first)).alias("a"), F.bool_or(F.col("c") & (F.col("assembly") == second)).alias("b"), F.bool_or("r").alias("r"), F.bool_or(F.col("r") & ~F.col("c")).alias("lost")
+    )
+    flags = entities.select("uid").join(seen, "uid", "left").select(*[F.coalesce(c, F.lit(False)).alias(c) for c in ("a", "b", "r", "lost")])
+    return flags.agg(
+        F.count("*").alias("n_entities"), F.count_if("a").alias("n_first"), F.count_if(~F.col("a") & F.col("b")).alias("n_second_only"), F.count_if(~F.col("a") & ~F.col("b")).alias("n_neither"),
+        F.count_if("r").alias("n_with_repeats"), F.count_if("lost").alias("n_repeats_without_coordinate"),
+    )
 
 
 def child_coverage(entities: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
@@ -75,8 +110,10 @@ def child_coverage(entities: DataFrame, children: dict[str, DataFrame]) -> DataF
 
 
 def outside(rows: DataFrame, allowed: list[str], column: str) -> DataFrame:
-    """Distinct values of a column that are not allowed."""
-    return rows.select(column).distinct().where(~F.col(column).isin(*allowed) | F.col(column).isNull())
+    """Distinct values of a column that are not allowed, with ``reason``; a table without rows is a fault of its own."""
+    values = rows.select(column).distinct().where(~F.col(column).isin(*allowed) | F.col(column).isNull()).withColumn("reason", F.lit("unexpected"))
+    empty = rows.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(None).cast(rows.schema[column].dataType).alias(column), F.lit("empty").alias("reason"))
+    return values.unionByName(empty)
 
 
 def uneven_exons(tx: DataFrame) -> DataFrame:

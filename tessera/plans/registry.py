@@ -547,13 +547,6 @@ def interspersed_families(m):
 # ---- checks
 
 
-@query("SELECT alias_type, count(*) AS n_misses, array_to_string(list_slice(list(DISTINCT uid ORDER BY uid), 1, 3), ',') AS examples FROM fx_alias WHERE uid NOT IN (SELECT uid FROM fx_coord) GROUP BY alias_type", "fx_alias", "fx_coord")
-def resolution_misses(a, c):
-    refs = a.withColumn("bucket", hashing.bucket(F.col("uid"), 400))
-    there = c.select("uid").distinct().withColumn("bucket", hashing.bucket(F.col("uid"), 400))
-    return quality.examples(quality.dangling(refs, there, ["uid", "bucket"]), "alias_type", "uid")
-
-
 AGREE = f"WITH {GTF}, {WIN}, {TXW}, want AS (SELECT uid, source, list(DISTINCT ref_gene_name) FILTER (ref_gene_name IS NOT NULL) AS want FROM fx_hit_gene GROUP BY ALL), have AS (SELECT uid, list(DISTINCT name2) AS have FROM txw GROUP BY uid), b AS (SELECT w.*, coalesce(len(want), 0) AS n, len(list_intersect(coalesce(want, []), coalesce(have, []))) AS found FROM want w LEFT JOIN have USING (uid))"
 
 
@@ -592,9 +585,11 @@ def window_filter_loss(g, c, h):
     return lost.join(built, "uid", "left").agg(F.count("*").alias("n_lost"), F.count("has").alias("n_lost_with_transcript"))
 
 
-@query("SELECT (SELECT count(*) FROM fx_entity) AS n_entities, (SELECT count(DISTINCT uid) FROM fx_coord WHERE assembly = 'hg38') AS n_first, (SELECT count(*) FROM (SELECT uid FROM fx_coord WHERE assembly = 't2t' EXCEPT SELECT uid FROM fx_coord WHERE assembly = 'hg38')) AS n_second_only, (SELECT count(*) FROM fx_entity WHERE uid NOT IN (SELECT uid FROM fx_coord)) AS n_neither", "fx_entity", "fx_coord")
-def coverage_by_assembly(e, c):
-    return quality.coverage_by_assembly(e, c)
+@query(f"WITH {WIN}, rp AS (SELECT DISTINCT w.uid FROM fx_repeat r JOIN win w ON w.chrom = r.chrom AND r.start0 < w.w1 AND r.end0 > w.w0) SELECT (SELECT count(*) FROM fx_entity) AS n_entities, (SELECT count(DISTINCT uid) FROM fx_coord WHERE assembly = 'hg38') AS n_first, (SELECT count(*) FROM (SELECT uid FROM fx_coord WHERE assembly = 't2t' EXCEPT SELECT uid FROM fx_coord WHERE assembly = 'hg38')) AS n_second_only, (SELECT count(*) FROM fx_entity WHERE uid NOT IN (SELECT uid FROM fx_coord)) AS n_neither, (SELECT count(DISTINCT uid) FROM rp) AS n_with_repeats, (SELECT count(DISTINCT uid) FROM rp WHERE uid NOT IN (SELECT uid FROM fx_coord WHERE assembly = 't2t')) AS n_repeats_without_coordinate", "fx_entity", "fx_coord", "fx_repeat")
+def coverage_by_assembly(e, c, r):
+    """Repeats of the first assembly's windows, said to be of the second, so that some entities have no coordinate for them."""
+    repeats = annotation.repeats_in_windows(r, hg38_windows(c)).select("uid", F.lit("t2t").alias("assembly"))
+    return quality.coverage_by_assembly(e, c, repeats)
 
 
 @query("SELECT event_id, props FROM fx_json WHERE props IS NULL OR NOT json_valid(props) OR contains(props, 'NaN')", "fx_json")
@@ -668,11 +663,16 @@ def locus_count_check(e, a):
     return quality.count_check(e, a.select("uid").distinct())
 
 
-@query("SELECT DISTINCT assembly FROM fx_coord WHERE assembly NOT IN ('hg38')", "fx_coord")
+@query("SELECT DISTINCT assembly, 'unexpected' AS reason FROM fx_coord WHERE assembly NOT IN ('hg38')", "fx_coord")
 def unexpected_assemblies(c):
     return quality.outside(c, ["hg38"], "assembly")
 
 
+@query("SELECT NULL::VARCHAR AS assembly, 'empty' AS reason WHERE NOT EXISTS (SELECT 1 FROM fx_coord WHERE assembly = 'hg19')", "fx_coord")
+def empty_assembly(c):
+    return quality.outside(c.where("assembly = 'hg19'"), ["hg19"], "assembly")
+
+
 # ---- small operators on whole tables
 
 
@@ -752,11 +752,15 @@ def materialised_reuse(a):
     return files.materialise(made.where("uid IS NULL"), path)  # what is there is read, so this is not computed
 
 
+def _documents(e: DataFrame, c: DataFrame) -> DataFrame:
+    return documents.assemble(e.select("uid", "grp", "origin"), {"coords": documents.nested(c, "coords", ["assembly", "chrom", "start0", "end0"])})
+
+
 def _bundle(e: DataFrame, c: DataFrame) -> tuple[str, T.StructType]:
-    """A bundle of all entities, written over one of others, and its schema."""
+    """A bundle of all entities, written over a small one of others, and its schema."""
     path = files.scratch(e.sparkSession, "bundle")
-    docs = documents.assemble(e.select("uid", "grp", "origin"), {"coords": documents.nested(c, "coords", ["assembly", "chrom", "start0", "end0"])})
-    stale = e.select(F.concat(F.lit("OLD"), "uid").alias("uid"), "grp", "origin", F.array().cast(docs.schema["coords"].dataType).alias("coords"))
+    docs = _documents(e, c)
+    stale = e.where("k % 1000 = 1").select(F.concat(F.lit("OLD"), "uid").alias("uid"), "grp", "origin", F.array().cast(docs.schema["coords"].dataType).alias("coords"))
     for documents_ in (stale, docs):
         files.write_bundle(documents_, path)
     return path, docs.schema
@@ -766,20 +770,71 @@ def _bundle(e: DataFrame, c: DataFrame) -> tuple[str, T.StructType]:
 def bundle_round_trip(e, c):
     path, schema = _bundle(e, c)
     read = files.read_bundle(e.sparkSession, path, schema).where("_corrupt IS NULL")
-    return read.select("uid", F.col("bucket").cast("int").alias("bucket"), "grp", "origin", F.when(F.col("coords").isNotNull(), F.size("coords")).alias("n_coords"))
+    return read.select("uid", "bucket", "grp", "origin", F.when(F.col("coords").isNotNull(), F.size("coords")).alias("n_coords"))
+
+
+@query("SELECT uid, grp FROM fx_entity", "fx_entity", "fx_coord")
+def bundle_read_during_rewrite(e, c):
+    """A reader that has begun before a rewrite: it gets the whole old bundle and nothing of the new one."""
+    path, docs = files.scratch(e.sparkSession, "bundle"), _documents(e, c)
+    files.write_bundle(docs, path)
+    begun = files.read_bundle(e.sparkSession, path, docs.schema)
+    files.write_bundle(docs.where("grp < 'Brand#3'").withColumn("grp", F.lit("new")), path)
+    return begun.select("uid", "grp")
 
 
-@query("SELECT uid, grp, origin FROM fx_entity WHERE uid = (SELECT max(uid) FROM fx_entity)", "fx_entity", "fx_coord")
+@query(f"SELECT q.uid, q.bucket, e.uid IS NOT NULL AS found, e.grp, e.origin FROM (SELECT uid, {DJB2_UID} AS bucket FROM (SELECT uid FROM fx_coord WHERE chrom = 'chr3' UNION SELECT 'NOT' || uid FROM fx_coord WHERE chrom = 'chr2')) q LEFT JOIN fx_entity e ON e.uid = q.uid", "fx_entity", "fx_coord")
 def bundle_lookup(e, c):
+    """All entities of one chromosome, and as many that are not there."""
     path, schema = _bundle(e, c)
-    return files.lookup(e.sparkSession, path, schema, e.agg(F.max("uid")).first()[0]).select("uid", "grp", "origin")
+    uids = c.where("chrom = 'chr3'").select("uid").union(c.where("chrom = 'chr2'").select(F.concat(F.lit("NOT"), "uid").alias("uid")))
+    return files.lookups(uids, path, schema).select("uid", "bucket", "found", "grp", "origin")
+
+
+@query("SELECT CAST(400 AS BIGINT) AS n_buckets, 'djb2_mod' AS hash, count(*) AS n_documents FROM fx_entity", "fx_entity", "fx_coord")
+def bundle_manifest(e, c):
+    path, _ = _bundle(e, c)
+    return e.sparkSession.read.schema("n_buckets long, hash string, n_documents long").json(f"{path}/manifest.json")
+
+
+def _damaged(e: DataFrame, c: DataFrame) -> tuple[str, T.StructType]:
+    """A bundle in which some documents are missing, some lie in the next bucket, and some buckets have a line cut short."""
+    path, docs, kind = files.scratch(e.sparkSession, "damaged"), _documents(e, c), F.col("k") % 500
+    pick = lambda n: docs.join(e.where(kind == n).select("uid"), "uid", "left_semi")
+    folder = files.write_bundle(docs.join(e.where(kind.isin(7, 8)).select("uid"), "uid", "left_anti"), path)
+    files.append_documents(files.in_buckets(pick(7), 400).withColumn("bucket", (F.col("bucket") + 1) % 400), folder)
+    cut = pick(9).select(F.concat(F.lit('{"uid":"'), "uid", F.lit('","grp":')).alias("value"), hashing.bucket(F.col("uid"), 400).alias("bucket"))
+    cut.write.mode("append").partitionBy("bucket").text(folder)
+    return path, docs.schema
+
+
+def _resolved(a: DataFrame, e: DataFrame, c: DataFrame) -> DataFrame:
+    """``kind, uid`` of every name of the written index: its classes and its postings."""
+    spark, path = a.sparkSession, _index(a, e, c)
+    classes = stored_search.read_part(spark, path, "classifier").select(F.col("alias_type").alias("kind"), F.explode("uids").alias("uid"))
+    return classes.union(stored_search.read_part(spark, path, "postings", stored_search.ALL).select("alias_type", "uid"))
+
+
+FAULTS = f"""{POSTINGS}, refs AS (
+  SELECT alias_type AS kind, uid FROM (SELECT DISTINCT alias_type, alias, uid FROM fx_alias WHERE alias IS NOT NULL AND alias_type IN {CLASS}) UNION ALL SELECT alias_type, uid FROM post
+), en AS (SELECT uid, k % 500 AS m, {DJB2_UID} AS b FROM fx_entity), faults AS (
+  SELECT 'corrupt' AS reason, NULL AS kind, NULL AS uid, b AS bucket, '{{"uid":"' || uid || '","grp":' AS detail FROM en WHERE m = 9
+  UNION ALL SELECT 'placed', NULL, uid, (b + 1) % 400, 'belongs in ' || CAST(b AS VARCHAR) FROM en WHERE m = 7
+  UNION ALL SELECT 'missing', r.kind, r.uid, min(b), CAST(count(*) AS VARCHAR) || ' names' FROM refs r JOIN en ON en.uid = r.uid WHERE m IN (7, 8) GROUP BY r.kind, r.uid
+)"""
+
+
+@query(f"WITH {FAULTS} SELECT reason, kind, uid, bucket, detail FROM faults", "fx_alias", "fx_entity", "fx_coord")
+def bundle_faults(a, e, c):
+    path, schema = _damaged(e, c)
+    return quality.bundle_faults(files.read_bundle(a.sparkSession, path, schema), _resolved(a, e, c), int(files.manifest_of(a.sparkSession, path)["n_buckets"]))
 
 
-@query(f"SELECT CAST(count(DISTINCT {DJB2_UID}) AS BIGINT) AS n_buckets, 'djb2' AS hash FROM fx_entity", "fx_entity")
-def bundle_manifest(e):
-    path = files.scratch(e.sparkSession, "manifest")
-    files.write_manifest(e.sparkSession, path, documents.bucket_sizes(e, 400, F.col("versioned_id")).count())
-    return e.sparkSession.read.schema("n_buckets long, hash string").json(path)
+@query(f"WITH {FAULTS} SELECT kind, count(*) AS n_misses, array_to_string(list_slice(list(DISTINCT uid ORDER BY uid), 1, 3), ',') AS examples FROM faults WHERE reason = 'missing' GROUP BY kind", "fx_alias", "fx_entity", "fx_coord")
+def resolution_misses(a, e, c):
+    path, schema = _damaged(e, c)
+    found = quality.bundle_faults(files.read_bundle(a.sparkSession, path, schema), _resolved(a, e, c), int(files.manifest_of(a.sparkSession, path)["n_buckets"]))
+    return quality.examples(found.where("reason = 'missing'"), "kind", "uid")
 
 
 @query(f"WITH {POSTINGS}, k AS (SELECT key, CAST(row_number() OVER (ORDER BY key) - 1 AS BIGINT) AS rank FROM (SELECT DISTINCT key FROM post)) SELECT key, rank, alias_type, str, uid, is_current FROM post JOIN k USING (key)", "fx_alias", "fx_entity", "fx_coord")

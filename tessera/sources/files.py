@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,40 +99,91 @@ def materialise(df: DataFrame, path: str, *, reuse: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_bundle(documents: DataFrame, path: str, buckets: int = 400) -> None:
-    """Documents as gzip JSON lines in ``bucket=`` folders by the hash of their uid; what was there before goes.
+#: Fixed value: the name of the hash that manifests give.
+HASH = "djb2_mod"
 
-    NaN and infinities become null and nulls are written, so every line is strict JSON.
-    """
+
+def _fs(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _switch(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Puts the manifest in place of the one before by one rename, so that a reader finds the old one or the new one."""
+    jvm = spark._jvm
+    fresh, fs = _fs(spark, f"{path}/manifest-{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    at = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path}/manifest.json"))
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), at, over)
+
+
+def manifest_of(spark: SparkSession, path: str) -> dict:
+    """``n_buckets``, ``hash``, ``n_documents`` and ``version`` of the bundle that is in force."""
+    text = spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0]
+    return json.loads(text)
+
+
+def in_buckets(documents: DataFrame, buckets: int) -> DataFrame:
+    """Documents as they are written: without NaN and infinities, which become null, and with their bucket."""
     clean = documents.select(*[finite_deep(F.col(f.name), f.dataType).alias(f.name) for f in documents.schema.fields])
-    placed = clean.withColumn("bucket", bucket(F.col("uid"), buckets))
-    placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").option("compression", "gzip").option("ignoreNullFields", "false").json(path)
+    return clean.withColumn("bucket", bucket(F.col("uid"), buckets))
+
 
+def append_documents(placed: DataFrame, folder: str) -> None:
+    """Documents with a ``bucket`` as gzip JSON lines, nulls written, in ``bucket=`` folders."""
+    placed.repartition("bucket").write.mode("append").partitionBy("bucket").option("compression", "gzip").option("ignoreNullFields", "false").json(folder)
 
-def write_manifest(spark: SparkSession, path: str, buckets: int) -> None:
-    spark.createDataFrame([(buckets, "djb2")], "n_buckets int, hash string").coalesce(1).write.mode("overwrite").json(path)
+
+def write_bundle(documents: DataFrame, path: str, buckets: int = 400, keep: int = 1) -> str:
+    """Documents as strict JSON lines in ``bucket=`` folders by the hash of their uid; gives the folder they are in.
+
+    They go to a folder of their own, a version, and are in force once the manifest names it.  A reader that began
+    before goes on with the version it found: ``keep`` versions before this one stay, older ones are deleted.
+    """
+    spark = documents.sparkSession
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    seen = Observation()
+    append_documents(in_buckets(documents, buckets).observe(seen, F.count(F.lit(1)).alias("n")), f"{path}/{version}")
+    _switch(spark, path, {"n_buckets": buckets, "hash": HASH, "n_documents": seen.get["n"], "version": version})
+    root, fs = _fs(spark, path)
+    before = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("v-"))
+    for old in before[: max(0, before.index(version) - keep)]:
+        drop(spark, f"{path}/{old}")
+    return f"{path}/{version}"
 
 
 def read_bundle(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All documents; a line that cannot be read is kept in ``_corrupt``."""
-    with_bucket = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    return spark.read.schema(with_bucket).option("columnNameOfCorruptRecord", "_corrupt").option("allowNonNumericNumbers", "false").json(path)
+    """All documents of the version in force; a line that cannot be read is kept in ``_corrupt``, its ``bucket`` is the folder's."""
+    with_bucket = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType()), T.StructField("bucket", T.IntegerType())])
+    reader = spark.read.schema(with_bucket).option("columnNameOfCorruptRecord", "_corrupt").option("allowNonNumericNumbers", "false")
+    return reader.json(f"{path}/{manifest_of(spark, path)['version']}")
+
 
+def lookups(uids: DataFrame, path: str, schema: T.StructType) -> DataFrame:
+    """``uid, bucket, found`` and the document of each distinct ``uid``; one that is not there names the bucket it is not in.
 
-def bucket_of(uid: str, buckets: int) -> int:
-    h = 5381
-    for c in uid:
-        h = (h * 33 + ord(c)) & 0xFFFFFFFF
-    return h % buckets
+    The uids' buckets prune the folders that are read, while the job runs; how many buckets there are, the manifest says.
+    """
+    spark = uids.sparkSession
+    n = int(manifest_of(spark, path)["n_buckets"])
+    wanted = uids.select("uid").where(F.col("uid").isNotNull()).distinct().withColumn("bucket", bucket(F.col("uid"), n))
+    wanted = wanted.where(F.col("bucket") < n)  # which always holds; Spark prunes only by a side that has a filter
+    there = read_bundle(spark, path, schema).where(F.col("uid").isNotNull()).drop("_corrupt").withColumn("found", F.lit(True))
+    met = wanted.join(there, ["uid", "bucket"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return met.select("uid", "bucket", "found", *[f.name for f in schema.fields if f.name != "uid"])
 
 
-def lookup(spark: SparkSession, path: str, schema: T.StructType, uid: str, buckets: int = 400) -> DataFrame:
+def lookup(spark: SparkSession, path: str, schema: T.StructType, uid: str) -> DataFrame:
     """One document, from its bucket alone; an error that names the bucket if it is not there."""
-    at = bucket_of(uid, buckets)
-    found = read_bundle(spark, path, schema).where((F.col("bucket") == at) & (F.col("uid") == uid)).drop("_corrupt")
+    row = lookups(spark.createDataFrame([(uid,)], "uid string"), path, schema)
+    found = row.where("found")
     if found.isEmpty():
-        raise KeyError(f"{uid} is not in bucket {at}")
-    return found
+        raise KeyError(f"{uid} is not in bucket {row.first().bucket}")
+    return found.drop("found", "bucket")
 
 
 def write_gene_models(models: DataFrame, path: str) -> None:

@@ -15,7 +15,6 @@ def bundle(spark, sf_dir, tmp_path_factory):
     children = {"coords": documents.nested(c.withColumn("score", F.lit(float("nan"))), "coords", ["assembly", "chrom", "start0", "end0", "score"])}
     docs = documents.assemble(e.select("uid", "grp", "band"), children)
     files.write_bundle(docs, path, 16)
-    files.write_manifest(spark, path + "-manifest", 16)
     return path, docs
 
 
@@ -25,20 +24,56 @@ def test_bundle_reads_back(spark, bundle):
     assert again.where("_corrupt IS NOT NULL").collect() == []
     flat = lambda df: df.select("uid", "grp", "band", F.to_json(F.transform("coords", lambda c: c.dropFields("score"))).alias("c"))
     assert flat(again).exceptAll(flat(docs)).isEmpty() and flat(docs).exceptAll(flat(again)).isEmpty()
-    assert quality.not_strict_json(spark.read.text(path, recursiveFileLookup=True), "value").isEmpty()
-    line = json.loads(spark.read.text(path, recursiveFileLookup=True).where(F.contains("value", F.lit("chr"))).first()[0])
+    lines = spark.read.text(f"{path}/{files.manifest_of(spark, path)['version']}", recursiveFileLookup=True)
+    assert quality.not_strict_json(lines, "value").isEmpty()
+    line = json.loads(lines.where(F.contains("value", F.lit("chr"))).first()[0])
     assert line["coords"][0]["score"] is None
 
 
-def test_lookup_reads_one_bucket(spark, bundle):
+def test_lookups_read_their_buckets(spark, bundle):
     path, docs = bundle
     uid = docs.first().uid
-    found = files.lookup(spark, path, docs.schema, uid, 16)
-    assert found.first().uid == uid
-    plan = found._jdf.queryExecution().toString()
-    assert f"(bucket#" in plan and f"= {files.bucket_of(uid, 16)})" in plan and "PartitionFilters" in plan  # noqa: F541
-    with pytest.raises(KeyError, match="bucket"):
-        files.lookup(spark, path, docs.schema, "HERVX", 16)
+    assert files.lookup(spark, path, docs.schema, uid).first().uid == uid
+    asked = spark.createDataFrame([(uid,), ("HERVX",), (None,), (uid,)], "uid string")
+    made = files.lookups(asked, path, docs.schema)
+    assert sorted((r.uid, r.found) for r in made.collect()) == sorted([(uid, True), ("HERVX", False)])
+    assert "dynamicpruning" in made._jdf.queryExecution().executedPlan().toString().lower()
+    at = made.where("NOT found").first().bucket
+    with pytest.raises(KeyError, match=f"HERVX is not in bucket {at}"):
+        files.lookup(spark, path, docs.schema, "HERVX")
+
+
+def test_a_reader_sees_one_version(spark, tmp_path):
+    path, docs = str(tmp_path / "b"), lambda n: spark.range(n).selectExpr("concat('u', id) AS uid", f"{n} AS v")
+    uids = lambda df: {(r.uid, r.v) for r in df.collect()}
+    files.write_bundle(docs(5), path, 4)
+    begun = files.read_bundle(spark, path, docs(1).schema)
+    files.write_bundle(docs(2), path, 8)
+    assert uids(begun) == {(f"u{i}", 5) for i in range(5)} and files.manifest_of(spark, path)["n_buckets"] == 8
+    assert uids(files.read_bundle(spark, path, docs(1).schema)) == {("u0", 2), ("u1", 2)}
+    files.append_documents(files.in_buckets(docs(9), 4), f"{path}/v-99999999999999999999-half")  # a write that was never finished
+    assert uids(files.read_bundle(spark, path, docs(1).schema)) == {("u0", 2), ("u1", 2)}
+    files.write_bundle(docs(1), path, 4)
+    files.write_bundle(docs(3), path, 4)
+    assert len(list((tmp_path / "b").glob("v-*"))) == 3  # the last two and the unfinished one
+
+
+def test_faults_of_a_written_bundle(spark, tmp_path):
+    path, docs = str(tmp_path / "b"), spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "uid string, v int")
+    folder = files.write_bundle(docs.where("uid <> 'b'"), path, 4)
+    right = {r.uid: r.bucket for r in files.in_buckets(docs, 4).collect()}
+    files.append_documents(files.in_buckets(docs.where("uid = 'a'"), 4).withColumn("bucket", (F.col("bucket") + 1) % 4), folder)
+    spark.createDataFrame([('{"uid":"c","v":NaN}', 2), ("[]", 3)], "value string, bucket int").write.mode("append").partitionBy("bucket").text(folder)
+    refs = spark.createDataFrame([("name", "a"), ("name", "b"), ("name", "b"), ("name", "c"), ("other", "zz")], "kind string, uid string")
+    got = {(r.reason, r.kind, r.uid, r.detail) for r in quality.bundle_faults(files.read_bundle(spark, path, docs.schema), refs, 4).collect()}
+    assert {g for g in got if g[0] != "corrupt"} == {("placed", None, "a", f"belongs in {right['a']}"), ("repeated", None, "a", "2"), ("missing", "name", "b", "2 names"), ("missing", "other", "zz", "1 names")}
+    assert ("corrupt", None, None, '{"uid":"c","v":NaN}') in got
+
+
+def test_an_empty_table_is_a_fault(spark):
+    df = spark.createDataFrame([("x",), (None,)], "assembly string")
+    assert {tuple(r) for r in quality.outside(df, ["hg38"], "assembly").collect()} == {("x", "unexpected"), (None, "unexpected")}
+    assert [tuple(r) for r in quality.outside(df.where("false"), ["hg38"], "assembly").collect()] == [(None, "empty")]
 
 
 def test_a_lost_document_is_found_missing(spark, bundle):
