@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.numbering import placed
+from tessera.operators.quality import median
 
 #: Keyspaces that identify an entity, in order of preference, and keyspaces that classify it.
 IDENTIFIERS = ("combined_id", "versioned_id", "telescope_id", "hervd_id", "ervmap_id", "ervmap_alt_name")
@@ -53,9 +54,9 @@ def class_directory(aliases: DataFrame, keyspaces: tuple[str, ...] = CLASSIFIERS
 
 def classifier_sizes(aliases: DataFrame, keyspaces: tuple[str, ...] = CLASSIFIERS) -> DataFrame:
     """Number of classes of each keyspace and the median of their sizes, cut to a whole number."""
-    named = aliases.where(F.col("alias_type").isin(*keyspaces) & F.col("alias").isNotNull())
-    each = named.groupBy("alias_type", "alias").agg(F.countDistinct("uid").alias("n"))
-    return each.groupBy("alias_type").agg(F.count("*").alias("n_values"), F.floor(F.expr("percentile(n, 0.5)")).cast("long").alias("median_size"))
+    each = class_directory(aliases, keyspaces)
+    middle = median(each, "n_uids", ("alias_type",)).select("alias_type", F.floor("median").cast("long").alias("median_size"))
+    return each.groupBy("alias_type").agg(F.count("*").alias("n_values")).join(middle, "alias_type")
 
 
 def classifier_menu(directory: DataFrame, query: str = "", most: int = 60) -> DataFrame:

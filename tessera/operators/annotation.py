@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import class_of, family_of, quoted_attribute, strand_of
-from tessera.operators.intervals import interval_join, overlap_length
+from tessera.operators.intervals import interval_join, merge_intervals, overlap_length
 
 REPEAT_FIELDS = 15
 
@@ -103,7 +103,11 @@ def repeats_in_windows(rows: DataFrame, wins: DataFrame, *, width: int = 4096) -
     return joined.withColumn("overlap_bp", overlap).drop("w0", "w1")
 
 
-def of_classes(rows: DataFrame, classes: tuple[str, ...] | None = ("LTR", "LINE", "SINE", "DNA", "Retroposon")) -> DataFrame:
+#: The classes of interspersed repeats, sure and unsure.
+INTERSPERSED = ("LINE", "SINE", "LTR", "LTR?", "DNA", "DNA?", "Retroposon", "RC", "SINE?", "LINE?")
+
+
+def of_classes(rows: DataFrame, classes: tuple[str, ...] | None = INTERSPERSED) -> DataFrame:
     """Interspersed repeats, or all of them without ``classes``."""
     return rows if classes is None else rows.where(F.col("rep_class").isin(*classes))
 
@@ -152,17 +156,11 @@ def gene_models(placed: DataFrame) -> DataFrame:
     inside = F.filter(F.arrays_zip("exonStarts", "exonEnds"), lambda x: (x["exonEnds"] > F.col("w0")) & (x["exonStarts"] < F.col("w1")))
     shown = placed.where((F.col("txStart") < F.col("w1")) & (F.col("txEnd") > F.col("w0"))).withColumn("inside", inside)
     head = F.min(F.struct("txStart", "txEnd", "name", "strand"))
-    made = shown.groupBy("uid", F.coalesce("name2", "name").alias("gene")).agg(
-        F.count("*").alias("n_isoforms"), F.min("txStart").alias("start0"), F.max("txEnd").alias("end0"), head["strand"].alias("strand"), F.array_sort(F.flatten(F.collect_set("inside"))).alias("all")
-    )
-    # exons in order of their starts: each either reaches into the last of the union or is its next
-    joined = F.aggregate(
-        "all",
-        F.array().cast("array<struct<start0: bigint, end0: bigint>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (x["exonStarts"] <= F.element_at(done, -1)["end0"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start0"].alias("start0"), F.greatest(F.element_at(done, -1)["end0"], x["exonEnds"]).alias("end0")))),
-        ).otherwise(F.concat(done, F.array(F.struct(x["exonStarts"].alias("start0"), x["exonEnds"].alias("end0"))))),
-    )
-    models = made.withColumn("exons", joined).drop("all").withColumn("n_exons", F.size("exons").cast("long"))
+    labelled = shown.withColumn("gene", F.coalesce("name2", "name"))
+    made = labelled.groupBy("uid", "gene").agg(F.count("*").alias("n_isoforms"), F.min("txStart").alias("start0"), F.max("txEnd").alias("end0"), head["strand"].alias("strand"))
+    exon_rows = labelled.select("uid", "gene", F.explode("inside").alias("x")).select("uid", "gene", F.col("x.exonStarts").alias("start0"), F.col("x.exonEnds").alias("end0"))
+    union = merge_intervals(exon_rows, ["uid", "gene"])
+    listed = union.groupBy("uid", "gene").agg(F.array_sort(F.collect_list(F.struct("start0", "end0"))).alias("exons"))
+    models = made.join(listed, ["uid", "gene"], "left")
+    models = models.withColumn("exons", F.coalesce("exons", F.array().cast("array<struct<start0: bigint, end0: bigint>>"))).withColumn("n_exons", F.size("exons").cast("long"))
     return models.withColumn("intron_only", F.col("n_exons") == 0)

@@ -40,6 +40,25 @@ def assemble(entities: DataFrame, children: dict[str, DataFrame], lookups: tuple
     return made
 
 
+def whole_documents(entities: DataFrame, children: dict[str, DataFrame], key: str = "uid") -> DataFrame:
+    """Entities with all their children nested, each an array of its rows in order of their columns, null without any.
+
+    Entities and children are one table of tagged rows, grouped once by ``key``: one shuffle, whatever the number of
+    children, and rows never multiply.  Rows of a child whose entity is not there go.
+    """
+    own = [c for c in entities.columns if c != key]
+    tables = {"_self": entities.select(key, *own), **children}
+    kinds = {name: F.struct(*[c for c in df.columns if c != key]) for name, df in tables.items()}
+    types = {name: df.select(kinds[name].alias("s")).schema["s"].dataType for name, df in tables.items()}
+    made = None
+    for name, df in tables.items():
+        tagged = df.select(key, *[(kinds[name] if n == name else F.lit(None).cast(types[n])).alias(n) for n in tables])
+        made = tagged if made is None else made.union(tagged)
+    lists = [F.array_sort(F.collect_list(name)).alias(name) for name in children]
+    grouped = made.groupBy(key).agg(F.first("_self", ignorenulls=True).alias("_self"), *lists).where("_self IS NOT NULL")
+    return grouped.select(key, *[F.col("_self")[c].alias(c) for c in own], *[F.when(F.size(name) > 0, F.col(name)).alias(name) for name in children])
+
+
 def best_hits(hits: DataFrame, flag: str = "is_best_by_sw_score") -> DataFrame:
     """Hits that are marked the best of their entity."""
     return hits.where(F.col(flag) == 1)

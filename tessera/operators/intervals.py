@@ -50,7 +50,8 @@ def interval_join(
     Both sides are cut into bins of ``width`` and joined on (key, grid, bin), so one crowded key is spread over its bins.
     Intervals of over ``LONG`` bins would be repeated too often: pairs in which one is so long meet on grids of bins
     ``COARSE`` times as wide, one grid for long windows beside short features and one for long features.  Which grids a
-    row is on is decided row by row, so one join serves all and nothing is counted while the plan is built.
+    row is on is decided row by row, so one join serves all.  Short features, the larger side as a rule, are on the
+    second grid only if there is a long window at all, which a look at the windows tells the job before it joins.
     Apart from ``key`` the two sides may not share column names.
     """
     limit, wide = LONG * width, COARSE * width
@@ -61,7 +62,9 @@ def interval_join(
     def bins(grid: int, low: Column, high: Column, size: int) -> Column:
         return F.transform(F.sequence(_floor(low, size), _floor(high, size)), lambda b: F.struct(F.lit(grid).alias("grid"), b.alias("bin")))
 
-    of_feature = F.when(long_feature, bins(2, F.col(start), last, wide)).otherwise(F.concat(bins(0, F.col(start), last, width), bins(1, F.col(start), last, wide)))
+    some_long = F.coalesce(wins.agg(F.bool_or(long_window)).scalar(), F.lit(False))
+    fine = bins(0, F.col(start), last, width)
+    of_feature = F.when(long_feature, bins(2, F.col(start), last, wide)).when(some_long, F.concat(fine, bins(1, F.col(start), last, wide))).otherwise(fine)
     of_window = F.concat(F.when(long_window, bins(1, F.col(w0), reach, wide)).otherwise(bins(0, F.col(w0), reach, width)), bins(2, F.col(w0), reach, wide))
     whole = F.col(start).isNotNull() & F.col(end).isNotNull()
     a = features.where(whole).withColumn("_at", F.explode(of_feature)).withColumns({"_grid": F.col("_at.grid"), "_bin": F.col("_at.bin")}).drop("_at")
@@ -82,15 +85,22 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start0", end:
 
 
 def merge_dense_intervals(df: DataFrame, key: str = "chrom", *, width: int = 1 << 20, start: str = "start0", end: str = "end0") -> DataFrame:
-    """As ``merge_intervals`` for keys of very many rows: first inside each bin of starts, then over what that leaves.
+    """As ``merge_intervals`` for keys of very many rows, which are spread over bins of their starts.
 
-    The first pass spreads a key over its bins; the second sorts only the merged intervals.
+    Inside a bin intervals are merged by themselves.  Over bins, of which there is one row each, run the largest end and
+    the start of the union's interval that was opened last.  What begins within the end that the bins before reach is
+    part of the interval opened last there; anything else opens one.
     """
     binned = merge_intervals(df.withColumn("_bin", _floor(F.col(start), width)), [key, "_bin"], start, end).withColumnRenamed("n", "_n")
-    order = Window.partitionBy(key).orderBy(start, end)
-    reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reached.isNull() | (F.col(start) > reached), 1).otherwise(0)
-    islands = binned.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ahead = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    ends = binned.groupBy(key, "_bin").agg(F.max(end).alias("_most"), F.max(start).alias("_last"))
+    reached = ends.withColumn("_before", F.max("_most").over(ahead))
+    # the last of a bin opens an interval unless it, too, begins within what is reached
+    opened = F.when(F.col("_before").isNull() | (F.col("_last") > F.col("_before")), F.col("_last"))
+    carried = reached.withColumn("_opened", opened).select(key, "_bin", "_before", F.max("_opened").over(ahead).alias("_open"))
+    placed = binned.join(carried, [key, "_bin"])
+    inside = F.col("_before").isNotNull() & (F.col(start) <= F.col("_before"))
+    islands = placed.withColumn("_island", F.when(inside, F.col("_open")).otherwise(F.col(start)))
     return islands.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("_n").alias("n")).drop("_island")
 
 

@@ -34,7 +34,7 @@ SELECT concat('chr', CAST(l_partkey % 5 AS STRING)) AS chrom,
        greatest(l_partkey * 700 + l_orderkey % 4000 - 2000, 0) + CAST(floor(l_quantity) AS BIGINT) * 10 AS end0,
        CASE WHEN l_linestatus = 'O' THEN '-' ELSE '+' END AS strand,
        concat('rep', CAST(l_suppkey AS STRING)) AS rep_name,
-       CASE l_returnflag WHEN 'A' THEN 'LTR/ERV1' WHEN 'N' THEN 'LINE/L1' ELSE 'Simple_repeat' END AS rep_class_family,
+       CASE WHEN l_partkey % 37 = 0 THEN 'DNA?/hAT' WHEN l_partkey % 41 = 0 THEN 'RC/Helitron' WHEN l_returnflag = 'A' THEN 'LTR/ERV1' WHEN l_returnflag = 'N' THEN 'LINE/L1' ELSE 'Simple_repeat' END AS rep_class_family,
        CAST(floor(l_extendedprice) AS BIGINT) AS sw_score, l_discount * 100 AS pct_div
 FROM {lineitem}""",
     "fx_gtf_line": """
@@ -65,8 +65,22 @@ SELECT uid, CASE WHEN k % 2 = 0 THEN 'pol' END AS gene, 'a domain' AS domain_des
     "fx_crossgenome": """
 SELECT uid, CAST(80 + k % 20 AS DOUBLE) AS pct_identity, concat('x', CAST(k % 4 AS STRING)) AS xg_class FROM {fx_entity} WHERE k % 3 <> 1""",
     "fx_dfam": """
-SELECT uid, concat('DF', CAST(k % 7 AS STRING)) AS consensus_name, k % 100 + 1 AS sw_score FROM {fx_entity} WHERE k % 2 = 0
-UNION ALL SELECT uid, 'DFother', 50 + k % 31 * 3 FROM {fx_entity} WHERE k % 4 = 0 AND k % 100 + 1 <> 50 + k % 31 * 3""",
+SELECT uid, concat('DF', CAST(k % 7 AS STRING)) AS consensus_name, k % 100 + 1 AS sw_score, CASE WHEN k % 4 <> 0 OR k % 100 + 1 >= 50 + k % 31 * 3 THEN 1 ELSE 0 END AS is_best_by_sw_score FROM {fx_entity} WHERE k % 2 = 0
+UNION ALL SELECT uid, 'DFother', 50 + k % 31 * 3, CASE WHEN k % 100 + 1 < 50 + k % 31 * 3 THEN 1 ELSE 0 END FROM {fx_entity} WHERE k % 4 = 0 AND k % 100 + 1 <> 50 + k % 31 * 3""",
+    "fx_packed_tx": """
+SELECT concat('T', CAST(l_orderkey AS STRING), '.', CAST(l_linenumber AS STRING)) AS name, concat('chr', CAST(l_orderkey % 5 AS STRING)) AS chrom,
+       CASE WHEN l_partkey % 101 = 0 THEN NULL WHEN l_partkey % 103 = 0 THEN ',' ELSE concat(CAST(l_partkey AS STRING), ',', CAST(l_partkey + 50 AS STRING), ',') END AS starts,
+       CASE WHEN l_orderkey % 10 = 3 THEN concat(CAST(l_partkey + 20 AS STRING), ',') WHEN l_partkey % 103 = 0 THEN '' ELSE concat(CAST(l_partkey + 20 AS STRING), ', ', CAST(l_partkey + 70 AS STRING), ',') END AS ends
+FROM {lineitem}""",
+    "fx_structure": """
+SELECT uid, CASE WHEN k % 3 = 0 THEN 'LTR-int-LTR' ELSE 'int' END AS structure, CASE WHEN k % 7 = 0 THEN NULL ELSE concat('cat', CAST(k % 5 AS STRING)) END AS category FROM {fx_entity} WHERE k % 8 <> 0""",
+    "fx_internal": """
+SELECT uid, concat('int', CAST(k % 6 AS STRING)) AS element, k * 700 + 20 AS a, k * 700 + 90 AS b FROM {fx_entity} WHERE k % 5 = 1
+UNION ALL SELECT uid, 'intZ', k * 700 - 10, k * 700 + 5 FROM {fx_entity} WHERE k % 10 = 1""",
+    "fx_locus_repeat": """
+SELECT uid, 'hg38' AS assembly, k * 700 + 30 AS start0, k * 700 + 60 AS end0, concat('rep', CAST(k % 9 AS STRING)) AS rep_name FROM {fx_entity} WHERE k % 4 <> 3
+UNION ALL SELECT uid, 't2t', k * 700 - 40, k * 700 + 10, 'repT' FROM {fx_entity} WHERE k % 6 = 0
+UNION ALL SELECT concat('NOT', uid), 't2t', k, k + 1, 'lost' FROM {fx_entity} WHERE k % 50 = 0""",
     "fx_hit_gene": """
 SELECT uid, CASE WHEN k % 3 = 0 THEN 'hg38' ELSE 't2t' END AS genome, CASE WHEN k % 3 = 0 THEN 'gencode' ELSE 'refseq' END AS source,
        CASE WHEN k % 29 = 0 THEN NULL ELSE concat('GENE', CAST(k % 1000 AS STRING)) END AS ref_gene_name

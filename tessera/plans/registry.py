@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -397,7 +398,7 @@ def split_transcripts(g):
 
 @query(f"WITH {GTF}, {WIN}, {TXW} SELECT uid, name, name2, chrom, txStart AS tx_start, txEnd AS tx_end FROM txw", "fx_gtf_line", "fx_coord")
 def interval_overlap_right_inclusive(g, c):
-    placed = annotation.transcripts_in_windows(annotation.transcripts(annotation.exons(g)), hg38_windows(c))
+    placed = annotation.transcripts_in_windows(_transcripts(g), hg38_windows(c))
     return placed.select("uid", "name", "name2", "chrom", F.col("txStart").alias("tx_start"), F.col("txEnd").alias("tx_end"))
 
 
@@ -410,8 +411,14 @@ GENES = """s AS (SELECT *, coalesce(name2, name) AS gene FROM txw WHERE txStart
 ), gm AS (SELECT uid, gene, count(*) AS n_isoforms, min(txStart) AS start0, max(txEnd) AS end0, arg_min(strand, (txStart, txEnd, name, strand)) AS strand FROM s GROUP BY ALL)"""
 
 
+def _transcripts(g: DataFrame) -> DataFrame:
+    """The transcripts of all lines, written once for queries that read them several times."""
+    return files.materialise(annotation.transcripts(annotation.exons(g)), files.scratch(g.sparkSession, "transcripts"))
+
+
 def _models(g: DataFrame, c: DataFrame) -> DataFrame:
-    return annotation.gene_models(annotation.transcripts_in_windows(annotation.transcripts(annotation.exons(g)), hg38_windows(c)))
+    placed = annotation.transcripts_in_windows(_transcripts(g), hg38_windows(c))
+    return annotation.gene_models(files.materialise(placed, files.scratch(g.sparkSession, "placed")))
 
 
 def _spans(c: str) -> Column:
@@ -438,34 +445,49 @@ def child_lanes(c, s, o, d):
     return documents.tracks({"segment": lane(s, F.col("rep_name")), "orf": lane(o, F.coalesce("orf_class", F.lit("ORF"))), "domain": lane(d, F.coalesce("gene", "domain_desc"))})
 
 
-@query(
-    """SELECT e.uid, s.segments, o.orfs, d.domains, x.pct_identity, h.best FROM fx_entity e
-LEFT JOIN (SELECT uid, string_agg(rep_name || ':' || CAST(a AS VARCHAR), ';' ORDER BY a, b, rep_name) AS segments FROM fx_segment GROUP BY uid) s USING (uid)
-LEFT JOIN (SELECT uid, string_agg(coalesce(orf_class, '') || ':' || CAST(a AS VARCHAR), ';' ORDER BY a, b, orf_class) AS orfs FROM fx_orf GROUP BY uid) o USING (uid)
-LEFT JOIN (SELECT uid, string_agg(coalesce(gene, domain_desc) || ':' || CAST(a AS VARCHAR), ';' ORDER BY a, b) AS domains FROM fx_domain GROUP BY uid) d USING (uid)
-LEFT JOIN fx_crossgenome x USING (uid)
-LEFT JOIN (SELECT uid, arg_max(consensus_name, sw_score) AS best FROM fx_dfam GROUP BY uid) h USING (uid)""",
-    "fx_entity", "fx_segment", "fx_orf", "fx_domain", "fx_crossgenome", "fx_dfam",
+#: Children of a whole document: the view, the columns in order, and which of its rows.
+CHILDREN = {
+    "aliases": ("fx_alias", ("alias", "alias_type", "assignment", "is_current"), "true"),
+    "coord": ("fx_coord", ("assembly", "chrom", "start0", "end0"), "true"),
+    "structure": ("fx_structure", ("structure", "category"), "true"),
+    "segments": ("fx_segment", ("rep_name", "a", "b"), "true"),
+    "geve": ("fx_orf", ("orf_class", "a", "b"), "true"),
+    "domains": ("fx_domain", ("gene", "domain_desc", "a", "b"), "true"),
+    "hervarium_int": ("fx_internal", ("element", "a", "b"), "true"),
+    "genes": ("fx_hit_gene", ("genome", "source", "ref_gene_name"), "true"),
+    "crossgenome": ("fx_crossgenome", ("pct_identity", "xg_class"), "true"),
+    "dfam_best": ("fx_dfam", ("consensus_name", "sw_score"), "is_best_by_sw_score = 1"),
+    "repeats": ("fx_locus_repeat", ("assembly", "start0", "end0", "rep_name"), "true"),
+}
+
+
+def _text(column: str) -> str:
+    return f"coalesce(CAST(CAST({column} AS BIGINT) AS VARCHAR), '')" if column == "pct_identity" else f"coalesce(CAST({column} AS VARCHAR), '')"
+
+
+WHOLE = "SELECT e.uid, e.combined_id, e.grp, e.band, " + ", ".join(f"c_{n}.{n}, coalesce(c_{n}.n, 0) AS n_{n}" for n in CHILDREN) + " FROM fx_entity e " + " ".join(
+    f"LEFT JOIN (SELECT uid, count(*) AS n, string_agg(concat({', chr(124), '.join(_text(c) for c in columns)}), ';' ORDER BY {', '.join(c + ' NULLS FIRST' for c in columns)}) AS {n} FROM {v} WHERE {which} GROUP BY uid) c_{n} ON c_{n}.uid = e.uid" for n, (v, columns, which) in CHILDREN.items()
 )
-def full_document(e, s, o, d, x, h):
-    listed = lambda rows, name, label: documents.nested(rows.select("uid", "a", "b", label.alias("label")), name, ["a", "b", "label"])
-    best = documents.best_hits(documents.mark_best(h, "sw_score", ["consensus_name"])).select("uid", F.col("consensus_name").alias("best"))
-    children = {
-        "segments": listed(s, "segments", F.col("rep_name")),
-        "orfs": listed(o, "orfs", F.coalesce("orf_class", F.lit(""))),
-        "domains": listed(d, "domains", F.coalesce("gene", "domain_desc")),
-        "crossgenome": documents.nested(x, "crossgenome", ["pct_identity", "xg_class"]),
-        "dfam_best": best,
-    }
-    made = documents.assemble(e.select("uid"), children)
-    flat = lambda name: F.array_join(F.transform(name, lambda r: F.concat(r["label"], F.lit(":"), r["a"].cast("string"))), ";").alias(name)
-    return made.select("uid", flat("segments"), flat("orfs"), flat("domains"), documents.only_child(F.col("crossgenome"))["pct_identity"].alias("pct_identity"), "best")
+
+
+@query(WHOLE, "fx_entity", *[v for v, _, _ in CHILDREN.values()])
+def full_document(e, *tables):
+    rows = {n: df.where(which).select("uid", *columns) for (n, (_, columns, which)), df in zip(CHILDREN.items(), tables)}
+    rows["dfam_best"] = documents.best_hits(tables[list(CHILDREN).index("dfam_best")]).select("uid", "consensus_name", "sw_score")
+    made = documents.whole_documents(e.select("uid", "combined_id", "grp", "band"), rows)
+    shown = lambda x, c: F.coalesce((x[c].cast("long") if c == "pct_identity" else x[c]).cast("string"), F.lit(""))
+    line = lambda columns: lambda x: F.concat(*[y for c in columns for y in (F.lit("|"), shown(x, c))][1:])
+    told = []
+    for n, (_, columns, _) in CHILDREN.items():
+        told.append(F.array_join(F.transform(n, line(columns)), ";").alias(n))
+        told.append(F.coalesce(F.size(F.when(F.col(n).isNotNull(), F.col(n))), F.lit(0)).cast("long").alias(f"n_{n}"))
+    return made.select("uid", "combined_id", "grp", "band", *told)
 
 
 @query(f"WITH {GTF}, {WIN}, {TXW} SELECT t.uid, t.name FROM txw t WHERE t.txStart < t.w1 AND t.uid IN (SELECT uid FROM fx_hit_gene)", "fx_gtf_line", "fx_coord", "fx_hit_gene")
 def transcript_lookup(g, c, h):
     wins = hg38_windows(c).join(h.select("uid").distinct(), "uid", "left_semi")
-    placed = annotation.transcripts_in_windows(annotation.transcripts(annotation.exons(g)), wins)
+    placed = annotation.transcripts_in_windows(_transcripts(g), wins)
     again = hg38_windows(c).select("uid", F.col("w1").alias("edge"))
     return placed.join(again, "uid").where("txStart < edge").select("uid", "name")
 
@@ -538,10 +560,10 @@ def best_repeat_hits(r, c):
     return documents.best_hits(documents.mark_best(pairs, "sw_score", ["start0", "end0", "rep_name", "strand"])).select("uid", "rep_name", "sw_score")
 
 
-@query(f"WITH {RMSK} SELECT 'hg38' AS assembly, rep_family, count(*) AS n FROM rp WHERE rep_class IN ('LTR', 'LINE') GROUP BY rep_family", "fx_rmsk_line")
+@query(f"WITH {RMSK} SELECT 'hg38' AS assembly, 'rmsk' AS source, rep_family, count(*) AS n FROM rp WHERE rep_class IN ('" + "', '".join(annotation.INTERSPERSED) + "') GROUP BY rep_family", "fx_rmsk_line")
 def interspersed_families(m):
-    rows = annotation.tagged(annotation.of_classes(annotation.repeats(m)), "hg38")
-    return rows.groupBy("assembly", "rep_family").agg(F.count("*").alias("n"))
+    rows = annotation.tagged(annotation.of_classes(annotation.repeats(m)), "hg38", "rmsk")
+    return rows.groupBy("assembly", "source", "rep_family").agg(F.count("*").alias("n"))
 
 
 # ---- checks
@@ -650,12 +672,13 @@ def repeats_without_coordinate(r, c):
     return quality.dangling(pairs, c.where("assembly = 't2t'"), ["uid", "assembly"]).select("uid", "assembly")
 
 
-@query(f"WITH {GTF} SELECT name, chrom FROM tx WHERE name LIKE '%3'", "fx_gtf_line")
-def exon_length_mismatch(g):
-    """Transcripts whose ids end with 3 lose their last exon end here, so that there is something to find."""
-    tx = annotation.transcripts(annotation.exons(g))
-    short = F.when(F.col("name").endswith("3"), F.slice("exonEnds", 1, F.size("exonEnds") - 1)).otherwise(F.col("exonEnds"))
-    return quality.uneven_exons(tx.withColumn("exonEnds", short)).select("name", "chrom")
+LISTED_EXONS = "len(list_filter(string_split(coalesce({}, ''), ','), lambda x: trim(x) <> ''))"
+
+
+@query(f"SELECT name, chrom FROM fx_packed_tx WHERE {LISTED_EXONS.format('starts')} <> {LISTED_EXONS.format('ends')} OR {LISTED_EXONS.format('starts')} < 1", "fx_packed_tx")
+def exon_length_mismatch(x):
+    tx = x.select("name", "chrom", text.integer_list(F.col("starts")).alias("exonStarts"), text.integer_list(F.col("ends")).alias("exonEnds"))
+    return quality.uneven_exons(tx).select("name", "chrom")
 
 
 @query("SELECT (SELECT count(*) FROM fx_entity) AS n_one, (SELECT count(DISTINCT uid) FROM fx_alias) AS n_other, (SELECT count(*) FROM fx_entity) = (SELECT count(DISTINCT uid) FROM fx_alias) AS ok", "fx_entity", "fx_alias")
@@ -714,6 +737,19 @@ def nested_strict_json(li):
 # ---- what is written and read back, in the folder that the session names
 
 
+@query("SELECT k, uid, grp FROM fx_entity WHERE grp = 'Brand#22' OR k > (SELECT max(k) - 100 FROM fx_entity)", "fx_entity")
+def database_scan(e):
+    """Entities written to a database that lives in this process, of Spark's own jars, and read in ranges of a key."""
+    spark = e.sparkSession
+    url, table = f"jdbc:derby:memory:tessera{uuid.uuid4().hex};create=true", "entity"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    kinds = "uid VARCHAR(40), grp VARCHAR(40)"  # else they were large objects, which are not compared
+    e.select("k", "uid", "grp").write.format("jdbc").options(url=url, dbtable=table, createTableColumnTypes=kinds, **options).save()
+    read = files.read_catalog_jdbc(spark, url, table, key="k", partitions=4, **options)
+    late = e.agg(F.max("k")).first()[0] - 100
+    return read.where((F.col("grp") == "Brand#22") | (F.col("k") > late)).select("k", "uid", "grp")
+
+
 @query("SELECT uid, grp, origin FROM fx_entity WHERE band IS NOT NULL", "fx_entity")
 def catalog_scan(e):
     path = files.scratch(e.sparkSession, "catalog")

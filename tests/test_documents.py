@@ -134,3 +134,30 @@ def test_catalog_and_materialised_tables(spark, tmp_path):
     assert files.materialise(df.where("1 = 0"), str(tmp_path / "m")).count() == once.count() == 1
     files.write_gene_models(df, str(tmp_path / "g"))
     assert spark.read.parquet(str(tmp_path / "g")).where("assembly = 'hg38'").count() == 1
+
+
+def test_whole_documents_take_one_shuffle(spark):
+    e = spark.createDataFrame([("a", 1), ("b", None)], "uid string, v int")
+    x = spark.createDataFrame([("a", 2, "p"), ("a", None, "q"), ("lost", 1, "r")], "uid string, n int, s string")
+    y = spark.createDataFrame([("b", 1.5), ("b", 0.5)], "uid string, d double")
+    made = documents.whole_documents(e, {"x": x, "y": y, "z": y.where("d > 9")})
+    rows = {r.uid: r for r in made.collect()}
+    assert set(rows) == {"a", "b"} and rows["a"].v == 1 and rows["b"].v is None
+    assert [tuple(r) for r in rows["a"].x] == [(None, "q"), (2, "p")] and rows["a"].y is None and rows["a"].z is None
+    assert [r.d for r in rows["b"].y] == [0.5, 1.5] and rows["b"].x is None
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_a_database_is_read_in_ranges(spark):
+    url = "jdbc:derby:memory:ranges;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(100).selectExpr("id AS k", "id % 7 AS v").write.format("jdbc").options(url=url, dbtable="t", **options).save()
+    df = files.read_catalog_jdbc(spark, url, "t", key="k", partitions=5, **options)
+    assert df.rdd.getNumPartitions() == 5 and df.count() == 100
+    some = df.where("v = 3").select("k")
+    assert sorted(r.k for r in some.collect()) == list(range(3, 100, 7))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*IsNotNull(v), *EqualTo(v,3)]" in plan and "ReadSchema: struct<k:bigint>" in plan
+    spark.range(0).selectExpr("id AS k").write.format("jdbc").options(url=url, dbtable="nothing", **options).save()
+    assert files.read_catalog_jdbc(spark, url, "nothing", key="k", **options).count() == 0

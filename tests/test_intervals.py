@@ -76,3 +76,24 @@ def test_running_end_by_bins(spark):
     got = intervals.running_end(spark.createDataFrame(rows, "chrom string, w0 long, w1 long"), "chrom", width=100).collect()
     for r in got:
         assert r.reach == max(w1 for c, w0, w1 in rows if c == r.chrom and (w0, w1) <= (r.w0, r.w1))
+
+
+def test_dense_union_carries_over_bins(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), s := rng.randrange(4000), s + rng.choice([1, 5, 30, 900])) for _ in range(300)] + [("a", 10, 3999), ("c", 0, 1), ("c", 1, 2)]
+    df = spark.createDataFrame(rows, "chrom string, start0 long, end0 long")
+    made = intervals.merge_dense_intervals(df, width=64)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, intervals.merge_intervals(df, ["chrom"]).collect()))
+    windows = [x for x in made._jdf.queryExecution().analyzed().toString().splitlines() if "windowspecdefinition(chrom" in x]
+    assert windows and all("_bin" in x for x in windows)  # by chromosome only over bins, of which there is one row each
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_short_features_are_dealt_out_once_unless_a_window_is_long(spark, long):
+    features = spark.createDataFrame([(i, "a", 10 * i, 10 * i + 3) for i in range(200)], "f int, chrom string, start0 long, end0 long")
+    wins = spark.createDataFrame([(1, "a", 0, 90), (2, "a", 500, 520)] + ([(3, "a", 0, 1999)] if long else []), "w int, chrom string, w0 long, w1 long")
+    made = intervals.interval_join(features, wins, width=10)
+    assert made.count() == 9 + 2 + (200 if long else 0)
+    generated = made._jdf.queryExecution()
+    made.collect()
+    assert "scalar-subquery" in generated.optimizedPlan().toString()

@@ -149,6 +149,12 @@ def test_groups_share_a_row_for_the_same_entities(spark):
     assert (found["abd"].badge, found["abd"].n_loci) == ("prefix", 1)
 
 
+def test_hits_are_shown_in_the_order_of_the_language(spark):
+    rows = [("q", 2, s) for s in ("b", "A", "a", "é", "e", "f", "aa")] + [("q", 0, "zzzz")]
+    shown = search.ordered_hits(spark.createDataFrame(rows, "q string, tier int, str string"))
+    assert [r.str for r in shown.collect()] == ["zzzz", "a", "A", "b", "e", "é", "f", "aa"]
+
+
 def test_only_one_keyspace(spark):
     rows = [("L1", "ab", "combined_id", 1), ("L1", "ab", "hervd_id", 1)]
     assert [r.alias_type for r in hits(spark, rows, ["ab"]).collect()] == ["combined_id"]
