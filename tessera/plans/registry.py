@@ -162,18 +162,27 @@ def _asked(a: DataFrame) -> DataFrame:
     return spelled.union(other)
 
 
-def _index(a: DataFrame, e: DataFrame, c: DataFrame) -> str:
-    """The written index of these tables; one that this session has written already, for the same files, is used again."""
-    spark = a.sparkSession
-    at = (spark.sparkContext.applicationId, *sorted(a.inputFiles()))
-    if at not in _INDEXES or not files.exists(spark, f"{_INDEXES[at]}/meta/_SUCCESS"):
-        path = files.scratch(spark, "search")
-        stored_search.write_index(a, e, c, path)
-        _INDEXES[at] = path
-    return _INDEXES[at]
+#: What this session has written once for all queries, by its kind and the files it was made of.
+_WRITTEN: dict[tuple[str, ...], str] = {}
+
+
+def _once(name: str, source: DataFrame, write: Callable[[str], None], whole: str) -> str:
+    """The folder that ``write`` fills from the files of ``source``; if this session has filled it, it is used again.
 
+    ``whole`` is the part of it that is there only when it is complete.
+    """
+    spark = source.sparkSession
+    at = (name, spark.sparkContext.applicationId, *sorted(source.inputFiles()))
+    if at not in _WRITTEN or not files.exists(spark, f"{_WRITTEN[at]}/{whole}"):
+        path = files.scratch(spark, name)
+        write(path)
+        _WRITTEN[at] = path
+    return _WRITTEN[at]
 
-_INDEXES: dict[tuple[str, ...], str] = {}
+
+def _index(a: DataFrame, e: DataFrame, c: DataFrame) -> str:
+    """The written search index of these tables."""
+    return _once("search", a, lambda path: stored_search.write_index(a, e, c, path), "meta/_SUCCESS")
 
 
 @query(f"WITH {HITS} SELECT q, tier, str, alias_type, uid, is_current FROM hits", "fx_alias", "fx_entity", "fx_coord")
@@ -412,8 +421,9 @@ GENES = """s AS (SELECT *, coalesce(name2, name) AS gene FROM txw WHERE txStart
 
 
 def _transcripts(g: DataFrame) -> DataFrame:
-    """The transcripts of all lines, written once for queries that read them several times."""
-    return files.materialise(annotation.transcripts(annotation.exons(g)), files.scratch(g.sparkSession, "transcripts"))
+    """The transcripts of all lines, parsed once and kept as a table for the queries that need them."""
+    tx = annotation.transcripts(annotation.exons(g))
+    return g.sparkSession.read.schema(tx.schema).parquet(_once("transcripts", g, lambda path: tx.write.parquet(path), "_SUCCESS"))
 
 
 def _models(g: DataFrame, c: DataFrame) -> DataFrame:
@@ -500,7 +510,7 @@ def gene_windows(c, h):
 
 def _met(g: DataFrame, c: DataFrame) -> DataFrame:
     """``uid`` of windows with any transcript."""
-    tx = annotation.transcripts(annotation.exons(g)).select("chrom", "txStart", "txEnd")
+    tx = _transcripts(g).select("chrom", "txStart", "txEnd")
     return intervals.covered(tx, hg38_windows(c), start="txStart", end="txEnd", right_inclusive=True)
 
 
@@ -574,7 +584,7 @@ AGREE = f"WITH {GTF}, {WIN}, {TXW}, want AS (SELECT uid, source, list(DISTINCT r
 
 def _built(g: DataFrame, c: DataFrame) -> DataFrame:
     """The distinct names that entities have transcripts of, without a pair for each transcript."""
-    tx = annotation.transcripts(annotation.exons(g)).select(F.col("name2").alias("name"), "chrom", "txStart", "txEnd")
+    tx = _transcripts(g).select(F.col("name2").alias("name"), "chrom", "txStart", "txEnd")
     return intervals.covered(tx, hg38_windows(c), ("name",), start="txStart", end="txEnd", right_inclusive=True)
 
 
