@@ -107,17 +107,25 @@ def document_frequencies(texts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     return df, rows
 
 
-def chosen_rows(counts: dict, label: Column, key: Column, most: int) -> Column:
-    """Which rows are of a sample of about ``most``, as many of each label as can be: those whose hashed keys are lowest."""
-    each = max(1, most // max(1, len(counts)))
-    lot, chosen = F.pmod(F.xxhash64(key), F.lit(1 << 32)), F.lit(False)
+def lot(*key: Column) -> Column:
+    """A whole number below 2 ** 32 that depends on the key alone."""
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 32))
+
+
+def place_in_sample(counts: dict, label: Column, key: tuple[Column, ...], most: int) -> Column:
+    """Where a row is in a sample of about ``most``, as many of each label as can be: from 0, up to 1 if it is of the sample, else null.
+
+    Rows are chosen by hash of ``key``, which should tell them apart; null is a value like others.
+    """
+    each, place = max(1, most // max(1, len(counts))), F.lit(None).cast("double")
     for value, n in counts.items():
-        chosen = chosen | ((label == F.lit(value)) & (lot < int(min(1.0, each / n) * (1 << 32)) + 1))
-    return chosen
+        share = lot(*key) / F.lit(float(min(1.0, each / n) * (1 << 32)))
+        place = F.when(label == F.lit(value), F.when(share <= 1, share)).otherwise(place)
+    return place
 
 
 def fit_in_a_task(rows: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]], fit: Callable[[list, SparseRows], object], most: int):
-    """What ``fit`` makes of the labels and features of the rows of ``label, text``, of ``most`` at most.
+    """What ``fit`` makes of the labels and features of the rows of ``label, text, place``, of the ``most`` lowest places at most.
 
     Features are taken where the rows are.  Slots alone, of which a row has a bounded number however long its text, go
     to one task, in an order that does not depend on where they came from; the model alone goes to the driver.
@@ -126,8 +134,9 @@ def fit_in_a_task(rows: DataFrame, features: Callable[[str], tuple[np.ndarray, n
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [features(t) for t in batch.column(1).to_pylist()]
+            at = batch.column(2)
             lists = [pa.array([np.asarray(m[k], kind) for m in made], pa.list_(pa.from_numpy_dtype(kind))) for k, kind in ((0, np.int32), (1, np.float32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["label", "slots", "amounts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, at], names=["label", "slots", "amounts", "place"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, found, keys = [], [], []
@@ -142,8 +151,9 @@ def fit_in_a_task(rows: DataFrame, features: Callable[[str], tuple[np.ndarray, n
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     label = rows.schema["label"].dataType.simpleString()
-    gathered = rows.select("label", "text").mapInArrow(tidy(slots), f"label {label}, slots array<int>, amounts array<float>").limit(most)
-    made = gathered.repartition(1).mapInArrow(tidy(train), "model binary").collect()
+    kinds = f"label {label}, slots array<int>, amounts array<float>, place double"
+    gathered = rows.select("label", "text", "place").mapInArrow(tidy(slots), kinds).orderBy("place", "slots").limit(most)  # of each task no more than ``most``
+    made = gathered.drop("place").repartition(1).mapInArrow(tidy(train), "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else fit([], SparseRows([]))
 
 
@@ -183,8 +193,9 @@ def train_languages(rows: DataFrame, *, sample: int = 6000, bits: int = 15, epoc
     model = LanguageModel(languages, idf, np.zeros((len(languages), 1 << bits)), np.zeros(len(languages)), 1.0, bits)
     if not counts:
         return model
-    few = rows.where(chosen_rows(counts, F.col("lang"), F.col("doc_id"), sample)).select(F.col("lang").alias("label"), "text")
-    return fit_in_a_task(few, model.features, lambda labels, examples: fit_languages(labels, examples, model, epochs=epochs, seed=seed, **ftrl), 4 * sample)
+    place = place_in_sample(counts, F.col("lang"), (F.col("doc_id"), F.col("text")), sample)
+    few = rows.select(F.col("lang").alias("label"), "text", place.alias("place")).where("place IS NOT NULL")
+    return fit_in_a_task(few, model.features, lambda labels, examples: fit_languages(labels, examples, model, epochs=epochs, seed=seed, **ftrl), sample)
 
 
 def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from tessera.llm.common import tidy
-from tessera.llm.langid import chosen_rows, fit_in_a_task
+from tessera.llm.langid import fit_in_a_task, lot, place_in_sample
 from tessera.llm.ngrams import SparseRows, present
 from tessera.llm.tokens import text_groups
 
@@ -130,13 +130,16 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, bit
     labelled = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = {y: sum(n for q, n in counts.items() if (q == 1) == bool(y)) for y in (0, 1)}
-    few = labelled.where(chosen_rows(counts, F.col("label"), F.col("doc_id"), sample)).limit(2 * sample)  # a bounded number of ids, so the text is not shuffled for them
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").select("label", "text")
+    place = place_in_sample(counts, F.col("label"), (F.col("doc_id"),), sample)
+    few = labelled.select("doc_id", "label", place.alias("place")).where("place IS NOT NULL").orderBy("place", "doc_id").limit(sample)  # ids, so the text is not shuffled for them
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = lot(F.col("doc_id"), F.col("text")).cast("double")  # an id that many rows have fills no more than its share
+    rows = texts.join(F.broadcast(few.drop("place")), "doc_id").select("label", "text", own.alias("place"))
 
     def slots(text: str) -> tuple[np.ndarray, np.ndarray]:
         return present(text, ORDERS, bits), np.zeros(0)
 
-    return fit_in_a_task(rows, slots, lambda found, examples: fit_quality(found, examples, bits, share, c=c, seed=seed), 4 * sample)
+    return fit_in_a_task(rows, slots, lambda found, examples: fit_quality(found, examples, bits, share, c=c, seed=seed), sample)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, name: str = "quality_score") -> DataFrame:

@@ -37,7 +37,7 @@ BLOCKS = (
 def train_dictionary(docs: DataFrame, path: str, *, size: int = 65_536, sample: int = 1024, longest_chars: int = 4096) -> bytes:
     """A zstandard dictionary from the id arrays of whole documents of up to ``longest_chars`` among about ``sample``.
 
-    The sample is a documented bound: the documents whose hashed ids are lowest.  It is encoded in one task.  The dictionary only affects how well short documents compress, never what is read back.  Too little text
+    The sample is a documented bound: the documents whose ids and texts hash lowest.  It is encoded in one task.  The dictionary only affects how well short documents compress, never what is read back.  Too little text
     for training gives no dictionary (empty).
     """
 
@@ -52,9 +52,9 @@ def train_dictionary(docs: DataFrame, path: str, *, size: int = 65_536, sample:
         yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["content"])
 
     share = min(1.0, sample / max(1, docs.select("doc_id").count()))
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))  # of ids of a low hash there are about ``sample``, and no others are sent
-    few = docs.where((lot < int(share * (1 << 32)) + 1) & F.length("text").between(1, longest_chars)).select("text").limit(2 * sample)
-    found = few.repartition(1).sortWithinPartitions("text").mapInArrow(tidy(train), "content binary").collect()
+    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32))  # of a low hash there are about ``sample``, and no others are sent
+    few = docs.where((lot < int(share * (1 << 32)) + 1) & F.length("text").between(1, longest_chars)).select(lot.alias("lot"), "text")
+    found = few.orderBy("lot", "text").limit(sample).select("text").repartition(1).sortWithinPartitions("text").mapInArrow(tidy(train), "content binary").collect()
     return max((bytes(r["content"]) for r in found), key=len, default=b"")
 
 

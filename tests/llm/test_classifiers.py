@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import queries
 from tessera.llm.boost import fit_forest
-from tessera.llm.langid import FollowTheLeader, fold_of, identify, softmax, train_languages
+from tessera.llm.langid import fit_in_a_task, fold_of, FollowTheLeader, identify, place_in_sample, softmax, train_languages
 from tessera.llm.ngrams import CHUNK, character_grams, code_points, counted, present
 from tessera.llm.quality import dual_coordinate_descent, fit_sigmoid, log_count_ratios, score_quality, train_quality
 
@@ -111,3 +111,29 @@ def test_quality_edges(spark):
     for few in (labels.limit(0), labels.where("quality = 1")):
         assert len({r.quality_score for r in score_quality(docs, train_quality(docs, few)).collect()}) == 1
     assert score_quality(docs.limit(0), train_quality(docs.limit(0), labels)).collect() == []
+
+
+def test_samples_are_bounded_and_do_not_depend_on_partitions(spark):
+    """A third of the rows without an id, a third under one id."""
+    rows = [((None, 7, i)[i % 3], f"text {i}", "ab"[i % 10 == 0]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    counts = {"a": 2700, "b": 300}
+    seen = []
+
+    def fit(labels, examples):
+        return sorted(labels), [tuple(at.tolist()) for at, _ in examples]
+
+    def features(text):
+        return np.array([int(text.split()[1])], np.int32), np.zeros(0, np.float32)
+
+    for parts in (1, 7):
+        place = place_in_sample(counts, F.col("label"), (F.col("doc_id"), F.col("text")), 400)
+        chosen = df.repartition(parts).select("doc_id", "label", "text", place.alias("place")).where("place IS NOT NULL")
+        ids = [r.doc_id for r in chosen.collect()]
+        assert 300 < len(ids) < 500 and 0.2 < sum(i is None for i in ids) / len(ids) < 0.45
+        labels, examples = fit_in_a_task(chosen, features, fit, 350)
+        assert len(labels) == 350 and 130 < labels.count("b") < 220
+        seen.append((labels, sorted(examples)))
+    assert seen[0] == seen[1]
+    hot = df.withColumn("text", F.lit("the same")).select("label", "text", place_in_sample(counts, F.col("label"), (F.col("doc_id"),), 400).alias("place")).where("place IS NOT NULL")
+    assert len(fit_in_a_task(hot, lambda t: (np.zeros(1, np.int32), np.zeros(0, np.float32)), fit, 400)[0]) <= 400
