@@ -44,6 +44,22 @@ def test_each_source_comes_near_its_target(spark):
     assert sorted(map(repr, mixed.drop("text").collect())) == sorted(map(repr, again.drop("text").collect()))
 
 
+def test_targets_are_met_with_null_and_repeated_ids(spark):
+    """A third of the rows has no id, a third one id, and many are the same in text too."""
+    rows = [((None, 7, i)[i % 3], "w " * (1 + i % 5), "ab"[i % 7 > 2]) for i in range(6000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    mixed = mix_sources(df)
+    assert mixed.count() == len(rows)
+    for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) < 0.002 * r.target
+    of_kind = lambda m: m.groupBy("doc_id", "source", "text", "copies").count()
+    again = mix_sources(df.repartition(7))
+    assert sorted(map(repr, of_kind(mixed).collect())) == sorted(map(repr, of_kind(again).collect()))
+    # of neither kind of id all rows go the same way
+    kinds = mixed.where("doc_id IS NULL OR doc_id = 7").groupBy("doc_id", "source").agg(F.count_distinct("copies").alias("n")).collect()
+    assert len(kinds) == 4 and all(r.n == 2 for r in kinds)
+
+
 def test_certain_copies_and_the_rest(spark):
     rows = mix_sources(corpus(spark)).where("size > 0").collect()
     for r in rows:
