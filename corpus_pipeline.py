@@ -73,7 +73,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them.
 
     Null, empty and wordless texts have no size and are not taken.  A null source is a source of its own, the last.
-    Rows of one doc_id and source are taken together or not at all.  Columns pass through whatever they are called; an
+    Rows of one doc_id and source, or without an id, are taken each on its own.  Columns pass through whatever they are called; an
     empty table stays empty.
     """
     mixed = mix_sources(docs, nested="doc").where("copies > 0")
