@@ -14,10 +14,14 @@ components, first by their parities: 1,024 bits, each the parity of the number o
 differ in at least as many shingles as their parities in bits, and two sets of Jaccard 0.8 in a ninth of both sizes at
 most, so what parities turn down cannot be a link; only the sets of other pairs are fetched.
 
-A band that over ``most`` nodes share may hold several components still.  If those beside its largest one have no more
-than ``most`` nodes, each of them is compared with all others, so nothing is lost.  Otherwise its nodes are filed again
-under pairs of bands, then fours and so on, which splits what is less alike; there alone a link can be missed, if two
-texts have no narrower key in common and no third one joins them.
+A band that over ``most`` nodes share may hold several components still.  If those beside its largest one have over
+``most`` nodes, its nodes are filed under pairs of bands first, then fours and so on, which links what is most alike
+without making all pairs of a group.  What is in different components of such a band after that is compared by parities
+like the rest, so that whatever shares a band and is not linked otherwise is compared, however crowded the band is.
+
+Those comparisons are dealt out: nodes of a band lie in classes of like size, each cut into parts of about ``most``, and a
+node goes to the parts of its own class and of the two beside it, as others cannot be alike.  So no part is large,
+whatever share of all nodes a band holds.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ LIKENESS = 0.8
 BINS, BANDS, ROWS = 256, 36, 7
 #: Parities are so many numbers of 64 bits.
 PARITIES = 16
+#: Sizes of texts that are alike differ by a quarter at most, so they are in one class of this ratio or in two side by side.
+CLASS_RATIO = 1.26
 MARK = f"struct<n:int,{','.join(f'p{i}:long' for i in range(PARITIES))}>"
 
 
@@ -156,16 +162,31 @@ def toward(placed: DataFrame) -> DataFrame:
     return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
 
 
-def across(placed: DataFrame, marks: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """``a, b``: nodes of one ``key`` and different components ``c`` that ``marks``, ``node, mark``, let be alike; and the
-    nodes of keys with too many."""
+def standing(placed: DataFrame) -> DataFrame:
+    """``placed``, ``node, key, c``, with the key's largest component ``main`` and how many nodes are ``beside`` it."""
     by = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
     largest = by.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "c")).alias("m"))
-    rest = placed.join(largest.select("key", F.col("m.c").alias("main"), (F.col("all") - F.col("m.size")).alias("beside")).hint("merge"), "key")
-    marked = rest.where(F.col("beside") <= most).join(marks.hint("merge"), "node")
-    few = marked.where(F.col("c") != F.col("main")).select("key", F.col("node").alias("x"), F.col("c").alias("x_c"), F.col("mark").alias("x_mark"))
-    met = few.join(marked.select("key", "node", "c", "mark").hint("merge"), "key").where((F.col("c") != F.col("x_c")) & may_be_alike("mark", "x_mark"))
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")), rest.where(F.col("beside") > most).select("node").distinct()
+    return placed.join(largest.select("key", F.col("m.c").alias("main"), (F.col("all") - F.col("m.size")).alias("beside")).hint("merge"), "key")
+
+
+def across(rest: DataFrame, marks: DataFrame, most: int) -> DataFrame:
+    """``a, b``: nodes of one ``key`` and different components that ``marks``, ``node, mark``, let be alike.
+
+    ``rest`` is what ``standing`` gives.  Each node beside the largest component asks all parts of the classes that it
+    can be alike to; a part has about ``most`` nodes.
+    """
+    size_class = F.floor(F.log(F.greatest("mark.n", F.lit(1))) / F.log(F.lit(CLASS_RATIO))).cast("int")
+    marked = rest.join(marks.hint("merge"), "node").withColumn("k", size_class)
+    parts = marked.groupBy("key", "k").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("n"))
+    parts = parts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("parts"))  # a few dozen classes at most
+    dealt = marked.join(parts.hint("merge"), "key")
+    held = dealt.select("key", "k", F.pmod(F.xxhash64("node"), F.col("parts")[F.col("k")]).cast("int").alias("part"), "node", "c", "mark", (F.col("c") == F.col("main")).alias("inner"))
+    near = F.filter(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1), lambda k: F.map_contains_key("parts", k))
+    asks = dealt.where(F.col("c") != F.col("main")).select("key", F.explode(near).alias("k"), "parts", F.col("node").alias("x"), F.col("c").alias("x_c"), F.col("mark").alias("x_mark"))
+    asks = asks.select("key", "k", F.explode(F.sequence(F.lit(0), F.col("parts")[F.col("k")] - 1)).alias("part"), "x", "x_c", "x_mark")
+    once = (F.col("c") != F.col("x_c")) & (F.col("inner") | (F.col("x") < F.col("node")))
+    met = asks.join(held.hint("merge"), ["key", "k", "part"]).where(once & may_be_alike("mark", "x_mark"))
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
 
 
 def grouped(keyed: DataFrame, scratch: Scratch, *, most: int = 256) -> tuple[DataFrame, DataFrame]:
@@ -210,20 +231,26 @@ def grouped(keyed: DataFrame, scratch: Scratch, *, most: int = 256) -> tuple[Dat
             if scratch.count("links"):
                 found = components(links)
 
-    width, filed = 1, shared.select("node", "key")
+    width, filed, first_crowded = 1, shared.select("node", "key"), None
     while True:
         placed = scratch.write(labelled(filed), "placed")
         if not scratch.count("placed"):
             break
         compare(toward(placed))
         placed = scratch.write(labelled(placed.select("node", "key")), "placed")
-        more, crowded = across(placed, sets.select("node", "mark"), most)
-        compare(more)
-        crowded = scratch.write(crowded, "crowded")
+        stands = scratch.write(standing(placed), "stands")
+        compare(across(stands.where(F.col("beside") <= most), sets.select("node", "mark"), most))
+        crowded = scratch.write(stands.where(F.col("beside") > most).select("node", "key"), "crowded")
+        if width == 1 and scratch.count("crowded"):
+            first_crowded = crowded
         width *= 2
         if not scratch.count("crowded") or width > BANDS:
             break
-        filed = members(banded.join(crowded.hint("merge"), "node", "left_semi").select("node", F.explode(F.array_distinct(_keys(width))).alias("key"))).select("node", "key")
+        filed = members(banded.join(crowded.select("node").distinct().hint("merge"), "node", "left_semi").select("node", F.explode(F.array_distinct(_keys(width))).alias("key"))).select("node", "key")
+    if first_crowded is not None:
+        placed = scratch.write(labelled(first_crowded), "placed")
+        if scratch.count("placed"):
+            compare(across(scratch.write(standing(placed), "stands"), sets.select("node", "mark"), most))
     return marked, nodes.join(found, "node", "left").select("same", "best", F.coalesce("component", "node").alias("component"))
 
 

@@ -63,6 +63,22 @@ def test_large_group_of_near_copies(spark):
     assert len(set(groups_of(spark, texts))) == 2
 
 
+def of_a_template(rng, n, copies):
+    """Texts that share a template, any two of them with Jaccard 0.75, and copies of some with a little over 0.8."""
+    template = [str(rng.random()) for _ in range(126)]
+    own = [[str(rng.random()) for _ in range(20)] for _ in range(n)]
+    texts = [" ".join(template + o) for o in own]
+    return texts + [" ".join(template + o[:6] + [str(rng.random()) for _ in range(14)]) for o in own[:copies]]
+
+
+@pytest.mark.parametrize(("n", "copies", "most"), [(1200, 120, 256), (300, 60, 8)])
+def test_no_copy_is_lost_in_a_crowd_of_one_template(spark, n, copies, most):
+    texts = of_a_template(random.Random(n), n, copies)
+    assert 0.8 <= jaccard(shingles(texts[0]), shingles(texts[n])) < 0.83 and 0.74 < jaccard(shingles(texts[0]), shingles(texts[1])) < 0.8
+    found = groups_of(spark, texts, most=most)
+    assert found == [*range(n), *range(copies)]
+
+
 def test_stage_drops_near_copies_of_likeness_over_four_fifths(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.orderBy("doc_id").collect()
