@@ -32,6 +32,8 @@ OTHER_WORDS = (
     "body main text content entry post item list block box message tags teaser meta info header footer side menu top page story head inner comment wrapper "
     "section title note summary links social"
 ).split()
+#: Words of the parts that are left out; articles are now and then named after them as well.
+MISLEADING_WORDS = "notice alert ad advert promo share sidebar comment comments form footer related newsletter cookie popup modal teaser widget nav menu header social response".split()
 _MARK = "\u0001"  # stands before each word of an article in training pages
 
 
@@ -57,9 +59,9 @@ class PageWriter:
     def name(self, names: tuple[str, ...], misleading: float = 0.07) -> str:
         """One of the names for the most part; else a name that says nothing, or one that misleads."""
         said, r = self.pick(*names), self.random.random()
-        if r < 0.77 - misleading:
+        if r < 0.88 - misleading:
             return said
-        if r < 0.92 - misleading:
+        if r < 0.94 - misleading:
             return self.made_up()
         if r < 1 - misleading:
             return f"{self.made_up()}-{said}" if self.chance(0.5) else f"{said} {self.made_up()}"
@@ -86,7 +88,7 @@ class PageWriter:
         return self.element(self.pick("div", "section"), inner, names, 1.0)
 
     def menu(self) -> str:
-        return self.boxed("nav", ("nav", "navbar", "main-menu", "menu", "breadcrumbs", "navigation"), self.links(2, 9))
+        return self.boxed("nav", ("nav", "navbar", "main-menu", "menu", "breadcrumbs", "navigation"), self.links(1, 9))
 
     def header(self) -> str:
         inner = self.element(self.pick("div", "p", "h1", "a"), self.words(1, 6), ("logo", "brand", "site-title"), 0.3) + (self.menu() if self.chance(0.5) else "") + (self.search() if self.chance(0.2) else "")
@@ -103,11 +105,13 @@ class PageWriter:
         return self.element(self.pick("div", "div", "aside", "section"), self.element("p", body) if self.chance(0.4) else body, ("ad", "ads", "advert", "sponsored", "promo", "ad-banner", "advertisement"), 1.0)
 
     def notice(self) -> str:
+        if self.chance(0.15):
+            return self.element("noscript", self.words(4, 25))
         body = self.words(4, 50) + (f' <button>{self.words(1, 2)}</button>' if self.chance(0.5) else "")
         return self.element(self.pick("div", "section", "p"), self.element("p", body) if self.chance(0.5) else body, ("cookie-notice", "cookie-banner", "consent", "notice", "alert", "popup", "modal", "paywall-message", "gdpr"), 1.0)
 
     def sidebar(self) -> str:
-        parts = [self.element("h3", self.words(1, 4)) + self.pick(self.links(2, 8), self.element("p", self.words(5, 40)), self.advert()) for _ in range(int(self.random.integers(1, 4)))]
+        parts = [self.element("h3", self.words(1, 4)) + self.pick(self.links(1, 8), self.element("p", self.words(5, 40)), self.advert()) for _ in range(int(self.random.integers(1, 4)))]
         return self.boxed("aside", ("sidebar", "side-rail", "widget-area", "secondary"), "".join(parts))
 
     def related(self) -> str:
@@ -123,11 +127,12 @@ class PageWriter:
         return self.element("div", self.links(2, 5), ("share", "social-links", "share-bar"), 1.0)
 
     def footer(self) -> str:
-        return self.boxed("footer", ("footer", "site-footer", "copyright", "legal"), self.pick("", self.links(2, 7)) + self.pick("&copy; ", "") + self.words(3, 40))
+        said = self.pick("&copy; ", "") + self.words(3, 40)
+        return self.boxed("footer", ("footer", "site-footer", "copyright", "legal"), self.pick("", self.links(2, 7)) + self.pick(said, said, f"<p>{said}</p>", f"<div>{said}</div>"))
 
     def article(self) -> str:
         def block() -> str:
-            text = self.words(*self.pick((1, 3), (2, 12), (15, 60), (40, 160), (60, 250)), mark=True)
+            text = self.words(*self.pick((1, 3), (2, 12), (8, 25), (15, 60), (40, 110), (60, 170)), mark=True)
             if self.chance(0.15):
                 text = f'{text} <a href="#">{self.words(1, 4, True)}</a> {self.words(2, 20, True)}'
             if self.chance(0.15):
@@ -136,7 +141,7 @@ class PageWriter:
                 *[f"<p>{text}</p>"] * 8, f"<p>{text}", f"<h2>{self.words(1, 8, True)}</h2>", f"<div>{text}</div>", f"<blockquote><p>{text}</p></blockquote>", f"<pre>{text}</pre>",
                 "<ul>" + "".join(f"<li>{self.words(2, 20, True)}</li>" for _ in range(3)) + "</ul>",
                 "<table>" + "".join(f"<tr><td>{self.words(1, 4, True)}</td><td>{self.words(1, 4, True)}</td></tr>" for _ in range(3)) + "</table>",
-                f"<figure><img src=x><figcaption>{self.words(2, 12, True)}</figcaption></figure>",
+                f"<figure><img src=x><figcaption>{self.words(2, 12, True)}</figcaption></figure>", f"<noscript>{text}</noscript>",
             )
 
         parts = [f"<h1>{self.words(2, 12, True)}</h1>"] if self.chance(0.8) else []
@@ -148,14 +153,23 @@ class PageWriter:
             parts.append(f"<p>{self.words(1, 40, True)}</p>")
         after = "".join(f() for f in (self.share, self.related, self.comments) if self.chance(0.12))
         inner = "".join(parts) + after
+        if self.chance(0.14):
+            return inner  # in no box of its own
         names = ("article", "content", "post", "entry-content", "story-body", "main-content", "article-body")
-        plain = self.element(self.pick("div", "div", "section"), inner, names if self.chance(0.7) else (self.made_up(),), 0.9, 0.35)
+        plain = self.element(self.pick("div", "div", "section"), inner, names if self.chance(0.7) else (self.made_up(),), 0.9, 0.25)
+        if len(parts) > 2 and self.chance(0.5):  # named after another part of pages, with what tells an article left
+            other, second = self.pick(*MISLEADING_WORDS), self.pick(self.made_up(), *OTHER_WORDS, *MISLEADING_WORDS)
+            plain = self.element(self.pick("div", "div", "section"), inner, (f"{other}-{second}", f"{second}-{other}"), 1.0, 0.0)
         return self.pick(*[self.element("article", inner, names, 0.3)] * 4, self.element("main", inner, names, 0.3), *[plain] * 4, self.element("main", self.element("article", inner), names, 0.3))
 
     def page(self) -> str:
-        before = [f() for f, p in ((self.notice, 0.2), (self.header, 0.4), (self.menu, 0.7), (self.search, 0.15), (self.advert, 0.5), (self.sidebar, 0.15)) if self.chance(p)]
-        after = [f() for f, p in ((self.advert, 0.25), (self.share, 0.2), (self.related, 0.25), (self.comments, 0.35), (self.sidebar, 0.35), (self.form, 0.2), (self.footer, 0.85), (self.notice, 0.2)) if self.chance(p)]
+        full = self.pick(1, 1, 1, 0.15)
+        before = [f() for f, p in ((self.notice, 0.2), (self.header, 0.4), (self.menu, 0.7), (self.search, 0.15), (self.advert, 0.5), (self.sidebar, 0.15)) if self.chance(full * p)]
+        after = [f() for f, p in ((self.advert, 0.25), (self.share, 0.2), (self.related, 0.25), (self.comments, 0.35), (self.sidebar, 0.35), (self.form, 0.2), (self.notice, 0.2)) if self.chance(full * p)]
+        after.insert(len(after) - (len(after) > 0 and self.chance(0.2)), self.footer() if self.chance(0.75) else "")
         body = "".join(before) + (self.article() if self.chance(0.97) else "") + "".join(after)
+        if self.chance(0.05):  # a page of one part, and no article
+            body = self.pick(self.menu, self.menu, self.header, self.footer, self.sidebar, self.form, self.comments)()
         if self.chance(0.35):
             body = self.element("div", body, ("page", "wrapper", "container", "site", "layout"))
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title></head><body>{body}" + ("</body></html>" if self.chance(0.9) else "")
@@ -183,7 +197,7 @@ class Extractor:
 
 
 @lru_cache(maxsize=4)
-def train_extractor(*, pages: int = 1200, trees: int = 40, depth: int = 5, seed: int = 11) -> Extractor:
+def train_extractor(*, pages: int = 1800, trees: int = 60, depth: int = 6, seed: int = 11) -> Extractor:
     """Fitted once for each process and set of parameters."""
     made, labels = training_pages(pages, seed)
     odds = word_odds(made, labels)

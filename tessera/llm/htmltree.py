@@ -15,12 +15,13 @@ import numpy as np
 
 #: Element names by kind, of the HTML standard.
 KINDS: dict[str, str] = {
-    "heading": "h1 h2 h3 h4 h5 h6 hgroup",
+    "title": "h1",
+    "heading": "h2 h3 h4 h5 h6 hgroup",
     "paragraph": "p",
     "item": "li dt dd",
     "list": "ul ol dl menu",
     "table": "table thead tbody tfoot tr td th caption",
-    "box": "div section body html center details summary dialog fieldset address",
+    "box": "div section body html center noscript details summary dialog fieldset address",
     "article": "article",
     "main": "main",
     "nav": "nav",
@@ -33,7 +34,7 @@ KINDS: dict[str, str] = {
     "control": "button option",
 }
 #: What the contract leaves out wherever it stands: scripts, styles, parts of forms, and what is no page content.
-_WITHOUT_PROSE = "script|style|noscript|template|iframe|textarea|select|title"
+_WITHOUT_PROSE = "script|style|template|iframe|textarea|select|title"
 #: Those whose content HTML takes as text up to the end tag, or to the end of the page without one.
 _TEXT_ONLY = frozenset("script style textarea title iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -254,7 +255,7 @@ def features(pages: list[Page], odds: dict[str, float]) -> np.ndarray:
 
     all_chars, all_words, all_marks, all_links = (below(x) for x in (chars, words, marks, linked))
     is_run, nodes = (mask >> _RUN) & 1, end - at
-    runs, paragraphs, headings = below(is_run), below((mask >> _KIND_OF["p"]) & 1), below((mask >> _KIND_OF["h1"]) & 1)
+    runs, paragraphs, titles, headings = (below(x) for x in (is_run, *((mask >> _KIND_OF[t]) & 1 for t in ("p", "h1", "h2"))))
     whole = np.maximum(all_chars[base], 1)
     sums = np.concatenate(([0], np.cumsum(chars)))
     started = sums[at] - sums[base]
@@ -272,9 +273,9 @@ def features(pages: list[Page], odds: dict[str, float]) -> np.ndarray:
         np.stack([s[base] for s in seen[:2]], axis=1),
         np.stack([
             np.log1p(all_chars), np.log1p(all_words), ratio(all_links, all_chars), ratio(all_marks, all_words), ratio(all_chars, nodes), ratio(all_chars, runs),
-            depth, place, kids[parent], ratio(place, kids[parent]), np.log1p(nodes), paragraphs, headings, all_chars / whole, started / whole, np.log1p(all_chars[parent]),
+            depth, place, kids[parent], ratio(place, kids[parent]), np.log1p(nodes), paragraphs, titles, headings, all_chars / whole, started / whole, np.log1p(all_chars[parent]),
             ratio(all_links[parent], all_chars[parent]), ratio(all_chars, all_chars[parent]), ratio(paragraphs, nodes),
-            *(x for at in (parent, parent[parent]) for x in (all_chars[at] / whole, paragraphs[at], headings[at], ratio(all_marks[at], all_words[at]))), ratio(all_links[parent[parent]], all_chars[parent[parent]]),
+            *(x for at in (parent, parent[parent]) for x in (all_chars[at] / whole, paragraphs[at], titles[at], headings[at], ratio(all_marks[at], all_words[at]))), ratio(all_links[parent[parent]], all_chars[parent[parent]]),
         ], axis=1),
     ]
     return np.concatenate([p.astype(np.float32) for p in parts], axis=1)

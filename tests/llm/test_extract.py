@@ -4,8 +4,8 @@ import re
 import pytest
 
 from tessera.llm import queries
-from tessera.llm.extract import decode, extract_main_text, main_texts, train_extractor, training_pages
-from tessera.llm.htmltree import parse
+from tessera.llm.extract import LEAN, decode, extract_main_text, main_texts, train_extractor, training_pages
+from tessera.llm.htmltree import features, parse
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +73,40 @@ def test_articles(forest, source):
     assert main_texts([source], forest) == [TEXT]
 
 
+LINES = [f"Paragraph {w} has some words, of no great length, that say what there is to say." for w in "one two three four five six".split()]
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<article><p>Yes it is so, they said.</p><p>More to come.</p></article><footer><div>Copyright 2020 Some Company. All rights reserved.</div></footer>", "Yes it is so, they said. More to come."),
+        ("<article><p>Yes it is so, they said.</p></article><footer>Copyright 2020 Some Company</footer>", "Yes it is so, they said."),
+        ("<body><h1>Title</h1>" + "".join(f"<p>{line}</p>" for line in LINES) + "</body>", " ".join(["Title", *LINES])),
+        ("<article><h1>Title</h1><p>Some words to read here, now.</p><noscript>Kept as well.</noscript></article>", "Title Some words to read here, now. Kept as well."),
+    ],
+)
+def test_short_articles_bare_bodies_and_noscript(forest, source, want):
+    assert main_texts([source], forest) == [want]
+
+
+@pytest.mark.parametrize("name", "notice-board comment-text sidebar-main promo-article news-alert share-text footer-story form-page entry-teaser".split())
+def test_names_of_other_parts_do_not_drop_an_article(forest, name):
+    inner = "<h1>Title here</h1>" + "".join(f"<p>{line}</p>" for line in LINES[:3])
+    page = f'<nav><ul><li><a href=/>Home</a></li><li><a href=/b>About</a></li></ul></nav><div class="{name}">{inner}</div><footer>&copy; someone</footer>'
+    assert main_texts([page], forest) == [" ".join(["Title here", *LINES[:3]])]
+
+
+def test_written_pages_of_another_seed(forest):
+    pages, labels = training_pages(300, 2024)
+    margins, exact, at = forest.forest.margins(features(pages, forest.odds)).tolist(), 0, 0
+    for page, own in zip(pages, labels):
+        kept = decode(page, margins[at : at + len(page.parent)], LEAN)
+        at += len(page.parent)
+        exact += all(bool(k) == bool(o) for t, k, o in zip(page.text, kept, own) if t)
+    print("exact of 300:", exact)
+    assert exact >= 0.9 * len(pages)
+
+
 def test_edges(spark, forest):
     rows = [(1, "u", None), (2, None, ""), (None, "v", f"<article>{ARTICLE}</article>"), (3, "w", "<nav><a href=/>x</a></nav>"), (4, "x", "<article>" + "<p>long words go here and here.</p>" * 20_000 + "</article>"), (4, "x", "<div>" * 3000 + "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text")
