@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, small, tidy
 from tessera.llm.minhash import OnePermutation, ShingleHasher, mix64
-from tessera.llm.simhash import components, near_pairs
+from tessera.llm.simhash import THREE_SEGMENTS, components, near_pairs
 from tessera.llm.tokens import text_groups
 
 WORDS = 5
@@ -205,7 +205,8 @@ def grouped(keyed: DataFrame, scratch: Scratch, *, most: int = 256) -> tuple[Dat
     banded = nodes.where(F.size("bands") > 0)
     shared = scratch.write(members(banded.select("node", F.explode("bands").alias("key"))), "shared")
     nearest = shared.groupBy("node").agg(F.min("least").alias("a")).where(F.col("a") < F.col("node")).select("a", F.col("node").alias("b"))
-    pairs = scratch.write(nearest.union(near_pairs(banded.select("node", "fp"))).distinct(), "pairs")
+    segments = 3 if scratch.count("nodes") <= THREE_SEGMENTS else 2
+    pairs = scratch.write(nearest.union(near_pairs(banded.select("node", "fp"), segments=segments)).distinct(), "pairs")
     wanted = shared.select("node").union(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     wanted = scratch.write(nodes.select("node", "file", "at").join(wanted.hint("merge"), "node", "left_semi"), "wanted")
     texts = keyed.join(small(wanted, scratch.count("wanted")), ["file", "at"]).select("node", "text")
