@@ -8,10 +8,10 @@ Three segments of 21 bits suit up to some hundred million different fingerprints
 which are looked up within two bits and one bit, keep what a lookup fetches short.  Both find the same links, and the
 number of fingerprints decides.
 
-A segment value that very many fingerprints share would make all their pairs.  Fingerprints that are filed under or
-looked up in such a value go another way, which is exact as well and makes a fixed number of rows for each: fingerprints
-within four bits have a value within two bits of both, so each is listed under all values within two bits of it, and
-those listed under one value are linked to the smallest of them.
+A segment value that very many fingerprints share would make all their pairs, and one beside it, which they all look
+up, as many rows.  Fingerprints that meet in such values go another way, which is exact as well and makes a fixed number
+of rows for each: fingerprints within four bits have a value within two bits of both, so each is listed under all values
+within two bits of it, and those listed under one value are linked to the smallest of them.
 """
 
 from __future__ import annotations
@@ -80,36 +80,69 @@ def _filed(fp: Column, segments: int) -> Column:
     return F.array(*[_long(k << 40) + part for k, part in enumerate(parts)])
 
 
+def _ball(value: Column, width: int, radius: int) -> Column:
+    """What is looked up beside a segment's value itself; null among it where a bit is not set."""
+    if radius == 2:
+        masks = [1 << i for i in range(width)] + [(1 << i) | (1 << j) for i in range(width) for j in range(i)]
+        return F.transform(F.array(*map(_long, masks)), value.bitwiseXOR)
+    if radius == 1:
+        return F.array(*[F.when(value.bitwiseAND(_long(1 << i)) != 0, value.bitwiseXOR(_long(1 << i))) for i in range(width)])
+    return F.array().cast("array<long>")
+
+
 def _looked(fp: Column, segments: int) -> Column:
     """The values to look up: each segment's ball of its radius."""
-    filed, found = _filed(fp, segments), []
+    filed = _filed(fp, segments)
+    return F.array_compact(F.concat(filed, *[_ball(filed[k], width, radius) for k, (_, width, radius) in enumerate(SEGMENTS[segments])]))
+
+
+def _beside(key: Column, segments: int) -> Column:
+    """What fingerprints that are filed under ``key`` look up beside it."""
+    found = F.array().cast("array<long>")
     for k, (_, width, radius) in enumerate(SEGMENTS[segments]):
-        value = filed[k]
-        if radius == 2:
-            masks = [1 << i for i in range(width)] + [(1 << i) | (1 << j) for i in range(width) for j in range(i)]
-            found.append(F.transform(F.array(*map(_long, masks)), value.bitwiseXOR))
-        elif radius == 1:
-            found.append(F.array(*[F.when(value.bitwiseAND(_long(1 << i)) != 0, value.bitwiseXOR(_long(1 << i))) for i in range(width)]))
-    return F.array_compact(F.concat(filed, *found))
+        found = F.when(F.shiftright(key, 40) == k, _ball(key, width, radius)).otherwise(found)
+    return F.array_compact(found)
 
 
-def near_pairs(nodes: DataFrame, *, most: int = 256, segments: int = 3) -> DataFrame:
-    """``a, b``: links between ``node``s whose ``fp`` differ in at most four bits.
+def lookups(nodes: DataFrame, *, most: int = 256, segments: int = 3) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``node, fp, key`` of what is filed, ``l_node, l_fp, key`` of what is to be looked up in it, and ``node, fp`` of those
+    that must be linked in another way, if there are any.
 
-    ``nodes`` has distinct ``fp`` and a ``node`` id each.  Pairs of segment values that over ``most`` fingerprints
-    share come as chains through common midpoints, so not every close pair is listed but all are connected.
+    A value is crowded if over ``most`` fingerprints are filed under it: no lookup goes there.  A value is besieged if
+    fingerprints of crowded values, over ``32 * most`` of them, look it up: their lookups do not go there either, while
+    those from other values, of which each has ``most`` at most, do.  So the rows that one value joins are bounded
+    whatever share of the fingerprints has it or stands beside it.
     """
     filed = nodes.select("node", "fp", F.explode(_filed(F.col("fp"), segments)).alias("key"))
     looked = nodes.select(F.col("node").alias("l_node"), F.col("fp").alias("l_fp"), F.explode(_looked(F.col("fp"), segments)).alias("key"))
-    crowded = filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key")
-    crowded = written(crowded, "crowded")
+    crowded = written(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most), "crowded")
+    if crowded.isEmpty():
+        return filed, looked, None
+    thin = looked.join(crowded.select("key"), "key", "left_anti")
+    dense = looked.join(crowded.select("key"), "key").select(F.col("l_node").alias("node"), F.col("l_fp").alias("fp"))
+    sent = crowded.select(F.col("key").alias("own"), "n", F.explode(_beside(F.col("key"), segments)).alias("key"))
+    besieged = sent.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > 32 * most).select("key")
+    besieged = written(sent.join(besieged, "key").join(crowded.select("key"), "key", "left_anti").select("own", "key"), "besieged")
+    if not besieged.isEmpty():
+        own = F.element_at(_filed(F.col("l_fp"), segments), (F.shiftright("key", 40) + 1).cast("int"))
+        thin = thin.withColumn("own", own).join(besieged, ["own", "key"], "left_anti").drop("own")
+        dense = dense.union(filed.join(besieged.select("key").distinct(), "key", "left_semi").select("node", "fp"))
+    return filed, thin, dense.distinct()
+
+
+def near_pairs(nodes: DataFrame, *, most: int = 256, segments: int = 3) -> DataFrame:
+    """``a, b``: links between ``node``s whose ``fp`` differ in at most four bits.
+
+    ``nodes`` has distinct ``fp`` and a ``node`` id each.  Pairs that only crowded or besieged segment values would bring
+    together (see ``lookups``) come as chains through common midpoints, so not every close pair is listed but all are
+    connected.
+    """
+    filed, thin, dense = lookups(nodes, most=most, segments=segments)
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("l_fp"))) <= DISTANCE
-    thin = looked.join(crowded, "key", "left_anti")
     pairs = thin.join(filed, "key").where((F.col("node") != F.col("l_node")) & close)
     pairs = pairs.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b"))
-    if crowded.isEmpty():
+    if dense is None:
         return pairs.distinct()
-    dense = looked.join(crowded, "key").select(F.col("l_node").alias("node"), F.col("l_fp").alias("fp")).distinct()
     # all values within two bits: positions i < j, where 64 stands for no bit
     bit = lambda c: F.when(F.col(c) < 64, F.expr(f"shiftleft(1L, {c})")).otherwise(F.lit(0).cast("long"))
     firsts = dense.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))

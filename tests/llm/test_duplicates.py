@@ -7,7 +7,7 @@ import xxhash
 
 from tessera.llm import queries
 from tessera.llm.minhash import OnePermutation, fingerprint_edits
-from tessera.llm.simhash import components, near_duplicates, near_pairs, simhash
+from tessera.llm.simhash import components, lookups, near_duplicates, near_pairs, simhash
 
 
 def plain_simhash(text, k=4):
@@ -69,6 +69,28 @@ def test_components_lose_no_link(spark, most, segments):
     assert [found.get(i, i) for i in range(len(fps))] == plain_components(fps)
 
 
+@pytest.mark.parametrize("segments", [3, 2])
+def test_values_beside_a_crowded_one(spark, segments):
+    """Thousands of fingerprints look up values that few are filed under; no link is lost and no value joins many rows."""
+    rng, most = random.Random(9), 8
+    value = rng.getrandbits(21) | 0b111
+    high = lambda: rng.getrandbits(20) << 44
+    fps = {high() | value for _ in range(3000)}
+    for bit in (1, 2, 4):
+        near = [next(iter(fps)) for _ in range(3)] + rng.sample(sorted(fps), 3)
+        fps |= {(f ^ bit) ^ (1 << rng.randrange(44, 64)) for f in near} | {high() | (value ^ bit) for _ in range(3)}
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = spark.createDataFrame(list(enumerate(signed)), "node long, fp long")
+    filed, thin, dense = lookups(nodes, most=most, segments=segments)
+    under = {r.key: r["count"] for r in filed.groupBy("key").count().collect()}
+    met = max(r["count"] * under.get(r.key, 0) for r in thin.groupBy("key").count().collect())
+    ball = 23 if segments == 3 else 530
+    assert met <= (32 + ball) * most * most and dense.count() >= 3000
+    found = {r.node: r.component for r in components(near_pairs(nodes, most=most, segments=segments)).collect()}
+    assert [found.get(i, i) for i in range(len(fps))] == plain_components(fps)
+
+
 def test_long_chains_settle(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in components(links).collect()}
