@@ -129,8 +129,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, query_block: in
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             table = held.value
-            columns = [table.column(j).to_pylist() for j in range(3)] + [[np.array(v or [], np.int64) for v in table.column(3).to_pylist()]]
-            rows = list(zip(columns[1], range(table.num_rows), columns[3]))
+            lists = table.column(3).combine_chunks()
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            ids = [table.column(j).to_numpy() for j in range(3)]
+            rows = [(row, i, values[a:b]) for i, (row, a, b) in enumerate(zip(ids[1], ends, ends[1:]))]
             blocks = [QueryBlock(rows[i : i + query_block], k, kind) for i in range(0, len(rows), query_block)]
             for batch in batches:
                 for at in range(0, batch.num_rows, block):  # small enough for a block of scores to stay in a core's cache
@@ -140,11 +142,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, query_block: in
                         some.meet(row.to_numpy(), vec_id.to_numpy(), found)
             for some in blocks:
                 at = np.repeat(some.query, [len(x) for x in some.ids])
-                out = [pa.array([columns[j][i] for i in at.tolist()], pa.int64()) for j in (0, 2)]
+                out = [pa.array(ids[j][at], pa.int64()) for j in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate(some.ids)), pa.array(np.concatenate(some.scores).astype(np.int64))], names=["q", "query_id", "vec_id", "score"])
 
         found = vectors.select(*columns).mapInArrow(tidy(search), "q long, query_id long, vec_id long, score long")
         winners.append(found if parts == 1 else scratch.write(found, "winners"))
+    scratch.drop("queries")  # all of them were sent
     place: Column = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))
     ranked = reduce(DataFrame.union, winners).select("query_id", place.cast("int").alias("rank"), "vec_id", "score")
     return ranked.where(F.col("rank") <= k)
