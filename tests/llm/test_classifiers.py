@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 
 import numpy as np
@@ -6,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import queries
 from tessera.llm.boost import fit_forest
-from tessera.llm.langid import fit_in_a_task, fold_of, FollowTheLeader, identify, place_in_sample, softmax, train_languages
-from tessera.llm.ngrams import CHUNK, character_grams, code_points, counted, present
-from tessera.llm.quality import dual_coordinate_descent, fit_sigmoid, log_count_ratios, score_quality, train_quality
+from tessera.llm.langid import LanguageModel, fit_in_a_task, fit_languages, fold_of, FollowTheLeader, identify, place_in_sample, softmax, train_languages
+from tessera.llm.ngrams import CHUNK, SparseRows, character_grams, code_points, counted, present
+from tessera.llm.quality import ORDERS, dual_coordinate_descent, fit_quality, fit_sigmoid, log_count_ratios, score_quality, train_quality
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +70,107 @@ def test_trees_separate():
     assert len(forest.margins(fresh[:0])) == 0
 
 
+def some_texts(n, seed):
+    """Texts and labels 0 and 1, which half of the words tell."""
+    rng = random.Random(seed)
+    labels = [rng.randrange(2) for _ in range(n)]
+    return [" ".join(rng.choice(("ab", "cd", "ef", "gh") if rng.random() < 0.5 else (("up", "on"), ("no", "so"))[y]) for _ in range(rng.randrange(1, 9))) for y in labels], labels
+
+
+def test_quality_equals_a_plain_version():
+    """Ratios counted in dictionaries, the dual over the matrix of all products, scores by sums over sets."""
+    texts, labels = some_texts(60, 4)
+    bits, c, seed, share = 12, 1.0, 7, {0: 900, 1: 100}
+    model = fit_quality(labels, SparseRows((present(t, ORDERS, bits), np.zeros(0)) for t in texts), bits, share, c=c, seed=seed)
+
+    order = np.random.default_rng(seed).permutation(60).tolist()
+    sets = [set(present(texts[i], ORDERS, bits).tolist()) for i in order]
+    truth, part = [labels[i] for i in order], 15
+    seen = {y: {} for y in (0, 1)}
+    for s, y in zip(sets[part:], truth[part:]):
+        for f in s:
+            seen[y][f] = seen[y].get(f, 0) + 1
+    every = {y: sum(seen[y].values()) + (1 << bits) for y in (0, 1)}
+    ratio = lambda f: math.log((seen[1].get(f, 0) + 1) / every[1] / ((seen[0].get(f, 0) + 1) / every[0]))
+    norm = lambda s: math.sqrt(sum(ratio(f) ** 2 for f in s)) or 1.0
+    dot = lambda a, b: sum(ratio(f) ** 2 for f in a & b) / norm(a) / norm(b) + 1
+    fitted, sign = sets[part:], [2 * y - 1 for y in truth[part:]]
+    q = np.array([[sign[i] * sign[j] * dot(a, b) for j, b in enumerate(fitted)] for i, a in enumerate(fitted)])
+    dual, rng = np.zeros(len(fitted)), np.random.default_rng(seed)
+    for _ in range(20):
+        before = dual.copy()
+        for i in rng.permutation(len(fitted)):
+            dual[i] = min(max(dual[i] - (q[i] @ dual - 1) / q[i, i], 0.0), c)
+        if np.abs(dual - before).max() < 1e-3 * c:
+            break
+    margin = lambda s: sum(d * y * (dot(s, t) if s else 1.0) for d, y, t in zip(dual, sign, fitted))
+    assert np.allclose([model.margin(t) for t in texts], [margin(set(present(t, ORDERS, bits).tolist())) for t in texts], atol=1e-6)
+
+    kept, m = truth[:part], [margin(s) for s in sets[:part]]
+    ones = sum(kept)
+    goal = [(ones + 1) / (ones + 2) if y else 1 / (part - ones + 2) for y in kept]
+    weight = [share[y] / kept.count(y) for y in kept]
+    loss = lambda a, b: sum(w * (math.log1p(math.exp(-(a * x + b))) + (1 - t) * (a * x + b)) for x, t, w in zip(m, goal, weight)) / sum(weight)
+    least = loss(model.slope, model.offset)
+    assert all(least <= loss(model.slope + d, model.offset + e) + 1e-7 for d in (-0.05, 0, 0.05) for e in (-0.05, 0, 0.05))
+    assert all(abs(model.score(t) - 1 / (1 + math.exp(-(model.slope * model.margin(t) + model.offset)))) < 1e-9 for t in texts)
+
+
+def test_language_equals_a_plain_version(spark):
+    """TF-IDF in dictionaries, follow-the-regularised-leader for one weight at a time, temperature by trying all."""
+    texts, labels = some_texts(48, 5)
+    labels, bits = ["xy"[y] for y in labels], 10
+    trained = train_languages(spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(texts, labels))], "doc_id long, text string, lang string"), bits=bits)
+    grams = [{int(f): float(count[f]) for f in np.flatnonzero(count)} for count in (counted(t, (1, 2, 3), bits) for t in texts)]
+    df = {f: sum(f in g for g in grams) for g in grams for f in g}
+    assert np.allclose(trained.idf, [math.log(49 / (1 + df.get(f, 0))) + 1 for f in range(1 << bits)])
+    rows = []
+    for g, t in zip(grams, texts):
+        x = {f: n * (math.log(49 / (1 + df[f])) + 1) for f, n in g.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        rows.append({f: v / size for f, v in x.items()})
+        at, values = trained.features(t)
+        assert np.allclose([rows[-1][f] for f in at.tolist()], values)
+
+    empty = LanguageModel(["x", "y"], trained.idf, np.zeros((2, 1 << bits)), np.zeros(2), 1.0, bits)
+    model = fit_languages(labels, SparseRows(empty.features(t) for t in texts), empty, epochs=2, seed=7)
+    alpha, beta, l1, l2, constant = 0.5, 1.0, 0.02, 0.1, 1 << bits
+    z, n = {}, {}
+
+    def weight(k, f):
+        a, s = z.get((k, f), 0.0), n.get((k, f), 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - math.copysign(l1, a)) / ((beta + math.sqrt(s)) / alpha + l2)
+
+    def scores(row):
+        return [sum(weight(k, f) * v for f, v in row.items()) for k in (0, 1)]
+
+    order = np.random.default_rng(7).permutation(48).tolist()
+    for i in order[8:] * 2:
+        row = {**rows[i], constant: 0.1}
+        s = scores(row)
+        p = [math.exp(v) / sum(map(math.exp, s)) for v in s]
+        slopes = {(k, f): (p[k] - (labels[i] == "xy"[k])) * v for k in (0, 1) for f, v in row.items()}
+        old = {key: weight(*key) for key in slopes}
+        for key, g in slopes.items():
+            had = n.get(key, 0.0)
+            z[key] = z.get(key, 0.0) + g - (math.sqrt(had + g * g) - math.sqrt(had)) / alpha * old[key]
+            n[key] = had + g * g
+    assert np.allclose(model.weights, [[weight(k, f) for f in range(1 << bits)] for k in (0, 1)], atol=1e-5)
+    assert np.allclose(model.bias, [0.1 * weight(k, constant) for k in (0, 1)], atol=1e-5)
+    assert (model.weights == 0).any() and (model.weights != 0).any()
+
+    def share(i, temperature):
+        s = [v / temperature for v in scores({**rows[i], constant: 0.1})]
+        return [math.exp(v - max(s)) / sum(math.exp(u - max(s)) for u in s) for v in s]
+
+    loss = lambda t: -sum(math.log(max(share(i, t)["xy".index(labels[i])], 1e-12)) for i in order[:8])
+    assert loss(model.temperature) <= min(map(loss, np.geomspace(0.02, 5, 60))) + 1e-6
+    for i, t in enumerate(texts):
+        p = share(i, model.temperature)
+        name, score = model.predict(t)
+        assert abs(score - max(p)) < 1e-3 and (name == "xy"[p.index(max(p))] or abs(p[0] - 0.5) < 1e-3)
+
+
 def test_held_out_quality(spark, tables):
     got = queries.op3_quality_scores(spark, tables).join(spark.read.parquet(f"{tables}/labels.parquet"), "doc_id").collect()
     held = [r for r in got if r.held_out]
