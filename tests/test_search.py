@@ -128,6 +128,14 @@ def test_a_short_query_reads_no_more_keys_than_it_can_use(spark, tmp_path_factor
     assert nothing.collect() == [] and nothing.columns == found.columns
 
 
+def test_no_join_of_a_batch_sends_a_side_to_all_tasks(spark, tmp_path_factory):
+    path = stored(spark, [(f"L{i}", f"A{i:04d}", "combined_id", 1) for i in range(50)], tmp_path_factory)
+    names = spark.createDataFrame([(f"L{i}", "x", "g") for i in range(50)], "uid string, combined_id string, grp string")
+    found = search.labelled(stored_search.stored_search(spark.createDataFrame([("a",), ("a00",)], "q string"), path), names)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 4 and "Broadcast" not in plan
+
+
 def test_commas_part_only_packed_names(spark):
     index = search.postings(table(spark, [("L1", "a, b", "combined_id", 1), ("L1", "a, b", "ervmap_alt_name", 1)]))
     assert sorted((r.alias_type, r.str) for r in index.collect()) == [("combined_id", "a, b"), ("ervmap_alt_name", "a"), ("ervmap_alt_name", "a, b"), ("ervmap_alt_name", "b")]
