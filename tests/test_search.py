@@ -136,6 +136,24 @@ def test_no_join_of_a_batch_sends_a_side_to_all_tasks(spark, tmp_path_factory):
     assert plan.count("SortMergeJoin") == 4 and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("span", [1, 3, 1000])
+def test_prefixes_come_from_neighbours_alone(spark, span):
+    rng = random.Random(span)
+    made = {(s, "".join(rng.choice("AB") for _ in range(rng.randrange(0, 6)))) for s in ("all", "x") for _ in range(25)}
+    rows = [(s, k, i) for i, (s, k) in enumerate(sorted(made))]
+    want = {}
+    for s, k, i in rows:
+        for n in range(1, len(k) + 1):
+            want.setdefault((s, k[:n]), []).append(i)
+    shortest = {}
+    for (s, p), at in sorted(want.items()):
+        if len(at) == 1:
+            shortest.setdefault(at[0], (s, p))
+    kept = sorted((s, p, at[0], len(at)) for (s, p), at in want.items() if len(at) > 1 or shortest[at[0]] == (s, p))
+    got = stored_search._prefixes(spark.createDataFrame(rows, "scope string, key string, rank long"), "key", "rank", span)
+    assert sorted((r.scope, r.prefix, r.first, r.n) for r in got.collect()) == kept
+
+
 def test_commas_part_only_packed_names(spark):
     index = search.postings(table(spark, [("L1", "a, b", "combined_id", 1), ("L1", "a, b", "ervmap_alt_name", 1)]))
     assert sorted((r.alias_type, r.str) for r in index.collect()) == [("combined_id", "a, b"), ("ervmap_alt_name", "a"), ("ervmap_alt_name", "a, b"), ("ervmap_alt_name", "b")]
