@@ -103,3 +103,16 @@ def test_uneven_exons_are_found(spark):
     schema = "name string, exonStarts array<long>, exonEnds array<long>"
     df = spark.createDataFrame([("a", [1], [2]), ("b", [1, 2], [3]), ("c", [], []), ("d", None, [1])], schema)
     assert sorted(r.name for r in quality.uneven_exons(df).collect()) == ["b", "c", "d"]
+
+
+def test_distinct_transcripts_are_placed_as_others_and_modelled_in_as_many_tasks_as_asked(spark):
+    rows = [(f"T{i}", f"G{i % 3}", "c", s := 37 * i, s + 90, "+-"[i % 2], [s, s + 60], [s + 20, s + 90]) for i in range(60)]
+    tx = spark.createDataFrame(rows, "name string, name2 string, chrom string, txStart long, txEnd long, strand string, exonStarts array<long>, exonEnds array<long>")
+    wins = spark.createDataFrame([(f"u{j}", "c", 200 * j, 200 * j + 300) for j in range(9)], "uid string, chrom string, w0 long, w1 long")
+    placed = annotation.transcripts_in_windows(tx, wins, distinct=True)
+    assert sorted(map(repr, placed.collect())) == sorted(map(repr, annotation.transcripts_in_windows(tx, wins).collect()))
+    few, many = annotation.gene_models(placed), annotation.gene_models(placed, 7)
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, few.collect()))
+    plan = annotation.gene_models(placed.localCheckpoint(), 7)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange" in x]
+    assert dealt and all("hashpartitioning(uid" in x and ", 7)" in x for x in dealt)
