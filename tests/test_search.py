@@ -136,6 +136,16 @@ def test_no_join_of_a_batch_sends_a_side_to_all_tasks(spark, tmp_path_factory):
     assert plan.count("SortMergeJoin") == 4 and "Broadcast" not in plan
 
 
+def test_what_an_index_is_made_of_does_not_go_through_the_driver(spark, sf_dir):
+    from tessera.operators import documents
+    from tessera.plans.fixtures import view
+
+    listed = documents.list_rows(view(spark, sf_dir, "fx_entity"), view(spark, sf_dir, "fx_coord"))
+    for made in (view(spark, sf_dir, "fx_alias"), listed):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("span", [1, 3, 1000])
 def test_prefixes_come_from_neighbours_alone(spark, span):
     rng = random.Random(span)
