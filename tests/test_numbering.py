@@ -40,3 +40,13 @@ def test_class_blocks_are_bounded(spark):
     assert {r.value: r.n_uids for r in directory.collect()}["big"] == sum(len(b.uids) for b in big)
     plan = aliases.classifier_menu(directory, "s")._jdf.queryExecution().toString()
     assert "collect_" not in plan
+
+
+def test_pairs_of_one_string_are_shared_by_tasks(spark):
+    rows = [(f"u{i}", "hot" if i % 4 else f"s{i % 8}", "combined_id", "r2" if i % 3 else "r1", 1) for i in range(120)] + [("n", None, "combined_id", "r2", 1), ("o", "hot", "hervd_id", "r2", 1)]
+    found = aliases.misrouted(spark.createDataFrame(rows, "uid string, alias string, alias_type string, assignment string, is_current int"))
+    named = [r for r in rows if r[2] == "combined_id" and r[1]]
+    want = sorted((a[1], a[0], b[0], a[3]) for a in named for b in named if a[1] == b[1] and a[0] != b[0] and b[3] == "r2")
+    assert sorted(tuple(r) for r in found.collect()) == want
+    tasks = found.where("alias = 'hot'").groupBy(F.spark_partition_id()).count().count()
+    assert tasks > 1 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
