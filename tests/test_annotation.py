@@ -116,3 +116,17 @@ def test_distinct_transcripts_are_placed_as_others_and_modelled_in_as_many_tasks
     plan = annotation.gene_models(placed.localCheckpoint(), 7)._jdf.queryExecution().executedPlan().toString()
     dealt = [x for x in plan.splitlines() if "Exchange" in x]
     assert dealt and all("hashpartitioning(uid" in x and ", 7)" in x for x in dealt)
+
+
+def test_bounds_are_those_of_the_transcripts_without_their_exons(spark):
+    from tessera.operators import intervals
+
+    exons = annotation.exons(spark.createDataFrame([(x,) for x in GTF], "line string"))
+    bounds = annotation.transcript_bounds(exons)
+    whole = annotation.transcripts(exons).select(*bounds.columns)
+    assert sorted(map(repr, bounds.collect())) == sorted(map(repr, whole.collect())) != []
+    wins = spark.createDataFrame([("u", "chrA", 5000, 6001), ("v", "chrB", 90, 99)], "uid string, chrom string, w0 long, w1 long")
+    met = intervals.covered(bounds.withColumnRenamed("name", "tx"), wins, ("name2",), start="txStart", end="txEnd", right_inclusive=True)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in met.collect()] == [("u", "Alpha")]
+    assert "collect_list" not in plan and "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
