@@ -4,6 +4,7 @@ import re
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.operators import aliases, search, stored_search
 
@@ -146,6 +147,16 @@ def test_what_an_index_is_made_of_does_not_go_through_the_driver(spark, sf_dir):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_a_part_whose_places_are_known_is_not_computed_to_find_its_ranges(spark, tmp_path_factory, monkeypatch):
+    monkeypatch.setattr(stored_search, "RANGE", 100)
+    path = stored(spark, [(f"L{i}", f"A{i:04d}", "combined_id", 1) for i in range(950)], tmp_path_factory)
+    for name, column in (("postings", "rank"), ("collapsed", "at"), ("prefixes", "first")):
+        of = ["of"] if name != "postings" else []
+        part = spark.read.parquet(f"{path}/{name}").where("scope = 'all'").selectExpr(*of, column, "_metadata.file_path AS f")
+        spans = sorted(tuple(r) for r in part.groupBy(*of, "f").agg(F.min(column).alias("low"), F.max(column).alias("high")).select(*of, "low", "high").collect())
+        assert len(spans) >= 9 and all(one[:-2] != two[:-2] or one[-1] < two[-2] for one, two in zip(spans, spans[1:]))
+
+
 @pytest.mark.parametrize("span", [1, 3, 1000])
 def test_prefixes_come_from_neighbours_alone(spark, span):
     rng = random.Random(span)
