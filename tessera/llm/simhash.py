@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, small, tidy, written
+from tessera.llm.common import Scratch, small, tidy
 from tessera.llm.tokens import text_groups
 
 #: By the number of segments, the first bit, the width and the radius of lookups of each: of four differing bits, one
@@ -32,6 +32,9 @@ SEGMENTS = {3: ((0, 21, 1), (21, 21, 1), (42, 22, 0)), 2: ((0, 32, 2), (32, 32,
 DISTANCE = 4
 #: Up to so many different fingerprints a segment of 21 bits is shared by 128 of them on average.
 THREE_SEGMENTS = 1 << 28
+#: Up to so many counted values are sent to all tasks.  All other joins here are merges: fingerprints are packed and then
+#: exploded, or filed under many values, so what Spark takes for small would go through the driver many times as large.
+FEW = 100_000
 
 
 def simhash(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -104,6 +107,10 @@ def _beside(key: Column, segments: int) -> Column:
     return F.array_compact(found)
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FEW else df.hint("merge")
+
+
 def lookups(nodes: DataFrame, *, most: int = 256, segments: int = 3) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """``node, fp, key`` of what is filed, ``l_node, l_fp, key`` of what is to be looked up in it, and ``node, fp`` of those
     that must be linked in another way, if there are any.
@@ -115,18 +122,21 @@ def lookups(nodes: DataFrame, *, most: int = 256, segments: int = 3) -> tuple[Da
     """
     filed = nodes.select("node", "fp", F.explode(_filed(F.col("fp"), segments)).alias("key"))
     looked = nodes.select(F.col("node").alias("l_node"), F.col("fp").alias("l_fp"), F.explode(_looked(F.col("fp"), segments)).alias("key"))
-    crowded = written(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most), "crowded")
-    if crowded.isEmpty():
+    scratch = Scratch(nodes.sparkSession, "lookups")
+    crowded = scratch.write(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most), "crowded")
+    if not scratch.count("crowded"):
         return filed, looked, None
-    thin = looked.join(crowded.select("key"), "key", "left_anti")
-    dense = looked.join(crowded.select("key"), "key").select(F.col("l_node").alias("node"), F.col("l_fp").alias("fp"))
+    values = _few(crowded.select("key"), scratch.count("crowded"))
+    thin = looked.join(values, "key", "left_anti")
+    dense = looked.join(values, "key").select(F.col("l_node").alias("node"), F.col("l_fp").alias("fp"))
     sent = crowded.select(F.col("key").alias("own"), "n", F.explode(_beside(F.col("key"), segments)).alias("key"))
     besieged = sent.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > 32 * most).select("key")
-    besieged = written(sent.join(besieged, "key").join(crowded.select("key"), "key", "left_anti").select("own", "key"), "besieged")
-    if not besieged.isEmpty():
+    besieged = scratch.write(sent.join(besieged.hint("merge"), "key").join(values, "key", "left_anti").select("own", "key"), "besieged")
+    if scratch.count("besieged"):
         own = F.element_at(_filed(F.col("l_fp"), segments), (F.shiftright("key", 40) + 1).cast("int"))
-        thin = thin.withColumn("own", own).join(besieged, ["own", "key"], "left_anti").drop("own")
-        dense = dense.union(filed.join(besieged.select("key").distinct(), "key", "left_semi").select("node", "fp"))
+        thin = thin.withColumn("own", own).join(_few(besieged, scratch.count("besieged")), ["own", "key"], "left_anti").drop("own")
+        beside = _few(besieged.select("key").distinct(), scratch.count("besieged"))
+        dense = dense.union(filed.join(beside, "key", "left_semi").select("node", "fp"))
     return filed, thin, dense.distinct()
 
 
@@ -139,7 +149,7 @@ def near_pairs(nodes: DataFrame, *, most: int = 256, segments: int = 3) -> DataF
     """
     filed, thin, dense = lookups(nodes, most=most, segments=segments)
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("l_fp"))) <= DISTANCE
-    pairs = thin.join(filed, "key").where((F.col("node") != F.col("l_node")) & close)
+    pairs = thin.join(filed.hint("merge"), "key").where((F.col("node") != F.col("l_node")) & close)
     pairs = pairs.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b"))
     if dense is None:
         return pairs.distinct()
@@ -149,7 +159,7 @@ def near_pairs(nodes: DataFrame, *, most: int = 256, segments: int = 3) -> DataF
     seconds = firsts.select("node", "fp", "i", F.explode(F.when(F.col("i") < 64, F.sequence(F.col("i") + 1, F.lit(64))).otherwise(F.array(F.lit(64)))).alias("j"))
     listed = seconds.select("node", F.col("fp").bitwiseXOR(bit("i")).bitwiseXOR(bit("j")).alias("middle"))
     least = listed.groupBy("middle").agg(F.min("node").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    chained = listed.join(least, "middle").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    chained = listed.join(least.hint("merge"), "middle").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
     return pairs.union(chained).distinct()
 
 
@@ -201,13 +211,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, most: int = 256, segment
     if segments is None:
         segments = 3 if scratch.count("nodes") <= THREE_SEGMENTS else 2
     found = components(near_pairs(keyed.select("node", "fp"), most=most, segments=segments))
-    labelled = keyed.join(found, "node", "left").select("fp", "least", "n", F.coalesce("component", "node").alias("component"))
+    labelled = keyed.join(found.hint("merge"), "node", "left").select("fp", "least", "n", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(least, "component").select("fp", "n", "component_id")
+    by_fp = labelled.join(least.hint("merge"), "component").select("fp", "n", "component_id")
     if scratch.rows["nodes"][1]:
         by_fp = scratch.write(by_fp, "by_fp")
         often = small(by_fp.where(F.col("n") > hot).select("fp", "component_id"), scratch.rows["nodes"][1])
-        joined = marked.join(often, "fp").unionByName(marked.join(often, "fp", "left_anti").join(by_fp.drop("n"), "fp"))
+        joined = marked.join(often, "fp").unionByName(marked.join(often, "fp", "left_anti").join(by_fp.drop("n").hint("merge"), "fp"))
     else:
-        joined = marked.join(by_fp.drop("n"), "fp")
+        joined = marked.join(by_fp.drop("n").hint("merge"), "fp")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

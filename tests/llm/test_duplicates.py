@@ -91,6 +91,21 @@ def test_values_beside_a_crowded_one(spark, segments):
     assert [found.get(i, i) for i in range(len(fps))] == plain_components(fps)
 
 
+def test_no_side_of_unknown_size_is_broadcast(spark, monkeypatch):
+    """Spark takes packed fingerprints for small before they are exploded; only counted rows may go through the driver."""
+    from tessera.llm import simhash as module
+
+    monkeypatch.setattr(module, "FEW", 0, raising=False)
+    signed = [f - (1 << 64) if f >> 63 else f for f in crowd(5)]
+    nodes = spark.createDataFrame(list(enumerate(signed)), "node long, fp long")
+    docs = spark.createDataFrame([(i, f"a{i} b c d e f") for i in range(40)], "doc_id long, text string")
+    _, thin, dense = lookups(nodes, most=3)
+    assert dense is not None
+    for made in (thin, dense, near_pairs(nodes), near_pairs(nodes, most=3), near_duplicates(docs), near_duplicates(docs, most=3)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_chains_settle(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in components(links).collect()}
